@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .licenses import op2_licenses
 from .sharding import op3_sharding
 
-QUERIES = {"op3_sharding": op3_sharding}
+QUERIES = {"op2_licenses": op2_licenses, "op3_sharding": op3_sharding}
 ORACLES: dict[str, str] = {}
