@@ -3,7 +3,14 @@
 from __future__ import annotations
 
 from .licenses import op2_licenses
+from .packing import op6_packing
 from .sharding import op3_sharding
+from .token_files import op5_token_files
 
-QUERIES = {"op2_licenses": op2_licenses, "op3_sharding": op3_sharding}
+QUERIES = {
+    "op2_licenses": op2_licenses,
+    "op3_sharding": op3_sharding,
+    "op5_token_files": op5_token_files,
+    "op6_packing": op6_packing,
+}
 ORACLES: dict[str, str] = {}
