@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .licenses import op2_licenses
 from .packing import op6_packing
+from .quality import op8_quality
 from .sharding import op3_sharding
 from .token_files import op5_token_files
 
@@ -12,5 +13,6 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op5_token_files": op5_token_files,
     "op6_packing": op6_packing,
+    "op8_quality": op8_quality,
 }
 ORACLES: dict[str, str] = {}
