@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .langid import op4_langid
 from .licenses import op2_licenses
 from .packing import op6_packing
 from .quality import op8_quality
@@ -11,6 +12,7 @@ from .token_files import op5_token_files
 QUERIES = {
     "op2_licenses": op2_licenses,
     "op3_sharding": op3_sharding,
+    "op4_langid": op4_langid,
     "op5_token_files": op5_token_files,
     "op6_packing": op6_packing,
     "op8_quality": op8_quality,
