@@ -83,15 +83,16 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return buf, at - at[0]
 
 
-def words(buf: np.ndarray, at: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(buf: np.ndarray, at: np.ndarray, fold: bool = True, solid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of all rows at once: their first and end bytes, their 64-bit hashes, and the bounds of each row in these arrays.
 
-    fold: A-Z count as a-z. Words are runs of bytes that are not ASCII white space and end with their row.
+    fold: A-Z count as a-z. Words are runs of bytes of which `solid` is true, or else that are not ASCII white space; they end
+    with their row.
     """
     n = len(buf)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    solid = ~_SPACE[buf]
+    solid = ~_SPACE[buf] if solid is None else solid[buf]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     cut = at[:-1][at[:-1] < n]
@@ -101,10 +102,19 @@ def words(buf: np.ndarray, at: np.ndarray, fold: bool = True) -> tuple[np.ndarra
     last = at[1:][at[1:] > 0] - 1
     end[last] = solid[last]
     s, e = np.flatnonzero(first), np.flatnonzero(end) + 1
+    return s, e, hashes(_LOWER[buf] if fold else buf, s, e), np.searchsorted(s, at)
+
+
+def hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte runs from s to e: a polynomial modulo 2**64 by differences of a running sum, then mixed."""
+    n = len(buf)
     up, down = _powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER[buf] if fold else buf).astype(np.uint64) * up[:n] + up[:n], out=total[1:])
-    return s, e, mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)), np.searchsorted(s, at)
+    term = buf.astype(np.uint64)
+    term += np.uint64(1)
+    term *= up[:n]
+    np.cumsum(term, out=total[1:])
+    return mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
 
 
 def blocks(at: np.ndarray, most: int = 4 << 20) -> list[tuple[int, int]]:
