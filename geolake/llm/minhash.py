@@ -161,5 +161,18 @@ def link(docs: DataFrame, k: int = 2, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def keep(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs that link() keeps, with all their columns: of every group the document with the smallest doc_id.
+
+    Of rows that share a kept doc_id one stays (the one with the least text); rows with a null doc_id stay.
+    """
+    found = stored(link(docs, k, percent).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
+    kept = found.select(F.col("doc_id").alias("kept_id"))
+    rows = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
+    if not found.where("rows > 1").isEmpty():
+        rows = rows.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text")).alias("row")).select("row.*")
+    return rows.unionByName(docs.where("doc_id is null"))
+
+
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"))
