@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontam import op9_decontamination
+from .html_text import op7_html
 from .langid import op4_langid
 from .licenses import op2_licenses
 from .minhash import op1_minhash
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_langid": op4_langid,
     "op5_token_files": op5_token_files,
     "op6_packing": op6_packing,
+    "op7_html": op7_html,
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
 }
