@@ -29,21 +29,21 @@ GROUP_ROWS = 20_000
 
 
 def _cut(name: str, path: str | None, end: int, capacity: int):
-    stop = np.array([end], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(name, path)
         for b in batches:
-            out: list[tuple] = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                ids = enc(text or "") + stop
-                n = len(ids) // 4
-                first = n % capacity or capacity
-                for k, start in enumerate([0, *range(first, n, capacity)]):
-                    length = first if k == 0 else capacity
-                    out.append((doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
-            cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for lo, hi, ids, at in enc.encode(b.column("text"), end):
+                data = memoryview(ids.astype("<u4")).cast("B")
+                n = np.diff(at)
+                parts = -(-n // capacity)
+                row = np.repeat(np.arange(len(n)), parts)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+                first = (n - 1) % capacity + 1
+                start = np.where(piece > 0, first[row] + (piece - 1) * capacity, 0)
+                length = np.where(piece > 0, capacity, first[row])
+                begin = at[row] + start
+                crc = [zlib.crc32(data[4 * i : 4 * (i + k)]) for i, k in zip(begin.tolist(), length.tolist())]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 

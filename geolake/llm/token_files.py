@@ -26,16 +26,12 @@ SCHEMA = "doc_id long, ids array<int>, n_tokens long"
 
 
 def _encode(name: str, path: str | None, end: int):
-    stop = np.array([end], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(name, path)
         for b in batches:
-            ids = [enc(t or "") + stop for t in b.column("text").to_pylist()]
-            at = np.zeros(len(ids) + 1, np.int64)
-            np.cumsum([len(x) // 4 for x in ids], out=at[1:])
-            flat = pa.Array.from_buffers(pa.int32(), int(at[-1]), [None, pa.py_buffer(b"".join(ids))])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), flat), pa.array(np.diff(at))], ["doc_id", "ids", "n_tokens"])
+            for lo, hi, ids, at in enc.encode(b.column("text"), end):
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), lists, pa.array(np.diff(at))], ["doc_id", "ids", "n_tokens"])
 
     return run
 
