@@ -6,6 +6,7 @@ from .decontam import op9_decontamination
 from .html_text import op7_html
 from .langid import op4_langid
 from .licenses import op2_licenses
+from .lm_score import op10_lm_scores
 from .minhash import op1_minhash
 from .packing import op6_packing
 from .quality import op8_quality
@@ -14,6 +15,7 @@ from .token_files import op5_token_files
 
 QUERIES = {
     "op1_minhash": op1_minhash,
+    "op10_lm_scores": op10_lm_scores,
     "op2_licenses": op2_licenses,
     "op3_sharding": op3_sharding,
     "op4_langid": op4_langid,
