@@ -7,9 +7,10 @@ and after one or two for sets larger than T log T. Coordinates of two sets agree
 concentrated like a sum of independent ones (Dahlgaard, Knudsen, Thorup, 2017). BANDS bands of T / BANDS coordinates give
 candidates: a pair with J = 0.8 shares none of them with probability (1 - 0.8^4)^24 < 4e-6. Candidates are confirmed on full sets.
 
-Documents with equal sets form a class and go on as one. In every bucket the classes are compared with the bucket's
-hub; only classes that are then still in different components are compared with each other, so a bucket
-full of copies costs a comparison for each copy, not for each pair, and no link between components is lost.
+Documents with equal sets form a class and go on as one. The classes of a bucket gather around its hub, those of one hub
+form a group, a large group is cut into parts of bounded size. Inside a part components grow by exact comparisons,
+starting at the hub, until every two classes are in one component or known to be apart; then the parts' leftovers, what is
+not in the hub's component, meet the other parts. No list of pairs is made, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .components import components
 T = 96
 BANDS = 24
 PERCENT = 80
+#: Members of a group that are compared in one place; larger groups go in parts and pairs of parts.
+GROUP = 256
 _SEEDS = mix(np.arange(1, 2 * T + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FRACTION = np.uint64((1 << 49) - 1)
 
@@ -96,31 +99,77 @@ def _sketched(k: int, percent: int):
     return run
 
 
-def _confirmed(k: int, percent: int):
+def _links_in(ids: list[int], components: list[int | None], sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Links that join the components of one group, a spanning forest of them; pairs inside a component are left alone.
+
+    Every pair of different components is decided: all members but those of the largest component are compared with all, by
+    counting shared shingles over postings.
+    """
+    n = len(ids)
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    seen: dict[int, int] = {}
+    for i, c in enumerate(components):
+        if c is not None:
+            root[find(i)] = find(seen.setdefault(c, i))
+    size = np.array([len(x) for x in sets])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    of = np.repeat(np.arange(n), size)
+    of = of[np.argsort(code, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(code))])
+    own = np.split(code, np.cumsum(size)[:-1])
+    done: set[int] = set()
+    turn = [0]
+    while turn:
+        for i in turn:
+            done.add(i)
+            lo, many = first[own[i]], first[own[i] + 1] - first[own[i]]
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+            both = np.bincount(of[at], minlength=n)
+            for j in np.flatnonzero(100 * both >= percent * (size[i] + size - both)).tolist():
+                if find(i) != find(j):
+                    root[find(j)] = find(i)
+                    yield ids[i], ids[j]
+        roots = [find(i) for i in range(n)]
+        largest = max(set(roots), key=lambda r: (roots.count(r), -r))
+        turn = [i for i in range(n) if roots[i] != largest and i not in done][:1]
+
+
+def _compared(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group; a group may go over from one batch to the next."""
+        key, ids, comps, sets = None, [], [], []
+
+        def close() -> pa.RecordBatch:
+            found = list(_links_in(ids, comps, sets, percent)) if len(ids) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+
         for b in batches:
-            keep = np.zeros(len(b), bool)
-            hub, hub_id = None, object()
-            ids = b.column("hub").to_pylist()
-            hubs = b.column("hub_text")
-            for i, member in enumerate(shingle_sets(b.column("text"), k)):
-                if ids[i] != hub_id:
-                    hub_id, hub = ids[i], next(shingle_sets(hubs.slice(i, 1), k))
-                small, large = sorted((hub, member), key=len)
-                if not len(small):
-                    continue
-                both = int(np.count_nonzero(large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small))
-                keep[i] = 100 * both >= percent * (len(hub) + len(member) - both)
-            yield pa.RecordBatch.from_arrays([b.column("hub").filter(pa.array(keep)), b.column("rep").filter(pa.array(keep))], ["hub", "rep"])
+            keys = zip(b.column("hub").to_pylist(), b.column("part").to_pylist())
+            for now, i, c, s in zip(keys, b.column("rep").to_pylist(), b.column("component").to_pylist(), shingle_sets(b.column("text"), k)):
+                if now != key:
+                    if len(ids) > 1:
+                        yield close()
+                    key, ids, comps, sets = now, [], [], []
+                ids.append(i)
+                comps.append(c)
+                sets.append(s)
+        yield close()
 
     return run
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (hub, rep) whose texts' full sets are alike enough."""
-    texts = docs.select("doc_id", "text")
-    d = pairs.join(texts.withColumnRenamed("doc_id", "rep"), "rep").join(texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("hub_text")), "hub")
-    return d.select("hub", "rep", "text", "hub_text").mapInArrow(_confirmed(k, percent), "hub long, rep long").distinct()
+def compare(groups: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) inside groups (hub, part, rep, component): groups of a bounded number of rows, their texts side by side."""
+    d = groups.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").select("hub", "part", "rep", "component", "text")
+    d = d.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("rep") != F.col("hub"), "rep")
+    return d.mapInArrow(_compared(k, percent), "a long, b long")
 
 
 def link(docs: DataFrame, k: int = 2, percent: int = PERCENT) -> DataFrame:
@@ -132,30 +181,38 @@ def link(docs: DataFrame, k: int = 2, percent: int = PERCENT) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     sketched = stored(docs.mapInArrow(_sketched(k, percent), "doc_id long, n long, fp binary, bands array<long>"), "sketches")
-    classes = sketched.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    classes = stored(classes, "classes")
+    classes = stored(sketched.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     # one row of a class stands for it
     lead = sketched.where("size(bands) > 0").join(classes, [sketched.doc_id == classes.rep, sketched.fp == classes.fp], "left_semi").dropDuplicates(["doc_id", "fp"])
-    entries = stored(lead.select(F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("key")), "bands")
+    entries = stored(lead.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key")), "bands")
     shared = entries.join(entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key")
     weight = shared.groupBy("rep").agg(F.sum("c").alias("w"))
-    shared = stored(shared.join(weight, "rep"), "buckets")
-    hubs = shared.groupBy("key").agg(F.max(F.struct("w", -F.col("rep"), "n")).alias("h")).select("key", (-F.col("h.col2")).alias("hub"), F.col("h.n").alias("hub_n"))
-    alike = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    pairs = shared.join(hubs, "key").where((F.col("rep") != F.col("hub")) & alike(F.col("n"), F.col("hub_n"))).select("hub", "rep").distinct()
-    pairs = stored(pairs, "pairs")
-    links = stored(confirm(pairs, docs, k, percent), "links")
-    # what the hubs left apart: classes of one bucket in different components
-    label = components(links.select(F.col("hub").alias("a"), F.col("rep").alias("b")))
-    named = shared.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    split = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_ = stored(named.join(split, "key").select("key", "rep", "n", "component"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & alike(F.col("x.n"), F.col("y.n")))
-    rest = rest.select(F.col("x.rep").alias("hub"), F.col("y.rep").alias("rep")).distinct()
-    tested = pairs.select(F.least("hub", "rep").alias("hub"), F.greatest("hub", "rep").alias("rep"))
-    more = stored(confirm(rest.join(tested, ["hub", "rep"], "left_anti"), docs, k, percent), "more")
-    label = components(links.unionByName(more).select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+    shared = stored(shared.select("key", "rep").join(weight, "rep"), "buckets")
+    # a bucket's hub is the member that shares most entries: copies gather around what they were copied from
+    hubs = shared.groupBy("key").agg((-F.max(F.struct("w", (-F.col("rep")).alias("r")))["r"]).alias("hub"))
+    members = stored(shared.join(hubs, "key").select("hub", "rep").distinct(), "members")
+    counts = members.groupBy("hub").agg(F.count("*").alias("n"))
+    none = F.lit(None).cast("long").alias("component")
+    parts = members.join(counts, "hub").withColumn("parts", F.ceil(F.col("n") / GROUP).cast("int"))
+    parts = parts.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    # the hub stands in every part of its group
+    first = parts.withColumn("part", F.explode(F.when(F.col("rep") == F.col("hub"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))))
+    links = stored(compare(first.select("hub", "part", "rep", none), docs, k, percent), "links")
+    # groups of several parts: what is still apart from the hub's component meets all other parts
+    label = stored(components(links), "labels")
+    wide = parts.where("parts > 1").join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    wide = stored(wide, "wide")
+    main = wide.where("rep = hub").select("hub", F.col("component").alias("main"))
+    wide = wide.join(main, "hub").withColumn("apart", F.col("component") != F.col("main"))
+    other = wide.where("apart").groupBy("hub").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("others"))
+    wide = wide.join(other, "hub").withColumn("o", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("others")).cast("int"))
+    to = lambda c, o: F.concat_ws(":", c.cast("string"), o.cast("string"))
+    here = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: to(F.col("own"), o))
+    there = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda c: to(c, F.col("o")))
+    second = wide.select("hub", "rep", "component", F.explode(F.when(F.col("apart"), F.array_union(here, there)).otherwise(here)).alias("part"))
+    more = stored(compare(second, docs, k, percent), "more")
+    if not more.isEmpty():
+        label = components(links.unionByName(more))
     out = sketched.join(classes, "fp", "left").join(label.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", F.when(F.col("n") > 0, F.col("rep")), "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
