@@ -19,7 +19,10 @@ W, S, E, N = 139.5, 35.4, 140.1, 35.9
 _VIEW = f"xmin <= CAST({E} AS DOUBLE) AND xmax >= CAST({W} AS DOUBLE) AND ymin <= CAST({N} AS DOUBLE) AND ymax >= CAST({S} AS DOUBLE)"
 _CENTRE = "pow(((xmin + xmax) / 2 - CAST(139.8 AS DOUBLE)) * cos(radians(CAST(35.65 AS DOUBLE))), 2) + pow((ymin + ymax) / 2 - CAST(35.65 AS DOUBLE), 2)"
 _TIER = "CASE WHEN usage IN ('PROMO') THEN 'public' WHEN usage IN ('STANDARD', 'ECONOMY') THEN 'business' ELSE 'other' END"
-_tier = f.tier_id(F.col("usage"), None, geo.TIERS, False)
+
+
+def _tier():
+    return f.tier_id(F.col("usage"), None, geo.TIERS, False)
 
 
 @query(f"{WITH} SELECT id, name FROM buildings WHERE {_VIEW} ORDER BY round({_CENTRE}, 9), id LIMIT 50")
@@ -38,7 +41,7 @@ def viewport_class_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def viewport_height_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = geo.buildings(spark, sf_dir).where(g.intersects_view("bbox", W, S, E, N))
     rank = f.tier_rank(F.col("usage"), None, geo.TIERS, False)
-    return d.where(f.at_least(d, "height", 20) & (rank <= 1)).select("id", _tier.alias("tier"))
+    return d.where(f.at_least(d, "height", 20) & (rank <= 1)).select("id", _tier().alias("tier"))
 
 
 @query(f"{WITH} SELECT id FROM roads WHERE false")
@@ -50,7 +53,7 @@ def empty_in_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rank_and_id_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = geo.buildings(spark, sf_dir)
     f.check_rules(geo.TIERS, d.columns, "usage", True)
-    return d.groupBy(_tier.alias("tier"), f.tier_rank(F.col("usage"), None, geo.TIERS, False).alias("rank"), f.tier_id(F.col("usage"), F.col("name"), geo.TIERS, True).alias("named")).agg(F.count("*").alias("n"))
+    return d.groupBy(_tier().alias("tier"), f.tier_rank(F.col("usage"), None, geo.TIERS, False).alias("rank"), f.tier_id(F.col("usage"), F.col("name"), geo.TIERS, True).alias("named")).agg(F.count("*").alias("n"))
 
 
 _IN = "p.lon >= a.xmin AND p.lon <= a.xmax AND p.lat >= a.ymin AND p.lat <= a.ymax"
@@ -160,7 +163,7 @@ def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (VALUES ('public'), ('business'), ('other')) t(tier) LEFT JOIN near ON {_TIER} = t.tier GROUP BY 1""")
 def nearby_buildings_by_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiers = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(geo.TIERS)], "place int, tier string")  # a list of the rules
-    d = _near(spark, sf_dir).groupBy(_tier.alias("tier")).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("name")).alias("names"))
+    d = _near(spark, sf_dir).groupBy(_tier().alias("tier")).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("name")).alias("names"))
     return tiers.join(d, "tier", "left").select("tier", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.array_join("names", ","), F.lit("")).alias("names"))
 
 

@@ -14,7 +14,7 @@ from .registry import registry
 QUERIES, ORACLES, query = registry()
 M8 = geo.mesh_sql("lon", "lat")
 WITH = f"WITH {geo.SQL}"
-_xy = (F.col("lon"), F.col("lat"))
+XY = ("lon", "lat")
 # DuckDB text of an 8-digit cell's corner and of any cell's area, for the oracles
 _Y0 = "(CAST(substr(m, 1, 2) AS DOUBLE) * 80 + CAST(substr(m, 5, 1) AS DOUBLE) * 10 + CAST(substr(m, 7, 1) AS DOUBLE))"
 _X0 = "(CAST(substr(m, 3, 2) AS DOUBLE) * 80 + CAST(substr(m, 6, 1) AS DOUBLE) * 10 + CAST(substr(m, 8, 1) AS DOUBLE))"
@@ -23,26 +23,26 @@ CELLS = f"cells AS (SELECT m AS mesh_code, population, households, CAST(populati
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = geo.census(spark, sf_dir).select(grid.mesh_code(*_xy).alias("mesh_code"), "population", (F.col("c_custkey") % 4).alias("households"))
+    d = geo.census(spark, sf_dir).select(grid.mesh_code(*map(F.col, XY)).alias("mesh_code"), "population", (F.col("c_custkey") % 4).alias("households"))
     return d.withColumn("density", F.col("population").cast("double") / grid.mesh_area_km2(F.col("mesh_code")))
 
 
 @query(f"{WITH} SELECT c_custkey, {M8} AS mesh_code FROM census")
 def mesh_code_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geo.census(spark, sf_dir).select("c_custkey", grid.mesh_code(*_xy).alias("mesh_code"))
+    return geo.census(spark, sf_dir).select("c_custkey", grid.mesh_code(*map(F.col, XY)).alias("mesh_code"))
 
 
 @query(f"""{WITH} SELECT m || CAST((floor(lat * 240) % 2) * 2 + floor((lon - 100) * 160) % 2 + 1 AS INT)
   || CAST((floor(lat * 480) % 2) * 2 + floor((lon - 100) * 320) % 2 + 1 AS INT) || CAST((floor(lat * 960) % 2) * 2 + floor((lon - 100) * 640) % 2 + 1 AS INT) AS mesh_code,
   count(*) AS n FROM (SELECT *, {M8} AS m FROM census) GROUP BY 1""")
 def mesh_code_finest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geo.census(spark, sf_dir).groupBy(grid.mesh_code(*_xy, 11).alias("mesh_code")).agg(F.count("*").alias("n"))
+    return geo.census(spark, sf_dir).groupBy(grid.mesh_code(*map(F.col, XY), 11).alias("mesh_code")).agg(F.count("*").alias("n"))
 
 
 @query(f"""{WITH} SELECT m AS mesh_code, round({_X0} / 80 + 100, 9) AS xmin, round({_Y0} / 120, 9) AS ymin, round(({_X0} + 1) / 80 + 100, 9) AS xmax, round(({_Y0} + 1) / 120, 9) AS ymax,
   round({_AREA}, 6) AS km2 FROM (SELECT DISTINCT {M8} AS m FROM census)""")
 def mesh_bounds_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = geo.census(spark, sf_dir).select(grid.mesh_code(*_xy).alias("mesh_code")).distinct().withColumn("b", grid.mesh_bounds(F.col("mesh_code")))
+    d = geo.census(spark, sf_dir).select(grid.mesh_code(*map(F.col, XY)).alias("mesh_code")).distinct().withColumn("b", grid.mesh_bounds(F.col("mesh_code")))
     return d.select("mesh_code", *[F.round(F.col("b")[x], 9).alias(x) for x in ("xmin", "ymin", "xmax", "ymax")], F.round(grid.cell_area_km2(F.col("b")), 6).alias("km2"))
 
 
@@ -69,7 +69,7 @@ COVERAGE = f"coverage AS (SELECT {M8} AS mesh_code, count(*) AS buildings, list_
 
 
 def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return agg.coverage(geo.buildings(spark, sf_dir), *_xy, F.col("city"))
+    return agg.coverage(geo.buildings(spark, sf_dir), *map(F.col, XY), F.col("city"))
 
 
 @query(f"{WITH}, {COVERAGE} SELECT mesh_code, buildings, array_to_string(cities, '・') AS cities FROM coverage")
@@ -115,12 +115,12 @@ def _many(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _many(spark, sf_dir).groupBy(grid.quadkey(*_xy, 12).alias("key")).agg(F.count("*").alias("n"))
+    return _many(spark, sf_dir).groupBy(grid.quadkey(*map(F.col, XY), 12).alias("key")).agg(F.count("*").alias("n"))
 
 
 @query(f"{WITH} SELECT c_custkey, {_key(12)} AS quadkey FROM census")
 def quadkey_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geo.census(spark, sf_dir).select("c_custkey", grid.quadkey(*_xy, 12).alias("quadkey"))
+    return geo.census(spark, sf_dir).select("c_custkey", grid.quadkey(*map(F.col, XY), 12).alias("quadkey"))
 
 
 @query(f"WITH {_L}, {_KEYS} SELECT key, n FROM keys")
@@ -138,7 +138,7 @@ SELECT key AS quadkey, round(CAST(x AS DOUBLE) / 256 * 360 - 180, 8) AS xmin, ro
   round(degrees(atan((exp(pi() * (1 - CAST(y + 1 AS DOUBLE) * 2 / 256)) - exp(-pi() * (1 - CAST(y + 1 AS DOUBLE) * 2 / 256))) / 2)), 8) AS ymin,
   round(degrees(atan((exp(pi() * (1 - CAST(y AS DOUBLE) * 2 / 256)) - exp(-pi() * (1 - CAST(y AS DOUBLE) * 2 / 256))) / 2)), 8) AS ymax FROM t""")
 def quadkey_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _many(spark, sf_dir).select(grid.quadkey(*_xy, 8).alias("quadkey")).distinct().withColumn("b", grid.quadkey_bounds(F.col("quadkey")))
+    d = _many(spark, sf_dir).select(grid.quadkey(*map(F.col, XY), 8).alias("quadkey")).distinct().withColumn("b", grid.quadkey_bounds(F.col("quadkey")))
     return d.select("quadkey", *[F.round(F.col("b")[x], 8).alias(x) for x in ("xmin", "xmax", "ymin", "ymax")])
 
 
@@ -154,7 +154,7 @@ def choose_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_L}, {_KEYS}, {_TILES} SELECT quadkey, count(*) AS n FROM (SELECT {_key(12)} AS key FROM l) k JOIN tiles ON starts_with(k.key, tiles.quadkey) GROUP BY 1")
 def tile_partition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = _many(spark, sf_dir).select(grid.quadkey(*_xy, 12).alias("key"))
+    keys = _many(spark, sf_dir).select(grid.quadkey(*map(F.col, XY), 12).alias("key"))
     return agg.assign_tiles(keys, agg.choose_tiles(_counts(spark, sf_dir), 7, 12, 400), 7, 12).groupBy("quadkey").agg(F.count("*").alias("n"))
 
 
