@@ -124,9 +124,14 @@ def metres_per_pixel(zoom: float) -> float:
     return 126_643 / 2**zoom
 
 
-def coarse_is_usable(tolerance_m: float, zoom: float, pixels: float = 2) -> bool:
-    """Whether rows simplified to a tolerance look exact at a zoom."""
-    return tolerance_m / metres_per_pixel(zoom + 1) <= pixels
+def coarse_until(tolerance_m: float, pixels: float = 2) -> int:
+    """The last whole zoom at which rows simplified to a tolerance look exact, 24 at most."""
+    return max((z for z in range(25) if tolerance_m / metres_per_pixel(z) <= pixels), default=0)
+
+
+def level_for_zoom(tolerance_m: float | None, zoom: float) -> int | None:
+    """0 for the coarse level, 1 for the exact one, None for a table without levels."""
+    return None if tolerance_m is None else int(zoom > coarse_until(tolerance_m))
 
 
 def tier_depth(zoom: float, min_zoom: float, tiers: int) -> int:

@@ -52,7 +52,7 @@ def test_quadkeys(spark):
 def test_policies():
     assert [grid.mesh_digits(z) for z in (5, 6, 9, 12, 14, 15)] == [4, 6, 8, 9, 10, 11]
     assert [grid.mesh_capacity(d) for d in (4, 6, 8, 11)] == [6400, 100, 1, 1]
-    assert grid.coarse_is_usable(100, 11) and not grid.coarse_is_usable(100, 12)
+    assert grid.coarse_until(100) == 11 and [grid.level_for_zoom(t, z) for t, z in ((100, 11), (100, 11.5), (None, 3))] == [0, 1, None]
     assert grid.tier_depth(14, 14, 3) == 2 and grid.tier_depth(12.5, 14, 3) == 0
 
 
