@@ -166,9 +166,13 @@ def _compared(k: int, percent: int):
 
 
 def compare(groups: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) inside groups (hub, part, rep, component): groups of a bounded number of rows, their texts side by side."""
+    """Links (a, b) inside groups (hub, part, rep, component): groups of a bounded number of rows, their texts side by side.
+
+    The number of tasks is the session's, whatever the groups' bytes: their work is in comparing.
+    """
+    n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = groups.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").select("hub", "part", "rep", "component", "text")
-    d = d.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("rep") != F.col("hub"), "rep")
+    d = d.repartition(n, "hub", "part").sortWithinPartitions("hub", "part", F.col("rep") != F.col("hub"), "rep")
     return d.mapInArrow(_compared(k, percent), "a long, b long")
 
 
@@ -197,7 +201,7 @@ def link(docs: DataFrame, k: int = 2, percent: int = PERCENT) -> DataFrame:
     parts = parts.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     # the hub stands in every part of its group
     first = parts.withColumn("part", F.explode(F.when(F.col("rep") == F.col("hub"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))))
-    links = stored(compare(first.select("hub", "part", "rep", none), docs, k, percent), "links")
+    links = stored(compare(first.select("hub", "part", "rep", none).hint("merge"), docs, k, percent), "links")
     # groups of several parts: what is still apart from the hub's component meets all other parts
     label = stored(components(links), "labels")
     wide = parts.where("parts > 1").join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
