@@ -34,7 +34,7 @@ TEMPLATES = (
 )
 
 #: Of the template's IDF weight that must match at a start, besides all its key phrases.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 
 
 def _fold(text: Column) -> Column:
