@@ -165,11 +165,14 @@ def _compared(k: int, percent: int):
     return run
 
 
-def compare(groups: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def compare(groups: DataFrame, docs: DataFrame, k: int, percent: int, few: bool = False) -> DataFrame:
     """Links (a, b) inside groups (hub, part, rep, component): groups of a bounded number of rows, their texts side by side.
 
-    The number of tasks is the session's, whatever the groups' bytes: their work is in comparing.
+    The number of tasks is the session's, whatever the groups' bytes: their work is in comparing. few: the groups hold a small
+    part of docs; their texts are picked out by the ids alone, which Spark may broadcast below its threshold.
     """
+    if few:
+        docs = docs.join(groups.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi")
     n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = groups.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").select("hub", "part", "rep", "component", "text")
     d = d.repartition(n, "hub", "part").sortWithinPartitions("hub", "part", F.col("rep") != F.col("hub"), "rep")
@@ -214,7 +217,7 @@ def link(docs: DataFrame, k: int = 2, percent: int = PERCENT) -> DataFrame:
     here = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: to(F.col("own"), o))
     there = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda c: to(c, F.col("o")))
     second = wide.select("hub", "rep", "component", F.explode(F.when(F.col("apart"), F.array_union(here, there)).otherwise(here)).alias("part"))
-    more = stored(compare(second, docs, k, percent), "more")
+    more = stored(compare(stored(second, "second"), docs, k, percent, few=True), "more")
     if not more.isEmpty():
         label = components(links.unionByName(more))
     out = sketched.join(classes, "fp", "left").join(label.withColumnRenamed("id", "rep"), "rep", "left")

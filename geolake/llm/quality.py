@@ -1,10 +1,11 @@
 """Quality rules with risk-controlled thresholds.
 
-Every rule is a number of a document that is high in poor text. Where to cut it is learned for each stratum (language) from
-labelled documents: cutoffs are tried from the most lenient on, and one is certified while the exact binomial tail says that
-the rule rejects no more than its part of the allowed share of good documents. Testing in this fixed order needs no
+Every rule is a number of a document that is high in poor text. A quarter of the labelled documents chooses the RULES rules
+that tell poor from good documents best; the others are the holdout on which their cutoffs are selected for each stratum
+(language). There cutoffs are tried from the most lenient on, and one is certified while the exact binomial tail says
+that the rule rejects no more than its part of the allowed share of good documents. Testing in this fixed order needs no
 correction over cutoffs; the error level is divided by the number of strata and rules (Bonferroni) and the allowed share by
-the number of rules, so with probability 1 - DELTA the rules together reject at most ALPHA of the good documents in every stratum.
+the number of rules, so with probability 1 - DELTA the rules together reject at most ALPHA of the good documents that pass the base rule in every stratum.
 Among certified cutoffs the one that gains most is taken; a rule without one rejects nothing in that stratum.
 """
 
@@ -23,6 +24,8 @@ from .common import blocks, mix, stored, table, text_buffer, words
 ALPHA = 0.01
 DELTA = 0.05
 BINS = 200
+#: Rules that are tested on the holdout; more of them would each get a smaller part of ALPHA.
+RULES = 2
 #: A good document that is lost weighs as much as so many poor ones that are caught, each as a share of its kind.
 LOSS = 10.0
 MIN_WORDS = 10
@@ -153,22 +156,32 @@ def certify(good: np.ndarray, bad: np.ndarray, alpha: float, delta: float, loss:
 def learn(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, int]]:
     """Cut bins by stratum and rule, from documents with a label (several labels of a document: the lowest quality).
 
-    measured: doc_id, stratum and SIGNALS. Only counts come to the driver: BINS x rules x strata rows at most. The stratum ""
-    pools all documents and serves strata without labels.
+    measured: doc_id, stratum and SIGNALS; what the base rule rejects teaches nothing. Only counts come to the driver: 2 x BINS x rules x strata x kinds rows at most. The
+    stratum "" pools all documents and serves strata without labels.
     """
     lab = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    d = measured.join(lab, "doc_id").select("stratum", "quality", F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), _bin(v).alias("bin")) for k, v in rules().items()])).alias("x"))
-    rows = d.groupBy("stratum", "quality", "x.rule", "x.bin").count().collect()
-    counts: dict[tuple[str, str], np.ndarray] = {}
+    scores = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), _bin(v).alias("bin")) for k, v in rules().items()])).alias("x")
+    d = measured.where(~base_failed()).join(lab, "doc_id").select("stratum", "quality", (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("choosing"), scores)
+    rows = d.groupBy("stratum", "quality", "choosing", "x.rule", "x.bin").count().collect()
+    counts: dict[tuple[bool, str, str], np.ndarray] = {}
     for r in rows:
         for stratum in {r["stratum"], ""}:
-            counts.setdefault((stratum, r["rule"]), np.zeros((2, BINS), np.int64))[int(r["quality"] > 0), r["bin"]] += r["count"]
-    tests = max(1, len(counts))
-    n_rules = len(rules())
-    cuts: dict[str, dict[str, int]] = {stratum: {} for stratum, _ in counts}
-    for (stratum, rule), c in counts.items():
-        if (cut := certify(c[1], c[0], alpha / n_rules, delta / tests)) is not None:
-            cuts[stratum][rule] = cut
+            counts.setdefault((r["choosing"], stratum, r["rule"]), np.zeros((2, BINS), np.int64))[int(r["quality"] > 0), r["bin"]] += r["count"]
+
+    def worth(rule: str) -> float:
+        """The best gain of any cutoff on the choosing part."""
+        bad, good = counts.get((True, "", rule), np.zeros((2, BINS), np.int64))
+        above = lambda c: np.cumsum(c[::-1])[::-1] / max(1, c.sum())
+        return float((above(bad) - LOSS * above(good)).max())
+
+    chosen = [r for r in sorted(rules(), key=lambda r: (-worth(r), r))[:RULES] if worth(r) > 0]
+    strata = sorted({s for choosing, s, _ in counts if not choosing})
+    cuts: dict[str, dict[str, int]] = {s: {} for s in strata}
+    for stratum in strata:
+        for rule in chosen:
+            bad, good = counts.get((False, stratum, rule), np.zeros((2, BINS), np.int64))
+            if (cut := certify(good, bad, alpha / len(chosen), delta / (len(strata) * len(chosen)))) is not None:
+                cuts[stratum][rule] = cut
     return cuts
 
 
