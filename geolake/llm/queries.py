@@ -8,11 +8,14 @@ from .langid import op4_langid
 from .licenses import op2_licenses
 from .lm_score import op10_lm_scores
 from .minhash import op1_minhash
+from .oracles import ORACLES
 from .packing import op6_packing
 from .quality import op8_quality
 from .sharding import op3_sharding
 from .token_files import op5_token_files
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op10_lm_scores": op10_lm_scores,
@@ -25,22 +28,3 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
 }
-ORACLES: dict[str, str] = {}
-
-ORACLES["op1_minhash"] = r"""
-WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
-  FROM documents
-), s AS (
-  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN [ws[1]] ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS sh
-  FROM w
-), n AS (SELECT doc_id, len(sh) AS n FROM s),
-e AS (SELECT doc_id, unnest(sh) AS x FROM s),
-p AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2
-), l AS (
-  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * same >= 80 * (na.n + nb.n - same)
-), u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
-r AS (SELECT doc_id AS id, doc_id AS c FROM n UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.id)
-SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id, n.doc_id = min(r.c) AS kept FROM n JOIN r ON r.id = n.doc_id GROUP BY n.doc_id, n.n
-"""
