@@ -173,21 +173,47 @@ def clip_path(path: list[Point], box: tuple[float, float, float, float]) -> list
 
 def clip_convex(ring: list[Point], window: list[Point]) -> list[Point]:
     """A ring cut to a convex counter-clockwise window (Sutherland-Hodgman); empty if nothing is left."""
-    out = list(ring[:-1]) if ring and ring[0] == ring[-1] else list(ring)
-    for (ax, ay), (bx, by) in zip(window, window[1:] + window[:1]):
-        if (ax, ay) == (bx, by):
-            continue
-        side = lambda p: (bx - ax) * (p[1] - ay) - (by - ay) * (p[0] - ax)  # noqa: B023, E731
-        cut: list[Point] = []
-        for p, q in zip(out, out[1:] + out[:1]):
-            a, b = side(p), side(q)
-            if a >= 0:
-                cut.append(p)
-            if a * b < 0:
-                t = a / (a - b)
-                cut.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
-        out = cut
-    return [*out, out[0]] if len(out) > 2 else []
+    for a, b in zip(window, window[1:] + window[:1]):
+        if a != b:
+            ring = _half_plane(ring, a, b)
+    return ring
+
+
+def difference_convex(rings: list[list[Point]], window: list[Point], sliver: float = 1e-12) -> list[list[Point]]:
+    """Rings less a convex counter-clockwise window, as parts along its edges; parts of a smaller area than the sliver go.
+
+    Part i lies outside edge i and inside the edges before it, so parts don't overlap.
+    """
+    edges = [(a, b) for a, b in zip(window, window[1:] + window[:1]) if a != b]
+    out = []
+    for rest in rings:
+        for a, b in edges:
+            out.append(_half_plane(rest, b, a))
+            rest = _half_plane(rest, a, b)
+    return [r for r in out if abs(signed_area(r)) > sliver]
+
+
+def _half_plane(ring: list[Point], a: Point, b: Point) -> list[Point]:
+    """What lies left of the line from a to b."""
+    points = ring[:-1] if ring and ring[0] == ring[-1] else list(ring)
+    side = [(b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) for x, y in points]
+    cut: list[Point] = []
+    for k, (p, s) in enumerate(zip(points, side)):
+        q, t = points[(k + 1) % len(points)], side[(k + 1) % len(points)]
+        if s >= 0:
+            cut.append(p)
+        if s * t < 0:
+            w = s / (s - t)
+            cut.append((p[0] + w * (q[0] - p[0]), p[1] + w * (q[1] - p[1])))
+    return [*cut, cut[0]] if len(cut) > 2 else []
+
+
+def circle(x: float, y: float, metres: float, corners: int = 64) -> list[Point]:
+    """The zone around a place as a closed ring."""
+    west, south, _, _ = around(x, y, metres)
+    turn = [2 * math.pi * k / corners for k in range(corners)]
+    ring = [(x + (x - west) * math.cos(t), y + (y - south) * math.sin(t)) for t in turn]
+    return [*ring, ring[0]]
 
 
 def around(x: float, y: float, metres: float) -> tuple[float, float, float, float]:

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Names of railway operator types by code.
+# Names of railway classes and operator types by code.
+RAILWAY_CLASSES = {
+    "11": "普通鉄道JR", "12": "普通鉄道", "13": "鋼索鉄道", "14": "懸垂式鉄道", "15": "跨座式鉄道", "16": "案内軌条式鉄道", "17": "無軌条鉄道",
+    "21": "軌道", "22": "懸垂式モノレール", "23": "跨座式モノレール", "24": "案内軌条式", "25": "浮上式",
+}
 OPERATOR_TYPES = {"1": "JRの新幹線", "2": "JR在来線", "3": "公営鉄道", "4": "民営鉄道", "5": "第三セクター"}
 
 
@@ -47,6 +51,12 @@ def pref_code(file: Column) -> Column:
     return F.when(code != "", code).otherwise(F.raise_error(F.concat(F.lit("no prefecture in "), file)).cast("string"))
 
 
+def vintage(id_: Column, title: Column, date: Column) -> Column:
+    """`ID (date)`: the last word of the title (split at blanks, also ideographic ones) names the release, else the id."""
+    last = F.element_at(F.split(F.trim(F.translate(title, "　", " ")), " +"), -1)
+    return F.concat(F.coalesce(F.nullif(last, F.lit("")), id_), F.lit(" ("), date, F.lit(")"))
+
+
 def dem_height(r: Column, g: Column, b: Column) -> Column:
     """Metres of an elevation tile's pixel; 2^23 means no data and counts as 0."""
     x = r * 65536 + g * 256 + b

@@ -1,6 +1,6 @@
 """Builds with geometry kernels and files: coarse levels, dissolved areas, packed GeoParquet, catalogue items, a streaming roll-up.
 
-SQL without a spatial extension can't express these; tests hold them against brute force.
+Those without SQL are held against brute force by tests.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolake.functions import kernels, wkb
+from geolake.functions import grid, kernels, wkb
+from geolake.operators import filters as f
+from geolake.operators.spatial_join import overlap_join
 from geolake.sources import geoparquet
 from geolake.sources.shared import shared_dir
 from geolake.streaming.coverage import stream_coverage
@@ -89,6 +91,59 @@ def items_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geoparquet.footers(_packed(spark, sf_dir)).select("row_group", "rows", F.round("xmin", 6).alias("xmin"), F.round("ymax", 6).alias("ymax"))
 
 
+_OCEAN = """ocean AS (SELECT CAST(139 AS DOUBLE) + CAST(r_regionkey AS DOUBLE) * CAST(0.37 AS DOUBLE) AS oxmin, CAST(35 AS DOUBLE) + CAST(r_regionkey AS DOUBLE) * CAST(0.21 AS DOUBLE) AS oymin FROM region),
+cut AS (SELECT a.admin_id, greatest(0, least(a.xmax, o.oxmin + CAST(0.2 AS DOUBLE)) - greatest(a.xmin, o.oxmin)) * greatest(0, least(a.ymax, o.oymin + CAST(0.15 AS DOUBLE)) - greatest(a.ymin, o.oymin)) AS wet FROM admin a, ocean o)"""
+
+
+@query(f"WITH {geo.SQL}, {_OCEAN} SELECT a.admin_id, round(any_value((xmax - xmin) * (ymax - ymin)) - sum(wet), 7) AS land, round(sum(wet), 7) AS sea FROM admin a JOIN cut USING (admin_id) GROUP BY 1")
+def ocean_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas less the sea: boxes meet by cells, the parts of the sea are cut to the area, gathered by area, and taken off; areas
+    without sea stay whole. An area meets few pieces of sea, so its list is short."""
+    k = F.col("r_regionkey").cast("double")
+    x, y = F.lit(139.0) + k * 0.37, F.lit(35.0) + k * 0.21
+    ocean = geo.table(spark, sf_dir, "region").select(F.struct(x.alias("xmin"), y.alias("ymin"), (x + 0.2).alias("xmax"), (y + 0.15).alias("ymax")).alias("sea"))
+    areas = geo.admin(spark, sf_dir).select("admin_id", "bbox")
+    wet = overlap_join(areas, ocean, "bbox", "sea", 0.34).groupBy("admin_id").agg(F.collect_list("sea").alias("seas"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ring = lambda b: [(b["xmin"], b["ymin"]), (b["xmax"], b["ymin"]), (b["xmax"], b["ymax"]), (b["xmin"], b["ymax"]), (b["xmin"], b["ymin"])]
+        size = lambda rings: sum(abs(kernels.signed_area(r)) for r in rings)
+        for b in batches:
+            land, sea = [], []
+            for box, seas in zip(b.column("bbox").to_pylist(), b.column("seas").to_pylist()):
+                dry = [ring(box)]
+                for s in seas or []:
+                    dry = kernels.difference_convex(dry, ring(s)[:-1])
+                land.append(size(dry))
+                sea.append(size(kernels.clip_convex(ring(box), ring(s)[:-1]) for s in seas or []))
+            yield pa.RecordBatch.from_arrays([b.column("admin_id"), pa.array(land), pa.array(sea, pa.float64())], ["admin_id", "land", "sea"])
+
+    d = areas.join(wet, "admin_id", "left").mapInArrow(run, "admin_id int, land double, sea double")
+    return d.select("admin_id", F.round("land", 7).alias("land"), F.round("sea", 7).alias("sea"))
+
+
+@query(f"WITH {geo.SQL} SELECT class, count(*) AS n FROM roads WHERE class IN ('1-URGENT', '5-LOW') GROUP BY 1")
+def partitioned_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written by class, read back with the other classes' folders pruned."""
+    path = f"{shared_dir(spark)}/roads-{uuid.uuid4().hex}"
+    geo.roads(spark, sf_dir).select("id", "class", "bbox").write.partitionBy("class").parquet(path)
+    return spark.read.parquet(path).where(F.col("class").isin("1-URGENT", "5-LOW")).groupBy("class").agg(F.count("*").alias("n"))
+
+
+_Z = "least(14, 12 + CASE WHEN usage IN ('PROMO') THEN 0 WHEN usage IN ('STANDARD', 'ECONOMY') THEN 1 ELSE 2 END)"
+_TXY = "least(greatest(CAST(floor((lon + 180) / 360 * pow(2, z)) AS BIGINT), 0), CAST(pow(2, z) AS BIGINT) - 1)"
+_TYY = "least(greatest(CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * pow(2, z)) AS BIGINT), 0), CAST(pow(2, z) AS BIGINT) - 1)"
+
+
+@query(f"WITH {geo.SQL}, b AS (SELECT *, {_Z} AS first FROM buildings), t AS (SELECT b.lon, b.lat, z FROM b, range(12, 15) r(z) WHERE z >= first) SELECT z, {_TXY} AS x, {_TYY} AS y, count(*) AS n FROM t GROUP BY 1, 2, 3")
+def tile_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buildings in the vector tiles of zooms 12 to 14: the first tier from 12 on, the second from 13, the others at 14."""
+    d = geo.buildings(spark, sf_dir).withColumn("rank", f.tier_rank(F.col("usage"), None, geo.TIERS, False))
+    zooms = [F.struct(F.lit(z).alias("z"), grid.tile_x(F.col("lon"), z).alias("x"), grid.tile_y(F.col("lat"), z).alias("y")) for z in (12, 13, 14)]
+    tiles = d.select("rank", F.explode(F.array(*zooms)).alias("t")).where("t.z - 12 >= rank")
+    return tiles.groupBy(F.col("t.z").cast("long").alias("z"), "t.x", "t.y").agg(F.count("*").alias("n"))
+
+
 @query()
 def stream_mesh_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_coverage(spark, f"{sf_dir}/events.parquet")
