@@ -25,6 +25,16 @@ TOWN_COLUMNS = {
 }
 
 
+#: Columns of block-level address points.
+BLOCK_COLUMNS = {
+    "都道府県名": "pref_name", "市区町村名": "city_name", "大字・丁目名": "oaza_name", "小字・通称名": "koaza_name", "街区符号・地番": "block_number",
+    "緯度": "lat", "経度": "lon", "住居表示フラグ": "residential_display_flag", "代表フラグ": "representative_flag",
+}
+#: Properties of railway sections; stations have three more.
+SECTION_PROPERTIES = {"N02_001": "railway_class_code", "N02_002": "institution_type_code", "N02_003": "line_name", "N02_004": "operator"}
+STATION_PROPERTIES = SECTION_PROPERTIES | {"N02_005": "station_name", "N02_005c": "station_code", "N02_005g": "station_group_code"}
+
+
 def epsg(name: str) -> int:
     """The number of a reference system; JGD2000 and JGD2011 need no shift at the precision kept here, others are an error."""
     if name in CRS:
@@ -35,9 +45,12 @@ def epsg(name: str) -> int:
     raise ValueError(f"unknown reference system {name}")
 
 
-def address_points(spark: SparkSession, path: str) -> DataFrame:
-    """Town-level address points from zips of Shift-JIS CSV files with a header; a malformed row is an error."""
-    names = list(TOWN_COLUMNS.values())
+def address_points(spark: SparkSession, path: str, columns: dict[str, str] = TOWN_COLUMNS) -> DataFrame:
+    """Address points (town level, or BLOCK_COLUMNS) from zips of Shift-JIS CSV files with a header; a malformed row is an error.
+
+    Empty texts stay empty texts.
+    """
+    names = list(columns.values())
 
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import csv
@@ -48,7 +61,7 @@ def address_points(spark: SparkSession, path: str) -> DataFrame:
                     for entry in sorted(n for n in z.namelist() if n.lower().endswith(".csv")):
                         rows = csv.reader(io.TextIOWrapper(z.open(entry), "cp932", newline=""))
                         head = next(rows)
-                        place = [head.index(c) for c in TOWN_COLUMNS]
+                        place = [head.index(c) for c in columns]
                         out = []
                         for row in rows:
                             if len(row) != len(head):
@@ -130,6 +143,17 @@ def geojson(spark: SparkSession, path: str, columns: dict[str, str], required: s
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, schema)
 
 
+def railways(spark: SparkSession, path: str, stations: bool = False) -> DataFrame:
+    """Railway sections, or stations (their platforms), with the names of their class and operator type; unknown codes are an error."""
+    from geolake.functions import values
+
+    columns = STATION_PROPERTIES if stations else SECTION_PROPERTIES
+    required = {"N02_001", "N02_002", "N02_003", "N02_004"} | ({"N02_005"} if stations else set())
+    d = geojson(spark, path, columns, required, {"LineString"})
+    kind = values.name_of(F.col("railway_class_code"), values.RAILWAY_CLASSES)
+    return d.withColumn("railway_class", kind).withColumn("institution_type", values.name_of(F.col("institution_type_code"), values.OPERATOR_TYPES))
+
+
 def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
