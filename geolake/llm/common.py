@@ -117,7 +117,7 @@ def hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
 
 
-def blocks(at: np.ndarray, most: int = 4 << 20) -> list[tuple[int, int]]:
+def blocks(at: np.ndarray, most: int = 2 << 20) -> list[tuple[int, int]]:
     """Ranges of rows with about `most` bytes each, to bound the memory of vectorised work; a longer row stands alone."""
     out, lo = [], 0
     while lo < len(at) - 1:

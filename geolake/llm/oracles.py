@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, sharding
+from . import licenses, quality, sharding
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -56,4 +56,44 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITI
 """
 
 
-ORACLES = {"op1_minhash": OP1, "op2_licenses": _licenses(), "op3_sharding": _sharding()}
+def _quality() -> str:
+    """Signals, rules, the choice of rules, exact binomial tails and cutoffs, step by step as in quality.py."""
+    q = quality
+    mean = "coalesce(CAST(word_chars AS DOUBLE) / nullif(n_words, 0), 0)"
+    share = lambda a, b: f"coalesce(CAST({a} AS DOUBLE) / nullif({b}, 0), 0)"
+    rules = {
+        "symbols": f"least({share('n_symbols', 'word_chars')}, 1)", "dup_lines": share("n_dup_lines", "n_lines"), "repeats": share("n_repeat_words", "n_words"), "upper": share("n_upper", "n_letters"),
+        "long_words": f"least({mean} / 40, 1)", "short_words": f"CASE WHEN n_words > 0 THEN 1 - least({mean} / 10, 1) ELSE 1 END", "few_words": "1 / (1 + CAST(n_words AS DOUBLE) / 10)",
+        "same_words": f"1 - CASE WHEN n_words > 0 THEN {share('n_distinct', 'n_words')} ELSE 1 END",
+    }
+    scored = " UNION ALL ".join(f"SELECT doc_id, stratum, base_failed, '{r}' AS rule, CAST(least(floor(({e}) * {q.BINS}), {q.BINS - 1}) AS INT) AS bin FROM m" for r, e in rules.items())
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, i, array_to_string(ws[i:i + {q.WINDOW - 1}], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {q.WINDOW - 2})) AS i FROM d)),
+r AS (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, range(0, {q.WINDOW}) z(k) GROUP BY 1),
+l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+s AS (SELECT l.doc_id, stratum, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+  len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(ls) AS n_lines, len(regexp_extract_all(t, '[A-Z]')) AS n_upper, len(regexp_extract_all(t, '[A-Za-z]')) AS n_letters, len(list_distinct(ws)) AS n_distinct
+  FROM l LEFT JOIN c ON c.doc_id = l.doc_id),
+m AS (SELECT *, n_words < {q.MIN_WORDS} OR n_repeat_words * 100 > n_words * {q.MAX_REPEAT_PERCENT} AS base_failed FROM s),
+b AS ({scored}),
+lab AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY 1),
+x AS (SELECT b.*, good, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 4 = 0 AS choosing FROM b JOIN lab USING (doc_id) WHERE NOT base_failed),
+y AS (SELECT stratum, rule, bin, good, choosing FROM x UNION ALL SELECT '', rule, bin, good, choosing FROM x WHERE stratum <> ''),
+cuts AS (SELECT cut FROM range(0, {q.BINS}) z(cut)),
+above AS (SELECT choosing, stratum, rule, cut, count(*) FILTER (good AND bin >= cut) AS k, count(*) FILTER (good) AS n, count(*) FILTER (NOT good AND bin >= cut) AS hit, count(*) FILTER (NOT good) AS bad FROM y, cuts GROUP BY ALL),
+gain AS (SELECT *, CAST(hit AS DOUBLE) / greatest(bad, 1) - {q.LOSS} * k / greatest(n, 1) AS gain FROM above),
+chosen AS (SELECT rule FROM gain WHERE choosing AND stratum = '' GROUP BY 1 HAVING max(gain) > 0 ORDER BY max(gain) DESC, rule LIMIT {q.RULES}),
+strata AS (SELECT DISTINCT stratum FROM y WHERE NOT choosing),
+tests AS (SELECT (SELECT count(*) FROM chosen) AS rules, (SELECT count(*) FROM strata) AS strata),
+tail AS (SELECT stratum, rule, cut, gain, CASE WHEN k >= n THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({q.ALPHA} / rules) + (n - i) * ln(1 - {q.ALPHA} / rules)))) END AS p, {q.DELTA} / (strata * rules) AS level
+  FROM gain, tests WHERE NOT choosing AND n > 0 AND cut > 0 AND k < n AND gain > 0 AND rule IN (SELECT rule FROM chosen)),
+final AS (SELECT stratum, rule, cut FROM tail WHERE p <= level QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY round(gain, 12) DESC, cut DESC) = 1),
+j AS (SELECT b.doc_id, b.rule FROM b JOIN final f ON f.rule = b.rule AND f.stratum = CASE WHEN b.stratum IN (SELECT stratum FROM strata) THEN b.stratum ELSE '' END AND b.bin >= f.cut),
+k AS (SELECT doc_id, string_agg(rule, ',' ORDER BY rule) AS rejected_by FROM j GROUP BY 1)
+SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(rejected_by, '') AS rejected_by, NOT base_failed AND rejected_by IS NULL AS kept FROM m LEFT JOIN k ON k.doc_id = m.doc_id
+"""
+
+
+ORACLES = {"op1_minhash": OP1, "op2_licenses": _licenses(), "op3_sharding": _sharding(), "op8_quality": _quality()}

@@ -18,8 +18,8 @@ import pyarrow as pa
 from .common import blocks, hashes, text_buffer
 
 #: Pieces that a worker keeps at most; then it starts anew. Results don't depend on it.
-KEPT = 2_000_000
-BLOCK = 2 << 20
+KEPT = 1_000_000
+BLOCK = 1 << 20
 
 # Kinds of bytes. Two-byte letters from À to ÿ count as letters; texts with other bytes are encoded whole.
 _BLANK, _LINE, _LETTER, _MARK, _OTHER, _BAD = range(6)
