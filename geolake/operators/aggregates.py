@@ -67,8 +67,7 @@ def route_index(roads: DataFrame) -> DataFrame:
 def vocabulary(df: DataFrame, column: str, most: int = 256) -> DataFrame:
     """value, n of a column, nulls left out; no rows at all if it has more than `most` values. Order by n desc, value."""
     d = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    total = d.agg(F.count("*").alias("values"))
-    return d.crossJoin(F.broadcast(total.where(F.col("values") <= most))).drop("values")  # one row
+    return d if d.limit(most + 1).count() <= most else d.where(F.lit(False))
 
 
 def merge_vocabularies(values: DataFrame) -> DataFrame:
@@ -87,7 +86,6 @@ def spaced_sample(df: DataFrame, n: int, size: str, key: str) -> DataFrame:
 
     Meant for catalogues of cities, which fit one task.
     """
-    d = df.withColumn("place", F.row_number().over(Window.orderBy(size, key)) - 1).crossJoin(F.broadcast(df.agg(F.count("*").alias("total"))))
-    step = (F.col("total") - 1) / F.lit(max(1, n - 1))
-    picks = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * step + 0.5))
-    return d.where(F.array_contains(picks, F.col("place").cast("long"))).drop("place", "total")
+    total = df.count()
+    picks = sorted({int(i * (total - 1) / max(1, n - 1) + 0.5) for i in range(n)}) if total else []
+    return df.withColumn("place", F.row_number().over(Window.orderBy(size, key)) - 1).where(F.col("place").isin(picks)).drop("place")

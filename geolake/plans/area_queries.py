@@ -170,7 +170,7 @@ def nearby_buildings_by_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{WITH}, {_NEAR}, d AS (SELECT DISTINCT name FROM near WHERE name IS NOT NULL) SELECT name, (SELECT count(*) FROM d) AS total FROM d ORDER BY name LIMIT 30")
 def nearby_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _near(spark, sf_dir).where("name is not null").select("name").distinct()
-    return f.top(d.crossJoin(F.broadcast(d.agg(F.count("*").alias("total")))), 30, F.col("name"))  # one row of totals
+    return f.top(d, 30, F.col("name")).withColumn("total", F.lit(d.count()))
 
 
 @query(f"{WITH} SELECT CAST(coalesce(sum(population), 0) AS BIGINT) AS population, count(*) AS cells FROM census WHERE {_MX} * {_MX} + {_MY} * {_MY} <= CAST(20000 AS DOUBLE) * 20000")
