@@ -184,3 +184,11 @@ def files_in_view(items: DataFrame, west: float, south: float, east: float, nort
     c = F.col
     near = (c("xmin") <= east) & (c("xmax") >= west) & (c("ymin") <= north) & (c("ymax") >= south)
     return [r["file"] for r in items.where(c("xmin").isNull() | near).select("file").orderBy("file").collect()]
+
+
+def spatially_sorted(df: DataFrame, lon: str, lat: str, files: int, zoom: int = 16) -> DataFrame:
+    """Rows in quadkey order over `files` partitions of about equal size: the layout of tables too large to pack as one file."""
+    from geolake.functions import grid
+
+    key = grid.quadkey(F.col(lon), F.col(lat), zoom)
+    return df.withColumn("quadkey", key).repartitionByRange(files, "quadkey").sortWithinPartitions("quadkey")

@@ -103,3 +103,10 @@ def test_lines_stay_close(path, tolerance):
     assert wkb.loads(wkb.dumps("LineString", path)) == ("LineString", [tuple(p) for p in path])
     for part in kernels.clip_path(path, (-5, -5, 5, 5)):
         assert all(-5 - 1e-9 <= v <= 5 + 1e-9 for p in part for v in p)
+
+
+def test_spatial_sort_narrows_partitions(spark):
+    d = spark.range(4000).select((F.lit(139.0) + F.col("id") * 7919 % 1000 / 1000).alias("x"), (F.lit(35.0) + F.col("id") * 104729 % 997 / 997).alias("y"))
+    sorted_ = gp.spatially_sorted(d, "x", "y", 16).withColumn("part", F.spark_partition_id())
+    sizes = sorted_.groupBy("part").agg(F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).collect()
+    assert sum(r.n for r in sizes) == 4000 and np.median([r.w * r.h for r in sizes]) < 0.3
