@@ -54,10 +54,9 @@ def rebalance(current: DataFrame, sizes: DataFrame, tolerance: float = 0.05) ->
     m = current.join(sizes, "vslot", "left").fillna(0, ["bytes", "rows"])
     w = Window.partitionBy("shard").orderBy("vslot")
     per = m.groupBy("shard").agg(F.sum("bytes").alias("held"))
-    mean = per.agg(F.avg("held").alias("mean"))
-    m = m.withColumn("upto", F.sum("bytes").over(w)).crossJoin(F.broadcast(mean))
-    m = m.withColumn("leaves", F.col("upto") > F.col("mean") * (1 + tolerance))
-    room = per.crossJoin(F.broadcast(mean)).where("held < mean").select("shard", (F.col("mean") - F.col("held")).alias("room"))
+    mean = per.agg(F.avg("held")).first()[0] or 0.0
+    m = m.withColumn("upto", F.sum("bytes").over(w)).withColumn("leaves", F.col("upto") > mean * (1 + tolerance))
+    room = per.where(F.col("held") < mean).select("shard", (F.lit(mean) - F.col("held")).alias("room"))
     room = room.withColumn("hi", F.sum("room").over(Window.orderBy("shard"))).withColumn("lo", F.col("hi") - F.col("room"))
     off = m.where("leaves").withColumn("point", F.sum("bytes").over(Window.orderBy("vslot")) - F.col("bytes") / 2)
     to = off.alias("o").join(F.broadcast(room.alias("r")), (F.col("point") >= F.col("lo")) & (F.col("point") < F.col("hi")), "left")
