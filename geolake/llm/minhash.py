@@ -231,7 +231,7 @@ def keep(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
     Of rows that share a kept doc_id one stays (the one with the least text); rows with a null doc_id stay.
     """
     found = stored(link(docs, k, percent).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
-    kept = found.select(F.col("doc_id").alias("kept_id"))
+    kept = found.select(F.col("doc_id").alias("kept_id")).hint("merge")  # most ids are kept: as many as there are documents
     rows = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
     if not found.where("rows > 1").isEmpty():
         rows = rows.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text")).alias("row")).select("row.*")
