@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -13,4 +14,4 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="geolake-")
         spark.sparkContext.setCheckpointDir(base)
-    return base.removeprefix("file://").rstrip("/")
+    return re.sub("^file:/+", "/", base).rstrip("/")
