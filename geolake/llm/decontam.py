@@ -1,12 +1,12 @@
-"""Benchmark decontamination by SimHash over item-sized windows.
+"""Benchmark decontamination by item-sized windows.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased; shingles are K consecutive words (an item with
-fewer words is one shingle). A shingle weighs log((items + 1) / (items with it + 1/2)). For an item of n words every
-window of n words of a document that shares a shingle with it gets a 128-bit SimHash of its weighted shingles (a window
-without a common shingle has similarity 0, so none is lost). The items' fingerprints are indexed by BLOCKS blocks: two
-fingerprints within RADIUS differ in some block by at most RADIUS // BLOCKS bits, so looking up all such block values finds
-every item within the radius. Candidates are verified exactly: the weight of the item's distinct shingles that the window
-holds, as a share of the item's weight, must be at least SIMILARITY.
+fewer words is one shingle). A shingle weighs log((items + 1) / (items with it + 1/2)). The similarity of a window of a
+document to an item of as many words is the weight of the item's distinct shingles that the window holds, as a share of the
+item's weight, and must be at least SIMILARITY. Postings of shingles bring items and documents together (a window without a
+common shingle has similarity 0), and the similarity of all windows of the document is then known exactly: a shingle counts
+for the windows that start after its previous occurrence and hold it, so a running sum over these ranges has every window.
+No fingerprint decides, as containment isn't bounded by an angle: words put into an item may outweigh its own shingles.
 
 Only the benchmark is sent to the executors, in blocks of bounded size; documents are never shuffled.
 """
@@ -27,8 +27,6 @@ from .common import blocks, mix, table, text_buffer, words
 
 K = 5
 SIMILARITY = 0.8
-#: At similarity 0.8 two fingerprints of 128 bits differ in 26 bits on average, with a deviation under 5.
-BITS, RADIUS, BLOCKS = 128, 52, 16
 #: UTF-8 bytes of benchmark texts in one block that is broadcast.
 BLOCK_BYTES = 32 << 20
 
@@ -45,14 +43,8 @@ def _combined(h: np.ndarray, k: int) -> np.ndarray:
     return mix(total)
 
 
-def _bits(h: np.ndarray) -> np.ndarray:
-    """(len(h), 128) of -1 and 1."""
-    both = np.stack([mix(h ^ np.uint64(0x5851F42D4C957F2D)), mix(h + np.uint64(0x14057B7EF767814F))], 1)
-    return np.unpackbits(both.view(np.uint8), axis=1).astype(np.int8) * 2 - 1
-
-
 class Index:
-    """Items of one block of the benchmark: postings of shingles, weights, fingerprints and their multi-index."""
+    """Items of one block of the benchmark: postings of shingles and their weights."""
 
     def __init__(self, ids: list[int], texts: list[str | None], k: int = K):
         buf, at = text_buffer(pa.array(texts, pa.string()))
@@ -76,9 +68,6 @@ class Index:
         self.whole = [float(self.weight(s).sum()) for s in self.sets]
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[self.keys & np.uint64((1 << 20) - 1)] = True
-        self.prints = np.stack([np.packbits(self.weight(s) @ _bits(s) > 0) for s in self.sets]) if self.sets else np.zeros((0, BITS // 8), np.uint8)
-        near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)) <= RADIUS // BLOCKS
-        self.lookup = [[np.flatnonzero(near[v, self.prints[:, j]]) for v in range(256)] for j in range(BLOCKS)]
 
     def weight(self, h: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -91,44 +80,26 @@ class Index:
         at = np.flatnonzero(self.sieve[h & np.uint64((1 << 20) - 1)])
         return at[self.keys[np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)] == h[at]] if len(self.keys) else at[:0]
 
-    def within(self, prints: np.ndarray, item: int) -> np.ndarray:
-        """Which of these fingerprints the multi-index brings together with the item, at a distance within RADIUS."""
-        found = np.zeros(len(prints), bool)
-        for j in range(BLOCKS):
-            for v in np.unique(prints[~found, j]).tolist():
-                own = self.lookup[j][v]
-                at = np.searchsorted(own, item)
-                if at < len(own) and own[at] == item:
-                    found |= prints[:, j] == v
-        return found & (np.bitwise_count(prints ^ self.prints[item]).sum(1) <= RADIUS)
-
     def best(self, h: np.ndarray, near: np.ndarray, n_words: int, item: int, least: float) -> tuple[int, float] | None:
         """The most similar window of the item's size (the first among equals) in a row with shingle hashes h, or None.
 
-        near: places of the item's shingles in h.
+        near: all places of the item's shingles in h, in ascending order.
         """
         span = len(h) if n_words < self.n[item] else self.n[item] - min(self.k, self.n[item]) + 1
-        starts = np.unique(np.clip((near[:, None] - np.arange(span)).ravel(), 0, max(0, len(h) - span)))
-        own, whole = self.sets[item], self.whole[item]
-        found: tuple[int, float] | None = None
-        for run in np.split(starts, np.flatnonzero(np.diff(starts) > span) + 1):
-            for part in np.array_split(run, -(-len(run) // 4096)):
-                lo = int(part[0])
-                x = h[lo : int(part[-1]) + span]
-                w = self.weight(x)
-                total = np.concatenate([np.zeros((1, BITS)), np.cumsum(_bits(x) * w[:, None], axis=0)])
-                s = part - lo
-                ok = self.within(np.packbits(total[s + span] - total[s] > 0, axis=1), item)
-                mine = np.concatenate([[0.0], np.cumsum(np.where(np.isin(x, own), w, 0.0))])
-                most = (mine[s + span] - mine[s]) / whole  # repeats count again here, so it is an upper bound
-                for j in np.flatnonzero(ok & (most >= least - 1e-9))[np.argsort(-most[ok & (most >= least - 1e-9)], kind="stable")].tolist():
-                    if found and most[j] <= found[1]:
-                        break
-                    both = np.intersect1d(x[s[j] : s[j] + span], own)
-                    sim = float(self.weight(both).sum()) / whole
-                    if sim >= least - 1e-9 and (not found or sim > found[1] + 1e-12):
-                        found = int(part[j]), sim
-        return found
+        x = h[near]
+        order = np.argsort(x, kind="stable")
+        again = x[order][1:] == x[order][:-1]
+        before = np.full(len(near), -1)  # where the same shingle stood last
+        before[order[1:][again]] = near[order[:-1][again]]
+        # the windows from `first` to `last` hold a shingle at this place and not at an earlier one
+        first, last = np.maximum(before + 1, np.maximum(near - span + 1, 0)), np.minimum(near, len(h) - span)
+        ok = first <= last
+        w = self.weight(x)[ok]
+        start, at = np.unique(np.concatenate([first[ok], last[ok] + 1]), return_inverse=True)
+        total = np.cumsum(np.bincount(at, np.concatenate([w, -w])))
+        most = int(start[np.flatnonzero(total >= total.max() - 1e-9 * self.whole[item])[0]])
+        sim = float(self.weight(np.intersect1d(h[most : most + span], self.sets[item])).sum()) / self.whole[item]
+        return (most, sim) if sim >= least - 1e-9 else None
 
     def find(self, column: pa.Array, least: float) -> Iterator[tuple[int, int, int, float]]:
         """(row, item id, first word, similarity) of every row and item with a window that is similar enough."""

@@ -359,6 +359,24 @@ def test_decontamination(spark):
     assert decontam.leaks(make(spark, docs), bench.limit(0)).count() == 0 and decontam.leaks(empty(spark), bench).count() == 0
 
 
+def test_near_copies_of_repeated_items(spark):
+    """Shingles that many items share weigh little, so a changed word's shingles outweigh them in a window; the copies count all the same."""
+    rng = random.Random(3)
+    common, other = prose(rng, 30).split(), prose(rng, 40).split()
+    items = [" ".join(common) for _ in range(20)] + [" ".join(other)] + [prose(rng, 30) for _ in range(39)]
+    docs = []
+    for w in [common] * 20 + [other] * 5:
+        j = rng.choice([*range(5), *range(len(w) - 5, len(w))]) if rng.random() < 0.5 else rng.randrange(len(w))
+        docs.append(" ".join([prose(rng, 40), *w[:j], f"new{len(docs)}", *w[j + 1 :], prose(rng, 40)]))
+    docs.append(" ".join([*common[:26], *["again"] * 4, *common]))  # repeats of a shingle count once
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = decontam.leaks(make(spark, docs), bench).collect()
+    got, want = {(r.doc_id, r.item_id): round(r.similarity, 6) for r in rows}, brute_leaks(docs, items)
+    assert got == want and len({d for d, _ in want}) > 20
+    assert {r.first_word for r in rows if r.doc_id == 25} == {30}
+    assert {r.doc_id for r in decontam.keep(make(spark, docs), bench).collect()} == set(range(len(docs))) - {d for d, _ in want}
+
+
 # -- html, language model --------------------------------------------------------------------------------------------------
 
 
