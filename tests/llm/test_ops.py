@@ -318,6 +318,18 @@ def test_quality_risk(spark):
     assert all(r.kept == (not r.base_failed) for r in quality.judge(docs, labels.limit(0)).collect()) and quality.judge(empty(spark), labels).count() == 0
 
 
+def test_quality_rules_complement(spark):
+    """The second-best rule sees what the best one sees; a kind of poor text that only the third-best one sees is caught as well."""
+    rng = random.Random(2)
+    clean, junk = [prose(rng, 60) for _ in range(1500)], [" ".join(w + "###" for w in prose(rng, 60).split()) for _ in range(300)]
+    same = [" ".join(w for w in rng.sample(WORDS, 20) for _ in range(3)) for _ in range(120)]
+    docs = make(spark, [*clean, *junk, *same])
+    labels = spark.createDataFrame([(i, int(i < 1500), 0) for i in range(1920)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.judge(docs, labels, alpha=0.05).collect()}
+    assert not any(got[i].base_failed for i in range(1920)) and sum(not got[i].kept for i in range(1500)) <= 0.05 * 1500
+    assert sum(got[i].kept for i in range(1500, 1800)) == 0 and sum(got[i].kept for i in range(1800, 1920)) <= 2
+
+
 def brute_leaks(docs, items, k=5):
     tok = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
     sets = {}
