@@ -466,3 +466,13 @@ def test_attention_is_causal_and_complete():
     assert math.isclose(sum(np.exp(m.inside[m.cls == c]).sum() for c in set(m.cls.tolist())), len(set(m.cls.tolist())), rel_tol=1e-4)
     s, n, skip = at.windows(bounds)
     assert (n - skip).sum() == len(ids)
+
+
+def test_scored_ids_have_context():
+    """Every id is scored once, and in a later window with at least a quarter of the window before it."""
+    from geolake.llm import attention as at
+
+    for n in (1, 31, 32, 33, 56, 57, 200):
+        start, length, skip = at.windows(np.array([0, n]))
+        scored = [i for s, m, k in zip(start, length, skip) for i in range(s + k, s + m)]
+        assert scored == list(range(n)) and all(k >= at.WINDOW // 4 for k in skip[1:])
