@@ -389,6 +389,62 @@ def test_near_copies_of_repeated_items(spark):
     assert {r.doc_id for r in decontam.keep(make(spark, docs), bench).collect()} == set(range(len(docs))) - {d for d, _ in want}
 
 
+def edited(rng, w, other):
+    """w with words changed, put in or taken out, its halves swapped, or cut and followed by another item."""
+    kind, j = rng.randrange(6), rng.randrange(len(w))
+    if kind == 0:
+        return [*w[:j], f"new{rng.random()}", *w[j + 1 :]]
+    if kind == 1:
+        return [*w[:j], "put", "in", *w[j:]]
+    if kind == 2:
+        return w[:j] + w[j + 1 :]
+    if kind == 3:
+        return w[len(w) // 2 :] + w[: len(w) // 2]
+    cut = int(len(w) * rng.uniform(0.05, 0.22))
+    return [*w[cut:], *other] if kind == 4 else [*other, *w[: len(w) - cut]]
+
+
+def test_multi_index_against_brute_force(spark, monkeypatch):
+    rng = random.Random(11)
+    items = [prose(rng, rng.randint(14, 40)) for _ in range(40)]
+    docs = [" ".join([prose(rng, rng.randint(1, 20)), *edited(rng, rng.choice(items).split(), rng.choice(items).split()), prose(rng, rng.randint(1, 20))]) for _ in range(150)]
+    want = brute_leaks(docs, items)
+    limit = [s for s in want.values() if s < 0.85]
+    assert len(want) > 70 and len(limit) > 8
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    d = make(spark, docs + [None, "", "nothing " * 40, "of the kind"])
+    rows = {(r.doc_id, r.item_id): round(r.similarity, 6) for r in decontam.leaks(d, bench).collect()}
+    assert rows == want
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 15)  # several blocks: the same weights and rows
+    assert {(r.doc_id, r.item_id): round(r.similarity, 6) for r in decontam.leaks(d, bench).collect()} == want
+    kept = decontam.keep(d, bench)
+    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(range(len(docs) + 4)) - {i for i, _ in want})
+
+
+def test_multi_index_guarantees_its_radius():
+    """Every fingerprint within the radius is found, no other; random ones are not even near."""
+    rng = np.random.default_rng(4)
+    prints = rng.integers(0, 2**63, (500, decontam.BITS // 64)).astype(np.uint64)
+    m = decontam.Multi(prints)
+    for i in range(60):
+        bits = np.unpackbits(prints[i].view(np.uint8))
+        bits[rng.choice(decontam.BITS, rng.integers(decontam.RADIUS - 20, decontam.RADIUS + 20), replace=False)] ^= 1
+        p = np.packbits(bits).view(np.uint64)
+        want = np.flatnonzero(np.bitwise_count(prints ^ p).sum(1) <= decontam.RADIUS)
+        assert m.within(p.tobytes()).tolist() == want.tolist()
+    assert sum(len(m.within(x.tobytes())) for x in rng.integers(0, 2**63, (200, decontam.BITS // 64)).astype(np.uint64)) == 0
+
+
+def test_leaks_of_repeated_rows(spark):
+    """Repeated documents and items give a row for each pair, also under one id; clashing names and null ids are carried."""
+    item = prose(random.Random(6), 20).replace("é", "e")
+    bench = spark.createDataFrame([(1, item), (1, item), (2, item.upper()), (None, item), (3, None)], "item_id long, text string")
+    docs = make(spark, [f"before {item} after"]).unionByName(make(spark, [f"before {item} after"])).withColumns({c: F.lit(1) for c in ("item_id", "similarity", "n", "shingles", "print")})
+    got = sorted((r.doc_id, -1 if r.item_id is None else r.item_id, r.first_word) for r in decontam.leaks(docs, bench).collect())
+    assert got == [(0, -1, 1), (0, -1, 1), *[(0, 1, 1)] * 4, (0, 2, 1), (0, 2, 1)]
+    assert decontam.keep(docs, bench).count() == 0 and decontam.keep(docs.limit(0), bench).columns == docs.columns
+
+
 # -- html, language model --------------------------------------------------------------------------------------------------
 
 
