@@ -67,6 +67,15 @@ def _quality() -> str:
         "same_words": f"1 - CASE WHEN n_words > 0 THEN {share('n_distinct', 'n_words')} ELSE 1 END",
     }
     scored = " UNION ALL ".join(f"SELECT doc_id, stratum, base_failed, '{r}' AS rule, CAST(least(floor(({e}) * {q.BINS}), {q.BINS - 1}) AS INT) AS bin FROM m" for r, e in rules.items())
+    # greedy choice: a round for each rule at most; a round that gains nothing leaves no documents to the next ones
+    rounds, before = "", "SELECT ''"
+    for i in range(len(rules)):
+        rounds += f"""g{i} AS MATERIALIZED (SELECT rule, cut, CAST(count(*) FILTER (NOT good AND bin >= cut) AS DOUBLE) / any_value(n_bad) - {q.LOSS} * (CAST(count(*) FILTER (good AND bin >= cut) AS DOUBLE) / any_value(n_good)) AS gain
+  FROM c{i}, cuts, whole WHERE cut > 0 AND rule NOT IN ({before}) GROUP BY 1, 2),
+p{i} AS MATERIALIZED (SELECT rule, cut FROM g{i} WHERE gain > 1e-12 ORDER BY round(gain, 12) DESC, rule, cut DESC LIMIT 1),
+c{i + 1} AS MATERIALIZED (SELECT * FROM c{i} WHERE EXISTS (SELECT 1 FROM p{i}) AND doc_id NOT IN (SELECT c.doc_id FROM c{i} c JOIN p{i} p ON p.rule = c.rule AND c.bin >= p.cut)),
+"""
+        before += f" UNION ALL SELECT rule FROM p{i}"
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 w AS (SELECT doc_id, i, array_to_string(ws[i:i + {q.WINDOW - 1}], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {q.WINDOW - 2})) AS i FROM d)),
@@ -82,13 +91,15 @@ lab AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE quality IS NOT
 x AS (SELECT b.*, good, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 4 = 0 AS choosing FROM b JOIN lab USING (doc_id) WHERE NOT base_failed),
 y AS (SELECT stratum, rule, bin, good, choosing FROM x UNION ALL SELECT '', rule, bin, good, choosing FROM x WHERE stratum <> ''),
 cuts AS (SELECT cut FROM range(0, {q.BINS}) z(cut)),
-above AS (SELECT choosing, stratum, rule, cut, count(*) FILTER (good AND bin >= cut) AS k, count(*) FILTER (good) AS n, count(*) FILTER (NOT good AND bin >= cut) AS hit, count(*) FILTER (NOT good) AS bad FROM y, cuts GROUP BY ALL),
+c0 AS MATERIALIZED (SELECT doc_id, rule, bin, good FROM x WHERE choosing),
+whole AS (SELECT greatest(count(*) FILTER (good), 1) AS n_good, greatest(count(*) FILTER (NOT good), 1) AS n_bad FROM c0 WHERE rule = 'symbols'),
+{rounds}chosen AS (SELECT rule FROM ({before}) z(rule) WHERE rule <> ''),
+above AS (SELECT stratum, rule, cut, count(*) FILTER (good AND bin >= cut) AS k, count(*) FILTER (good) AS n, count(*) FILTER (NOT good AND bin >= cut) AS hit, count(*) FILTER (NOT good) AS bad FROM y, cuts WHERE NOT choosing GROUP BY ALL),
 gain AS (SELECT *, CAST(hit AS DOUBLE) / greatest(bad, 1) - {q.LOSS} * k / greatest(n, 1) AS gain FROM above),
-chosen AS (SELECT rule FROM gain WHERE choosing AND stratum = '' GROUP BY 1 HAVING max(gain) > 0 ORDER BY max(gain) DESC, rule LIMIT {q.RULES}),
 strata AS (SELECT DISTINCT stratum FROM y WHERE NOT choosing),
 tests AS (SELECT (SELECT count(*) FROM chosen) AS rules, (SELECT count(*) FROM strata) AS strata),
 tail AS (SELECT stratum, rule, cut, gain, CASE WHEN k >= n THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({q.ALPHA} / rules) + (n - i) * ln(1 - {q.ALPHA} / rules)))) END AS p, {q.DELTA} / (strata * rules) AS level
-  FROM gain, tests WHERE NOT choosing AND n > 0 AND cut > 0 AND k < n AND gain > 0 AND rule IN (SELECT rule FROM chosen)),
+  FROM gain, tests WHERE n > 0 AND cut > 0 AND k < n AND gain > 0 AND rule IN (SELECT rule FROM chosen)),
 final AS (SELECT stratum, rule, cut FROM tail WHERE p <= level QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY round(gain, 12) DESC, cut DESC) = 1),
 j AS (SELECT b.doc_id, b.rule FROM b JOIN final f ON f.rule = b.rule AND f.stratum = CASE WHEN b.stratum IN (SELECT stratum FROM strata) THEN b.stratum ELSE '' END AND b.bin >= f.cut),
 k AS (SELECT doc_id, string_agg(rule, ',' ORDER BY rule) AS rejected_by FROM j GROUP BY 1)

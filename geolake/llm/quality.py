@@ -24,8 +24,6 @@ from .common import blocks, mix, stored, table, text_buffer, words
 ALPHA = 0.01
 DELTA = 0.05
 BINS = 200
-#: Read by the SQL in oracles.py alone, which still takes this many rules by their single gain; `learn` has no such bound.
-RULES = 2
 #: A good document that is lost weighs as much as so many poor ones that are caught, each as a share of its kind.
 LOSS = 10.0
 MIN_WORDS = 10
