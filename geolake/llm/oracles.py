@@ -25,19 +25,24 @@ def _list(items) -> str:
 
 
 def _licenses() -> str:
-    """Patterns at their starts, with weights from document counts, as one statement."""
-    rows = []
-    for k, (words, label, must, _, base) in enumerate(licenses._patterns(licenses.TEMPLATES, licenses.BASE)):
-        places = dict(enumerate(words)) if base else must
-        rows.append(f"({k}, '{label}', {str(base).lower()}, {_list(words)}, {list(places)}, {_list(places.values())})")
+    """By the definition: places of all key phrases' words, enough of the template's rarest words in place, the matching share."""
+    q, rows = licenses, []
+    for k, p in enumerate(licenses.patterns()):
+        rows.append(f"({k}, '{p.label}', {str(p.base).lower()}, {_list(p.words)}, {list(p.must)}, {_list(p.must.values())})")
     return rf"""
-WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '{q.GAP}'), lambda x: x <> '') AS ws FROM documents),
 p(k, label, base, pw, off, mw) AS (VALUES {", ".join(rows)}),
-v AS (SELECT DISTINCT unnest(pw) AS w FROM p),
-idf AS (SELECT w, 1 + ln((1 + (SELECT count(*) FROM d)) / CAST(1 + (SELECT count(*) FROM d WHERE list_contains(ws, v.w)) AS DOUBLE)) AS x FROM v),
-q AS (SELECT p.*, (SELECT list(idf.x ORDER BY i) FROM (SELECT unnest(p.pw) AS w, unnest(range(0, len(p.pw))) AS i) t JOIN idf ON idf.w = t.w) AS px FROM p),
-s AS (SELECT d.doc_id, d.ws, q.*, unnest(list_filter(range(-20, len(ws)), lambda s: len(list_filter(range(1, len(off) + 1), lambda j: s + off[j] >= 0 AND ws[s + off[j] + 1] = mw[j])) = len(off))) AS start FROM d, q),
-m AS (SELECT doc_id, start, label, base, CASE WHEN base THEN 1.0 ELSE round(least(list_sum(list_transform(range(1, len(pw) + 1), lambda i: CASE WHEN start + i - 1 >= 0 AND ws[start + i] = pw[i] THEN px[i] ELSE 0 END)) / list_sum(px), 1.0), 6) END AS score FROM s),
+pos AS MATERIALIZED (SELECT k, unnest(pw) AS w, unnest(range(0, len(pw))) AS i FROM p),
+df AS MATERIALIZED (SELECT w, count(doc_id) AS df, 1 + ln((1 + (SELECT count(*) FROM d)) / CAST(1 + count(doc_id) AS DOUBLE)) AS x
+  FROM (SELECT DISTINCT w FROM pos) v LEFT JOIN (SELECT doc_id, unnest(list_distinct(ws)) AS w FROM d) e USING (w) GROUP BY w),
+ranked AS (SELECT k, w, row_number() OVER (PARTITION BY k ORDER BY df, w) AS r, count(*) OVER (PARTITION BY k) AS n FROM (SELECT DISTINCT k, w FROM pos) JOIN df USING (w)),
+rare AS (SELECT k, w, least({q.INDEXED}, (n + 2) // 3) AS most FROM ranked WHERE r <= least({q.INDEXED}, (n + 2) // 3)),
+q AS MATERIALIZED (SELECT p.*, px, roff, (SELECT (max(most) + 1) // 2 FROM rare WHERE rare.k = p.k) AS need FROM p
+  JOIN (SELECT k, list(x ORDER BY i) AS px FROM pos JOIN df USING (w) GROUP BY k) USING (k) JOIN (SELECT k, list(i) AS roff FROM pos JOIN rare USING (k, w) GROUP BY k) USING (k)),
+s AS (SELECT d.doc_id, d.ws, q.*, unnest(list_transform(list_filter(range(0, len(ws)), lambda j: ws[j + 1] = mw[1]), lambda j: j - off[1])) AS start FROM d, q WHERE list_has_all(ws, mw)),
+t AS (SELECT * FROM s WHERE len(list_filter(range(1, len(off) + 1), lambda j: start + off[j] >= 0 AND ws[start + off[j] + 1] = mw[j])) = len(off)
+  AND len(list_filter(roff, lambda o: start + o >= 0 AND ws[start + o + 1] = pw[o + 1])) >= need),
+m AS (SELECT doc_id, start, label, base, CASE WHEN base THEN 1.0 ELSE round(least(list_sum(list_transform(range(1, len(pw) + 1), lambda i: CASE WHEN start + i - 1 >= 0 AND ws[start + i] = pw[i] THEN px[i] ELSE 0 END)) / list_sum(px), 1.0), 6) END AS score FROM t),
 g AS (SELECT * FROM m WHERE base OR score >= {licenses.LEAST_SCORE})
 SELECT d.doc_id, len(d.ws) AS n_words, count(g.start) FILTER (g.base) AS n_base, min(g.start) FILTER (g.base) AS first_word, max(g.start) FILTER (g.base) AS last_word,
   coalesce(string_agg(DISTINCT g.label, ',' ORDER BY g.label) FILTER (g.base), '') AS base_labels, coalesce(string_agg(DISTINCT g.label, ',' ORDER BY g.label), '') AS labels, CAST(coalesce(max(g.score), 0) AS DOUBLE) AS score
@@ -52,7 +57,7 @@ def _sharding(shards: int = 16) -> str:
     return rf"""
 WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE {crc} END AS text_crc32, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % {sharding.SLOTS} AS vslot FROM documents),
 m AS (SELECT *, {sharding.slot_owners(shards)}[vslot + 1] AS shard, {sharding.slot_owners(shards + 1)}[vslot + 1] AS grown_shard FROM d)
-SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY vslot, doc_id, text_crc32, size) - 1 AS slot, grown_shard, vslot FROM m
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY vslot, doc_id, text_crc32, size) - 1 AS slot, grown_shard, vslot, {shards} AS map_version, CAST(sum(size) OVER (PARTITION BY vslot) AS BIGINT) AS slot_bytes FROM m
 """
 
 
