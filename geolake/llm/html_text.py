@@ -6,15 +6,23 @@ trees, trained here on a bounded sample of pages, give each element the log-odds
 decoding chooses the most likely set of elements in which nothing inside a dropped element is kept: bottom-up,
 an element is dropped with all below it if that gains more than keeping it and deciding each child for itself.
 
-Pages carry no labels, so the sample is labelled by its own markup: text inside <article> or <main> counts as article, text
-inside navigation, headers, footers, asides, forms or elements that call themselves adverts, comments and the like does not, other
-elements are not learned from. Every row is used a second time without the features from names, so that shape alone can
-decide, and article rows a third time as counter-examples under the names of other things.
+Pages carry no labels, so the sample is labelled by evidence that is no list of names: a page's own <article> or <main> is the article and what
+stands outside of it is not; navigation, footers, asides and forms are not; on pages without such an element, text that other pages of the
+host repeat is not, and paragraphs with several sentences that no other page has are. Other elements are not learned from.
+What elements call themselves is a feature: words that are known to name articles and other things, and the log-odds of
+each word as counted on one half of the sample (the trees are fitted on the other half). Every row is used a second time without these features, so that
+shape alone can decide, and article rows a third time as counter-examples under the names of other things. `quality` measures the
+model on hosts that it wasn't fitted on, with the names and the telling elements taken away.
 """
 
 from __future__ import annotations
 
+import pickle
+import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from urllib.parse import urlsplit
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +32,10 @@ from pyspark.sql import functions as F
 from .common import table
 from .html_tree import Tree
 
-#: Pages that the trees are fitted on, at most (about: a range of hash values).
-SAMPLE_PAGES = 600
+#: Pages that the trees are fitted on, at most (about: a range of hash values), and their characters, at most.
+SAMPLE_PAGES, SAMPLE_CHARS = 600, 24_000_000
+#: Pages of a host that must have the same text for it to be none of an article; sentences and characters that make a paragraph one.
+REPEATED, SENTENCES, PARAGRAPH = 3, 2, 80
 TREES, DEPTH, RATE, BINS, LEAST_LEAF = 40, 3, 0.2, 24, 20
 
 # Names that elements give themselves.
@@ -43,12 +53,12 @@ ARTICLE_WORDS = {"article", "content", "main", "post", "entry", "story", "text",
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 LISTS = {"ul", "ol", "li", "dl", "dt", "dd", "menu"}
 TABLES = {"table", "tbody", "thead", "tfoot", "tr", "td", "th"}
-N_FEATURES = 23
-NAMED = slice(0, 4)  # the features that come from names; the first sums them up over the ancestors, with the last word to the others
+N_FEATURES = 24
+NAMED = slice(0, 5)  # the features that come from names; the first sums up over the ancestors, with the last word to the others
 
 
-def features(t: Tree) -> tuple[np.ndarray, np.ndarray]:
-    """One row of features for each element, and its weak label: 1, 0, or -1 for none."""
+def features(t: Tree, odds: dict[str, float] | None = None) -> np.ndarray:
+    """One row of features for each element. odds: the log-odds of words of attributes."""
     n = len(t.tag)
     parent = t.parent
     text, links, tags, inline, stops, runs = [0] * n, list(t.links), [1] * n, list(t.inline), [0] * n, [0] * n
@@ -60,7 +70,7 @@ def features(t: Tree) -> tuple[np.ndarray, np.ndarray]:
         text[node] += len(s)
         seen += len(s)
         runs[node] += 1
-        stops[node] += s.count(". ") + s.count(", ") + s.endswith((".", "!", "?"))
+        stops[node] += sentences(s)
     own = list(text)
     children = [0] * n
     place = [0] * n
@@ -71,8 +81,7 @@ def features(t: Tree) -> tuple[np.ndarray, np.ndarray]:
         p = parent[i]
         for x in (text, links, tags, inline, stops, runs):
             x[p] += x[i]
-    depth, other, article, inside, good, bad = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
-    label = [-1] * n
+    depth, other, article, inside, good, bad, learned = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n, [0] * n, [0.0] * n
     same: dict[tuple[int, str], int] = {}
     for i in range(1, n):
         same[parent[i], t.tag[i]] = same.get((parent[i], t.tag[i]), 0) + 1
@@ -87,19 +96,49 @@ def features(t: Tree) -> tuple[np.ndarray, np.ndarray]:
         inside[i] = int(inside[p] or is_article)
         other[i] = other[p] + bad[i]
         article[i] = article[p] + good[i]
-        label[i] = 0 if other[i] else 1 if inside[i] else -1
+        learned[i] = min([learned[p], *(odds.get(w, 0.0) for w in words)]) if odds and words else learned[p]
     total = max(1, seen)
     rows = []
     for i in range(n):
         p = max(parent[i], 0)
         chars = text[i]
         rows.append((
-            -1 if other[i] else int(article[i] > 0), good[i], bad[i], int(t.tag[i] in NEVER_TAGS),
+            -1 if other[i] else int(article[i] > 0), good[i], bad[i], learned[i], int(t.tag[i] in NEVER_TAGS),
             np.log1p(chars), np.log1p(own[i]), links[i] / (chars + 1), chars / (tags[i] + inline[i]), chars / (runs[i] + 1), np.log1p(tags[i]), stops[i] / (chars / 50 + 1), chars / total, chars / (text[p] + 1),
             depth[i], first[i] / total, children[i], children[p], place[i] / (children[p] or 1), same.get((parent[i], t.tag[i]), 1) / (children[p] or 1),
             int(t.tag[i] in HEADINGS), int(t.tag[i] in LISTS), int(t.tag[i] in TABLES), int(t.tag[i] == "p"),
         ))
-    return np.array(rows, np.float32), np.array(label, np.int8)
+    return np.array(rows, np.float32)
+
+
+def sentences(s: str) -> int:
+    return s.count(". ") + s.count(", ") + s.endswith((".", "!", "?"))
+
+
+def labels(t: Tree, repeated: set[str]) -> np.ndarray:
+    """1, 0, or -1 for none, by the evidence of the page and of its host's other pages; see the module's text."""
+    n = len(t.tag)
+    inside, other, holds = [False] * n, [False] * n, [False] * n
+    for i in range(1, n):
+        p, tag = t.parent[i], t.tag[i]
+        inside[i] = inside[p] or tag in ARTICLE_TAGS
+        other[i] = other[p] or tag in OTHER_TAGS and not (tag == "header" and inside[p]) or tag in NEVER_TAGS
+    for i in range(n - 1, 0, -1):
+        holds[i] = holds[i] or t.tag[i] in ARTICLE_TAGS
+        holds[t.parent[i]] = holds[t.parent[i]] or holds[i]
+    out = np.full(n, -1, np.int8)
+    if holds[0]:
+        for i in range(1, n):
+            out[i] = 0 if other[i] else 1 if inside[i] else -1 if holds[i] else 0
+        return out
+    for i in range(1, n):
+        out[i] = 0 if other[i] else -1
+    for node, s in t.runs:
+        if s in repeated:
+            out[node] = 0
+        elif out[node] < 0 and t.tag[node] == "p" and len(s) >= PARAGRAPH and sentences(s) >= SENTENCES:
+            out[node] = 1
+    return out
 
 
 class Boosted:
@@ -161,22 +200,77 @@ class Boosted:
         return self.base + sum(self._value(t, b) for t in self.trees)
 
 
-def train(pages: list[str | None]) -> Boosted:
-    """Fit on these pages' elements with a weak label; the same pages give the same trees."""
-    xs, ys = [], []
-    for page in pages:
-        x, y = features(Tree(page or ""))
-        xs.append(x[y >= 0])
-        ys.append(y[y >= 0])
-    if not xs:
-        return Boosted(np.zeros((0, N_FEATURES), np.float32), np.zeros(0))
-    x, y = np.concatenate(xs), np.concatenate(ys).astype(float)
-    hidden = x.copy()
-    hidden[:, NAMED] = 0
-    # comments and notices have the shape of articles: article elements that call themselves something else are none
-    turned = x[y > 0]
-    turned[:, NAMED] = -1, 0, 1, 0
-    return Boosted(np.concatenate([x, hidden, turned]), np.concatenate([y, y, np.zeros(len(turned))]))
+class Extractor:
+    """Boosted trees and the log-odds of attribute words; the same pages in the same order give the same."""
+
+    def __init__(self, pages: list[tuple[str | None, str | None]]):
+        """pages: (url, html)."""
+        trees = [Tree(h or "") for _, h in pages]
+        hosts = [_host(u) for u, _ in pages]
+        held: dict[str, Counter] = defaultdict(Counter)
+        for host, t in zip(hosts, trees):
+            held[host].update({s for _, s in t.runs})
+        repeated = {h: {s for s, n in c.items() if n >= REPEATED} for h, c in held.items()}
+        ys = [labels(t, repeated[h]) for h, t in zip(hosts, trees)]
+        votes: dict[str, list[int]] = {}
+        for t, y in zip(trees[::2], ys[::2]):
+            for words, label in zip(t.tokens, y.tolist()):
+                for w in set(words) if label >= 0 else ():
+                    votes.setdefault(w, [0, 0])[label] += 1
+        self.odds = {w: float(np.log((good + 5) / (bad + 5))) for w, (bad, good) in votes.items()}
+        xs, ls = [np.zeros((0, N_FEATURES), np.float32)], [np.zeros(0)]
+        for t, y in list(zip(trees, ys))[1::2] or list(zip(trees, ys)):
+            xs.append(features(t, self.odds)[y >= 0])
+            ls.append(y[y >= 0].astype(float))
+        x, y = np.concatenate(xs), np.concatenate(ls)
+        hidden = x.copy()
+        hidden[:, NAMED] = 0
+        # comments and notices have the shape of articles: article elements that call themselves something else are none
+        turned = x[y > 0]
+        turned[:, NAMED] = -1, 0, 1, 0, 0
+        self.boosted = Boosted(np.concatenate([x, hidden, turned]), np.concatenate([y, y, np.zeros(len(turned))]))
+
+    def kept(self, trees: list[Tree]) -> Iterator[list[bool]]:
+        x = [features(t, self.odds) for t in trees]
+        odds = self.boosted.log_odds(np.concatenate(x)) if x else np.zeros(0)
+        at = np.concatenate([[0], np.cumsum([len(v) for v in x])]).astype(int)
+        for i, t in enumerate(trees):
+            yield decode(t, odds[at[i] : at[i + 1]])
+
+    def extract(self, pages: list[str | None]) -> list[str]:
+        """The article's blocks in page order, joined by an empty line; empty without any."""
+        trees = [Tree(h or "") for h in pages]
+        return ["\n\n".join(s for node, s in t.runs if kept[node]) for t, kept in zip(trees, self.kept(trees))]
+
+
+def _host(url: str | None) -> str:
+    try:
+        return urlsplit(url or "").netloc
+    except ValueError:  # no url at all
+        return ""
+
+
+_TELLING = re.compile(r"(</?)(?:" + "|".join(sorted(ARTICLE_TAGS | (OTHER_TAGS - NEVER_TAGS))) + r")\b[^>]*>", re.I)
+_ATTRIBUTES = re.compile(r"<(div|p|h[1-6]|ul|ol|li|section|table|tr|td)\s[^>]*>", re.I)
+
+
+def quality(pages: list[tuple[str | None, str | None]], parts: int = 3) -> tuple[float, float]:
+    """Precision and recall, by characters, on the pages of hosts that weren't learned from (one of `parts`, by hash), with
+    telling elements made <div> and all attributes of blocks dropped; pages without <article> or <main> don't count."""
+    out = [(u, h) for u, h in pages if crc32(_host(u).encode()) % parts == 0]
+    model = Extractor([(u, h) for u, h in pages if crc32(_host(u).encode()) % parts])
+    right = found = asked = 0
+    for _, h in out:
+        t = Tree(h or "")
+        want = Counter(s for (_, s), y in zip(t.runs, labels(t, set())[[node for node, _ in t.runs]]) if y > 0) if t.runs else Counter()
+        if not want:
+            continue
+        plain = Tree(_ATTRIBUTES.sub(r"<\1>", _TELLING.sub(r"\1div>", h or "")))
+        kept = next(model.kept([plain]))
+        got = Counter(s for node, s in plain.runs if kept[node])
+        size = lambda c: sum(len(s) * n for s, n in c.items())
+        right, found, asked = right + size(want & got), found + size(got), asked + size(want)
+    return right / max(1, found), right / max(1, asked)
 
 
 def decode(t: Tree, log_odds: np.ndarray) -> list[bool]:
@@ -201,43 +295,50 @@ def decode(t: Tree, log_odds: np.ndarray) -> list[bool]:
     return kept
 
 
-def extract(page: str | None, model: Boosted) -> str:
-    """The article's blocks in page order, joined by an empty line; empty without any."""
-    t = Tree(page or "")
-    if not t.runs:
-        return ""
-    kept = decode(t, model.log_odds(features(t)[0]))
-    return "\n\n".join(s for node, s in t.runs if kept[node])
-
-
 def _extracted(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, len(b), 200):
                 part = b.slice(lo, 200)
-                trees = [Tree(h or "") for h in part.column("html").to_pylist()]
-                x = [features(t)[0] for t in trees]
-                odds = model.value.log_odds(np.concatenate(x))
-                at = np.concatenate([[0], np.cumsum([len(v) for v in x])])
-                texts = []
-                for i, t in enumerate(trees):
-                    kept = decode(t, odds[at[i] : at[i + 1]])
-                    texts.append("\n\n".join(s for node, s in t.runs if kept[node]))
+                texts = model.value.extract(part.column("html").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(s) for s in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return run
 
 
+def _fitted(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pages, chars = [], 0
+        for b in batches:
+            for u, h in zip(b.column("url").to_pylist(), b.column("html").to_pylist()):
+                if chars + len(h) <= most:
+                    pages.append((u, h))
+                    chars += len(h)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Extractor(pages))], pa.binary())], ["model"])
+
+    return run
+
+
+def fit(pages: DataFrame, sample: int = SAMPLE_PAGES, chars: int = SAMPLE_CHARS) -> Extractor:
+    """The model of about `sample` pages chosen by hash (of these, pages that would exceed `chars` in sum are passed over); one
+    task fits it, and its trees come to the driver."""
+    d = pages.where("html is not null")
+    share = int(min(1.0, sample / max(1, d.count())) * (1 << 30))
+    spread = F.xxhash64("html")
+    rows = d.where(F.pmod(spread, F.lit(1 << 30)) < share).select("url", "html").orderBy(spread, "html", "url").limit(2 * sample).coalesce(1)
+    found = rows.mapInArrow(_fitted(chars), "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else Extractor([])
+
+
 def extract_pages(pages: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
     A null or empty page, or one without article text, has the empty text. Unclosed elements are closed as browsers do, a page
-    that is cut off keeps what was read, a tag that is cut off is dropped. Equal rows give equal results; extra columns are not read.
+    that is cut off keeps what was read, a tag that is cut off is dropped. Of two equally likely readings the one that drops an element is
+    taken. Work and memory grow with the length of a page. Equal rows give equal results; extra columns are not read. An
+    empty table gives no rows.
     """
-    n = pages.where("html is not null").count()
-    share = int(min(1.0, sample / max(1, n)) * (1 << 30))
-    rows = pages.where("html is not null").where(F.pmod(F.xxhash64("html"), F.lit(1 << 30)) < share).select("html").orderBy(F.xxhash64("html"), "html").limit(2 * sample).collect()
-    model = pages.sparkSession.sparkContext.broadcast(train([r["html"] for r in rows]))
+    model = pages.sparkSession.sparkContext.broadcast(fit(pages, sample))
     return pages.select("page_id", "url", "html").mapInArrow(_extracted(model), "page_id long, url string, text string, n_chars long")
 
 
