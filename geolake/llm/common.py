@@ -51,6 +51,24 @@ def stored(df: DataFrame, name: str = "t", **options) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: A key with more than 1 / HEAVY of all rows is heavy: there are fewer than HEAVY such keys.
+HEAVY = 1000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, rows: str, total: int) -> DataFrame:
+    """left joined (inner) with right, which has one row a key and in its column `rows` how many rows of left the key has.
+
+    total: all rows of left. Rows of heavy keys stay where they are and meet a broadcast of less than HEAVY rows, the others are
+    shuffled by key. The heavy keys come to the driver; right should be a stored table.
+    """
+    heavy = [r[0] for r in right.where(F.col(rows) * HEAVY > total).select(key).collect()]
+    right = right.drop(rows)
+    if not heavy:
+        return left.join(right, key)
+    much = F.col(key).isin(heavy)
+    return left.where(~much).join(right.where(~much), key).unionByName(left.where(much).join(F.broadcast(right.where(much)), key))
+
+
 def crc_of_id(col="doc_id"):
     """crc32 of the id as text, the rule that deals documents into folds."""
     return F.crc32(F.col(col).cast("string").cast("binary"))

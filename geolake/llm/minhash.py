@@ -20,17 +20,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, stored, table, text_buffer, words
+from .common import blocks, mix, spread_join, stored, table, text_buffer, words
 from .components import components
 
 T = 96
 BANDS = 24
 PERCENT = 80
-#: Members of a group that are compared in one place; larger groups go in parts and pairs of parts.
-GROUP = 256
+#: Members of a group, and shingles of all their sets, that are compared in one place (about: parts are dealt by hash); larger
+#: groups go in parts and pairs of parts. A text alone may be longer.
+GROUP, GROUP_SHINGLES = 256, 2_000_000
 _SEEDS = mix(np.arange(1, 2 * T + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FRACTION = np.uint64((1 << 49) - 1)
 
@@ -188,20 +189,20 @@ def link(docs: DataFrame, k: int = 2, percent: int = PERCENT) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     sketched = stored(docs.mapInArrow(_sketched(k, percent), "doc_id long, n long, fp binary, bands array<long>"), "sketches")
-    classes = stored(sketched.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = stored(sketched.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "classes")
     # one row of a class stands for it
     lead = sketched.where("size(bands) > 0").join(classes, [sketched.doc_id == classes.rep, sketched.fp == classes.fp], "left_semi").dropDuplicates(["doc_id", "fp"])
-    entries = stored(lead.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key")), "bands")
-    shared = entries.join(entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key")
+    entries = stored(lead.select(F.col("doc_id").alias("rep"), "n", F.explode("bands").alias("key")), "bands")
+    keys = stored(entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "keys")
+    shared = spread_join(entries, keys.withColumn("rows", F.col("c")), "key", "rows", entries.count())
     weight = shared.groupBy("rep").agg(F.sum("c").alias("w"))
-    shared = stored(shared.select("key", "rep").join(weight, "rep"), "buckets")
+    shared = stored(shared.select("key", "rep", "n").join(weight, "rep"), "buckets")
     # a bucket's hub is the member that shares most entries: copies gather around what they were copied from
-    hubs = shared.groupBy("key").agg((-F.max(F.struct("w", (-F.col("rep")).alias("r")))["r"]).alias("hub"))
-    members = stored(shared.join(hubs, "key").select("hub", "rep").distinct(), "members")
-    counts = members.groupBy("hub").agg(F.count("*").alias("n"))
+    hubs = stored(shared.groupBy("key").agg((-F.max(F.struct("w", (-F.col("rep")).alias("r")))["r"]).alias("hub"), F.count("*").alias("rows")), "hubs")
+    members = stored(spread_join(shared, hubs, "key", "rows", shared.count()).select("hub", "rep", "n").distinct(), "members")
+    counts = stored(members.groupBy("hub").agg(F.count("*").alias("rows"), F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / GROUP_SHINGLES)).cast("int").alias("parts")), "counts")
     none = F.lit(None).cast("long").alias("component")
-    parts = members.join(counts, "hub").withColumn("parts", F.ceil(F.col("n") / GROUP).cast("int"))
-    parts = parts.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    parts = spread_join(members, counts, "hub", "rows", n_members := members.count()).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     # the hub stands in every part of its group
     first = parts.withColumn("part", F.explode(F.when(F.col("rep") == F.col("hub"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))))
     links = stored(compare(first.select("hub", "part", "rep", none).hint("merge"), docs, k, percent), "links")
@@ -209,33 +210,52 @@ def link(docs: DataFrame, k: int = 2, percent: int = PERCENT) -> DataFrame:
     label = stored(components(links), "labels")
     wide = parts.where("parts > 1").join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     wide = stored(wide, "wide")
-    main = wide.where("rep = hub").select("hub", F.col("component").alias("main"))
-    wide = wide.join(main, "hub").withColumn("apart", F.col("component") != F.col("main"))
-    other = wide.where("apart").groupBy("hub").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("others"))
-    wide = wide.join(other, "hub").withColumn("o", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("others")).cast("int"))
-    to = lambda c, o: F.concat_ws(":", c.cast("string"), o.cast("string"))
-    here = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: to(F.col("own"), o))
-    there = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda c: to(c, F.col("o")))
-    second = wide.select("hub", "rep", "component", F.explode(F.when(F.col("apart"), F.array_union(here, there)).otherwise(here)).alias("part"))
-    more = stored(compare(stored(second, "second"), docs, k, percent, few=True), "more")
-    if not more.isEmpty():
-        label = components(links.unionByName(more))
-    out = sketched.join(classes, "fp", "left").join(label.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", F.when(F.col("n") > 0, F.col("rep")), "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-def keep(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
+    if not wide.isEmpty():
+        main = stored(wide.where("rep = hub").select("hub", F.col("component").alias("main")).join(counts.select("hub", "rows"), "hub"), "main")
+        wide = stored(spread_join(wide, main, "hub", "rows", n_members).withColumn("apart", F.col("component") != F.col("main")), "wide")
+        other = wide.where("apart").groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / GROUP_SHINGLES)).cast("int").alias("others"))
+        other = stored(other.join(counts.select("hub", "rows"), "hub"), "others")
+        wide = spread_join(wide, other, "hub", "rows", n_members).withColumn("o", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("others")).cast("int"))
+        to = lambda c, o: F.concat_ws(":", c.cast("string"), o.cast("string"))
+        here = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: to(F.col("own"), o))
+        there = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda c: to(c, F.col("o")))
+        second = wide.select("hub", "rep", "component", F.explode(F.when(F.col("apart"), F.array_union(here, there)).otherwise(here)).alias("part"))
+        more = stored(compare(stored(second, "second"), docs, k, percent, few=True), "more")
+        if not more.isEmpty():
+            label = components(links.unionByName(more))
+    # copies of one text stay where they are, and so do rows without a class
+    ends = stored(classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("fp", "rows", F.coalesce("component", "rep").alias("component_id")), "ends")
+    alone = F.col("n").eqNullSafe(0) | F.col("doc_id").isNull()
+    out = spread_join(sketched.where(~alone).select("doc_id", "n", "fp"), ends, "fp", "rows", sketched.count()).select("doc_id", "n", "component_id")
+    out = out.unionByName(sketched.where(alone).select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+#: Further texts of a repeated id are linked as nodes from here on.
+_BEHIND = 1 << 62
+
+
+def keep(docs: DataFrame, k: int = 2, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that link() keeps, with all their columns: of every group the document with the smallest doc_id.
 
-    Of rows that share a kept doc_id one stays (the one with the least text); rows with a null doc_id stay.
+    Rows with a null doc_id stay, as do those without words. Of rows with one doc_id and one text one stays. Rows with one doc_id and
+    different texts are documents of their own, in the order of the texts' hashes. Only the rows of such ids are grouped. An empty
+    table stays empty.
     """
-    found = stored(link(docs, k, percent).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
-    kept = found.select(F.col("doc_id").alias("kept_id")).hint("merge")  # most ids are kept: as many as there are documents
-    rows = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
-    if not found.where("rows > 1").isEmpty():
-        rows = rows.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text")).alias("row")).select("row.*")
-    return rows.unionByName(docs.where("doc_id is null"))
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    ids = stored(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(text).alias("least"), F.max(text).alias("most")).where("rows > 1"), "repeated")
+    if ids.isEmpty():
+        kept = stored(link(docs, k, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")), "kept").hint("merge")  # most ids are kept: as many as there are documents
+        return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").unionByName(docs.where("doc_id is null"))
+    # a struct holds the row, so that names cannot clash
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", text.alias("hash"))
+    once = whole.join(ids.select("doc_id"), "doc_id", "left_anti").select("row", F.col("doc_id").alias("node"))
+    node = F.when(F.col("hash") == F.col("least"), F.col("doc_id")).otherwise(F.lit(_BEHIND) + F.pmod(F.xxhash64("doc_id", "hash"), F.lit(_BEHIND)))
+    more = whole.join(ids, "doc_id").select("row", node.alias("node"), F.row_number().over(Window.partitionBy("doc_id", "hash").orderBy(F.xxhash64("row"))).alias("copy"))
+    nodes = stored(once.unionByName(more.where("copy = 1").drop("copy")), "nodes")
+    found = link(nodes.select(F.col("node").alias("doc_id"), "row.text"), k, percent).where("doc_id is not null").select(F.col("doc_id").alias("node"), "component_id")
+    first = found.join(nodes.select("node", "row.doc_id"), "node").groupBy("component_id").agg(F.min(F.struct("doc_id", "node"))["node"].alias("node"))
+    return nodes.join(stored(first.select("node"), "kept"), "node", "left_semi").unionByName(nodes.where("node is null")).select("row.*")
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

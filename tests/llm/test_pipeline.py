@@ -60,7 +60,7 @@ def test_language_stage(stages):
 
 def test_near_dedup_stage(stages):
     docs = sorted(rows(stages[2]).items())
-    sets = {i: shingles(r.text, 5) for i, r in docs}
+    sets = {i: shingles(r.text, 2) for i, r in docs}
     own = {i: i for i, _ in docs}
     links = [(i, j) for (i, _), (j, _) in itertools.combinations(docs, 2) if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
     for _ in docs:
