@@ -4,6 +4,7 @@ import collections
 import html
 import itertools
 import math
+import pickle
 import random
 import re
 import zlib
@@ -622,24 +623,47 @@ def test_attention_is_causal_and_complete():
 
     rng = np.random.default_rng(0)
     texts = [rng.integers(0, 50, n) for n in (5, 40, 200, 33)]
-    m = at.Attention(texts, 50, 49, epochs=1)
+    size, begin = 300, 299
+    texts = [np.concatenate([t, rng.integers(0, 290, 30)]) for t in texts]
+    both = np.concatenate([np.concatenate([[begin], t[:-1]]) * size + t for t in texts[:3]])
+    pairs, n_pair = np.unique(both, return_counts=True)
+    count = np.bincount(np.concatenate(texts[:3]), minlength=size).astype(float)
+    m = pickle.loads(pickle.dumps(at.Attention(texts, count, pairs, n_pair, begin, epochs=1)))
     ids, bounds = np.concatenate(texts).astype(np.uint32), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     d, whole = at.WIDTH, m.score(ids, bounds)
+    known = collections.Counter(dict(zip(pairs.tolist(), n_pair.tolist())))
+
+    def inside(prev, x):
+        """The share of x among the ids of its class, behind prev."""
+        own = [y for y in range(size) if m.cls[y] == m.cls[x]]
+        if len(own) == 1:
+            return 1.0
+        mass = (count[x] + 0.1) / sum(count[y] + 0.1 for y in own)
+        return (known[prev * size + x] + at.PRIOR * mass) / (sum(known[prev * size + y] for y in own) + at.PRIOR)
+
     for k, t in enumerate(texts):
-        before, total = np.concatenate([[49], t[:-1]]), 0.0
+        before, total = np.concatenate([[begin], t[:-1]]), 0.0
         for i in range(len(t)):
             start = 0 if i < at.WINDOW else (1 + (i - at.WINDOW) // at.STRIDE) * at.STRIDE
-            x = m.by_id[before[start : i + 1]] + m.by_place[: i + 1 - start]
+            x = m.by_id[m.row[before[start : i + 1]]] + m.by_place[: i + 1 - start]
             a = np.exp(x[:, d : 2 * d] @ x[-1, :d])
             g = np.exp(x[-1, 3 * d + 1 :] + (a / a.sum()) @ x[:, 2 * d : 3 * d] @ m.gathered)
             p = g / g.sum()
-            total += np.log10(p[m.cls[t[i]]]) + m.inside[t[i]] / np.log(10)
+            total += np.log10(p[m.cls[t[i]]]) + np.log10(inside(before[i], t[i]))
         assert math.isclose(whole[k], total, rel_tol=1e-4)
-    assert math.isclose(sum(np.exp(m.inside[m.cls == c]).sum() for c in set(m.cls.tolist())), len(set(m.cls.tolist())), rel_tol=1e-4)
+    assert all(math.isclose(sum(inside(prev, y) for y in range(size)), len(set(m.cls.tolist())), rel_tol=1e-6) for prev in (begin, int(texts[0][0]), 298))
     s, n, skip = at.windows(bounds)
     assert (n - skip).sum() == len(ids)
 
 
+def test_attention_beats_word_counts(spark):
+    """On held-out texts of the documents the attention model is better than the word counts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 0
+    got = lm_score.score(docs, ~held).join(docs.select("doc_id", held.alias("held")), "doc_id").where("held").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
+
+
 def test_scored_ids_have_context():
     """Every id is scored once, and in a later window with at least a quarter of the window before it."""
     from geolake.llm import attention as at
