@@ -54,10 +54,11 @@ def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column,
     return F.sqrt(ex * ex + ey * ey)
 
 
-def clip_segment(x1: Column, y1: Column, x2: Column, y2: Column, west: float, south: float, east: float, north: float) -> tuple[Column, Column]:
+def clip_segment(x1: Column, y1: Column, x2: Column, y2: Column, west: float | Column, south: float | Column, east: float | Column, north: float | Column) -> tuple[Column, Column]:
     """Parameters (t0, t1) of the part of a segment inside a box (Liang-Barsky); t0 > t1: nothing is inside."""
     dx, dy = x2 - x1, y2 - y1
-    sides = ((-dx, x1 - west), (dx, F.lit(east) - x1), (-dy, y1 - south), (dy, F.lit(north) - y1))
+    as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
+    sides = ((-dx, x1 - west), (dx, as_column(east) - x1), (-dy, y1 - south), (dy, as_column(north) - y1))
     enter = [F.when(p < 0, F.try_divide(q, p)) for p, q in sides]
     leave = [F.when(p > 0, F.try_divide(q, p)) for p, q in sides]
     beside = [F.when((p == 0) & (q < 0), F.lit(2.0)) for p, q in sides]
@@ -80,3 +81,36 @@ def ring_contains(ring: Column, x: Column, y: Column) -> Column:
         return F.when((a["y"] > y) != (b["y"] > y), x < (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"]).otherwise(False)
 
     return F.aggregate(F.sequence(F.lit(0), n - 2), F.lit(0), lambda acc, i: acc + crosses(i).cast("int")) % 2 == 1
+
+
+def _edges(ring: Column, found) -> Column:
+    return F.exists(F.sequence(F.lit(0), F.size(ring) - 2), lambda i: found(F.get(ring, i), F.get(ring, i + 1)))
+
+
+def ring_meets_box(ring: Column, b: str) -> Column:
+    """Whether a closed ring's area and a box (its column) share a point: an edge passes through the box, or the box lies inside."""
+    c = lambda f: F.col(f"{b}.{f}")
+
+    def passes(p: Column, q: Column) -> Column:
+        t0, t1 = clip_segment(p["x"], p["y"], q["x"], q["y"], c("xmin"), c("ymin"), c("xmax"), c("ymax"))
+        return t0 <= t1
+
+    return _edges(ring, passes) | ring_contains(ring, c("xmin"), c("ymin"))
+
+
+def segments_meet(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column, dx: Column, dy: Column) -> Column:
+    """Whether two closed segments share a point; segments on one line meet where their boxes do."""
+    turn = lambda px, py, qx, qy, rx, ry: (qx - px) * (ry - py) - (qy - py) * (rx - px)
+    near = (F.greatest(ax, bx) >= F.least(cx, dx)) & (F.greatest(cx, dx) >= F.least(ax, bx)) & (F.greatest(ay, by) >= F.least(cy, dy)) & (F.greatest(cy, dy) >= F.least(ay, by))
+    return near & (turn(ax, ay, bx, by, cx, cy) * turn(ax, ay, bx, by, dx, dy) <= 0) & (turn(cx, cy, dx, dy, ax, ay) * turn(cx, cy, dx, dy, bx, by) <= 0)
+
+
+def ring_meets_segment(ring: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Whether a closed ring's area and a segment share a point."""
+    return _edges(ring, lambda p, q: segments_meet(p["x"], p["y"], q["x"], q["y"], x1, y1, x2, y2)) | ring_contains(ring, x1, y1)
+
+
+def box_distance(x: Column, y: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
+    """Distance of a point from a box in the plane; 0 inside."""
+    dx, dy = F.greatest(xmin - x, F.lit(0.0), x - xmax), F.greatest(ymin - y, F.lit(0.0), y - ymax)
+    return F.sqrt(dx * dx + dy * dy)

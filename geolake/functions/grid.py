@@ -53,12 +53,6 @@ def mesh_bounds(code: Column) -> Column:
 _BOX = "struct<xmin:double,ymin:double,xmax:double,ymax:double>"
 
 
-def cell_area_km2(box: Column) -> Column:
-    """Area of a box of latitudes and longitudes on the sphere."""
-    r = EARTH_RADIUS_M / 1000
-    return F.radians(box["xmax"] - box["xmin"]) * (F.sin(F.radians(box["ymax"])) - F.sin(F.radians(box["ymin"]))) * (r * r)
-
-
 def mesh_area_km2(code: Column) -> Column:
     """Area of a cell from its code alone: only the latitude and the level matter."""
     d = lambda i, n=1: F.coalesce(F.nullif(F.substring(code, i, n), F.lit("")).cast("double"), F.lit(0.0))
@@ -74,6 +68,20 @@ def mesh_parent(code: Column, digits: int) -> Column:
     return F.substring(code, 1, digits)
 
 
+def mesh_cover(west: Column, south: Column, east: Column, north: Column, most: int = 60, coarse: int = 15) -> Column:
+    """The 8-digit cells that touch a view, in ascending order; beyond `most` of them the 6-digit ones; beyond `coarse` of these null."""
+
+    def cells(digits: int) -> tuple[Column, Column]:
+        ny, nx = MESH_PARTS[digits]
+        rows = F.sequence(F.floor(south * ny), F.floor(north * ny))
+        columns = F.sequence(F.floor((west - 100) * nx), F.floor((east - 100) * nx))
+        centre = lambda y: F.transform(columns, lambda x: mesh_code((x + 0.5) / nx + 100, (y + 0.5) / ny, digits))
+        return F.size(rows).cast("long") * F.size(columns), F.sort_array(F.flatten(F.transform(rows, centre)))
+
+    (n, fine), (m, rough) = cells(8), cells(6)
+    return F.when(n <= most, fine).when(m <= coarse, rough)
+
+
 def mesh_capacity(digits: int) -> int:
     """8-digit cells in a cell of so many digits."""
     if digits >= 8:
@@ -139,6 +147,15 @@ def tier_depth(zoom: float, min_zoom: float, tiers: int) -> int:
     return tiers - 1 - max(0, math.ceil(min_zoom - zoom))
 
 
+# The zoom from which roads of a class are shown; other classes at any.
+ROAD_MIN_ZOOM = {"motorway": 0, "trunk": 8, "primary": 10}
+
+
+def road_classes(classes: list[str], zoom: float, shift: float = 0) -> list[str]:
+    """The chosen classes that are shown at a zoom; a detail setting shifts their zooms down, not below 0."""
+    return [c for c in classes if zoom >= max(0, ROAD_MIN_ZOOM.get(c, 0) - shift)]
+
+
 # Limits of density (people per km2, exclusive) and the ground-risk class by aircraft class; None: out of scope.
 IGRC_LIMITS = (5, 50, 500, 5000, 50000, math.inf)
 IGRC_CLASSES = ((2, 3, 4, 5, 6), (3, 4, 5, 6, 7), (4, 5, 6, 7, 8), (5, 6, 7, 8, 9), (6, 7, 8, 9, 10), (7, 8, None, None, None))

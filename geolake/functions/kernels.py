@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,6 +80,18 @@ def intersects(a: tuple[str, list], b: tuple[str, list]) -> bool:
     return any(contains(*x, *p) for x, y in ((a, b), (b, a)) if polygons(*x) for p in wkb.flat(*y)[:1])
 
 
+def is_empty(kind: str, c) -> bool:
+    """No points at all; an empty point has NaNs."""
+    return bounds(kind, c) is None
+
+
+def separation(a: tuple[str, list], b: tuple[str, list]) -> float:
+    """Least distance of two geometries in the plane: 0 if they meet, or else from a point of one to the other."""
+    if intersects(a, b):
+        return 0.0
+    return min((distance(*y, *p) for x, y in ((a, b), (b, a)) for p in wkb.flat(*x)), default=math.inf)
+
+
 def distance(kind: str, c, x: float, y: float) -> float:
     """From a point, in the plane; 0 inside a polygon."""
     if polygons(kind, c) and contains(kind, c, x, y):
@@ -251,7 +264,15 @@ def _scalar(f: Callable, kind):
 
 
 geo_area = _scalar(area, T.DoubleType())
-geo_type = _scalar(lambda kind, c: kind, T.StringType())
+geo_is_empty = _scalar(lambda kind, c: is_empty(kind, c), T.BooleanType())
+geo_length = _scalar(lambda kind, c: sum(float(np.hypot(*np.diff(np.asarray(p, float), axis=0).T).sum()) for p in lines(kind, c)), T.DoubleType())
+
+
+def geo_type(geometry: str) -> Column:
+    """The kind of a WKB column, from its type word alone: no Python."""
+    byte = lambda k: F.conv(F.hex(F.substring(geometry, k, 1)), 16, 10).cast("int")
+    code = F.when(byte(1) == 1, byte(2) + byte(3) * 256).otherwise(byte(5) + byte(4) * 256) % 1000
+    return F.get(F.array(*map(F.lit, wkb.KINDS)), code - 1)
 
 
 @F.pandas_udf(_BOX)
@@ -270,6 +291,25 @@ def geo_distance(column: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series([math.nan if g is None else distance(*wkb.loads(g), a, b) for g, a, b in zip(column, x, y)])
 
 
+@F.pandas_udf(T.BooleanType())
+def geo_intersects(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([x is not None and y is not None and intersects(wkb.loads(x), wkb.loads(y)) for x, y in zip(a, b)])
+
+
+def geo_within(origin: tuple[str, list], lon0: float, lat0: float, metres: float):
+    """Whether a WKB column lies within so many metres of an origin of any kind (a line, an area), in the plane around a place."""
+    east, north = 111_320 * math.cos(math.radians(lat0)), 110_540
+
+    def flat(kind: str, c):
+        if kind == "GeometryCollection":
+            return kind, [flat(*g) for g in c]
+        down = lambda p: ((p[0] - lon0) * east, (p[1] - lat0) * north) if isinstance(p, tuple) else [down(x) for x in p]
+        return kind, down(c)
+
+    start = flat(*origin)
+    return _scalar(lambda kind, c: separation(start, flat(kind, c)) <= metres, T.BooleanType())
+
+
 def geo_simplify(tolerance: float):
     """Lines simplified; other kinds stay."""
 
@@ -293,5 +333,5 @@ def geo_merge_lines(column: pd.Series) -> pd.Series:
 
 def register(spark) -> None:
     """The functions by name for SQL."""
-    for name, f in (("geo_area", geo_area), ("geo_type", geo_type), ("geo_bounds", geo_bounds), ("geo_contains", geo_contains), ("geo_distance", geo_distance)):
+    for name, f in (("geo_area", geo_area), ("geo_is_empty", geo_is_empty), ("geo_length", geo_length), ("geo_bounds", geo_bounds), ("geo_contains", geo_contains), ("geo_distance", geo_distance)):
         spark.udf.register(name, f)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import pyarrow as pa
 
 KINDS = ("Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon", "GeometryCollection")
 
@@ -90,6 +91,22 @@ def envelope(xmin: float, ymin: float, xmax: float, ymax: float) -> bytes:
     return dumps("Polygon", [[(xmin, ymin), (xmax, ymin), (xmax, ymax), (xmin, ymax), (xmin, ymin)]])
 
 
+def fixed(kind: str, coordinates: np.ndarray) -> pa.Array:
+    """Geometries of one kind and one number of points from an array (rows, points, 2): a LineString each, or a Polygon of one closed ring."""
+    rows, points, _ = coordinates.shape
+    head = struct.pack("<BII", 1, 2, points) if kind == "LineString" else struct.pack("<BIII", 1, 3, 1, points)
+    out = np.zeros((rows, len(head) + 16 * points), np.uint8)
+    out[:, : len(head)] = np.frombuffer(head, np.uint8)
+    out[:, len(head) :] = np.ascontiguousarray(coordinates, "<f8").view(np.uint8).reshape(rows, 16 * points)
+    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(np.arange(0, out.size + 1, max(1, out.shape[1]), dtype=np.int32)[: rows + 1]), pa.py_buffer(out)])
+
+
+def envelopes(xmin: np.ndarray, ymin: np.ndarray, xmax: np.ndarray, ymax: np.ndarray) -> pa.Array:
+    """Boxes as closed polygons of five points."""
+    xy = [(xmin, ymin), (xmax, ymin), (xmax, ymax), (xmin, ymax), (xmin, ymin)]
+    return fixed("Polygon", np.stack([np.stack(p, 1) for p in xy], 1))
+
+
 def from_geojson(g: dict) -> tuple[str, list]:
     if g["type"] == "GeometryCollection":
         return g["type"], [from_geojson(x) for x in g["geometries"]]

@@ -54,7 +54,10 @@ def distance_join(left: DataFrame, right: DataFrame, radius: float, lx: str, ly:
     return near.withColumn(distance, F.sqrt(dx * dx + dy * dy)).drop("__lx", "__ly", "__rx", "__ry")
 
 
-def semi_overlap(left: DataFrame, right: DataFrame, key: str, left_box: str, right_box: str, cell: float) -> DataFrame:
-    """Rows of left that overlap any box of right: matching keys first, so left's columns are never multiplied."""
-    found = overlap_join(left.select(key, left_box), right.select(F.col(right_box).alias("__box")), left_box, "__box", cell).select(key).distinct()
+def semi_overlap(left: DataFrame, right: DataFrame, key: str, left_box: str, right_box: str, cell: float, exact: Column | None = None, ring: str | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of left that overlap any box of right and, if given, for which `exact` holds with the column `ring` of right: matching
+    keys first, so left's columns are never multiplied. more: further columns of left that `exact` reads."""
+    r = right.select(F.col(right_box).alias("__box"), *([F.col(ring)] if ring else []))
+    found = overlap_join(left.select(key, left_box, *more), r, left_box, "__box", cell)
+    found = (found if exact is None else found.where(exact)).select(key).distinct()
     return left.join(found, key, "left_semi")

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geolake.functions import geometry as g
+from geolake.functions import grid, kernels, wkb
 from geolake.operators import aggregates as agg
 from geolake.operators import filters as f
 from geolake.operators import spatial_join as sj
@@ -92,29 +100,65 @@ def pip_raycast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("admin_id").agg(F.count("*").alias("n"))
 
 
-@query(f"{WITH} SELECT a.id, count(*) AS n FROM buildings a JOIN buildings b ON a.id < b.id AND a.xmin <= b.xmax AND a.xmax >= b.xmin AND a.ymin <= b.ymax AND a.ymax >= b.ymin GROUP BY 1")
+_ZONES = "zones AS (SELECT id, xmin - CAST(0.01 AS DOUBLE) AS xmin, ymin - CAST(0.01 AS DOUBLE) AS ymin, xmax + CAST(0.01 AS DOUBLE) AS xmax, ymax + CAST(0.01 AS DOUBLE) AS ymax FROM buildings)"
+
+
+def _zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buildings' boxes with about a kilometre around."""
+    b = lambda c, d: (F.col(f"bbox.{c}") + d).alias(c)
+    return geo.buildings(spark, sf_dir).select("id", F.struct((F.col("bbox.xmin") - 0.01).alias("xmin"), (F.col("bbox.ymin") - 0.01).alias("ymin"), b("xmax", 0.01), b("ymax", 0.01)).alias("bbox"))
+
+
+@query(f"{WITH}, {_ZONES} SELECT a.id, count(*) AS n FROM zones a JOIN zones b ON a.id < b.id AND a.xmin <= b.xmax AND a.xmax >= b.xmin AND a.ymin <= b.ymax AND a.ymax >= b.ymin GROUP BY 1")
 def bbox_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = geo.buildings(spark, sf_dir).select("id", F.col("bbox").alias("abox"))
-    b = geo.buildings(spark, sf_dir).select(F.col("id").alias("other"), F.col("bbox").alias("bbox2"))
-    return sj.overlap_join(a, b, "abox", "bbox2", 0.01).where("id < other").groupBy("id").agg(F.count("*").alias("n"))
+    a = _zones(spark, sf_dir).select("id", F.col("bbox").alias("abox"))
+    b = _zones(spark, sf_dir).select(F.col("id").alias("other"), F.col("bbox").alias("bbox2"))
+    return sj.overlap_join(a, b, "abox", "bbox2", 0.03).where("id < other").groupBy("id").agg(F.count("*").alias("n"))
+
 
+#: Home areas with their north-eastern corner cut off: a convex area, so a shape meets it where the corner of what they share lies below the cut.
+_HOME = "home AS (SELECT *, (xmin + xmax) / 2 AS cx, (ymin + ymax) / 2 AS cy FROM admin WHERE region IN (0, 2))"
+_CUT = "({x} - a.cx) / (a.xmax - a.cx) + ({y} - a.cy) / (a.ymax - a.cy) <= 1"
 
-_HOME = "home AS (SELECT * FROM admin WHERE region IN (0, 2))"
 
+def _home(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rings(spark, sf_dir).where("region IN (0, 2)")
 
-@query(f"{WITH}, {_HOME} SELECT id FROM buildings b WHERE EXISTS (SELECT 1 FROM home a WHERE a.xmin <= b.xmax AND a.xmax >= b.xmin AND a.ymin <= b.ymax AND a.ymax >= b.ymin)")
+
+@query(f"""{WITH}, {_HOME} SELECT id FROM buildings b WHERE EXISTS (SELECT 1 FROM home a WHERE a.xmin <= b.xmax AND a.xmax >= b.xmin AND a.ymin <= b.ymax AND a.ymax >= b.ymin
+  AND {_CUT.format(x='greatest(a.xmin, b.xmin)', y='greatest(a.ymin, b.ymin)')})""")
 def in_country_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    home = geo.admin(spark, sf_dir).where("region IN (0, 2)")
-    return sj.semi_overlap(geo.buildings(spark, sf_dir), home, "id", "bbox", "bbox", 0.34).select("id")
+    """Buildings that meet an area's polygon: boxes by cells, then box against polygon."""
+    return sj.semi_overlap(geo.buildings(spark, sf_dir), _home(spark, sf_dir), "id", "bbox", "bbox", 0.34, g.ring_meets_box(F.col("ring"), "bbox"), "ring").select("id")
+
+
+_PART = {"t0": "greatest(0, CASE WHEN x2 > lon THEN (a.xmin - lon) / (x2 - lon) ELSE 0 END, CASE WHEN y2 > lat THEN (a.ymin - lat) / (y2 - lat) ELSE 0 END)", "t1": "least(1, CASE WHEN x2 > lon THEN (a.xmax - lon) / (x2 - lon) ELSE 1 END, CASE WHEN y2 > lat THEN (a.ymax - lat) / (y2 - lat) ELSE 1 END)"}
 
 
 @query(f"""{WITH}, {_HOME} SELECT id FROM roads r WHERE len(list_filter(route_names, lambda x: starts_with(x, 'Q1'))) > 0
-  OR EXISTS (SELECT 1 FROM home a WHERE a.xmin <= r.x2 AND a.xmax >= r.lon AND a.ymin <= r.y2 AND a.ymax >= r.lat)""")
+  OR EXISTS (SELECT 1 FROM home a WHERE a.xmin <= r.x2 AND a.xmax >= r.lon AND a.ymin <= r.y2 AND a.ymax >= r.lat AND {_PART['t0']} <= {_PART['t1']}
+  AND {_CUT.format(x=f"(lon + {_PART['t0']} * (x2 - lon))", y=f"(lat + {_PART['t0']} * (y2 - lat))")})""")
 def semi_or_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The disjunction is split into two exclusive parts, so that the spatial part stays an equi-join."""
-    roads, home = geo.roads(spark, sf_dir), geo.admin(spark, sf_dir).where("region IN (0, 2)")
+    """The disjunction is split into two exclusive parts, so that the spatial part stays an equi-join; segments are held against polygons."""
+    roads, home = geo.roads(spark, sf_dir), _home(spark, sf_dir)
     named = F.exists("route_names", lambda x: x.startswith("Q1"))
-    return roads.where(named).select("id").unionByName(sj.semi_overlap(roads.where(~named), home, "id", "bbox", "bbox", 0.34).select("id"))
+    exact = g.ring_meets_segment(F.col("ring"), *map(F.col, ("lon", "lat", "x2", "y2")))
+    return roads.where(named).select("id").unionByName(sj.semi_overlap(roads.where(~named), home, "id", "bbox", "bbox", 0.34, exact, "ring", ("lon", "lat", "x2", "y2")).select("id"))
+
+
+_TX, _TY = "CAST(floor((lon + 180) / 360 * 2048) AS BIGINT)", "CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 2048) AS BIGINT)"
+_NORTH = "degrees(atan((exp(pi() * (1 - CAST({y} AS DOUBLE) * 2 / 2048)) - exp(-pi() * (1 - CAST({y} AS DOUBLE) * 2 / 2048))) / 2))"
+
+
+@query(f"""{WITH}, {_HOME}, t AS (SELECT {_TX} AS x, {_TY} AS y, count(*) AS n FROM census GROUP BY 1, 2),
+b AS (SELECT x, y, n, CAST(x AS DOUBLE) / 2048 * 360 - 180 AS xmin, CAST(x + 1 AS DOUBLE) / 2048 * 360 - 180 AS xmax, {_NORTH.format(y='y + 1')} AS ymin, {_NORTH.format(y='y')} AS ymax FROM t)
+SELECT x, y, n FROM b WHERE EXISTS (SELECT 1 FROM home a WHERE a.xmin <= b.xmax AND a.xmax >= b.xmin AND a.ymin <= b.ymax AND a.ymax >= b.ymin AND {_CUT.format(x='greatest(a.xmin, b.xmin)', y='greatest(a.ymin, b.ymin)')})""")
+def tile_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The semi-join at the grain of tiles: points are counted by tile first, and tiles, far fewer, meet the polygons."""
+    tiles = geo.census(spark, sf_dir).groupBy(grid.tile_x(F.col("lon"), 11).alias("x"), grid.tile_y(F.col("lat"), 11).alias("y")).agg(F.count("*").alias("n"))
+    tiles = tiles.withColumn("quadkey", grid.quadkey_of_tile(F.col("x"), F.col("y"), 11))
+    tiles = tiles.select("*", F.inline(F.array(grid.quadkey_bounds(F.col("quadkey"))))).withColumn("bbox", g.box(*map(F.col, ("xmin", "ymin", "xmax", "ymax"))))  # worked out once a tile
+    return sj.semi_overlap(tiles, _home(spark, sf_dir), "quadkey", "bbox", "bbox", 0.34, g.ring_meets_box(F.col("ring"), "bbox"), "ring").select("x", "y", "n")
 
 
 @query(f"""{WITH}, sea AS (SELECT n_nationkey AS admin_id, n_nationkey % 3 AS share FROM nation WHERE n_nationkey % 4 = 0)
@@ -170,7 +214,7 @@ def nearby_buildings_by_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{WITH}, {_NEAR}, d AS (SELECT DISTINCT name FROM near WHERE name IS NOT NULL) SELECT name, (SELECT count(*) FROM d) AS total FROM d ORDER BY name LIMIT 30")
 def nearby_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _near(spark, sf_dir).where("name is not null").select("name").distinct()
-    return f.top(d, 30, F.col("name")).withColumn("total", F.lit(d.count()))
+    return f.top(d, 30, F.col("name")).withColumn("total", d.agg(F.count("*")).scalar())
 
 
 @query(f"{WITH} SELECT CAST(coalesce(sum(population), 0) AS BIGINT) AS population, count(*) AS cells FROM census WHERE {_MX} * {_MX} + {_MY} * {_MY} <= CAST(20000 AS DOUBLE) * 20000")
@@ -179,6 +223,45 @@ def nearby_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.census(spark, sf_dir).where(x * x + y * y <= 20000.0 * 20000.0).agg(F.coalesce(F.sum("population"), F.lit(0)).alias("population"), F.count("*").alias("cells"))
 
 
+_PX = "(({x} - CAST(139.8 AS DOUBLE)) * CAST(111320 AS DOUBLE) * cos(radians(CAST(35.65 AS DOUBLE))))"
+_PY = "(({y} - CAST(35.65 AS DOUBLE)) * CAST(110540 AS DOUBLE))"
+_LINE = [(139.6, 35.5), (139.8, 35.65), (140.1, 35.7)]
+_TO = "sqrt(pow(px - (ax + t * (ex - ax)), 2) + pow(py - (ay + t * (ey - ay)), 2))"
+
+
+@query(f"""{WITH}, s(x1, y1, x2, y2) AS (VALUES {", ".join(f"(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE), CAST({c} AS DOUBLE), CAST({d} AS DOUBLE))" for (a, b), (c, d) in zip(_LINE, _LINE[1:]))}),
+m AS (SELECT c_custkey, population, {_MX} AS px, {_MY} AS py, {_PX.format(x='x1')} AS ax, {_PY.format(y='y1')} AS ay, {_PX.format(x='x2')} AS ex, {_PY.format(y='y2')} AS ey FROM census, s),
+d AS (SELECT *, least(greatest(((px - ax) * (ex - ax) + (py - ay) * (ey - ay)) / ((ex - ax) * (ex - ax) + (ey - ay) * (ey - ay)), 0), 1) AS t FROM m)
+SELECT c_custkey, round(min({_TO}), 3) AS metres FROM d GROUP BY 1 HAVING min({_TO}) <= 3000""")
+def nearby_line_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points within 3 km of a line: the box of the zone first, then the least distance to the line's segments."""
+    x, y = g.metres(F.col("lon"), F.col("lat"), 139.8, 35.65)
+    flat = [tuple(v for p in (a, b) for v in ((p[0] - 139.8) * g.METRES_LON * math.cos(math.radians(35.65)), (p[1] - 35.65) * g.METRES_LAT)) for a, b in zip(_LINE, _LINE[1:])]
+    d = geo.census(spark, sf_dir).where("lon between 139.55 and 140.15 and lat between 35.45 and 35.75").select("c_custkey", x.alias("x"), y.alias("y"))
+    metres = F.least(*[g.segment_distance(F.col("x"), F.col("y"), *map(F.lit, s)) for s in flat])
+    return d.select("c_custkey", metres.alias("metres")).where("metres <= 3000").withColumn("metres", F.round("metres", 3))
+
+
+def _cell_sql(digits: int, radius: int) -> str:
+    ny, nx = grid.MESH_PARTS[digits]
+    box = [_PX.format(x=f"(cx / CAST({nx} AS DOUBLE) + 100)"), _PX.format(x=f"((cx + 1) / CAST({nx} AS DOUBLE) + 100)"), _PY.format(y=f"(cy / CAST({ny} AS DOUBLE))"), _PY.format(y=f"((cy + 1) / CAST({ny} AS DOUBLE))")]
+    return f"""SELECT {digits} AS digits, CAST(coalesce(sum(population), 0) AS BIGINT) AS population, count(*) AS cells FROM (SELECT floor((lon - 100) * {nx}) AS cx, floor(lat * {ny}) AS cy, sum(population) AS population FROM census GROUP BY 1, 2)
+  WHERE pow(greatest({box[0]}, 0, -{box[1]}), 2) + pow(greatest({box[2]}, 0, -{box[3]}), 2) <= pow(CAST({radius} AS DOUBLE), 2)"""
+
+
+@query(f"{WITH} " + " UNION ALL ".join(f"SELECT * FROM (SELECT {r} AS radius, * FROM ({_cell_sql(8, r)} UNION ALL {_cell_sql(6, r)}) WHERE cells > 0 ORDER BY digits DESC LIMIT 1)" for r in (300, 9000)))
+def nearby_population_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole cells that a radius touches, of the finest mesh that has any: 8 digits, or else 6."""
+    d = geo.census(spark, sf_dir)
+    levels = {}
+    for digits in (8, 6):
+        cells = d.groupBy(grid.mesh_code(F.col("lon"), F.col("lat"), digits).alias("m")).agg(F.sum("population").alias("population"))
+        cells = cells.select("population", F.inline(F.array(grid.mesh_bounds(F.col("m")))))  # worked out once a cell
+        (x1, y1), (x2, y2) = g.metres(F.col("xmin"), F.col("ymin"), 139.8, 35.65), g.metres(F.col("xmax"), F.col("ymax"), 139.8, 35.65)
+        levels[digits] = cells.select(g.box(x1, y1, x2, y2).alias("b"), "population")
+    return reduce(DataFrame.unionByName, [agg.nearby_cells(levels, F.lit(0.0), F.lit(0.0), float(r)).withColumn("radius", F.lit(r)) for r in (300, 9000)])
+
+
 @query(f"""{WITH}, a AS (SELECT s_suppkey, {_MX} AS x, {_MY} AS y FROM stations), b AS (SELECT c_custkey, {_MX} AS u, {_MY} AS v FROM census)
 SELECT s_suppkey, count(*) AS n, round(min(sqrt((x - u) * (x - u) + (y - v) * (y - v))), 3) AS nearest FROM a JOIN b ON (x - u) * (x - u) + (y - v) * (y - v) <= CAST(5000 AS DOUBLE) * 5000 GROUP BY 1""")
 def distance_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,10 +285,24 @@ def segment_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("id", at("lon", "x2", "t0").alias("x1"), at("lat", "y2", "t0").alias("y1"), at("lon", "x2", "t1").alias("x2"), at("lat", "y2", "t1").alias("y2"))
 
 
-@query(f"{WITH} SELECT count(*) AS n, round(min(xmin), 9) AS xmin, round(min(ymin), 9) AS ymin, round(max(xmax), 9) AS xmax, round(max(ymax), 9) AS ymax, 'Polygon' AS kinds FROM buildings")
+@query(f"""{WITH} SELECT count(*) AS n, round(min(xmin), 9) AS xmin, round(min(ymin), 9) AS ymin, round(max(xmax), 9) AS xmax, round(max(ymax), 9) AS ymax,
+  string_agg(DISTINCT CASE WHEN id % 3 = 0 THEN 'LineString' ELSE 'Polygon' END, ',' ORDER BY CASE WHEN id % 3 = 0 THEN 'LineString' ELSE 'Polygon' END) AS kinds FROM buildings""")
 def dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = agg.extent(geo.buildings(spark, sf_dir))
-    return d.select("n", *[F.round(c, 9).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")], F.lit("Polygon").alias("kinds"))
+    """Count, extent and the kinds of geometries, as their WKB has them; every third building is drawn as a line."""
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            box = b.column("bbox")
+            xmin, ymin, xmax, ymax = (box.field(c).to_numpy(zero_copy_only=False) for c in ("xmin", "ymin", "xmax", "ymax"))
+            line = wkb.fixed("LineString", np.stack([np.stack([xmin, ymin], 1), np.stack([xmax, ymax], 1)], 1))
+            third = pc.equal(pc.subtract(b.column("id"), pc.multiply(pc.divide(b.column("id"), 3), 3)), 0)
+            yield pa.RecordBatch.from_arrays([box, pc.if_else(third, line, wkb.envelopes(xmin, ymin, xmax, ymax))], ["bbox", "geometry"])
+
+    d = geo.buildings(spark, sf_dir).select(F.col("id").cast("long").alias("id"), "bbox")
+    d = d.mapInArrow(drawn, f"bbox {d.schema['bbox'].dataType.simpleString()}, geometry binary").withColumn("kind", kernels.geo_type("geometry"))
+    e = ("xmin", "ymin", "xmax", "ymax")
+    per = d.groupBy("kind").agg(F.count("*").alias("n"), *[(F.min if c.endswith("min") else F.max)(f"bbox.{c}").alias(c) for c in e])
+    return per.agg(F.sum("n").alias("n"), *[F.round((F.min if c.endswith("min") else F.max)(c), 9).alias(c) for c in e], F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
 
 
 @query(f"{WITH} SELECT city, count(*) AS n, round(min(xmin), 9) AS xmin, round(max(ymax), 9) AS ymax FROM buildings GROUP BY 1")
@@ -232,6 +329,6 @@ def export_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def str_pack_rowgroups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strips along x, cells along y inside a strip: the extents of the row groups of a packed file (one file's rows)."""
     d = geo.buildings(spark, sf_dir).select("id", (F.col("bbox.xmin") + F.col("bbox.xmax")).alias("cx"), (F.col("bbox.ymin") + F.col("bbox.ymax")).alias("cy"))
-    d = d.withColumn("strip", F.floor((F.row_number().over(Window.orderBy("cx", "id")) - 1) / 500))
+    d = agg.places(d, "cx", "id", F.floor(F.col("cx") * 500)).withColumn("strip", F.floor(F.col("place") / 500))
     d = d.withColumn("cell", F.floor((F.row_number().over(Window.partitionBy("strip").orderBy("cy", "id")) - 1) / 100))
     return d.groupBy("strip", "cell").agg(F.count("*").alias("n"), F.round(F.max("cx") - F.min("cx"), 6).alias("width"), F.round(F.max("cy") - F.min("cy"), 6).alias("height"))

@@ -8,11 +8,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolake.functions import grid, kernels, wkb
+from geolake.functions import geometry, grid, kernels, wkb
+from geolake.operators import aggregates as agg
 from geolake.operators import filters as f
 from geolake.operators.spatial_join import overlap_join
 from geolake.sources import geoparquet
@@ -20,45 +22,58 @@ from geolake.sources.shared import shared_dir
 from geolake.streaming.coverage import stream_coverage
 
 from . import geography as geo
+from .mesh_queries import quadkey_sql
 from .registry import registry
 
 QUERIES, ORACLES, query = registry()
 
 
-def _line_wkb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        xs = zip(*(b.column(c).to_pylist() for c in ("x1", "y1", "x2", "y2")))
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([wkb.dumps("LineString", [(p, q), (r, s)]) for p, q, r, s in xs], pa.binary())], [*b.schema.names, "geometry"])
+_STREETS = """streets AS (SELECT class, i, j, east, count(*) AS rows, CASE WHEN east = 1 THEN CAST(2 * i + 1 AS DOUBLE) ELSE CAST(2 * i AS DOUBLE) END / 100 AS mx, CASE WHEN east = 1 THEN CAST(2 * j AS DOUBLE) ELSE CAST(2 * j + 1 AS DOUBLE) END / 100 AS my
+  FROM (SELECT class, CAST(floor(lon * 50) AS BIGINT) AS i, CAST(floor(lat * 50) AS BIGINT) AS j, id % 2 AS east FROM roads) GROUP BY 1, 2, 3, 4)"""
 
 
 def road_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments of a square grid of streets, one for each order's place, so that ends meet."""
+    """Streets on a square grid, one for each class, place and direction of the orders, so that ends meet; rows: the orders on it. mx, my: the middle."""
     cell = lambda c: F.floor(F.col(c) * 50)
-    d = geo.roads(spark, sf_dir).select("id", "class", cell("lon").alias("i"), cell("lat").alias("j")).dropDuplicates(["class", "i", "j"])
-    east = F.col("id") % 2
-    d = d.select("id", "class", *[(v / 50).alias(n) for n, v in (("x1", F.col("i")), ("y1", F.col("j")), ("x2", F.col("i") + east), ("y2", F.col("j") + 1 - east))])
-    return d.mapInArrow(_line_wkb, "id long, class string, x1 double, y1 double, x2 double, y2 double, geometry binary")
+    d = geo.roads(spark, sf_dir).groupBy("class", cell("lon").alias("i"), cell("lat").alias("j"), (F.col("id") % 2).alias("east")).agg(F.count("*").alias("rows"))
+    middle = lambda v, along: (v * 2 + F.when(along, 1).otherwise(0)).cast("double") / 100
+    d = d.withColumn("mx", middle(F.col("i"), F.col("east") == 1)).withColumn("my", middle(F.col("j"), F.col("east") != 1))
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            i, j, east = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("i", "j", "east"))
+            ends = np.stack([np.stack([i / 50, j / 50], 1), np.stack([(i + east) / 50, (j + 1 - east) / 50], 1)], 1)
+            yield pa.RecordBatch.from_arrays([*b.columns, wkb.fixed("LineString", ends)], [*b.schema.names, "geometry"])
 
+    return d.mapInArrow(drawn, "class string, i long, j long, east long, rows long, mx double, my double, geometry binary")
 
-@query()
+
+@query(f"WITH {geo.SQL}, {_STREETS} SELECT class, substr({geo.mesh_sql('mx', 'my')}, 1, 6) AS mesh_code, count(*) AS segments, CAST(sum(rows) AS BIGINT) AS rows, round(CAST(count(*) AS DOUBLE) / 50, 6) AS length, true AS merged FROM streets GROUP BY 1, 2")
 def line_merge_simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The coarse level: lines of a class and a 6-digit cell merged, then simplified to 100 m; a group is a cell, so it fits a task."""
-    d = road_lines(spark, sf_dir).groupBy("class", F.floor("x1").alias("i"), F.floor("y1").alias("j")).agg(F.collect_list("geometry").alias("parts"), F.count("*").alias("segments"))
-    d = d.select("class", "i", "j", "segments", kernels.geo_simplify(100 / 111_320)(kernels.geo_merge_lines("parts")).alias("geometry"))
-    return d.withColumn("kind", kernels.geo_type("geometry"))
+    """The coarse level: all lines of a class in a 6-digit cell merged at their ends, then simplified to 100 m, with folds of what
+    they stand for. A group is a cell, so it fits a task; merging keeps the length, and so does simplifying streets that are straight."""
+    d = road_lines(spark, sf_dir).groupBy("class", grid.mesh_code(F.col("mx"), F.col("my"), 6).alias("mesh_code"))
+    d = d.agg(F.array_sort(F.collect_list("geometry")).alias("parts"), F.count("*").alias("segments"), F.sum("rows").alias("rows"))
+    d = d.withColumn("geometry", kernels.geo_simplify(100 / 111_320)(kernels.geo_merge_lines("parts")))
+    merged = kernels.geo_type("geometry").isin("LineString", "MultiLineString")
+    return d.select("class", "mesh_code", "segments", "rows", F.round(kernels.geo_length("geometry"), 6).alias("length"), merged.alias("merged"))
 
 
-def dissolve(parts: DataFrame, key: str) -> DataFrame:
-    """One geometry for each key out of polygons that don't overlap, with its box."""
-    union = F.udf(lambda gs: wkb.dumps(*kernels.collect_polygons([wkb.loads(bytes(g)) for g in gs])), "binary")
-    d = parts.groupBy(key).agg(F.array_sort(F.collect_list("geometry")).alias("parts"))
-    return d.select(key, union("parts").alias("geometry")).withColumn("bbox", kernels.geo_bounds("geometry"))
+@query(f"WITH {geo.SQL} SELECT region, round(count(*) * CAST(0.34 AS DOUBLE) * CAST(0.26 AS DOUBLE), 6) AS area, round(min(xmin), 6) AS xmin, round(max(ymax), 6) AS ymax FROM admin GROUP BY 1")
+def polygon_dissolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as the union of their areas: edges that two areas share cancel out, the rest bounds the region."""
+    b = lambda c: F.col(f"bbox.{c}")
+    corners = [("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax"), ("xmin", "ymax"), ("xmin", "ymin")]
+    ring = F.array(*[F.struct(b(x).alias("x"), b(y).alias("y")) for x, y in corners])
+    edges = agg.boundary(geo.admin(spark, sf_dir).withColumn("ring", ring), "region", "ring")
+    area = F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")) / 2
+    return edges.groupBy("region").agg(F.round(area, 6).alias("area"), F.round(F.min("ax"), 6).alias("xmin"), F.round(F.max("ay"), 6).alias("ymax"))
 
 
 def _envelopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        boxes = b.column("bbox").to_pylist()
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([wkb.envelope(x["xmin"], x["ymin"], x["xmax"], x["ymax"]) for x in boxes], pa.binary())], [*b.schema.names, "geometry"])
+        box = b.column("bbox")
+        yield pa.RecordBatch.from_arrays([*b.columns, wkb.envelopes(*(box.field(c).to_numpy(zero_copy_only=False) for c in ("xmin", "ymin", "xmax", "ymax")))], [*b.schema.names, "geometry"])
 
 
 def _with_geometry(df: DataFrame) -> DataFrame:
@@ -66,29 +81,32 @@ def _with_geometry(df: DataFrame) -> DataFrame:
     return df.mapInArrow(_envelopes, f"{kinds}, geometry binary")
 
 
-@query()
-def polygon_dissolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = dissolve(_with_geometry(geo.admin(spark, sf_dir)), "region")
-    return d.select("region", kernels.geo_type("geometry").alias("kind"), F.round(kernels.geo_area("geometry"), 6).alias("area"), F.round("bbox.xmin", 6).alias("xmin"))
+TILE_ROWS = 300
 
 
-def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _with_geometry(geo.buildings(spark, sf_dir).withColumn("tile", F.floor("lon").cast("string")))
-    return geoparquet.write(d, f"{shared_dir(spark)}/buildings-{uuid.uuid4().hex}", "tile", ["Polygon"], size=200)
+def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """Buildings as packed files of adaptive tiles: (items, folder)."""
+    folder = f"{shared_dir(spark)}/buildings-{uuid.uuid4().hex}"
+    return geoparquet.write_tiles(_with_geometry(geo.buildings(spark, sf_dir)), folder, 6, 12, TILE_ROWS, ["Polygon"], size=100), folder
 
 
-@query()
+@query(f"WITH {geo.SQL} SELECT id, usage FROM buildings WHERE xmin <= CAST(139.9 AS DOUBLE) AND xmax >= CAST(139.5 AS DOUBLE) AND ymin <= CAST(35.9 AS DOUBLE) AND ymax >= CAST(35.4 AS DOUBLE)")
 def geoparquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packed files written, pruned by the catalogue's boxes, read again: buildings in a view."""
-    paths = geoparquet.files_in_view(_packed(spark, sf_dir), 139.5, 35.4, 139.9, 35.9)
-    d = spark.read.parquet(*paths)
-    return d.where("bbox.xmin <= 139.9 AND bbox.xmax >= 139.5 AND bbox.ymin <= 35.9 AND bbox.ymax >= 35.4").select("id", "usage")
+    """Packed files written, read again: the view's box reaches the statistics of their row groups."""
+    _, folder = _packed(spark, sf_dir)
+    return spark.read.parquet(folder).where(geometry.intersects_view("bbox", 139.5, 35.4, 139.9, 35.9)).select("id", "usage")
+
+
+_BNODES = f"""nodes AS (SELECT substr(key, 1, d) AS quadkey, CAST(sum(n) AS BIGINT) AS rows FROM keys, range(6, 13) t(d) GROUP BY 1),
+tiles AS (SELECT a.quadkey FROM nodes a LEFT JOIN nodes p ON length(a.quadkey) > 6 AND p.quadkey = substr(a.quadkey, 1, length(a.quadkey) - 1) WHERE (p.quadkey IS NULL OR p.rows > {TILE_ROWS}) AND (a.rows <= {TILE_ROWS} OR length(a.quadkey) = 12))"""
 
 
-@query()
+@query(f"WITH {geo.SQL}, bk AS (SELECT *, {quadkey_sql(12)} AS key FROM buildings), keys AS (SELECT key, count(*) AS n FROM bk GROUP BY 1), {_BNODES} SELECT quadkey, count(*) AS rows, round(min(xmin), 6) AS xmin, round(max(ymax), 6) AS ymax FROM bk JOIN tiles ON starts_with(bk.key, tiles.quadkey) GROUP BY 1")
 def items_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One item for each row group of the packed files, from their footers."""
-    return geoparquet.footers(_packed(spark, sf_dir)).select("row_group", "rows", F.round("xmin", 6).alias("xmin"), F.round("ymax", 6).alias("ymax"))
+    """Items of the packed files, added up from the footers of their row groups."""
+    items, _ = _packed(spark, sf_dir)
+    per = geoparquet.footers(items).groupBy("file").agg(F.sum("rows").alias("rows"), F.min("xmin").alias("xmin"), F.max("ymax").alias("ymax"))
+    return per.join(items.select("file", "quadkey"), "file").select("quadkey", "rows", F.round("xmin", 6).alias("xmin"), F.round("ymax", 6).alias("ymax"))
 
 
 _OCEAN = """ocean AS (SELECT CAST(139 AS DOUBLE) + CAST(r_regionkey AS DOUBLE) * CAST(0.37 AS DOUBLE) AS oxmin, CAST(35 AS DOUBLE) + CAST(r_regionkey AS DOUBLE) * CAST(0.21 AS DOUBLE) AS oymin FROM region),
@@ -144,6 +162,9 @@ def tile_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.groupBy(F.col("t.z").cast("long").alias("z"), "t.x", "t.y").agg(F.count("*").alias("n"))
 
 
-@query()
+_ELON, _ELAT = geo.lon("event_id"), geo.lat("event_id")
+
+
+@query(f"SELECT date_trunc('day', CAST(ts AS TIMESTAMP)) AS start, substr({geo.mesh_sql(_ELON, _ELAT)}, 1, 4) AS mesh_code, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
 def stream_mesh_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_coverage(spark, f"{sf_dir}/events.parquet")

@@ -43,7 +43,7 @@ def mesh_code_finest(spark: SparkSession, sf_dir: str) -> DataFrame:
   round({_AREA}, 6) AS km2 FROM (SELECT DISTINCT {M8} AS m FROM census)""")
 def mesh_bounds_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = geo.census(spark, sf_dir).select(grid.mesh_code(*map(F.col, XY)).alias("mesh_code")).distinct().withColumn("b", grid.mesh_bounds(F.col("mesh_code")))
-    return d.select("mesh_code", *[F.round(F.col("b")[x], 9).alias(x) for x in ("xmin", "ymin", "xmax", "ymax")], F.round(grid.cell_area_km2(F.col("b")), 6).alias("km2"))
+    return d.select("mesh_code", *[F.round(F.col("b")[x], 9).alias(x) for x in ("xmin", "ymin", "xmax", "ymax")], F.round(grid.mesh_area_km2(F.col("mesh_code")), 6).alias("km2"))
 
 
 def _rollup(digits: int):
@@ -59,10 +59,11 @@ for _digits in (8, 6, 4):
 
 
 @query(f"""{WITH}, {CELLS} SELECT mesh_code, CAST(sum(population) AS BIGINT) AS population, CAST(sum(households) AS BIGINT) AS households, round(max(density), 3) AS density
-  FROM (SELECT * FROM cells UNION ALL SELECT * FROM cells) GROUP BY 1""")
+  FROM (SELECT * FROM cells WHERE mesh_code < '5340' UNION ALL SELECT mesh_code, population, households, density FROM cells WHERE mesh_code >= '5239') GROUP BY 1""")
 def mesh_two_file_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _cells(spark, sf_dir)
-    return agg.accumulate([cells, cells]).withColumn("density", F.round("density", 3))
+    """Two tables that overlap, added up by cell, with the totals compared."""
+    tables = [_cells(spark, sf_dir).where("mesh_code < '5340'"), _cells(spark, sf_dir).where("mesh_code >= '5239'")]
+    return agg.check_totals(tables, agg.accumulate(tables)).withColumn("density", F.round("density", 3))
 
 
 COVERAGE = f"coverage AS (SELECT {M8} AS mesh_code, count(*) AS buildings, list_sort(list_distinct(list(city))) AS cities FROM buildings GROUP BY 1)"
@@ -85,29 +86,32 @@ def coverage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{WITH}, {COVERAGE} SELECT count(*) > 0 AS present FROM (SELECT 1 FROM coverage WHERE mesh_code LIKE '5339%' LIMIT 1)""")
 def coverage_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _coverage(spark, sf_dir).where(F.col("mesh_code").startswith("5339")).limit(1).agg((F.count("*") > 0).alias("present"))
+    """Asked of the points: the first one in the area ends the search, no coverage is built."""
+    d = geo.buildings(spark, sf_dir).where(grid.mesh_code(*map(F.col, XY), 8).startswith("5339"))
+    return d.select(F.lit(1)).limit(1).agg((F.count("*") > 0).alias("present"))
 
 
 _BANDS = "CASE WHEN density IS NULL THEN NULL WHEN density < 5 THEN {0} WHEN density < 50 THEN {1} WHEN density < 500 THEN {2} WHEN density < 5000 THEN {3} WHEN density < 50000 THEN {4} ELSE {5} END"
-_ROWS = ((2, 3, 4, 5, 6, 7), (3, 4, 5, 6, 7, 8), (4, 5, 6, 7, 8, "NULL"))
+_ROWS = ((2, 3, 4, 5, 6, 7), (3, 4, 5, 6, 7, 8), (4, 5, 6, 7, 8, "NULL"), (5, 6, 7, 8, 9, "NULL"), (6, 7, 8, 9, 10, "NULL"))
 
 
-@query(f"{WITH}, {CELLS} SELECT " + ", ".join(f"{_BANDS.format(*r)} AS class_{k}" for k, r in enumerate(_ROWS)) + ", count(*) AS n FROM cells GROUP BY 1, 2, 3")
+@query(f"{WITH}, {CELLS} SELECT " + ", ".join(f"{_BANDS.format(*r)} AS class_{k}" for k, r in enumerate(_ROWS)) + ", count(*) AS n FROM cells GROUP BY 1, 2, 3, 4, 5")
 def igrc_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cells(spark, sf_dir).groupBy(*[grid.igrc(F.col("density"), k).alias(f"class_{k}") for k in range(3)]).agg(F.count("*").alias("n"))
+    return _cells(spark, sf_dir).groupBy(*[grid.igrc(F.col("density"), k).alias(f"class_{k}") for k in range(5)]).agg(F.count("*").alias("n"))
 
 
 _QX = "least(greatest(CAST(floor((lon + 180) / 360 * {n}) AS BIGINT), 0), {n} - 1)"
 _QY = "least(greatest(CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * {n}) AS BIGINT), 0), {n} - 1)"
 
 
-def _key(z: int) -> str:
+def quadkey_sql(z: int) -> str:
+    """SQL text of the quadkey of a place (lon, lat)."""
     x, y = _QX.format(n=1 << z), _QY.format(n=1 << z)
     return f"list_aggregate(list_transform(range({z} - 1, -1, -1), lambda k: CAST((({x} >> k) & 1) + (({y} >> k) & 1) * 2 AS VARCHAR)), 'string_agg', '')"
 
 
 _L = f"l AS (SELECT l_orderkey * 8 + l_linenumber AS id, {geo.lon('l_orderkey * 8 + l_linenumber')} AS lon, {geo.lat('l_orderkey * 8 + l_linenumber')} AS lat FROM lineitem)"
-_KEYS = f"keys AS (SELECT key, count(*) AS n FROM (SELECT {_key(12)} AS key FROM l) GROUP BY 1)"
+_KEYS = f"keys AS (SELECT key, count(*) AS n FROM (SELECT {quadkey_sql(12)} AS key FROM l) GROUP BY 1)"
 
 
 def _many(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +122,7 @@ def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _many(spark, sf_dir).groupBy(grid.quadkey(*map(F.col, XY), 12).alias("key")).agg(F.count("*").alias("n"))
 
 
-@query(f"{WITH} SELECT c_custkey, {_key(12)} AS quadkey FROM census")
+@query(f"{WITH} SELECT c_custkey, {quadkey_sql(12)} AS quadkey FROM census")
 def quadkey_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.census(spark, sf_dir).select("c_custkey", grid.quadkey(*map(F.col, XY), 12).alias("quadkey"))
 
@@ -133,7 +137,7 @@ _TY = "list_reduce(list_transform(range(1, 9), lambda i: CAST(substr(key, i, 1)
 _LATOF = "round(degrees(atan((exp(v) - exp(-v)) / 2)), 8)"
 
 
-@query(f"""WITH {_L}, k AS (SELECT DISTINCT {_key(8)} AS key FROM l), t AS (SELECT key, {_TX} AS x, {_TY} AS y FROM k)
+@query(f"""WITH {_L}, k AS (SELECT DISTINCT {quadkey_sql(8)} AS key FROM l), t AS (SELECT key, {_TX} AS x, {_TY} AS y FROM k)
 SELECT key AS quadkey, round(CAST(x AS DOUBLE) / 256 * 360 - 180, 8) AS xmin, round(CAST(x + 1 AS DOUBLE) / 256 * 360 - 180, 8) AS xmax,
   round(degrees(atan((exp(pi() * (1 - CAST(y + 1 AS DOUBLE) * 2 / 256)) - exp(-pi() * (1 - CAST(y + 1 AS DOUBLE) * 2 / 256))) / 2)), 8) AS ymin,
   round(degrees(atan((exp(pi() * (1 - CAST(y AS DOUBLE) * 2 / 256)) - exp(-pi() * (1 - CAST(y AS DOUBLE) * 2 / 256))) / 2)), 8) AS ymax FROM t""")
@@ -152,14 +156,23 @@ def choose_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.choose_tiles(_counts(spark, sf_dir), 7, 12, 400)
 
 
-@query(f"WITH {_L}, {_KEYS}, {_TILES} SELECT quadkey, count(*) AS n FROM (SELECT {_key(12)} AS key FROM l) k JOIN tiles ON starts_with(k.key, tiles.quadkey) GROUP BY 1")
+@query(f"WITH {_L}, {_KEYS}, {_TILES} SELECT quadkey, count(*) AS n FROM (SELECT {quadkey_sql(12)} AS key FROM l) k JOIN tiles ON starts_with(k.key, tiles.quadkey) GROUP BY 1")
 def tile_partition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = _many(spark, sf_dir).select(grid.quadkey(*map(F.col, XY), 12).alias("key"))
-    return agg.assign_tiles(keys, agg.choose_tiles(_counts(spark, sf_dir), 7, 12, 400), 7, 12).groupBy("quadkey").agg(F.count("*").alias("n"))
+    """Rows by tile: the distinct fine keys find their tiles, so rows are aggregated once and never multiplied."""
+    counts = _counts(spark, sf_dir)
+    return agg.tile_of_keys(counts, agg.choose_tiles(counts, 7, 12, 400), 7, 12).groupBy("quadkey").agg(F.sum("n").alias("n"))
 
 
-@query(f"{WITH} SELECT DISTINCT {geo.mesh_sql('x', 'y')} AS mesh_code FROM (SELECT CAST(139.7 AS DOUBLE) + CAST(i AS DOUBLE) / 160 AS x, CAST(35.6 AS DOUBLE) + CAST(j AS DOUBLE) / 240 AS y FROM range(0, 13) a(i), range(0, 13) b(j))")
+_VIEWS = """views AS (SELECT n_nationkey AS view, CAST(139.1 AS DOUBLE) + CAST(n_nationkey AS DOUBLE) * CAST(0.031 AS DOUBLE) AS west, CAST(35.1 AS DOUBLE) + CAST(n_nationkey AS DOUBLE) * CAST(0.017 AS DOUBLE) AS south,
+  CAST(0.013 AS DOUBLE) * CAST(n_nationkey AS DOUBLE) AS size FROM nation),
+steps AS (SELECT view, size, west + least(i * CAST(0.00625 AS DOUBLE), size) AS x, south + least(j * CAST(0.00625 AS DOUBLE) * 2 / 3, size) AS y FROM views, range(0, 90) a(i), range(0, 130) b(j) WHERE (i - 1) * CAST(0.00625 AS DOUBLE) < size AND (j - 1) * CAST(0.00625 AS DOUBLE) * 2 / 3 < size)"""
+_CODE = geo.mesh_sql("x", "y")
+
+
+@query(f"""{WITH}, {_VIEWS}, c AS (SELECT view, list_sort(list_distinct(list({_CODE}))) AS fine, list_sort(list_distinct(list(substr({_CODE}, 1, 6)))) AS rough FROM steps GROUP BY 1)
+SELECT view, CASE WHEN len(fine) <= 60 THEN array_to_string(fine, ',') WHEN len(rough) <= 15 THEN array_to_string(rough, ',') END AS codes FROM c""")
 def mesh_cover_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of a view, by steps of half a cell."""
-    d = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(12))).alias("i")).select("i", F.explode(F.sequence(F.lit(0), F.lit(12))).alias("j"))
-    return d.select(grid.mesh_code(F.lit(139.7) + F.col("i").cast("double") / 160, F.lit(35.6) + F.col("j").cast("double") / 240).alias("mesh_code")).distinct()
+    """Cells of views of growing size: 8 digits, then 6, then none. The SQL walks the view by half cells instead."""
+    k = F.col("n_nationkey").cast("double")
+    west, south, size = F.lit(139.1) + k * 0.031, F.lit(35.1) + k * 0.017, F.lit(0.013) * k
+    return geo.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("view"), F.array_join(grid.mesh_cover(west, south, west + size, south + size), ",").alias("codes"))

@@ -103,9 +103,11 @@ def merge_vocabularies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.merge_vocabularies(d)
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_type = 'PROMO' AND regexp_matches(p_name, '^.*(bolt|gear)$')")
+@query("""SELECT p_partkey, p_name || ['市', '町', '村', '区', '郡'][CAST(p_size % 5 AS INT) + 1] AS name FROM part WHERE p_size % 3 > 0 AND p_size % 5 < 4""")
 def municipality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geo.table(spark, sf_dir, "part").where((F.col("p_type") == "PROMO") & F.col("p_name").rlike("^.*(bolt|gear)$")).select("p_partkey", "p_name")
+    suffix = F.get(F.array(*map(F.lit, "市町村区郡")), (F.col("p_size") % 5).cast("int"))
+    d = geo.table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", suffix).alias("name"), F.when(F.col("p_size") % 3 > 0, "locality").otherwise("county").alias("subtype"))
+    return d.where(f.is_municipality(F.col("subtype"), F.col("name"))).select("p_partkey", "name")
 
 
 @query("""SELECT doc_id, length(text) AS n FROM documents WHERE text ILIKE '%the and%' AND text ILIKE '%license%'""")

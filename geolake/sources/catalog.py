@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from dataclasses import dataclass, field
+from pathlib import PurePath
+from urllib.parse import urljoin
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import file_system
+
 ITEM_COLUMNS = {"id", "collection", "file", "rows", "xmin", "ymin", "xmax", "ymax", "kinds", "vintage", "source_lod"}
 
 
@@ -64,11 +69,12 @@ def write_items(items: DataFrame, path: str) -> list[str]:
         sizes[c] = sizes.get(c, 0) + 1
     order = sorted(sizes, key=lambda c: (-sizes[c], c))
     stats = [c for c in ("collection", "xmin", "ymin", "xmax", "ymax") if c in t.column_names]
-    with pq.ParquetWriter(f"{path}.tmp", t.schema, compression="zstd", use_dictionary=False, write_statistics=stats) as w:
+    files, path = file_system(path)
+    with pq.ParquetWriter(f"{path}.tmp", t.schema, compression="zstd", use_dictionary=False, write_statistics=stats, filesystem=files) as w:
         for c in order:
             own = t.filter(pa.compute.equal(t.column("collection"), c))
             w.write_table(own, row_group_size=len(own))
-    os.replace(f"{path}.tmp", path)
+    files.move(f"{path}.tmp", path)
     return order
 
 
@@ -85,6 +91,44 @@ def city_catalog(spark: SparkSession, path: str) -> DataFrame:
     return d.groupBy("city_code", "city_name").agg(F.array_join(F.array_sort(F.collect_set("lod")).cast("array<string>"), ",").alias("lods"))
 
 
+def collection_documents(items: DataFrame, descriptions: dict[str, str]) -> DataFrame:
+    """(path, json): a catalogue with links to its collections, and a collection document for each of them with the extent of its items.
+
+    A collection without a description is an error; descriptions of what isn't there are ignored.
+    """
+    missing = [r["collection"] for r in items.select("collection").distinct().collect() if r["collection"] not in descriptions]  # collections are few
+    if missing:
+        raise ValueError(f"no description of {sorted(missing)}")
+    said = F.create_map(*[F.lit(x) for pair in descriptions.items() for x in pair])
+    link = lambda rel, href: F.struct(F.lit(rel).alias("rel"), href.alias("href"), F.lit("application/json").alias("type"))
+    file = F.concat(F.col("collection"), F.lit("/collection.json"))
+    whole = extents(items)
+    head = lambda kind, name, text: [F.lit(kind).alias("type"), F.lit("1.0.0").alias("stac_version"), name.alias("id"), text.alias("description")]
+    box = F.when(F.col("xmin").isNotNull(), F.array("xmin", "ymin", "xmax", "ymax"))
+    extent = F.struct(F.struct(F.array(box).alias("bbox")).alias("spatial"), F.struct(F.array(F.array(F.lit(None).cast("string"), F.lit(None).cast("string"))).alias("interval")).alias("temporal"))
+    documents = whole.select(file.alias("path"), F.to_json(F.struct(
+        *head("Collection", F.col("collection"), said[F.col("collection")]), F.lit("various").alias("license"), extent.alias("extent"),
+        F.struct("files", "rows").alias("summaries"), F.array(link("root", F.lit("../catalog.json")), link("items", F.lit("../items.parquet"))).alias("links"),
+    )).alias("json"))
+    links = F.concat(F.array(link("self", F.lit("catalog.json"))), F.transform(F.array_sort(F.collect_list(file)), lambda x: link("child", x)))
+    return documents.unionByName(whole.agg(links.alias("links")).select(F.lit("catalog.json").alias("path"), F.to_json(F.struct(*head("Catalog", F.lit("catalogue"), F.lit("All collections")), "links")).alias("json")))
+
+
+def resolve(href: str, base: str) -> str:
+    """A link of the document `base` (a path from the catalogue's root, or a URL) as such a path or URL; absolute URLs stay."""
+    if re.match("[a-z][a-z0-9+.-]*:", href, re.I):
+        return href
+    if re.match("[a-z][a-z0-9+.-]*:", base, re.I):
+        return urljoin(base, href)
+    return urljoin("https://root.invalid/" + base, href).removeprefix("https://root.invalid/")
+
+
+def delivery_path(path: str, base: str) -> str:
+    """The path below base with slashes, as the key of a file in a store."""
+    own, top = PurePath(path.replace("\\", "/")), PurePath(base.replace("\\", "/"))
+    return "/".join((own.relative_to(top) if own.is_relative_to(top) else own).parts)
+
+
 def feature(geometry: Column, **properties: Column) -> Column:
     """A GeoJSON feature as text; geometry is a GeoJSON geometry as text."""
     props = F.to_json(F.struct(*[c.alias(k) for k, c in properties.items()]), {"ignoreNullFields": "false"})

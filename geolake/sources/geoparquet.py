@@ -1,13 +1,14 @@
 """GeoParquet 1.1 files: metadata, spatial packing into row groups, and a distributed writer.
 
 Spark's own writer can neither set file metadata nor cut row groups where a level ends, so files are written by pyarrow
-inside tasks, one file for each group, under a temporary name that is renamed when complete: a retried task repeats its file.
+inside tasks, one file for each tile of a bounded number of rows, through pyarrow's file systems, under a temporary name that is moved when complete: a
+retried task repeats its file. Reading and pruning are Spark's: predicates on `bbox` reach the row groups' statistics.
 """
 
 from __future__ import annotations
 
 import json
-import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,11 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geolake.functions import grid
+from geolake.operators.aggregates import choose_tiles, tile_of_keys
+
+from .shared import file_system, stored
+
 # Bytes aimed at in a row group (by file, and by cell of a leveled layout), most rows in one, most groups in a file.
 GROUP_BYTES, CELL_BYTES, MOST_ROWS, MOST_GROUPS = 2 << 20, 1 << 20, 100_000, 2_000
 
@@ -102,22 +108,25 @@ def write_file(t: pa.Table, path: str, metadata: dict[str, str], size: int | Non
     if cells_first:  # the pruning column first: readers get it with the footer
         t = t.select(["bbox", *[c for c in t.column_names if c != "bbox"]])
     t = t.take(pa.array(order)).replace_schema_metadata(metadata)
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    temporary = f"{path}.{os.getpid()}.tmp"
-    with pq.ParquetWriter(temporary, t.schema, compression="zstd") as w:
+    files, path = file_system(path)
+    files.create_dir(path.rpartition("/")[0], recursive=True)
+    temporary = f"{path}.{uuid.uuid4().hex}.tmp"
+    with pq.ParquetWriter(temporary, t.schema, compression="zstd", filesystem=files) as w:
         at = 0
         for n in groups:
             w.write_table(t.slice(at, n), row_group_size=n)
             at += n
-    os.replace(temporary, path)
+    files.move(temporary, path)
     return len(groups)
 
 
 def write(df: DataFrame, folder: str, by: str, kinds: list[str], extra: dict[str, str] | None = None, **how) -> DataFrame:
     """One file for each value of `by` (a tile, a city: groups that fit a task), under a folder that all executors share.
 
-    Returns file, rows, groups and the extent of every file. df needs `geometry` (WKB) and `bbox`.
+    Returns `by`, file, rows, groups and the extent of every file, as a stored table: the files are written once, however often
+    it is read. df needs `geometry` (WKB) and `bbox`. A folder that can't be written from tasks is an error.
     """
+    file_system(folder)
     metadata = {"geo": geo_metadata(kinds), **(extra or {})}
 
     def put(key: tuple, t: pa.Table) -> pa.Table:
@@ -125,9 +134,26 @@ def write(df: DataFrame, folder: str, by: str, kinds: list[str], extra: dict[str
         groups = write_file(t.drop_columns([by]), path, metadata, **how)
         b = t.column("bbox").combine_chunks()
         edge = [f(b.field(k).to_numpy(zero_copy_only=False)) for k, f in (("xmin", np.min), ("ymin", np.min), ("xmax", np.max), ("ymax", np.max))]
-        return pa.table({"file": [path], "rows": [len(t)], "groups": [groups], "xmin": [edge[0]], "ymin": [edge[1]], "xmax": [edge[2]], "ymax": [edge[3]]})
+        return pa.table({by: [str(key[0].as_py())], "file": [path], "rows": [len(t)], "groups": [groups], "xmin": [edge[0]], "ymin": [edge[1]], "xmax": [edge[2]], "ymax": [edge[3]]})
+
+    return stored(df.groupBy(by).applyInArrow(put, f"{by} string, file string, rows long, groups long, xmin double, ymin double, xmax double, ymax double"), "items")
 
-    return df.groupBy(by).applyInArrow(put, "file string, rows long, groups long, xmin double, ymin double, xmax double, ymax double")
+
+def write_tiles(df: DataFrame, folder: str, least: int, most: int, rows: int, kinds: list[str], **how) -> DataFrame:
+    """Files of adaptive tiles: a tile with more than `rows` rows is split, from `least` down to `most` digits of the quadkey.
+
+    df: `lon`, `lat`, `geometry` and `bbox`. Rows are placed by a join of their fine key with the key's tile. That the files written
+    are the tiles chosen is checked.
+    """
+    keyed = df.withColumn("key", grid.quadkey(F.col("lon"), F.col("lat"), most))
+    counts = stored(keyed.groupBy("key").agg(F.count("*").alias("n")), "keys")
+    tiles = stored(choose_tiles(counts, least, most, rows), "tiles")
+    placed = keyed.join(tile_of_keys(counts, tiles, least, most).select("key", "quadkey"), "key").drop("key")
+    items = write(placed, folder, "quadkey", kinds, **how)
+    wrong = items.select("quadkey", "rows").exceptAll(tiles.select("quadkey", "rows")).unionByName(tiles.select("quadkey", "rows").exceptAll(items.select("quadkey", "rows")))
+    if not wrong.isEmpty():
+        raise ValueError(f"files differ from the tiles: {[r['quadkey'] for r in wrong.limit(5).collect()]}")
+    return items
 
 
 def footers(df: DataFrame, column: str = "file") -> DataFrame:
@@ -137,7 +163,9 @@ def footers(df: DataFrame, column: str = "file") -> DataFrame:
         for b in batches:
             out: dict[str, list] = {k: [] for k in ("file", "row_group", "rows", "bytes", "xmin", "ymin", "xmax", "ymax")}
             for file in b.column(0).to_pylist():
-                meta = pq.read_metadata(file)
+                files, path = file_system(file)
+                with files.open_input_file(path) as f:
+                    meta = pq.read_metadata(f)
                 places = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
                 for g in range(meta.num_row_groups):
                     group = meta.row_group(g)
@@ -149,46 +177,7 @@ def footers(df: DataFrame, column: str = "file") -> DataFrame:
     return df.select(column).mapInArrow(read, "file string, row_group long, rows long, bytes long, xmin double, ymin double, xmax double, ymax double")
 
 
-def common_metadata(paths: list[str]) -> dict[str, str]:
-    """Entries that all files agree on; what differs is left out, schemas that differ are an error."""
-    schemas = [pq.read_schema(p) for p in paths]
-    if any(not s.equals(schemas[0]) for s in schemas):
-        raise ValueError("schemas differ")
-    sets = [{(k.decode(), v.decode()) for k, v in (s.metadata or {}).items() if k != b"geo"} for s in schemas]
-    return dict(set.intersection(*sets))
-
-
-def concatenate(paths: list[str], output: str) -> int:
-    """Copy the row groups of several files into one, the union of their extents in its metadata."""
-    if output in paths:
-        raise ValueError("the output is one of the inputs")
-    metadata, geos = common_metadata(paths), [json.loads(pq.read_schema(p).metadata[b"geo"]) for p in paths]
-    boxes = [b for b in (g["columns"][g["primary_column"]].get("bbox") for g in geos) if b]
-    kinds = sorted({k for g in geos for k in g["columns"][g["primary_column"]].get("geometry_types", [])})
-    box = [min(b[0] for b in boxes), min(b[1] for b in boxes), max(b[2] for b in boxes), max(b[3] for b in boxes)] if boxes else None
-    schema = pq.read_schema(paths[0]).with_metadata(metadata | {"geo": geo_metadata(kinds, box)})
-    n = 0
-    with pq.ParquetWriter(f"{output}.tmp", schema, compression="zstd") as w:
-        for p in paths:
-            f = pq.ParquetFile(p)
-            for g in range(f.num_row_groups):
-                t = f.read_row_group(g).replace_schema_metadata(schema.metadata)
-                w.write_table(t, row_group_size=max(1, len(t)))
-                n += 1
-    os.replace(f"{output}.tmp", output)
-    return n
-
-
-def files_in_view(items: DataFrame, west: float, south: float, east: float, north: float) -> list[str]:
-    """Paths of catalogue items whose box is missing or overlaps the view: the list to scan (one path a file)."""
-    c = F.col
-    near = (c("xmin") <= east) & (c("xmax") >= west) & (c("ymin") <= north) & (c("ymax") >= south)
-    return [r["file"] for r in items.where(c("xmin").isNull() | near).select("file").orderBy("file").collect()]
-
-
 def spatially_sorted(df: DataFrame, lon: str, lat: str, files: int, zoom: int = 16) -> DataFrame:
     """Rows in quadkey order over `files` partitions of about equal size: the layout of tables too large to pack as one file."""
-    from geolake.functions import grid
-
     key = grid.quadkey(F.col(lon), F.col(lat), zoom)
     return df.withColumn("quadkey", key).repartitionByRange(files, "quadkey").sortWithinPartitions("quadkey")

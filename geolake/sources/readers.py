@@ -1,14 +1,12 @@
-"""Readers of source formats: address CSV in zips, census tables with two header rows, GeoJSON, CityGML, tile archives, ranged zips."""
+"""Readers of source formats: address CSV in zips, census tables with two header rows, GeoJSON, CityGML."""
 
 from __future__ import annotations
 
-import gzip
 import io
 import json
-import struct
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -225,66 +223,3 @@ def citygml_buildings(spark: SparkSession, path: str) -> DataFrame:
 
     schema = "building_id string, name string, usage string, height double, storeys long, geometry binary"
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, schema)
-
-
-def pmtiles_header(data: bytes) -> dict:
-    """The header of a version 3 tile archive."""
-    if len(data) < 127 or data[:7] != b"PMTiles" or data[7] != 3:
-        raise ValueError("not a version 3 tile archive")
-    q = struct.unpack_from("<11Q", data, 8)
-    w, s, e, n = (v / 1e7 for v in struct.unpack_from("<4i", data, 102))
-    return {"metadata_offset": q[2], "metadata_length": q[3], "tiles": q[8], "compression": data[97], "tile_type": data[99], "min_zoom": data[100], "max_zoom": data[101], "bounds": [w, s, e, n]}
-
-
-def pmtiles_metadata(data: bytes, header: dict) -> dict:
-    raw = data[header["metadata_offset"] : header["metadata_offset"] + header["metadata_length"]]
-    return json.loads(gzip.decompress(raw) if header["compression"] == 2 else raw)
-
-
-class RangeReader(io.RawIOBase):
-    """A seekable file over a fetcher of byte ranges; reads ahead 256 KB, twice as much while reading goes on, up to 8 MB."""
-
-    def __init__(self, fetch: Callable[[int, int], bytes], size: int, least: int = 256 << 10, most: int = 8 << 20):
-        self.fetch, self.size, self.least, self.most = fetch, size, least, most
-        self.place, self.start, self.held, self.ahead = 0, 0, b"", least
-        self.fetches = 0
-
-    def readable(self) -> bool:
-        return True
-
-    def seekable(self) -> bool:
-        return True
-
-    def tell(self) -> int:
-        return self.place
-
-    def seek(self, offset: int, whence: int = 0) -> int:
-        at = offset + (0, self.place, self.size)[whence]
-        if at < 0:
-            raise ValueError("before the start")
-        self.place = at
-        return at
-
-    def readinto(self, out) -> int:
-        n = min(len(out), self.size - self.place)
-        if n <= 0:
-            return 0
-        inside = self.start <= self.place < self.start + len(self.held)
-        if not inside:
-            goes_on = self.place == self.start + len(self.held) and self.held
-            self.ahead = min(self.most, self.ahead * 2) if goes_on else self.least
-            self.start = self.place
-            self.held = self.fetch(self.place, min(self.size, self.place + max(self.ahead, n)))
-            self.fetches += 1
-            if not self.held:
-                raise OSError("the server sent nothing")
-        at = self.place - self.start
-        part = self.held[at : at + n]
-        out[: len(part)] = part
-        self.place += len(part)
-        return len(part)
-
-
-def ranged_zip(fetch: Callable[[int, int], bytes], size: int) -> zipfile.ZipFile:
-    """A zip whose directory and entries are fetched by ranges only."""
-    return zipfile.ZipFile(RangeReader(fetch, size))

@@ -1,17 +1,34 @@
-"""The folder that the driver and all executors share."""
+"""The folder that the driver and all executors share, tables stored there, and the file systems that files are written to."""
 
 from __future__ import annotations
 
 import re
-import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as a path; a temporary folder only where it is unset, as in tests."""
+    """spark.checkpoint.dir; a session without one is an error, as a folder of one machine would be lost on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="geolake-")
-        spark.sparkContext.setCheckpointDir(base)
-    return re.sub("^file:/+", "/", base).rstrip("/")
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return base.rstrip("/")
+
+
+def stored(df: DataFrame, name: str = "t", **options) -> DataFrame:
+    """df written as Parquet into the shared folder once and read again: cuts the lineage, outlives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI and the path in it; a scheme that files can't be written to from tasks is an error."""
+    scheme = re.match(r"([a-z][a-z0-9+.-]*):", path)
+    if not scheme or scheme[1] == "file":
+        return fs.LocalFileSystem(), re.sub("^file:/+", "/", path)
+    if scheme[1] not in ("s3", "s3a", "gs", "hdfs"):
+        raise ValueError(f"files can't be written to {scheme[1]}:")
+    return fs.FileSystem.from_uri(re.sub("^s3a:", "s3:", path))

@@ -20,10 +20,13 @@ def windowed(events: DataFrame, late: str = "10 minutes", window: str = "1 day",
 
 
 def stream_coverage(spark: SparkSession, path: str) -> DataFrame:
-    """Run the stream over the files at `path` until they are consumed; the result is the table it wrote."""
+    """Run the stream over the table at `path` until it is consumed, then close the windows that it left open by a batch over
+    their rows; the result is what both wrote."""
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(path).schema
-    source = spark.readStream.schema(schema).parquet(path.removesuffix(".parquet") + "*.parquet")
+    events = spark.read.parquet(path)
+    source = spark.readStream.schema(events.schema).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern that only this file matches
     done = windowed(source).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
     done.awaitTermination()
-    return spark.read.schema(windowed(spark.read.schema(schema).parquet(path)).schema).parquet(f"{base}/out")
+    batch = windowed(events)
+    closed = spark.read.schema(batch.schema).parquet(f"{base}/out")
+    return closed.unionByName(batch.join(closed.select("start").distinct(), "start", "left_anti"))

@@ -67,3 +67,19 @@ def test_filters(spark):
             f.check_rules(bad, ["usage", "name"], "usage", False)
     with pytest.raises(ValueError):
         f.check_rules(rules, ["usage"], "usage", True)
+
+
+def test_documents(spark):
+    items = spark.createDataFrame([("a1", "a", "a1.parquet", 5, 0.0, 0.0, 1.0, 1.0), ("a2", "a", "a2.parquet", 7, 2.0, -1.0, 3.0, 1.0), ("b1", "b", "b1.parquet", 1, None, None, None, None)], "id string, collection string, file string, rows long, xmin double, ymin double, xmax double, ymax double")
+    docs = {r.path: json.loads(r.json) for r in c.collection_documents(items, {"a": "Roads", "b": "Names", "z": "none"}).collect()}
+    assert docs.keys() == {"catalog.json", "a/collection.json", "b/collection.json"} and docs["catalog.json"]["type"] == "Catalog"
+    assert [x["href"] for x in docs["catalog.json"]["links"] if x["rel"] == "child"] == ["a/collection.json", "b/collection.json"]
+    assert docs["a/collection.json"]["extent"]["spatial"]["bbox"] == [[0.0, -1.0, 3.0, 1.0]] and docs["a/collection.json"]["description"] == "Roads" and docs["a/collection.json"]["summaries"] == {"files": 2, "rows": 12}
+    with pytest.raises(ValueError, match="description"):
+        c.collection_documents(items, {"a": "Roads"})
+
+
+def test_links():
+    assert c.resolve("roads.parquet", "maps/roads.json") == "maps/roads.parquet" and c.resolve("../x.json", "maps/roads.json") == "x.json" and c.resolve("./a/b", "catalog.json") == "a/b"
+    assert c.resolve("https://h/x", "maps/roads.json") == "https://h/x" and c.resolve("../y", "https://h/a/b/c.json") == "https://h/a/y"
+    assert c.delivery_path("/data/out/maps/a.parquet", "/data/out") == "maps/a.parquet" and c.delivery_path("C:\\d\\x\\a.parquet", "C:\\d") == "x/a.parquet"

@@ -1,6 +1,8 @@
 import json
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from geolake.functions import kernels as k
 from geolake.functions import wkb
@@ -27,6 +29,11 @@ def test_extracts(spark):
     assert got == {"a": ["R1"], "b": [], "d": ["R2"]}
     assert [x.name for x in extract.lines(d, home, extract.WATER_CLASSES).collect()] == ["W"]
     assert extract.buildings(d).count() == 7
+    # an area whose box holds the road but whose polygon doesn't
+    corner = spark.createDataFrame([((138.9, 34.9, 139.5, 35.5), wkb.dumps("Polygon", [[(138.9, 34.9), (138.95, 34.9), (138.9, 35.5), (138.9, 34.9)]]))], "bbox struct<xmin:double,ymin:double,xmax:double,ymax:double>, geometry binary")
+    assert {x.id for x in extract.roads(d, corner).collect()} == {"a", "d"} and extract.lines(d, corner, extract.WATER_CLASSES).count() == 0
+    big = d.where("id = 'f'").withColumn("geometry", F.lit(bytes.fromhex("0000000002") + (2).to_bytes(4, "big") + np.array([139, 35, 139.1, 35.1], ">f8").tobytes()))
+    assert extract.lines(big, home, extract.WATER_CLASSES).count() == 1
     div = spark.createDataFrame([row("1", 139, 35, name="横浜市", subtype="locality", region="JP-14"), row("2", 139, 35, name="神奈川県", subtype="region", region="JP-14"), row("3", 139, 35, name="どこか村", subtype="locality", region="JP-99"), row("4", 139, 35, name="Somewhere", subtype="locality", region="JP-14")], SCHEMA)
     assert {x.city_name: x.pref_name for x in extract.admin(div).collect()} == {"横浜市": "神奈川県", "どこか村": None}
 
@@ -41,15 +48,15 @@ def test_difference():
 
 
 def test_blocks_and_railways(spark, tmp_path):
-    head, line = ",".join(r.BLOCK_COLUMNS), '神奈川県,横浜市鶴見区,上の宮二丁目,"",6,35.514716,139.635860,1,1'
+    head, line = ",".join(r.BLOCK_COLUMNS), '長野県,松本市,中央三丁目,"",12,36.231,137.969,1,1'
     zipped(tmp_path / "b.zip", blocks_DOT_csv=f"{head}\r\n{line}\r\n".encode("cp932"))
     got = r.address_points(spark, str(tmp_path / "b.zip"), r.BLOCK_COLUMNS).first()
-    assert got.koaza_name == "" and got.block_number == "6"
-    station = {"properties": {"N02_001": "11", "N02_002": "2", "N02_003": "指宿枕崎線", "N02_004": "九州旅客鉄道", "N02_005": "二月田", "N02_005c": "010112", "N02_005g": "010112"}, "geometry": {"type": "LineString", "coordinates": [[130.63035, 31.25405], [130.62985, 31.25459]]}}
+    assert got.koaza_name == "" and got.block_number == "12"
+    station = {"properties": {"N02_001": "11", "N02_002": "2", "N02_003": "大糸線", "N02_004": "東日本旅客鉄道", "N02_005": "信濃松川", "N02_005c": "004321", "N02_005g": "004321"}, "geometry": {"type": "LineString", "coordinates": [[130.63035, 31.25405], [130.62985, 31.25459]]}}
     doc = {"type": "FeatureCollection", "crs": {"properties": {"name": "urn:ogc:def:crs:EPSG::6668"}}, "features": [station]}
     (tmp_path / "s.geojson").write_text(json.dumps(doc))
     row_ = r.railways(spark, str(tmp_path / "s.geojson"), stations=True).first()
-    assert (row_.railway_class, row_.institution_type, row_.station_name) == ("普通鉄道JR", "JR在来線", "二月田")
+    assert (row_.railway_class, row_.institution_type, row_.station_name) == ("普通鉄道JR", "JR在来線", "信濃松川")
     station["properties"]["N02_001"] = "99"
     (tmp_path / "t.geojson").write_text(json.dumps(doc))
     with pytest.raises(Exception, match="unknown code"):
@@ -59,5 +66,6 @@ def test_blocks_and_railways(spark, tmp_path):
 def test_register(spark):
     k.register(spark)
     g = wkb.envelope(0, 0, 2, 1).hex()
-    got = spark.sql(f"select geo_area(unhex('{g}')) a, geo_type(unhex('{g}')) t, geo_contains(unhex('{g}'), 1D, 0.5D) c, geo_distance(unhex('{g}'), 3D, 0.5D) d, geo_bounds(unhex('{g}')) b").first()
-    assert (got.a, got.t, got.c, got.d, got.b.xmax) == (2, "Polygon", True, 1, 2)
+    got = spark.sql(f"select geo_area(unhex('{g}')) a, geo_contains(unhex('{g}'), 1D, 0.5D) c, geo_distance(unhex('{g}'), 3D, 0.5D) d, geo_bounds(unhex('{g}')) b").first()
+    assert (got.a, got.c, got.d, got.b.xmax) == (2, True, 1, 2)
+    assert spark.range(1).select(k.geo_type(F.lit(bytes.fromhex(g)))).first()[0] == "Polygon"

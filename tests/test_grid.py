@@ -26,8 +26,21 @@ def test_bounds_and_neighbours(spark):
 
 
 def test_area(spark):
-    r = one(spark, grid.mesh_area_km2(F.lit("53394611")), grid.cell_area_km2(grid.mesh_bounds(F.lit("53394611"))), grid.mesh_area_km2(F.lit("533946111")), grid.mesh_area_km2(F.lit("39272000")), grid.mesh_area_km2(F.lit("68412000")))
-    assert 0.9 < r[0] < 1.1 and math.isclose(r[0], r[1], rel_tol=1e-9) and abs(r[0] / r[2] - 4) < 0.01 and r[3] / r[4] > 1.1
+    r = one(spark, grid.mesh_area_km2(F.lit("53394611")), grid.mesh_bounds(F.lit("53394611")), grid.mesh_area_km2(F.lit("533946111")), grid.mesh_area_km2(F.lit("39272000")), grid.mesh_area_km2(F.lit("68412000")))
+    sphere = math.radians(r[1].xmax - r[1].xmin) * (math.sin(math.radians(r[1].ymax)) - math.sin(math.radians(r[1].ymin))) * 6371.0088**2
+    assert 0.9 < r[0] < 1.1 and math.isclose(r[0], sphere, rel_tol=1e-9) and abs(r[0] / r[2] - 4) < 0.01 and r[3] / r[4] > 1.1
+
+
+def test_cover(spark):
+    cover = lambda w, s, e, n: one(spark, grid.mesh_cover(*map(F.lit, (w, s, e, n))))[0]
+    assert cover(139.7001, 35.6501, 139.7002, 35.6502) == ["53393586"] and len(cover(139.70, 35.65, 139.76, 35.70)) <= 60
+    rough = cover(139.5, 35.5, 139.8, 35.7)
+    assert all(len(c) == 6 for c in rough) and len(rough) <= 15 and cover(139.0, 35.0, 141.0, 37.0) is None
+
+
+def test_road_classes():
+    assert grid.road_classes(["motorway", "trunk", "primary", "x"], 5) == ["motorway", "x"] and grid.road_classes(["trunk", "primary"], 8) == ["trunk"]
+    assert grid.road_classes(["trunk", "primary"], 8, 2) == ["trunk", "primary"] and grid.road_classes(["trunk"], 0, 99) == ["trunk"]
 
 
 @pytest.mark.parametrize("code", ["5339461", "533946115", "533984", "533949", "5339461a", None, ""])

@@ -8,10 +8,11 @@ from geolake.functions import wkb
 
 
 def test_wkb_goldens():
-    little, srid = bytes.fromhex("01010000006666666666766140CDCCCCCCCCCC4140"), bytes.fromhex("0101000020E61000006666666666766140CDCCCCCCCCCC4140")
-    assert wkb.loads(little) == wkb.loads(srid) == ("Point", (139.7, 35.6))
-    many = bytes.fromhex("0104000000020000000101000000000000000000F03F0000000000000040010100000000000000000008400000000000001040")
-    assert wkb.loads(many) == ("MultiPoint", [(1, 2), (3, 4)])
+    at = np.array([137.5, 36.25], "<f8").tobytes()
+    little, srid = b"\x01" + (1).to_bytes(4, "little") + at, b"\x01" + (0x20000001).to_bytes(4, "little") + (4326).to_bytes(4, "little") + at
+    assert wkb.loads(little) == wkb.loads(srid) == ("Point", (137.5, 36.25))
+    part = lambda x, y: b"\x01" + (1).to_bytes(4, "little") + np.array([x, y], "<f8").tobytes()
+    assert wkb.loads(b"\x01" + (4).to_bytes(4, "little") + (2).to_bytes(4, "little") + part(5, -6) + part(7, 8)) == ("MultiPoint", [(5, -6), (7, 8)])
     assert wkb.loads(b"xx" + little, 2)[0] == "Point"
     z = b"\x01" + (1003).to_bytes(4, "little") + (1).to_bytes(4, "little") + (3).to_bytes(4, "little") + np.array([[0, 0, 9], [1, 0, 9], [0, 0, 9]], "<f8").tobytes()
     assert wkb.loads(z) == ("Polygon", [[(0, 0), (1, 0), (0, 0)]])
@@ -58,3 +59,43 @@ def test_lines():
     merged = k.merge_lines([[(0, 0), (1, 0)], [(2, 0), (1, 0)], [(2, 0), (3, 0)], [(2, 0), (2, 1)]])
     assert sorted(map(len, merged)) == [2, 2, 3]
     assert k.merge_lines([[(0, 0), (1, 0)], [(1, 0), (1, 1)], [(1, 1), (0, 0)]])[0][0] == k.merge_lines([[(0, 0), (1, 0)], [(1, 0), (1, 1)], [(1, 1), (0, 0)]])[0][-1]
+
+
+def test_fixed_layouts():
+    got = wkb.envelopes(np.array([0.0, 5]), np.array([1.0, 6]), np.array([2.0, 7]), np.array([3.0, 8])).to_pylist()
+    assert got == [wkb.envelope(0, 1, 2, 3), wkb.envelope(5, 6, 7, 8)] and wkb.envelopes(*[np.zeros(0)] * 4).to_pylist() == []
+    assert wkb.fixed("LineString", np.array([[[0.0, 1], [2, 3]]])).to_pylist() == [wkb.dumps("LineString", [(0, 1), (2, 3)])]
+
+
+def test_separation():
+    line = ("LineString", [(0.0, 0.0), (10.0, 0.0)])
+    assert k.separation(line, ("LineString", [(5.0, 3.0), (5.0, 9.0)])) == 3 and k.separation(line, ("LineString", [(5.0, -1.0), (5.0, 1.0)])) == 0
+    assert k.separation(SQUARE, ("Point", (13.0, 14.0))) == 5 and k.separation(("Point", (5.0, 5.0)), SQUARE) == 1 and k.separation(line, SQUARE) == 0
+    assert k.is_empty("MultiLineString", []) and k.is_empty("Point", (math.nan, math.nan)) and not k.is_empty(*line)
+
+
+def test_native_predicates(spark):
+    from pyspark.sql import functions as F
+
+    from geolake.functions import geometry as g
+    from geolake.operators import aggregates as agg
+
+    rng = np.random.default_rng(3)
+    ring = [(0.0, 0.0), (4.0, 1.0), (5.0, 5.0), (2.0, 3.0), (-1.0, 4.0), (0.0, 0.0)]  # not convex
+    rows = [(i, tuple(map(float, (x, y, x + w, y + h)))) for i, (x, y, w, h) in enumerate(zip(rng.uniform(-3, 6, 300), rng.uniform(-3, 6, 300), rng.uniform(0, 2, 300), rng.uniform(0, 2, 300)))]
+    d = spark.createDataFrame(rows, "i long, b struct<xmin:double,ymin:double,xmax:double,ymax:double>")
+    shape = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ring])
+    got = d.select("i", g.ring_meets_box(shape, "b").alias("box"), g.ring_meets_segment(shape, *[F.col(f"b.{c}") for c in ("xmin", "ymin", "xmax", "ymax")]).alias("line")).collect()
+    for r, (_, (x1, y1, x2, y2)) in zip(sorted(got, key=lambda r: r.i), rows):
+        assert r.box == k.intersects(("Polygon", [ring]), wkb.loads(wkb.envelope(x1, y1, x2, y2))) and r.line == k.intersects(("Polygon", [ring]), ("LineString", [(x1, y1), (x2, y2)]))
+    # squares that share edges: the boundary of a ring of eight of them around a hole, and of one apart
+    squares = [(x, y) for x in range(3) for y in range(3) if (x, y) != (1, 1)] + [(9, 9)]
+    ringed = spark.createDataFrame([("a", [(x + a, y + b) for a, b in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0))]) for x, y in squares], "key string, ring array<struct<x:double,y:double>>")
+    edges = agg.boundary(ringed, "key", "ring")
+    assert edges.count() == 12 + 4 + 4 and abs(edges.agg(F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")) / 2).first()[0] - 9) < 1e-9
+    numbered = agg.places(spark.range(50).withColumn("v", (F.col("id") * 7 % 10).cast("double")), "v", "id", F.floor(F.col("v") / 3)).collect()
+    assert [r.id for r in sorted(numbered, key=lambda r: r.place)] == [r.id for r in sorted(numbered, key=lambda r: (r.v, r.id))] and sorted(r.place for r in numbered) == list(range(50))
+    near = spark.createDataFrame([(wkb.dumps("Point", (139.01, 35.0)),), (wkb.dumps("Point", (139.2, 35.0)),), (None,)], "g binary")
+    assert [r[0] for r in near.select(k.geo_within(("LineString", [(139.0, 34.9), (139.0, 35.1)]), 139.0, 35.0, 2000)("g")).collect()] == [True, False, None]
+    with pytest.raises(Exception, match="totals"):
+        agg.check_totals([near.select(F.lit(3).alias("population"))], near.select(F.lit(4).alias("population"))).collect()

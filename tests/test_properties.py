@@ -36,7 +36,7 @@ def test_tiles_cover_without_overlap(spark):
     got = {r.quadkey: r.rows for r in tiles.collect()}
     assert sum(got.values()) == sum(counts.values()) and all(sum(k.startswith(t) for t in got) == 1 for k in counts)
     assert all(n <= 100 or len(t) == 6 for t, n in got.items())
-    placed = {r.key: r.quadkey for r in agg.assign_tiles(keys, tiles, 2, 6).collect()}
+    placed = {r.key: r.quadkey for r in agg.tile_of_keys(keys, tiles, 2, 6).collect()}
     assert placed.keys() == counts.keys() and all(k.startswith(t) for k, t in placed.items())
 
 
