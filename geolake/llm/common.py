@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geolake.sources.shared import shared_dir, stored
+
+__all__ = ["shared_dir", "stored"]
+
 #: ASCII white space, the separators of words in the contracts.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -31,26 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir; a temporary one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="geolake-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def stored(df: DataFrame, name: str = "t", **options) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: cuts the lineage, outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 #: A key with more than 1 / HEAVY of all rows is heavy: there are fewer than HEAVY such keys.
 HEAVY = 1000
 

@@ -166,7 +166,8 @@ def identify(docs: DataFrame, model: Model, carry: str | None = None) -> DataFra
     """lang_pred and score of every row, beside doc_id or, with `carry`, a struct of that name with all columns of docs.
 
     score: the share of the predicted language if all were equally likely before. A null text or one without a letter is `und`
-    with score 0, as is every text if nothing was learned. The model's arrays are broadcast; their size follows from the
+    with score 0, as is every text if nothing was learned. Of languages with equally short codes the first by name is taken. Rows
+    are judged each for itself, so repeated rows give repeated results; very long texts are coded whole, in parts. An empty table gives no rows. The model's arrays are broadcast; their size follows from the
     bounded sample and the byte alphabet, not from docs.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -177,7 +178,10 @@ def identify(docs: DataFrame, model: Model, carry: str | None = None) -> DataFra
 
 
 def keep(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of docs in a language that was learned from their own labels; `und` and undecided ones go."""
+    """The rows of docs, with all their columns, in a language that was learned from their own labels; `und` and undecided ones go.
+
+    A null text is `und`; a null language teaches nothing but is no reason to go. Repeated rows stay repeated.
+    """
     return identify(docs, train(docs), "row").where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
 
 

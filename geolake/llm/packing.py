@@ -132,7 +132,7 @@ def _free(gaps: dict, rooms: list[int], room: int, first: int, count: int) -> No
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, vocabulary_path: str | None = None, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for every piece of every document.
 
-    A null or empty text is the end id alone. Documents of more than `capacity` ids are cut from the end, so only the first
+    A null or empty text is the end id alone; a null doc_id is carried. Very long texts are encoded whole and cut. An empty table gives no rows. Documents of more than `capacity` ids are cut from the end, so only the first
     piece may be shorter. Equal rows, also of one doc_id, are packed each for itself. Extra columns are not read.
     """
     spark = docs.sparkSession

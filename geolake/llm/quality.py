@@ -241,7 +241,8 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rejected_by, kept of every row.
 
     A null or empty text has no words and fails the base rule. Without labels nothing but the base rule rejects. A null
-    language is judged by the pooled cutoffs. Repeated rows are judged each for itself.
+    language is judged by the pooled cutoffs. Repeated rows are judged each for itself, very long texts whole. Of rules that gain equally the
+    first by name is chosen. Extra columns are not read; an empty table gives no rows.
     """
     d = stored(signals(docs.select("doc_id", "text", "lang")).select("row.doc_id", _stratum(F.col("row.lang")).alias("stratum"), *_NAMES), "signals")
     cuts = learn(d, labels, alpha, delta)
@@ -250,7 +251,8 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
 
 
 def keep(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns and no shuffle of texts."""
+    """The rows of docs that judge() keeps, with all their columns and no shuffle of texts. Repeated rows stay repeated; a null doc_id
+    teaches nothing and is judged like others; names of columns can't clash, as rows travel inside a struct."""
     d = signals(docs).withColumn("stratum", _stratum(F.col("row.lang")))
     cuts = learn(stored(d.select("row.doc_id", "stratum", *_NAMES), "signals"), labels, alpha, delta)
     return d.where(~base_failed() & (F.size(rejected_by(cuts, F.col("stratum"))) == 0)).select("row.*")

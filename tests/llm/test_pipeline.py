@@ -2,15 +2,17 @@
 
 import collections
 import itertools
+import random
 import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from geolake.llm import oracles, tokens
 
-from .test_ops import brute_leaks, shingles, split
+from .test_ops import brute_leaks, prose, shingles, split
 
 SF = "/root/testdata/sf0.001"
 
@@ -95,6 +97,59 @@ def test_packing_stage(stages):
     assert max(room.values()) <= 1024 and len(room) <= 1.05 * sum(room.values()) / 1024 + 1
 
 
+def odd_rows(spark, n=12):
+    """Nulls in every column, empty and long texts, repeated rows, one id with two texts, and names that operators use inside."""
+    rng = random.Random(21)
+    good = [prose(rng, 60) for _ in range(n)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(good)] + [(0, good[0], "en", "s", 1), (1, good[5], "en", "s", 2), (2, prose(rng, 70), None, None, None)]
+    rows += [(None, good[3], "en", "s", 3), (None, None, None, None, None), (50, None, "en", "s", 0), (51, "", "en", "s", 0), (52, " \n ", None, "s", 0), (53, prose(rng, 20_000), "en", "s", 9), (53, "12 34 " * 20, "en", "s", 9)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return d.withColumns({c: F.lit(1) for c in ("row", "node", "rows", "kept", "rep", "n", "hub", "part", "length", "word", "similarity", "lang_pred", "score", "piece", "words")})
+
+
+def test_stages_take_odd_tables(spark):
+    import corpus_pipeline
+
+    d = odd_rows(spark)
+    whole = collections.Counter((r.doc_id, r.text) for r in d.collect())
+    out = {name: stage(spark, d, SF) for name, stage in corpus_pipeline.STAGES}
+    for name, df in out.items():
+        if name == "best_fit_packing":
+            assert df.where("piece = 0").count() == d.count()
+            continue
+        assert df.columns == d.columns
+        got = collections.Counter((r.doc_id, r.text) for r in df.collect())
+        assert got <= whole, name
+        gone = whole - got
+        if name == "near_dedup":  # repeats of a row and copies go, rows without an id or words stay
+            assert got[0, d.first().text] == 1 and all(got[k] == n for k, n in whole.items() if k[0] is None or not (k[1] or "").split()) and len([k for k in got if k[0] in (2, 53)]) == 4
+        elif name == "quality_rules":
+            assert all(not t or len(t.split()) < 10 or "12 34" in t for _, t in gone) and (50, None) in gone
+        elif name == "language_id":
+            assert {t for _, t in gone} == {None, "", " \n ", "12 34 " * 20}
+        else:
+            assert not gone
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, d.limit(0), SF).count() == 0, name
+
+
+def test_operators_take_odd_tables(spark):
+    """One row a document, whatever its columns hold; nothing from an empty table."""
+    from geolake.llm import decontam, langid, licenses, lm_score, minhash, quality, sharding
+
+    d, bench = odd_rows(spark), spark.createDataFrame([(1, None), (None, "a b c d e f g h")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, None, None), (2, None, 1)], "doc_id long, quality int, toxic int")
+    run = {
+        "near-duplicates": minhash.link, "licenses": licenses.scan, "shards": sharding.shard, "languages": lambda x: langid.identify(x, langid.train(x)), "quality": lambda x: quality.judge(x, labels),
+        "scores": lambda x: lm_score.score(x, F.coalesce(F.col("doc_id") % 3 > 0, F.lit(True))),
+    }
+    ids = sorted(d.select("doc_id").collect(), key=str)
+    for name, f in run.items():
+        assert sorted(f(d).select("doc_id").collect(), key=str) == ids, name
+        assert f(d.limit(0)).count() == 0, name
+    assert decontam.leaks(d, bench).count() == 0
+
+
 def test_run(spark, stages):
     import corpus_pipeline
 
