@@ -647,9 +647,11 @@ def test_attention_is_causal_and_complete():
             start = 0 if i < at.WINDOW else (1 + (i - at.WINDOW) // at.STRIDE) * at.STRIDE
             x = m.by_id[m.row[before[start : i + 1]]] + m.by_place[: i + 1 - start]
             a = np.exp(x[:, d : 2 * d] @ x[-1, :d])
-            g = np.exp(x[-1, 3 * d + 1 :] + (a / a.sum()) @ x[:, 2 * d : 3 * d] @ m.gathered)
-            p = g / g.sum()
-            total += np.log10(p[m.cls[t[i]]]) + np.log10(inside(before[i], t[i]))
+            out = m.w["e"][m.row[before[i]]] + (a / a.sum()) @ x[:, 2 * d : 3 * d] @ m.w["o"]
+            group, slot = divmod(int(m.cls[t[i]]), at.IN_GROUP)
+            share = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            p = share(out @ m.w["u"] + m.to_group[m.row[before[i]]])[group] * share(out @ m.w["c"][group] + m.to_class[m.row[before[i]], group])[slot]
+            total += np.log10(p) + np.log10(inside(before[i], t[i]))
         assert math.isclose(whole[k], total, rel_tol=1e-4)
     assert all(math.isclose(sum(inside(prev, y) for y in range(size)), len(set(m.cls.tolist())), rel_tol=1e-6) for prev in (begin, int(texts[0][0]), 298))
     s, n, skip = at.windows(bounds)
