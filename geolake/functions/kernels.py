@@ -275,6 +275,12 @@ def geo_type(geometry: str) -> Column:
     return F.get(F.array(*map(F.lit, wkb.KINDS)), code - 1)
 
 
+@F.pandas_udf(T.BinaryType())
+def geo_envelope(xmin: pd.Series, ymin: pd.Series, xmax: pd.Series, ymax: pd.Series) -> pd.Series:
+    """Boxes as polygons."""
+    return pd.Series(wkb.envelopes(*(c.to_numpy(float) for c in (xmin, ymin, xmax, ymax))).to_pylist(), dtype=object)
+
+
 @F.pandas_udf(_BOX)
 def geo_bounds(column: pd.Series) -> pd.DataFrame:
     rows = [(None,) * 4 if g is None else bounds(*wkb.loads(g)) or (None,) * 4 for g in column]

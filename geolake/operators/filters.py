@@ -37,6 +37,15 @@ def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def export(df: DataFrame, path: str, most: int, form: str = "parquet") -> int:
+    """Write what was chosen and return its rows; more than `most` of them is an error, and nothing is written."""
+    n = df.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} rows")
+    df.write.format(form).save(path)
+    return n
+
+
 def is_municipality(subtype: Column, name: Column) -> Column:
     """A locality whose name has one of the four kinds of municipality in it."""
     return (subtype == "locality") & name.rlike("^.*(市|町|村|区)$")

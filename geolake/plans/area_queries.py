@@ -81,11 +81,7 @@ def reverse_geocode_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RING = "[[xmin, ymin], [xmax, ymin], [xmax, (ymin + ymax) / 2], [(xmin + xmax) / 2, ymax], [xmin, ymax], [xmin, ymin]]"
 
 
-def _rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Admin areas with their north-eastern corner cut off."""
-    b = lambda c: F.col(f"bbox.{c}")
-    xy = [(b("xmin"), b("ymin")), (b("xmax"), b("ymin")), (b("xmax"), (b("ymin") + b("ymax")) / 2), ((b("xmin") + b("xmax")) / 2, b("ymax")), (b("xmin"), b("ymax")), (b("xmin"), b("ymin"))]
-    return geo.admin(spark, sf_dir).withColumn("ring", F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in xy]))
+_rings = geo.rings
 
 
 @query(f"{WITH}, r AS (SELECT admin_id, {_RING} AS r FROM admin) SELECT admin_id, round(list_sum(list_transform(range(1, 6), lambda i: r[i][1] * r[i + 1][2] - r[i + 1][1] * r[i][2])) / 2, 9) AS area FROM r")
@@ -116,13 +112,7 @@ def bbox_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sj.overlap_join(a, b, "abox", "bbox2", 0.03).where("id < other").groupBy("id").agg(F.count("*").alias("n"))
 
 
-#: Home areas with their north-eastern corner cut off: a convex area, so a shape meets it where the corner of what they share lies below the cut.
-_HOME = "home AS (SELECT *, (xmin + xmax) / 2 AS cx, (ymin + ymax) / 2 AS cy FROM admin WHERE region IN (0, 2))"
-_CUT = "({x} - a.cx) / (a.xmax - a.cx) + ({y} - a.cy) / (a.ymax - a.cy) <= 1"
-
-
-def _home(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rings(spark, sf_dir).where("region IN (0, 2)")
+_HOME, _CUT, _home = geo.HOME_SQL, geo.CUT, geo.home_rings
 
 
 @query(f"""{WITH}, {_HOME} SELECT id FROM buildings b WHERE EXISTS (SELECT 1 FROM home a WHERE a.xmin <= b.xmax AND a.xmax >= b.xmin AND a.ymin <= b.ymax AND a.ymax >= b.ymin
@@ -132,12 +122,8 @@ def in_country_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sj.semi_overlap(geo.buildings(spark, sf_dir), _home(spark, sf_dir), "id", "bbox", "bbox", 0.34, g.ring_meets_box(F.col("ring"), "bbox"), "ring").select("id")
 
 
-_PART = {"t0": "greatest(0, CASE WHEN x2 > lon THEN (a.xmin - lon) / (x2 - lon) ELSE 0 END, CASE WHEN y2 > lat THEN (a.ymin - lat) / (y2 - lat) ELSE 0 END)", "t1": "least(1, CASE WHEN x2 > lon THEN (a.xmax - lon) / (x2 - lon) ELSE 1 END, CASE WHEN y2 > lat THEN (a.ymax - lat) / (y2 - lat) ELSE 1 END)"}
-
-
 @query(f"""{WITH}, {_HOME} SELECT id FROM roads r WHERE len(list_filter(route_names, lambda x: starts_with(x, 'Q1'))) > 0
-  OR EXISTS (SELECT 1 FROM home a WHERE a.xmin <= r.x2 AND a.xmax >= r.lon AND a.ymin <= r.y2 AND a.ymax >= r.lat AND {_PART['t0']} <= {_PART['t1']}
-  AND {_CUT.format(x=f"(lon + {_PART['t0']} * (x2 - lon))", y=f"(lat + {_PART['t0']} * (y2 - lat))")})""")
+  OR EXISTS (SELECT 1 FROM home a WHERE {geo.SEGMENT_IN_HOME})""")
 def semi_or_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The disjunction is split into two exclusive parts, so that the spatial part stays an equi-join; segments are held against polygons."""
     roads, home = geo.roads(spark, sf_dir), _home(spark, sf_dir)

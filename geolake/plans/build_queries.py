@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from geolake.functions import geometry, grid, kernels, wkb
 from geolake.operators import aggregates as agg
+from geolake.operators import extract
 from geolake.operators import filters as f
 from geolake.operators.spatial_join import overlap_join
 from geolake.sources import geoparquet
@@ -133,13 +134,53 @@ def ocean_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
                 for s in seas or []:
                     dry = kernels.difference_convex(dry, ring(s)[:-1])
                 land.append(size(dry))
-                sea.append(size(kernels.clip_convex(ring(box), ring(s)[:-1]) for s in seas or []))
+                sea.append(size([ring(box)]) - land[-1])  # seas that overlap count once
             yield pa.RecordBatch.from_arrays([b.column("admin_id"), pa.array(land), pa.array(sea, pa.float64())], ["admin_id", "land", "sea"])
 
     d = areas.join(wet, "admin_id", "left").mapInArrow(run, "admin_id int, land double, sea double")
     return d.select("admin_id", F.round("land", 7).alias("land"), F.round("sea", 7).alias("sea"))
 
 
+_AT = geo.SEGMENT_IN_HOME
+
+
+@query(f"""WITH {geo.SQL}, {geo.HOME_SQL}, s AS (SELECT *, ['motorway', 'trunk', 'primary', 'residential'][CAST(id % 4 AS INT) + 1] AS kind FROM roads)
+SELECT CAST(id AS VARCHAR) AS id, kind AS class, CASE WHEN id % 6 = 0 THEN 'N' || CAST(id % 9 AS VARCHAR) ELSE '' END AS routes FROM s r WHERE kind <> 'residential' AND (id % 6 = 0 OR EXISTS (SELECT 1 FROM home a WHERE {_AT}))""")
+def extract_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roads as worldwide map data has them, extracted by class and by the country's polygons or networks."""
+    k = F.col("id")
+    d = geo.roads(spark, sf_dir).select(
+        k.cast("string").alias("id"), F.struct(F.lit(None).cast("string").alias("primary")).alias("names"), F.get(F.array(*map(F.lit, ("motorway", "trunk", "primary", "residential"))), (k % 4).cast("int")).alias("class"),
+        F.array(F.struct(F.concat(F.lit("N"), (k % 9).cast("string")).alias("name"), F.when(k % 6 == 0, "JP:national").otherwise("US:x").alias("network"))).alias("routes"), "bbox",
+    )
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x1, y1, x2, y2 = (b.column("bbox").field(c).to_numpy(zero_copy_only=False) for c in ("xmin", "ymin", "xmax", "ymax"))
+            yield pa.RecordBatch.from_arrays([*b.columns, wkb.fixed("LineString", np.stack([np.stack([x1, y1], 1), np.stack([x2, y2], 1)], 1))], [*b.schema.names, "geometry"])
+
+    def ringed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            points = b.column("ring").flatten()
+            xy = np.stack([points.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")], 1)
+            yield pa.RecordBatch.from_arrays([b.column("bbox"), wkb.fixed("Polygon", xy.reshape(len(b), -1, 2) if len(b) else np.zeros((0, 6, 2)))], ["bbox", "geometry"])
+
+    kinds = ", ".join(f"{f_.name} {f_.dataType.simpleString()}" for f_ in d.schema)
+    home = geo.home_rings(spark, sf_dir).select("bbox", "ring")
+    home = home.mapInArrow(ringed, f"bbox {home.schema['bbox'].dataType.simpleString()}, geometry binary")
+    found = extract.roads(d.mapInArrow(drawn, f"{kinds}, geometry binary"), home, cell=0.34)
+    return found.select("id", "class", F.array_join("route_names", ",").alias("routes"))
+
+
+@query(f"WITH {geo.SQL} SELECT DISTINCT {geo.mesh_sql('lon', 'lat')} AS mesh_code, round(CAST(1 AS DOUBLE) / 9600, 9) AS area, 'Polygon' AS kind FROM census")
+def mesh_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells as geometries."""
+    d = geo.census(spark, sf_dir).select(grid.mesh_code(F.col("lon"), F.col("lat")).alias("mesh_code")).distinct()
+    d = d.select("mesh_code", F.inline(F.array(grid.mesh_bounds(F.col("mesh_code")))))
+    d = d.select("mesh_code", kernels.geo_envelope("xmin", "ymin", "xmax", "ymax").alias("geometry"))
+    return d.select("mesh_code", F.round(kernels.geo_area("geometry"), 9).alias("area"), kernels.geo_type("geometry").alias("kind"))
+
+
 @query(f"WITH {geo.SQL} SELECT class, count(*) AS n FROM roads WHERE class IN ('1-URGENT', '5-LOW') GROUP BY 1")
 def partitioned_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written by class, read back with the other classes' folders pruned."""

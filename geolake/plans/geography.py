@@ -64,6 +64,18 @@ def admin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("admin_id"), F.col("n_name").alias("city_name"), F.col("n_regionkey").alias("region"), box.alias("bbox"))
 
 
+def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Admin areas with their north-eastern corner cut off."""
+    b = lambda c: F.col(f"bbox.{c}")
+    xy = [(b("xmin"), b("ymin")), (b("xmax"), b("ymin")), (b("xmax"), (b("ymin") + b("ymax")) / 2), ((b("xmin") + b("xmax")) / 2, b("ymax")), (b("xmin"), b("ymax")), (b("xmin"), b("ymin"))]
+    return admin(spark, sf_dir).withColumn("ring", F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in xy]))
+
+
+def home_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The areas of the home country."""
+    return rings(spark, sf_dir).where("region IN (0, 2)")
+
+
 #: The same tables for other engines, as common table expressions.
 SQL = f"""
 census AS (SELECT c_custkey, c_name, {lon('c_custkey')} AS lon, {lat('c_custkey')} AS lat, CAST(trunc(c_acctbal) AS BIGINT) AS population FROM customer),
@@ -79,6 +91,15 @@ admin AS (SELECT n_nationkey AS admin_id, n_name AS city_name, n_regionkey AS re
 """
 
 
+#: Home areas with their north-eastern corner cut off: a convex area, so a shape meets it where the corner of what they share lies below the cut.
+HOME_SQL = "home AS (SELECT *, (xmin + xmax) / 2 AS cx, (ymin + ymax) / 2 AS cy FROM admin WHERE region IN (0, 2))"
+CUT = "({x} - a.cx) / (a.xmax - a.cx) + ({y} - a.cy) / (a.ymax - a.cy) <= 1"
+_T0 = "greatest(0, CASE WHEN x2 > lon THEN (a.xmin - lon) / (x2 - lon) ELSE 0 END, CASE WHEN y2 > lat THEN (a.ymin - lat) / (y2 - lat) ELSE 0 END)"
+_T1 = "least(1, CASE WHEN x2 > lon THEN (a.xmax - lon) / (x2 - lon) ELSE 1 END, CASE WHEN y2 > lat THEN (a.ymax - lat) / (y2 - lat) ELSE 1 END)"
+#: Whether the ascending segment of the road r meets the home area a.
+SEGMENT_IN_HOME = f"a.xmin <= r.x2 AND a.xmax >= r.lon AND a.ymin <= r.y2 AND a.ymax >= r.lat AND {_T0} <= {_T1} AND {CUT.format(x=f'(lon + {_T0} * (x2 - lon))', y=f'(lat + {_T0} * (y2 - lat))')}"
+
+
 def mesh_sql(x: str, y: str) -> str:
     """SQL text of the 8-digit mesh code of a place."""
     iy, ix = f"CAST(floor({y} * 120) AS BIGINT)", f"CAST(floor(({x} - 100) * 80) AS BIGINT)"

@@ -62,23 +62,26 @@ def route_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT 1, line || ' (' || operator || ')', line || operator FROM (SELECT DISTINCT line, operator FROM stations WHERE line ILIKE '%r1%')
   UNION ALL SELECT 2, station || '駅', station FROM (SELECT DISTINCT station FROM stations WHERE starts_with(lower(station || '駅'), 'r1駅'))
   UNION ALL SELECT 3, city_name, city_name FROM admin WHERE city_name ILIKE '%r1%'
-  UNION ALL SELECT 4, route_name, route_name FROM (SELECT route_name FROM routes WHERE route_name ILIKE '%r1%' AND lower(route_name) <> 'r1' ORDER BY length(route_name), route_name LIMIT 3)
-  UNION ALL SELECT 5, station || '駅', station FROM (SELECT DISTINCT station FROM stations WHERE station ILIKE '%r1%'))
+  UNION ALL SELECT 4, town, town FROM (SELECT DISTINCT town FROM (SELECT 'R' || CAST(s_suppkey % 40 AS VARCHAR) || '町' AS town FROM supplier) WHERE town ILIKE '%r1%' ORDER BY length(town), town LIMIT 3)
+  UNION ALL SELECT 5, route_name, route_name FROM (SELECT route_name FROM routes WHERE route_name ILIKE '%r1%' AND lower(route_name) <> 'r1' ORDER BY length(route_name), route_name LIMIT 3)
+  UNION ALL SELECT 6, station || '駅', station FROM (SELECT DISTINCT station FROM stations WHERE station ILIKE '%r1%'))
 SELECT priority, label FROM u ORDER BY priority, length(label), label, k LIMIT 10""")
 def search_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One list of hits from six kinds, by priority: exact routes, lines, exact stations, places, three more routes, stations."""
+    """One list of hits from seven kinds, by priority: exact routes, lines, exact stations, places, three towns, three more routes, stations."""
     kw = "R1"
     routes, stations = agg.route_index(geo.roads(spark, sf_dir)).select("route_name"), geo.stations(spark, sf_dir)
     as_hits = lambda d, p, label: d.distinct().select(F.lit(p).alias("priority"), label.alias("label"))
     exact = F.lower("route_name") == kw.lower()
     label = F.concat("station", F.lit("駅"))
+    towns = geo.table(spark, sf_dir, "supplier").select(F.concat(F.lit("R"), (F.col("s_suppkey") % 40).cast("string"), F.lit("町")).alias("town")).distinct()
     parts = [
         as_hits(routes.where(exact), 0, F.col("route_name")),
         as_hits(stations.where(f.matches(F.col("line"), kw)).select("line", "operator"), 1, F.concat("line", F.lit(" ("), "operator", F.lit(")"))),
         as_hits(stations.where(F.lower(label).startswith(kw.lower() + "駅")).select("station"), 2, label),
         as_hits(geo.admin(spark, sf_dir).where(f.matches(F.col("city_name"), kw)).select("city_name"), 3, F.col("city_name")),
-        as_hits(f.top(routes.where(f.matches(F.col("route_name"), kw) & ~exact), 3, F.length("route_name"), F.col("route_name")), 4, F.col("route_name")),
-        as_hits(stations.where(f.matches(F.col("station"), kw)).select("station"), 5, label),
+        as_hits(f.top(towns.where(f.matches(F.col("town"), kw)), 3, F.length("town"), F.col("town")), 4, F.col("town")),
+        as_hits(f.top(routes.where(f.matches(F.col("route_name"), kw) & ~exact), 3, F.length("route_name"), F.col("route_name")), 5, F.col("route_name")),
+        as_hits(stations.where(f.matches(F.col("station"), kw)).select("station"), 6, label),
     ]
     return f.top(reduce(DataFrame.unionByName, parts), 10, F.col("priority"), F.length("label"), F.col("label"))
 

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolake.functions import grid
@@ -156,6 +156,21 @@ def write_tiles(df: DataFrame, folder: str, least: int, most: int, rows: int, ki
     return items
 
 
+def repack(spark: SparkSession, source: str, folder: str, least: int, most: int, rows: int, kinds: list[str], **how) -> DataFrame:
+    """Existing files (with `geometry` and `bbox`) written anew as packed files of adaptive tiles; returns their items.
+
+    Row counts are compared; the source stays as it is, and the folder must be another one.
+    """
+    if source.rstrip("/") == folder.rstrip("/"):
+        raise ValueError("the folder is the source")
+    d = spark.read.parquet(source)
+    middle = lambda a, b: (F.col(f"bbox.{a}") + F.col(f"bbox.{b}")) / 2
+    items = write_tiles(d.withColumn("lon", middle("xmin", "xmax")).withColumn("lat", middle("ymin", "ymax")), folder, least, most, rows, kinds, **how)
+    if (items.agg(F.sum("rows")).first()[0] or 0) != d.count():
+        raise ValueError("rows were lost")
+    return items
+
+
 def footers(df: DataFrame, column: str = "file") -> DataFrame:
     """file, row_group, rows, bytes and extent of every row group of the files named in a column, read in tasks from footers only."""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
@@ -180,10 +181,24 @@ def building_footprint(element: ET.Element) -> list[list[tuple[float, float]]]:
     return out
 
 
+# Elements of the finer levels and of appearances, which are not read.
+_UNREAD = re.compile(rb"<(?:\w+:)?(appearanceMember|boundedBy|lod2\w+|lod3\w+|lod4\w+)\b[^>]*>.*?</(?:\w+:)?\1\s*>", re.S)
+
+
+def _parsed(data: bytes) -> ET.Element | None:
+    for text in (data, _UNREAD.sub(b"", data)):
+        try:
+            return ET.fromstring(text)
+        except ET.ParseError:
+            pass
+    return None
+
+
 def citygml_buildings(spark: SparkSession, path: str) -> DataFrame:
     """building_id, name, usage, height, storeys, geometry of zips of CityGML; sentinels (storeys 9999, height -9999) are null.
 
-    Code lists in the zip resolve usages. A file that can't be parsed is skipped, a zip without any building is an error.
+    Code lists in the zip resolve usages. A file that can't be parsed is tried again without the elements that aren't read here, and
+    skipped if that fails too; a zip without any building is an error that says how many files were.
     """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,9 +213,8 @@ def citygml_buildings(spark: SparkSession, path: str) -> DataFrame:
                             entries = [d for d in ET.fromstring(z.read(n)).iter() if _local(d.tag) == "Definition"]
                             codes[n.rpartition("/")[2]] = {next(c.text for c in d if _local(c.tag) == "name"): next(c.text for c in d if _local(c.tag) == "description") for d in entries}
                     for n in sorted(n for n in names if "udx/bldg/" in n and n.endswith(".gml")):
-                        try:
-                            root = ET.fromstring(z.read(n))
-                        except ET.ParseError:
+                        root = _parsed(z.read(n))
+                        if root is None:
                             bad += 1
                             continue
                         for e in (x for x in root.iter() if _local(x.tag) == "Building"):

@@ -60,6 +60,8 @@ def test_filters(spark):
     d = spark.createDataFrame([("a%b",), ("axb",), ("\\a",), (None,)], "s string")
     assert d.where(f.matches(F.col("s"), "A B")).count() == 2 and d.where(f.matches(F.col("s"), "\\")).count() == 1 and d.where(f.matches(F.col("s"), "")).count() == 4
     assert d.where(f.value_in(F.col("s"), None)).count() == 4 and d.where(f.value_in(F.col("s"), [])).count() == 0
+    with pytest.raises(ValueError, match="more than 3"):
+        f.export(d, "/nowhere", 3)
     rules = [("public", ["x"]), ("business", ["y"]), ("other", None)]
     f.check_rules(rules, ["usage", "name"], "usage", True)
     for bad in ([("a", ["x"]), ("b", ["x"]), ("c", None)], [("a", ["x"]), ("b", ["y"])]):
