@@ -24,6 +24,8 @@ from .common import blocks, crc_of_id, table, text_buffer
 ORDER = 3
 #: Documents of one language that are learned from, at most (about: the sample is a range of hash values).
 SAMPLE = 2000
+#: Bytes of the trees' tables that are broadcast, at most; more is an error.
+MODEL_BYTES = 512 << 20
 START = 10  # a line feed stands before every text
 
 
@@ -170,6 +172,8 @@ def identify(docs: DataFrame, model: Model, carry: str | None = None) -> DataFra
     are judged each for itself, so repeated rows give repeated results; very long texts are coded whole, in parts. An empty table gives no rows. The model's arrays are broadcast; their size follows from the
     bounded sample and the byte alphabet, not from docs.
     """
+    if model.costs.nbytes > MODEL_BYTES:
+        raise ValueError(f"the trees of {len(model.langs)} languages take {model.costs.nbytes} bytes: learn from fewer languages or documents")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     first = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(carry) if carry else F.col("doc_id")
     d = docs.select(first, "text")

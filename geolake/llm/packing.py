@@ -9,6 +9,7 @@ from the runs by a join, so nothing but counts is ever gathered and the packing
 
 from __future__ import annotations
 
+import math
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -24,8 +25,8 @@ from .tokens import encoder
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
 CAPACITY = 1024
-#: Rows that are numbered in one group; groups of one length multiply with its count.
-GROUP_ROWS = 20_000
+#: Rows that are numbered in one group, at least; groups and their rows both grow with the root of a length's count.
+GROUP_ROWS = 500
 
 
 def _cut(name: str, path: str | None, end: int, capacity: int):
@@ -139,9 +140,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
     pieces = stored(docs.select("doc_id", "text").mapInArrow(_cut(vocabulary, vocabulary_path, end, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     runs = spark.createDataFrame(plan(counts, capacity), "length long, rank0 long, n long, sequence0 long, offset long")
-    groups = max(1, -(-max(counts.values(), default=0) // GROUP_ROWS))
+    groups = [max(1, math.ceil(counts.get(n, 0) / max(GROUP_ROWS, math.sqrt(counts.get(n, 0))))) for n in range(1, capacity + 1)]
     # rank inside the length: inside a hashed part of it, moved up by the parts before
-    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int")
+    own_groups = F.get(F.split(F.lit(" ".join(map(str, groups))), " ").cast("array<int>"), F.col("length").cast("int") - 1)
+    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), own_groups).cast("int")
     ranked = pieces.withColumn("part", part).withColumn("in_part", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")) - 1)
     parts = pieces.withColumn("part", part).groupBy("length", "part").agg(F.count("*").alias("rows"))
     parts = parts.withColumn("base", F.sum("rows").over(Window.partitionBy("length").orderBy("part")) - F.col("rows")).drop("rows")

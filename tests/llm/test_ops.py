@@ -286,6 +286,16 @@ def test_packing(spark, texts):
             at += length
         assert at <= 1024
     assert packing.pack(empty(spark)).count() == 0
+    # repeated rows, also under one id, and lengths that are numbered in several groups
+    packing_rows = packing.GROUP_ROWS
+    packing.GROUP_ROWS = 3
+    try:
+        again = make(spark, ["same text"] * 20 + ["other"] * 3).withColumn("doc_id", F.col("doc_id") % 2)
+        rows = packing.pack(again).collect()
+    finally:
+        packing.GROUP_ROWS = packing_rows
+    spans = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+    assert len(rows) == 23 and len({r.sequence_id for r in rows}) == 1 and all(a[1] + a[2] == b[1] for a, b in zip(spans, spans[1:])) and spans[0][1] == 0
 
 
 def test_plan_is_tight():
@@ -307,7 +317,7 @@ def test_plan_is_tight():
                 rooms.append(1024 - n)
             else:
                 rooms[k] -= n
-        assert len(place) <= 1.25 * len(rooms) + 1
+        assert len(place) <= 1.01 * len(rooms) + 1
 
 
 # -- language, quality, decontamination ---------------------------------------------------------------------------------
