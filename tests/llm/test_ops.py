@@ -323,19 +323,14 @@ def test_plan_is_tight():
 # -- language, quality, decontamination ---------------------------------------------------------------------------------
 
 
-def test_code_lengths_are_exact():
-    train = [("en", "the thing is there\nand the other"), ("fr", "le théâtre est là"), ("fr", "une chose"), ("en", "")]
-    b = pa.RecordBatch.from_pydict({"lang": [a for a, _ in train], "text": [t for _, t in train]})
-    counts = {}
-    for out in langid.count_contexts([b]):
-        p = out.to_pandas()
-        counts = {k: (g.gram.to_numpy(), g.n.to_numpy()) for k, g in p.groupby("lang")}
-    m = langid.Model(counts)
-    trees = {k: [collections.defaultdict(collections.Counter) for _ in range(4)] for k in counts}
+def brute_ppm(train):
+    """Code length in bits of a text under a language, by escape method C over contexts of up to three bytes of (lang, text) pairs."""
+    trees = {}
     for lang, t in train:
         x = b"\n\n\n" + t.encode()
+        own = trees.setdefault(lang, [collections.defaultdict(collections.Counter) for _ in range(4)])
         for i, k in itertools.product(range(3, len(x)), range(4)):
-            trees[lang][k][x[i - k : i]][x[i]] += 1
+            own[k][x[i - k : i]][x[i]] += 1
 
     def bits(lang, t):
         x, total = b"\n\n\n" + t.encode(), 0.0
@@ -354,6 +349,18 @@ def test_code_lengths_are_exact():
                 total += math.log2((n + q) / q)
         return total
 
+    return bits, sorted(trees)
+
+
+def test_code_lengths_are_exact():
+    train = [("en", "the thing is there\nand the other"), ("fr", "le théâtre est là"), ("fr", "une chose"), ("en", "")]
+    b = pa.RecordBatch.from_pydict({"lang": [a for a, _ in train], "text": [t for _, t in train]})
+    counts = {}
+    for out in langid.count_contexts([b]):
+        p = out.to_pandas()
+        counts = {k: (g.gram.to_numpy(), g.n.to_numpy()) for k, g in p.groupby("lang")}
+    m = langid.Model(counts)
+    bits, _ = brute_ppm(train)
     tests = ["the", "", "là une thing", "日本", "x" * 50]
     from geolake.llm.common import text_buffer
 
@@ -361,6 +368,28 @@ def test_code_lengths_are_exact():
     assert np.allclose(got, [[bits(k, t) for k in m.langs] for t in tests], atol=1e-2)
 
 
+def test_predictions_against_brute_force(spark):
+    """Every row's language and score, from a table with nulls, ties of languages, repeated rows and texts that weren't learned from."""
+    rng = random.Random(13)
+    parts = {"en": ("the", "ing", "tion", "er"), "fr": ("le", "é", "tion", "oi"), "zz": ("the", "ing", "tion", "er")}
+    rows = [(i, "".join(rng.choice(parts[k]) + rng.choice(("", " ")) for _ in range(rng.randint(1, 30))), k) for i, k in enumerate(rng.choices(["en", "fr", "zz"], k=60))]
+    rows += [(60, None, "en"), (61, "", None), (62, "123 .", "fr"), (63, "théâtre", None), (0, rows[0][1], rows[0][2])]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = lambda i: zlib.crc32(str(i).encode()) % 4 != 2
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2
+    bits, langs = brute_ppm([(k, t) for i, t, k in rows if t is not None and k and learned(i)])
+    got = collections.Counter((r.doc_id, r.lang_pred, round(r.score, 3)) for r in langid.identify(d, langid.train(d, fold)).collect())
+    want = collections.Counter()
+    for i, t, _ in rows:
+        if not any(map(str.isalpha, t or "")):
+            want[i, "und", 0.0] += 1
+            continue
+        cost = [bits(k, t) for k in langs]
+        want[i, langs[int(np.argmin(cost))], round(1 / sum(2.0 ** (min(cost) - c) for c in cost), 3)] += 1
+    close = lambda c: sorted((i, k, n) for (i, k, _), n in c.items())
+    assert close(got) == close(want) and all(abs(a[2] - b[2]) < 0.01 for a, b in zip(sorted(got), sorted(want)))
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     more = spark.createDataFrame([(10_001, None, "en", None, 0), (10_002, "12 ...", "en", None, 0), (10_003, "", None, None, 0)], docs.schema)
