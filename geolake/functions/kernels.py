@@ -44,8 +44,8 @@ def area(kind: str, c) -> float:
     return sum(abs(signed_area(p[0])) - sum(abs(signed_area(h)) for h in p[1:]) for p in polygons(kind, c) if p)
 
 
-def contains(kind: str, c, x: float, y: float) -> bool:
-    """Even-odd rule; a point on a boundary is not contained."""
+def side(kind: str, c, x: float, y: float) -> int:
+    """1 inside a polygon (even-odd rule), 0 on a boundary, -1 outside."""
     inside = False
     for polygon in polygons(kind, c):
         odd = False
@@ -54,12 +54,31 @@ def contains(kind: str, c, x: float, y: float) -> bool:
             x1, y1, x2, y2 = a[:-1, 0], a[:-1, 1], a[1:, 0], a[1:, 1]
             cross = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
             if ((cross == 0) & (np.minimum(x1, x2) <= x) & (x <= np.maximum(x1, x2)) & (np.minimum(y1, y2) <= y) & (y <= np.maximum(y1, y2))).any():
-                return False
+                return 0
             over = (y1 > y) != (y2 > y)
             with np.errstate(divide="ignore", invalid="ignore"):
                 odd ^= bool(np.count_nonzero(over & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)) % 2)
         inside |= odd
-    return inside
+    return 1 if inside else -1
+
+
+def contains(kind: str, c, x: float, y: float) -> bool:
+    """Even-odd rule; a point on a boundary is not contained."""
+    return side(kind, c, x, y) > 0
+
+
+def anchors(kind: str, c) -> list[Point]:
+    """A point of every part."""
+    if kind == "GeometryCollection":
+        return [p for g in c for p in anchors(*g)]
+    parts = {"Point": lambda: [c], "MultiPoint": lambda: c, "LineString": lambda: c[:1], "MultiLineString": lambda: [p[0] for p in c if p]}
+    return list(parts[kind]()) if kind in parts else [p[0][0] for p in polygons(kind, c) if p and p[0]]
+
+
+def points(kind: str, c) -> list[Point]:
+    """What is a point by itself: neither of a line nor of a ring; an empty point isn't one."""
+    found = [c] if kind == "Point" else c if kind == "MultiPoint" else [p for g in c for p in points(*g)] if kind == "GeometryCollection" else []
+    return [p for p in found if not math.isnan(p[0])]
 
 
 def _segments(kind: str, c) -> np.ndarray:
@@ -68,16 +87,26 @@ def _segments(kind: str, c) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros((0, 4))
 
 
+#: Pairs of edges that are held against each other at once.
+EDGE_PAIRS = 1 << 20
+
+
 def intersects(a: tuple[str, list], b: tuple[str, list]) -> bool:
-    """Whether two geometries share a point (closed): crossing segments, or one inside the other."""
-    s, t = _segments(*a), _segments(*b)
+    """Whether two geometries share a point (closed): segments that meet, a part of one in the other, points of both that are the same.
+
+    Edges are compared in blocks, so memory is bounded whatever their numbers.
+    """
+    s, t = (np.concatenate([_segments(*g), np.array([(*p, *p) for p in points(*g)], float).reshape(-1, 4)]) for g in (a, b))
+    turn = lambda p, q, r: (q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0])
     if len(s) and len(t):
-        turn = lambda p, q, r: (q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0])
-        p1, p2, q1, q2 = s[:, None, :2], s[:, None, 2:], t[None, :, :2], t[None, :, 2:]
-        apart = (np.maximum(p1, p2) < np.minimum(q1, q2)).any(2) | (np.maximum(q1, q2) < np.minimum(p1, p2)).any(2)
-        if (~apart & (turn(p1, p2, q1) * turn(p1, p2, q2) <= 0) & (turn(q1, q2, p1) * turn(q1, q2, p2) <= 0)).any():
-            return True
-    return any(contains(*x, *p) for x, y in ((a, b), (b, a)) if polygons(*x) for p in wkb.flat(*y)[:1])
+        step = max(1, EDGE_PAIRS // len(t))
+        for i in range(0, len(s), step):
+            u = s[i : i + step]
+            p1, p2, q1, q2 = u[:, None, :2], u[:, None, 2:], t[None, :, :2], t[None, :, 2:]
+            apart = (np.maximum(p1, p2) < np.minimum(q1, q2)).any(2) | (np.maximum(q1, q2) < np.minimum(p1, p2)).any(2)
+            if (~apart & (turn(p1, p2, q1) * turn(p1, p2, q2) <= 0) & (turn(q1, q2, p1) * turn(q1, q2, p2) <= 0)).any():
+                return True
+    return any(side(*x, *p) >= 0 for x, y in ((a, b), (b, a)) if polygons(*x) for p in anchors(*y))
 
 
 def is_empty(kind: str, c) -> bool:
@@ -299,7 +328,9 @@ def geo_distance(column: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.BooleanType())
 def geo_intersects(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([x is not None and y is not None and intersects(wkb.loads(x), wkb.loads(y)) for x, y in zip(a, b)])
+    """Pairs of few geometries; large areas are better joined through their pieces. A geometry that a batch repeats is read once."""
+    read = {g: wkb.loads(g) for c in (a, b) for g in c.dropna().unique()}
+    return pd.Series([x is not None and y is not None and intersects(read[x], read[y]) for x, y in zip(a, b)])
 
 
 def geo_within(origin: tuple[str, list], lon0: float, lat0: float, metres: float):

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from geolake.functions import values
 from geolake.functions.geometry import anchored_in
-from geolake.functions.kernels import geo_intersects, geo_type
+from geolake.functions.kernels import geo_type
 
 from .filters import is_municipality
+from .pieces import meeting
 from .spatial_join import semi_overlap
 
 # Classes that are taken over, and the country's frame.
@@ -33,15 +34,14 @@ def admin(divisions: DataFrame) -> DataFrame:
     return own.join(regions, "region", "left").select(F.col("id").alias("admin_id"), "pref_name", F.lit(None).cast("string").alias("county_name"), "city_name", F.lit(None).cast("string").alias("ward_name"), "geometry", "bbox")
 
 
-def in_country(source: DataFrame, home: DataFrame, cell: float = 0.25) -> DataFrame:
-    """Rows whose geometry meets an area of home: boxes by cells first, then the geometries (home with boxes alone: the boxes)."""
+def in_country(source: DataFrame, home: DataFrame) -> DataFrame:
+    """Rows whose geometry shares a point with an area of home (home with boxes alone: whose boxes do). Areas may be concave, with holes, of several parts."""
     if "geometry" not in home.columns:
-        return semi_overlap(source, home, "id", "bbox", "bbox", cell)
-    areas = home.withColumnRenamed("geometry", "__area")
-    return semi_overlap(source, areas, "id", "bbox", "bbox", cell, geo_intersects("geometry", "__area"), "__area", ("geometry",))
+        return semi_overlap(source, home, "id", "bbox", "bbox")
+    return source.join(meeting(source, home), "id", "left_semi")
 
 
-def roads(source: DataFrame, home: DataFrame, frame: tuple = FRAME, cell: float = 0.25) -> DataFrame:
+def roads(source: DataFrame, home: DataFrame, frame: tuple = FRAME) -> DataFrame:
     """Roads of the classes that lie in the country or belong to one of its networks.
 
     home: the country's areas, see in_country. The two conditions are taken apart, so that the spatial one is an equi-join on cells of
@@ -49,12 +49,12 @@ def roads(source: DataFrame, home: DataFrame, frame: tuple = FRAME, cell: float
     """
     d = source.where(anchored_in("bbox", *frame) & F.col("class").isin(*ROAD_CLASSES)).withColumn("routes", F.coalesce("routes", F.array()))
     domestic = F.exists("routes", lambda r: F.coalesce(r["network"].startswith("JP"), F.lit(False)))
-    found = d.where(domestic).unionByName(in_country(d.where(~domestic), home, cell))
+    found = d.where(domestic).unionByName(in_country(d.where(~domestic), home))
     names, _ = values.aligned("routes", lambda r: r["name"].isNotNull() & F.coalesce(r["network"].startswith("JP"), F.lit(False)), "name", "network")
     return found.select("id", F.col("names.primary").alias("road_name"), "class", F.array_distinct(names).alias("route_names"), "geometry", "bbox")
 
 
-def lines(source: DataFrame, home: DataFrame, classes: tuple[str, ...], frame: tuple = FRAME, cell: float = 0.25) -> DataFrame:
+def lines(source: DataFrame, home: DataFrame, classes: tuple[str, ...], frame: tuple = FRAME) -> DataFrame:
     """Power lines or waterways in the country: classes, and lines only (by the type word of the WKB, of either byte order)."""
     d = source.where(anchored_in("bbox", *frame) & F.col("class").isin(*classes) & (geo_type("geometry") == "LineString"))
-    return in_country(d, home, cell).select(F.col("names.primary").alias("name"), "class", "geometry", "bbox")
+    return in_country(d, home).select(F.col("names.primary").alias("name"), "class", "geometry", "bbox")

@@ -1,8 +1,10 @@
-"""Spatial joins as equi-joins on grid cells.
+"""Spatial joins as equi-joins on the cells of a grid with several levels.
 
-Boxes are entered under every quadtree cell they touch, so overlap becomes an equi-join that shuffles (or broadcasts a side of
-checked size) instead of a nested loop. A pair that meets in several cells is kept only in the cell that holds
-the lower corner of its overlap, so no distinct is needed. Cells that a hot place fills are split by adaptive execution.
+The cells of a level are a quarter as wide as those of the level before. A box is entered at the level of its own size, where it touches at
+most four cells, and visits the coarser levels at which boxes of the other side are entered. So an overlap is an equi-join on
+(level, cell) whatever the mix of sizes: no cell size is chosen, and no large box is exploded into small cells. A pair that meets in
+several cells is kept only in the cell that holds the lower corner of its overlap, so no distinct is needed. Cells that a hot
+place fills are split by adaptive execution.
 """
 
 from __future__ import annotations
@@ -10,54 +12,93 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Width of the cells of level 0 and the last level; cells narrow by powers of four, so that cell numbers are exact.
+WORLD, DEEPEST = 512.0, 13
 
 
-def _cell(v: Column, size: float) -> Column:
-    return F.floor(v / size).cast("long")
+def _cell(v: Column, level: Column) -> Column:
+    return F.floor(v * F.pow(F.lit(4.0), level) / WORLD).cast("long")
 
 
-def _entered(df: DataFrame, b: str, size: float, prefix: str) -> DataFrame:
+def box_level(b: str) -> Column:
+    """The deepest level with cells that are no narrower than the box; a box wider than all cells is at level 0."""
+    size = F.greatest(F.col(f"{b}.xmax") - F.col(f"{b}.xmin"), F.col(f"{b}.ymax") - F.col(f"{b}.ymin"))
+    deep = F.floor(F.log2(F.lit(WORLD) / F.when(size > 0, size)) / 2).cast("int")
+    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(DEEPEST), deep)), F.lit(DEEPEST))
+
+
+def levels_of(df: DataFrame, b: str) -> list[int]:
+    """The levels at which a table's boxes are entered: at most DEEPEST + 1 numbers, one pass over the boxes."""
+    return sorted(r[0] for r in df.where(f"{b} is not null").select(box_level(b).alias("level")).distinct().collect())
+
+
+def _entered(df: DataFrame, b: str, levels: Column, p: str) -> DataFrame:
+    """A row for each cell that the box touches at the levels."""
     c = lambda f: F.col(f"{b}.{f}")
-    xs = F.sequence(_cell(c("xmin"), size), _cell(c("xmax"), size))
-    ys = F.sequence(_cell(c("ymin"), size), _cell(c("ymax"), size))
-    return df.withColumn(f"{prefix}x", F.explode(xs)).withColumn(f"{prefix}y", F.explode(ys))
+    d = df.withColumn(f"{p}l", F.explode(levels))
+    for axis in "xy":
+        d = d.withColumn(f"{p}{axis}", F.explode(F.sequence(_cell(c(f"{axis}min"), F.col(f"{p}l")), _cell(c(f"{axis}max"), F.col(f"{p}l")))))
+    return d
 
 
-def overlap_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str, cell: float) -> DataFrame:
-    """Pairs of rows whose boxes overlap (closed). Column names of the sides must differ.
+def _visits(levels: list[int], limit: Column) -> Column:
+    return F.filter(F.array(*map(F.lit, levels)), lambda l: l <= limit)
 
-    cell: side of the grid cells in the boxes' units, about the size of the larger boxes. Rows with a null box match nothing.
-    """
-    l, r = _entered(left.where(f"{left_box} is not null"), left_box, cell, "__l"), _entered(right.where(f"{right_box} is not null"), right_box, cell, "__r")
-    lb, rb = (lambda f: F.col(f"{left_box}.{f}")), (lambda f: F.col(f"{right_box}.{f}"))
-    meet = (lb("xmin") <= rb("xmax")) & (lb("xmax") >= rb("xmin")) & (lb("ymin") <= rb("ymax")) & (lb("ymax") >= rb("ymin"))
-    own = (F.col("__lx") == _cell(F.greatest(lb("xmin"), rb("xmin")), cell)) & (F.col("__ly") == _cell(F.greatest(lb("ymin"), rb("ymin")), cell))
-    return l.join(r, (F.col("__lx") == F.col("__rx")) & (F.col("__ly") == F.col("__ry")) & meet & own).drop("__lx", "__ly", "__rx", "__ry")
 
+def overlap_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str, on: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """Pairs of rows whose boxes overlap (closed). Column names of the sides must differ. Rows with a null box match nothing.
 
-def point_join(points: DataFrame, areas: DataFrame, lon: str, lat: str, area_box: str, cell: float, exact: Column | None = None) -> DataFrame:
-    """Points with the areas whose box contains them and for which `exact` (if given) holds."""
-    p = points.withColumn("__px", _cell(F.col(lon), cell)).withColumn("__py", _cell(F.col(lat), cell))
-    a = _entered(areas.where(f"{area_box} is not null"), area_box, cell, "__a")
+    on: further columns (left, right) that must be equal. The levels of both sides are looked up first (see levels_of); a pair is found at the coarser one of its
+    levels, by one join for pairs whose left box is no finer and one for the others, which is left out if there can be none.
+    """
+    left, right = left.where(f"{left_box} is not null"), right.where(f"{right_box} is not null")
+    ll, rl = levels_of(left, left_box), levels_of(right, right_box)
+    lb, rb = (lambda f: F.col(f"{left_box}.{f}")), (lambda f: F.col(f"{right_box}.{f}"))
+    keep = (lb("xmin") <= rb("xmax")) & (lb("xmax") >= rb("xmin")) & (lb("ymin") <= rb("ymax")) & (lb("ymax") >= rb("ymin"))
+    for a, b in on:
+        keep &= F.col(a) == F.col(b)
+    for axis in "xy":
+        keep &= (F.col(f"__l{axis}") == F.col(f"__r{axis}")) & (F.col(f"__l{axis}") == _cell(F.greatest(lb(f"{axis}min"), rb(f"{axis}min")), F.col("__ll")))
+    ways = []
+    if any(a <= b for a in ll for b in rl) or not (ll and rl):
+        ways.append((F.array(box_level(left_box)), _visits(ll or [0], box_level(right_box))))
+    if any(b < a for a in ll for b in rl):
+        ways.append((_visits(rl, box_level(left_box) - 1), F.array(box_level(right_box))))
+    found = None
+    for at_left, at_right in ways:
+        l, r = _entered(left, left_box, at_left, "__l"), _entered(right, right_box, at_right, "__r")
+        pairs = l.join(r, (F.col("__ll") == F.col("__rl")) & keep).drop(*(f"__{s}{k}" for s in "lr" for k in "lxy"))
+        found = pairs if found is None else found.unionByName(pairs)
+    return found
+
+
+def point_join(points: DataFrame, areas: DataFrame, lon: str, lat: str, area_box: str, exact: Column | None = None) -> DataFrame:
+    """Points with the areas whose box contains them and for which `exact` (if given) holds. Points visit the levels of the areas, one cell each."""
+    areas = areas.where(f"{area_box} is not null")
+    p = points.withColumn("__pl", F.explode(F.array(*map(F.lit, levels_of(areas, area_box) or [0]))))
+    p = p.withColumn("__px", _cell(F.col(lon), F.col("__pl"))).withColumn("__py", _cell(F.col(lat), F.col("__pl")))
+    a = _entered(areas, area_box, F.array(box_level(area_box)), "__a")
     b = lambda f: F.col(f"{area_box}.{f}")
-    on = (F.col("__px") == F.col("__ax")) & (F.col("__py") == F.col("__ay")) & (b("xmin") <= F.col(lon)) & (b("xmax") >= F.col(lon)) & (b("ymin") <= F.col(lat)) & (b("ymax") >= F.col(lat))
-    return p.join(a, on if exact is None else on & exact).drop("__px", "__py", "__ax", "__ay")
+    on = (F.col("__pl") == F.col("__al")) & (F.col("__px") == F.col("__ax")) & (F.col("__py") == F.col("__ay"))
+    on &= (b("xmin") <= F.col(lon)) & (b("xmax") >= F.col(lon)) & (b("ymin") <= F.col(lat)) & (b("ymax") >= F.col(lat))
+    return p.join(a, on if exact is None else on & exact).drop(*(f"__{s}{k}" for s in "pa" for k in "lxy"))
 
 
 def distance_join(left: DataFrame, right: DataFrame, radius: float, lx: str, ly: str, rx: str, ry: str, distance: str = "distance") -> DataFrame:
     """Pairs of points within `radius` of each other, in the unit of the planar coordinates; cells have the radius as side."""
-    l = left.withColumn("__lx", _cell(F.col(lx), radius)).withColumn("__ly", _cell(F.col(ly), radius))
+    cell = lambda v: F.floor(v / radius).cast("long")
+    l = left.withColumn("__lx", cell(F.col(lx))).withColumn("__ly", cell(F.col(ly)))
     steps = F.array(*map(F.lit, (-1, 0, 1)))
-    r = right.withColumn("__rx", F.explode(F.transform(steps, lambda d: d + _cell(F.col(rx), radius)))).withColumn("__ry", F.explode(F.transform(steps, lambda d: d + _cell(F.col(ry), radius))))
+    r = right.withColumn("__rx", F.explode(F.transform(steps, lambda d: d + cell(F.col(rx))))).withColumn("__ry", F.explode(F.transform(steps, lambda d: d + cell(F.col(ry)))))
     dx, dy = F.col(lx) - F.col(rx), F.col(ly) - F.col(ry)
     near = l.join(r, (F.col("__lx") == F.col("__rx")) & (F.col("__ly") == F.col("__ry")) & (dx * dx + dy * dy <= radius * radius))
     return near.withColumn(distance, F.sqrt(dx * dx + dy * dy)).drop("__lx", "__ly", "__rx", "__ry")
 
 
-def semi_overlap(left: DataFrame, right: DataFrame, key: str, left_box: str, right_box: str, cell: float, exact: Column | None = None, ring: str | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+def semi_overlap(left: DataFrame, right: DataFrame, key: str, left_box: str, right_box: str, exact: Column | None = None, ring: str | None = None, more: tuple[str, ...] = ()) -> DataFrame:
     """Rows of left that overlap any box of right and, if given, for which `exact` holds with the column `ring` of right: matching
     keys first, so left's columns are never multiplied. more: further columns of left that `exact` reads."""
     r = right.select(F.col(right_box).alias("__box"), *([F.col(ring)] if ring else []))
-    found = overlap_join(left.select(key, left_box, *more), r, left_box, "__box", cell)
+    found = overlap_join(left.select(key, left_box, *more), r, left_box, "__box")
     found = (found if exact is None else found.where(exact)).select(key).distinct()
     return left.join(found, key, "left_semi")

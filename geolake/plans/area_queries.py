@@ -70,7 +70,7 @@ _IN = "p.lon >= a.xmin AND p.lon <= a.xmax AND p.lat >= a.ymin AND p.lat <= a.ym
 @query(f"{WITH}, p AS (SELECT l_orderkey, l_linenumber, {geo.lon('l_orderkey * 8 + l_linenumber')} AS lon, {geo.lat('l_orderkey * 8 + l_linenumber')} AS lat FROM lineitem) SELECT admin_id, count(*) AS n FROM p JOIN admin a ON {_IN} GROUP BY 1")
 def reverse_geocode_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = geo.table(spark, sf_dir, "lineitem").withColumn("id", F.col("l_orderkey") * 8 + F.col("l_linenumber")).select(F.expr(geo.lon("id")).alias("lon"), F.expr(geo.lat("id")).alias("lat"))
-    return sj.point_join(d, geo.admin(spark, sf_dir), "lon", "lat", "bbox", 0.34).groupBy("admin_id").agg(F.count("*").alias("n"))
+    return sj.point_join(d, geo.admin(spark, sf_dir), "lon", "lat", "bbox").groupBy("admin_id").agg(F.count("*").alias("n"))
 
 
 @query(f"{WITH} SELECT admin_id, city_name FROM admin WHERE xmin <= CAST(139.7671 AS DOUBLE) AND xmax >= CAST(139.7671 AS DOUBLE) AND ymin <= CAST(35.6812 AS DOUBLE) AND ymax >= CAST(35.6812 AS DOUBLE) ORDER BY admin_id LIMIT 1")
@@ -92,7 +92,7 @@ def polygon_area_shoelace(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{WITH}, r AS (SELECT admin_id, xmin, ymin, xmax, ymax, {_RING} AS r FROM admin)
 SELECT admin_id, count(*) AS n FROM census p JOIN r a ON {_IN} AND list_sum(list_transform(range(1, 6), lambda i: CASE WHEN (r[i][2] > lat) <> (r[i + 1][2] > lat) AND lon < (r[i + 1][1] - r[i][1]) * (lat - r[i][2]) / (r[i + 1][2] - r[i][2]) + r[i][1] THEN 1 ELSE 0 END)) % 2 = 1 GROUP BY 1""")
 def pip_raycast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = sj.point_join(geo.census(spark, sf_dir).select("c_custkey", "lon", "lat"), _rings(spark, sf_dir), "lon", "lat", "bbox", 0.34, g.ring_contains(F.col("ring"), F.col("lon"), F.col("lat")))
+    d = sj.point_join(geo.census(spark, sf_dir).select("c_custkey", "lon", "lat"), _rings(spark, sf_dir), "lon", "lat", "bbox", g.ring_contains(F.col("ring"), F.col("lon"), F.col("lat")))
     return d.groupBy("admin_id").agg(F.count("*").alias("n"))
 
 
@@ -109,7 +109,7 @@ def _zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bbox_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _zones(spark, sf_dir).select("id", F.col("bbox").alias("abox"))
     b = _zones(spark, sf_dir).select(F.col("id").alias("other"), F.col("bbox").alias("bbox2"))
-    return sj.overlap_join(a, b, "abox", "bbox2", 0.03).where("id < other").groupBy("id").agg(F.count("*").alias("n"))
+    return sj.overlap_join(a, b, "abox", "bbox2").where("id < other").groupBy("id").agg(F.count("*").alias("n"))
 
 
 _HOME, _CUT, _home = geo.HOME_SQL, geo.CUT, geo.home_rings
@@ -119,7 +119,7 @@ _HOME, _CUT, _home = geo.HOME_SQL, geo.CUT, geo.home_rings
   AND {_CUT.format(x='greatest(a.xmin, b.xmin)', y='greatest(a.ymin, b.ymin)')})""")
 def in_country_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Buildings that meet an area's polygon: boxes by cells, then box against polygon."""
-    return sj.semi_overlap(geo.buildings(spark, sf_dir), _home(spark, sf_dir), "id", "bbox", "bbox", 0.34, g.ring_meets_box(F.col("ring"), "bbox"), "ring").select("id")
+    return sj.semi_overlap(geo.buildings(spark, sf_dir), _home(spark, sf_dir), "id", "bbox", "bbox", g.ring_meets_box(F.col("ring"), "bbox"), "ring").select("id")
 
 
 @query(f"""{WITH}, {_HOME} SELECT id FROM roads r WHERE len(list_filter(route_names, lambda x: starts_with(x, 'Q1'))) > 0
@@ -129,7 +129,7 @@ def semi_or_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     roads, home = geo.roads(spark, sf_dir), _home(spark, sf_dir)
     named = F.exists("route_names", lambda x: x.startswith("Q1"))
     exact = g.ring_meets_segment(F.col("ring"), *map(F.col, ("lon", "lat", "x2", "y2")))
-    return roads.where(named).select("id").unionByName(sj.semi_overlap(roads.where(~named), home, "id", "bbox", "bbox", 0.34, exact, "ring", ("lon", "lat", "x2", "y2")).select("id"))
+    return roads.where(named).select("id").unionByName(sj.semi_overlap(roads.where(~named), home, "id", "bbox", "bbox", exact, "ring", ("lon", "lat", "x2", "y2")).select("id"))
 
 
 _TX, _TY = "CAST(floor((lon + 180) / 360 * 2048) AS BIGINT)", "CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 2048) AS BIGINT)"
@@ -144,7 +144,7 @@ def tile_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiles = geo.census(spark, sf_dir).groupBy(grid.tile_x(F.col("lon"), 11).alias("x"), grid.tile_y(F.col("lat"), 11).alias("y")).agg(F.count("*").alias("n"))
     tiles = tiles.withColumn("quadkey", grid.quadkey_of_tile(F.col("x"), F.col("y"), 11))
     tiles = tiles.select("*", F.inline(F.array(grid.quadkey_bounds(F.col("quadkey"))))).withColumn("bbox", g.box(*map(F.col, ("xmin", "ymin", "xmax", "ymax"))))  # worked out once a tile
-    return sj.semi_overlap(tiles, _home(spark, sf_dir), "quadkey", "bbox", "bbox", 0.34, g.ring_meets_box(F.col("ring"), "bbox"), "ring").select("x", "y", "n")
+    return sj.semi_overlap(tiles, _home(spark, sf_dir), "quadkey", "bbox", "bbox", g.ring_meets_box(F.col("ring"), "bbox"), "ring").select("x", "y", "n")
 
 
 @query(f"""{WITH}, sea AS (SELECT n_nationkey AS admin_id, n_nationkey % 3 AS share FROM nation WHERE n_nationkey % 4 = 0)

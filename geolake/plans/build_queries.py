@@ -122,7 +122,7 @@ def ocean_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = F.lit(139.0) + k * 0.37, F.lit(35.0) + k * 0.21
     ocean = geo.table(spark, sf_dir, "region").select(F.struct(x.alias("xmin"), y.alias("ymin"), (x + 0.2).alias("xmax"), (y + 0.15).alias("ymax")).alias("sea"))
     areas = geo.admin(spark, sf_dir).select("admin_id", "bbox")
-    wet = overlap_join(areas, ocean, "bbox", "sea", 0.34).groupBy("admin_id").agg(F.collect_list("sea").alias("seas"))
+    wet = overlap_join(areas, ocean, "bbox", "sea").groupBy("admin_id").agg(F.collect_list("sea").alias("seas"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ring = lambda b: [(b["xmin"], b["ymin"]), (b["xmax"], b["ymin"]), (b["xmax"], b["ymax"]), (b["xmin"], b["ymax"]), (b["xmin"], b["ymin"])]
@@ -168,7 +168,7 @@ def extract_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = ", ".join(f"{f_.name} {f_.dataType.simpleString()}" for f_ in d.schema)
     home = geo.home_rings(spark, sf_dir).select("bbox", "ring")
     home = home.mapInArrow(ringed, f"bbox {home.schema['bbox'].dataType.simpleString()}, geometry binary")
-    found = extract.roads(d.mapInArrow(drawn, f"{kinds}, geometry binary"), home, cell=0.34)
+    found = extract.roads(d.mapInArrow(drawn, f"{kinds}, geometry binary"), home)
     return found.select("id", "class", F.array_join("route_names", ",").alias("routes"))
 
 

@@ -40,23 +40,23 @@ def test_tiles_cover_without_overlap(spark):
     assert placed.keys() == counts.keys() and all(k.startswith(t) for k, t in placed.items())
 
 
-def boxes(spark, rng, n, key, box, hot=False):
+def boxes(spark, rng, n, key, box, hot=False, sizes=(0, 0.3, 2.5)):
     rows = []
     for i in range(n):
         x, y = (0.5, 0.5) if hot and i % 3 == 0 else (rng.uniform(-5, 5), rng.uniform(-5, 5))
-        w, h = rng.choice([0, 0.3, 2.5]), rng.choice([0, 0.3, 2.5])
+        w, h = rng.choice(sizes), rng.choice(sizes)
         rows.append((i, (x, y, x + w, y + h)))
     return rows, spark.createDataFrame([*rows, (None, None)], f"{key} long, {box} {BOX}")
 
 
-@pytest.mark.parametrize("cell", [0.4, 3.0])
-def test_overlap_join_is_brute_force(spark, cell):
+@pytest.mark.parametrize("sizes", [(0, 0.3, 2.5), (0.001, 0.02, 40)])
+def test_overlap_join_is_brute_force(spark, sizes):
     rng = random.Random(6)
-    a, left = boxes(spark, rng, 120, "a", "abox", hot=True)
-    b, right = boxes(spark, rng, 90, "b", "bbox", hot=True)
+    a, left = boxes(spark, rng, 120, "a", "abox", True, sizes)
+    b, right = boxes(spark, rng, 90, "b", "bbox", True, sizes[::2])
     want = sorted((i, j) for i, p in a for j, q in b if p[0] <= q[2] and p[2] >= q[0] and p[1] <= q[3] and p[3] >= q[1])
-    assert sorted((r.a, r.b) for r in sj.overlap_join(left, right, "abox", "bbox", cell).collect()) == want
-    assert sorted(r.a for r in sj.semi_overlap(left, right, "a", "abox", "bbox", cell).collect()) == sorted({i for i, _ in want})
+    assert sorted((r.a, r.b) for r in sj.overlap_join(left, right, "abox", "bbox").collect()) == want
+    assert sorted(r.a for r in sj.semi_overlap(left, right, "a", "abox", "bbox").collect()) == sorted({i for i, _ in want})
 
 
 def test_point_and_distance_joins_are_brute_force(spark):
@@ -65,7 +65,7 @@ def test_point_and_distance_joins_are_brute_force(spark):
     p = [(i, rng.uniform(-5, 5), rng.uniform(-5, 5)) for i in range(200)]
     points = spark.createDataFrame(p, "p long, x double, y double")
     want = sorted((i, j) for i, x, y in p for j, q in b if q[0] <= x <= q[2] and q[1] <= y <= q[3])
-    assert sorted((r.p, r.b) for r in sj.point_join(points, areas, "x", "y", "bbox", 1.0).collect()) == want
+    assert sorted((r.p, r.b) for r in sj.point_join(points, areas, "x", "y", "bbox").collect()) == want
     q = points.select(F.col("p").alias("q"), F.col("x").alias("u"), F.col("y").alias("v"))
     near = sorted((i, j) for i, x, y in p for j, u, v in p if (x - u) ** 2 + (y - v) ** 2 <= 0.49)
     assert sorted((r.p, r.q) for r in sj.distance_join(points, q, 0.7, "x", "y", "u", "v").collect()) == near
