@@ -37,11 +37,11 @@ CONVEX = [
 
 
 def _x(key: str) -> str:
-    return f"(CAST({key} AS BIGINT) * 7919 % 1066)"
+    return f"(CAST({key} AS BIGINT) * {6007 if key.startswith('c_') else 7919} % 1066)"
 
 
 def _y(key: str) -> str:
-    return f"(CAST({key} AS BIGINT) * 104729 % 818)"
+    return f"(CAST({key} AS BIGINT) * {90001 if key.startswith('c_') else 104729} % 818)"
 
 
 def _shapes(df: DataFrame, key: str) -> DataFrame:

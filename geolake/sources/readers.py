@@ -6,15 +6,19 @@ import io
 import json
 import re
 import xml.etree.ElementTree as ET
-import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolake.functions import wkb
 from geolake.functions.kernels import signed_area
+from geolake.operators.overlay import trace
+
+from .archives import PART_BYTES, geojson_features, zip_entries
+from .shared import stored
 
 # Reference systems by their names in the sources; columns of town-level address points with their names here.
 CRS = {"JGD2000 / (B, L)": 4612, "JGD2011 / (B, L)": 6668}
@@ -47,31 +51,29 @@ def epsg(name: str) -> int:
 def address_points(spark: SparkSession, path: str, columns: dict[str, str] = TOWN_COLUMNS) -> DataFrame:
     """Address points (town level, or BLOCK_COLUMNS) from zips of Shift-JIS CSV files with a header; a malformed row is an error.
 
-    Empty texts stay empty texts.
+    Empty texts stay empty texts. Entries of a zip are read by several tasks.
     """
     names = list(columns.values())
 
-    def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import csv
 
         for b in batches:
-            for content in b["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for entry in sorted(n for n in z.namelist() if n.lower().endswith(".csv")):
-                        rows = csv.reader(io.TextIOWrapper(z.open(entry), "cp932", newline=""))
-                        head = next(rows)
-                        place = [head.index(c) for c in columns]
-                        out = []
-                        for row in rows:
-                            if len(row) != len(head):
-                                raise ValueError(f"{entry}: a row of {len(row)} values under {len(head)} columns")
-                            out.append([row[i] for i in place])
-                        d = pd.DataFrame(out, columns=names)
-                        d[["lat", "lon"]] = d[["lat", "lon"]].astype(float)
-                        yield d
+            for entry, content in zip(b["entry"], b["content"]):
+                rows = csv.reader(io.TextIOWrapper(io.BytesIO(content), "cp932", newline=""))
+                head = next(rows)
+                place = [head.index(c) for c in columns]
+                out = []
+                for row in rows:
+                    if len(row) != len(head):
+                        raise ValueError(f"{entry}: a row of {len(row)} values under {len(head)} columns")
+                    out.append([row[i] for i in place])
+                d = pd.DataFrame(out, columns=names)
+                d[["lat", "lon"]] = d[["lat", "lon"]].astype(float)
+                yield d
 
     kinds = ", ".join(f"{n} {'double' if n in ('lat', 'lon') else 'string'}" for n in names)
-    d = spark.read.format("binaryFile").load(path).select("content").mapInPandas(unzip, kinds)
+    d = zip_entries(spark, path, r"(?i).*\.csv$").select("entry", "content").mapInPandas(parse, kinds)
     return d.withColumn("bbox", F.struct(F.col("lon").alias("xmin"), F.col("lat").alias("ymin"), F.col("lon").alias("xmax"), F.col("lat").alias("ymax")))
 
 
@@ -122,24 +124,23 @@ def geojson(spark: SparkSession, path: str, columns: dict[str, str], required: s
         from geolake.functions.kernels import bounds
 
         for b in batches:
-            for content in b["content"]:
-                doc = json.loads(content)
-                if doc.get("type") != "FeatureCollection":
-                    raise ValueError("not a FeatureCollection")
-                epsg(doc["crs"]["properties"]["name"])
-                out = []
-                for feature in doc["features"]:
-                    props = feature["properties"]
-                    if any(props.get(k) in (None, "") for k in required):
-                        raise ValueError(f"a required property is missing: {props}")
-                    kind, c = wkb.from_geojson(feature["geometry"])
-                    if kind not in kinds:
-                        raise ValueError(f"unexpected {kind}")
-                    out.append([*[props.get(k) for k in columns], wkb.dumps(kind, c), dict(zip(("xmin", "ymin", "xmax", "ymax"), bounds(kind, c)))])
-                yield pd.DataFrame(out, columns=[*columns.values(), "geometry", "bbox"])
+            out = []
+            for crs, text in zip(b["crs"], b["feature"]):
+                if crs is None:
+                    raise ValueError("no crs")
+                epsg(crs)
+                feature = json.loads(text)
+                props = feature["properties"]
+                if any(props.get(k) in (None, "") for k in required):
+                    raise ValueError(f"a required property is missing: {props}")
+                kind, c = wkb.from_geojson(feature["geometry"])
+                if kind not in kinds:
+                    raise ValueError(f"unexpected {kind}")
+                out.append([*[props.get(k) for k in columns], wkb.dumps(kind, c), dict(zip(("xmin", "ymin", "xmax", "ymax"), bounds(kind, c)))])
+            yield pd.DataFrame(out, columns=[*columns.values(), "geometry", "bbox"])
 
     schema = ", ".join(f"{c} string" for c in columns.values()) + ", geometry binary, bbox struct<xmin:double,ymin:double,xmax:double,ymax:double>"
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, schema)
+    return geojson_features(spark, path).select("crs", "feature").mapInPandas(parse, schema)
 
 
 def railways(spark: SparkSession, path: str, stations: bool = False) -> DataFrame:
@@ -157,83 +158,149 @@ def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
-def building_footprint(element: ET.Element) -> list[list[tuple[float, float]]]:
-    """Outer rings (lon, lat; counter-clockwise) of a building's LOD0 outline, or else of its lowest horizontal LOD1 faces."""
-
-    def rings(top: ET.Element) -> list[list[tuple[float, float, float]]]:
-        out = []
-        for x in top.iter():
-            if _local(x.tag) == "posList" and x.text:
-                v = list(map(float, x.text.split()))
-                out.append(list(zip(v[1::3], v[0::3], v[2::3])))
-        return out
-
-    flat = [r for x in element.iter() if _local(x.tag) in ("lod0RoofEdge", "lod0FootPrint") for r in rings(x)]
-    if not flat:
-        faces = [r for x in element.iter() if _local(x.tag) == "lod1Solid" for r in rings(x)]
-        level = [r for r in faces if max(p[2] for p in r) - min(p[2] for p in r) <= 0.01]
-        ground = min((p[2] for r in level for p in r), default=0.0)
-        flat = [r for r in level if min(p[2] for p in r) - ground <= 0.01]
+def _faces(top: ET.Element) -> list[list[list[tuple[float, float, float]]]]:
+    """The faces below an element, each one its shell and then its holes, as (lon, lat, height); a ring that is in no polygon is a shell."""
+    faces: list[list] = []
+
+    def walk(x: ET.Element, hole: bool, face: list | None) -> None:
+        name = _local(x.tag)
+        if name in ("Polygon", "PolygonPatch", "Triangle", "Rectangle"):
+            face = []
+            faces.append(face)
+        if name == "posList" and x.text:
+            v = list(map(float, x.text.split()))
+            ring = list(zip(v[1::3], v[0::3], v[2::3]))
+            if face is None:
+                faces.append([ring])
+            elif hole:
+                face.append(ring)
+            else:
+                face.insert(0, ring)
+        for c in x:
+            walk(c, hole or name == "interior", face)
+
+    walk(top, False, None)
+    return [f for f in faces if f]
+
+
+def building_footprint(element: ET.Element) -> list[list[list[tuple[float, float]]]]:
+    """Polygons (lon, lat; shells counter-clockwise, holes clockwise) of a building's LOD0 outline, or else of its lowest horizontal
+    LOD1 faces, which are one outline where they share edges."""
+    flat = [f for x in element.iter() if _local(x.tag) in ("lod0RoofEdge", "lod0FootPrint") for f in _faces(x)]
+    base = not flat
+    if base:
+        level = lambda ring: max(p[2] for p in ring) - min(p[2] for p in ring) <= 0.01
+        faces = [f for x in element.iter() if _local(x.tag) == "lod1Solid" for f in _faces(x) if level(f[0])]
+        ground = min((p[2] for f in faces for p in f[0]), default=0.0)
+        flat = [f for f in faces if min(p[2] for p in f[0]) - ground <= 0.01]
     out = []
-    for r in flat:
-        ring = [(x, y) for x, y, _ in r]
-        out.append(ring if signed_area(ring) > 0 else ring[::-1])
-    return out
+    for f in flat:
+        rings = [[(x, y) for x, y, _ in r] for r in f]
+        out.append([r if (signed_area(r) > 0) == (k == 0) else r[::-1] for k, r in enumerate(rings)])
+    if not base or len(out) < 2:
+        return out
+    # an edge of two faces runs both ways and bounds nothing
+    edges = [(*p, *q) for f in out for r in f for p, q in zip(r, r[1:]) if p != q]
+    once = set(edges)
+    kind, c, _ = trace(np.array([e for e in edges if (e[2], e[3], e[0], e[1]) not in once], float).reshape(-1, 4))
+    return [c] if kind == "Polygon" else c
 
 
 # Elements of the finer levels and of appearances, which are not read.
-_UNREAD = re.compile(rb"<(?:\w+:)?(appearanceMember|boundedBy|lod2\w+|lod3\w+|lod4\w+)\b[^>]*>.*?</(?:\w+:)?\1\s*>", re.S)
+_UNREAD = re.compile(rb"<(/?)(?:\w+:)?(appearanceMember|boundedBy|lod[234]\w+)\b[^>]*?(/?)>")
+
+
+def without_unread(data: bytes) -> bytes:
+    """The document without the elements that aren't read here, in one pass over their tags; elements may hold others of their own name."""
+    out, at, inside = [], 0, []
+    for m in _UNREAD.finditer(data):
+        closes, name, empty = m[1], m[2], m[3]
+        if closes:
+            if name in inside:
+                while inside.pop() != name:
+                    pass
+                if not inside:
+                    at = m.end()
+        elif not inside:
+            out.append(data[at : m.start()])
+            at = m.end()
+            if not empty:
+                inside.append(name)
+        elif not empty:
+            inside.append(name)
+    return b"".join(out) + (b"" if inside else data[at:])
+
+
+_OWN = ("name", "usage", "class", "measuredHeight", "storeysAboveGround", "city")
+
+
+def _buildings(data: bytes) -> list[list]:
+    """Rows of a CityGML document, read as a stream: one building is held at a time. Codes stay codes, with the name of their list."""
+    out = []
+    steps = ET.iterparse(io.BytesIO(data), ("start", "end"))
+    _, root = next(steps)
+    for event, e in steps:
+        if event != "end" or _local(e.tag) != "Building":
+            continue
+        own: dict[str, tuple] = {}
+        for c in [*e, *(c for c in e.iter() if _local(c.tag) == "city")]:
+            key = _local(c.tag)
+            if key in _OWN and key not in own:
+                own[key] = (c.text, (c.get("codeSpace") or "").rpartition("/")[2] or None)
+        shapes = building_footprint(e)
+        if shapes:
+            get = lambda k: own.get(k, (None, None))  # noqa: B023, E731
+            height, storeys = float(get("measuredHeight")[0] or -9999), int(get("storeysAboveGround")[0] or 9999)
+            key = next((v for k, v in e.attrib.items() if _local(k) == "id"), None)
+            coded = [x for k in ("usage", "class", "city") for x in get(k)]
+            out.append([key, get("name")[0], *coded, None if height == -9999 else height, None if storeys == 9999 else storeys, wkb.dumps("MultiPolygon", shapes)])
+        e.clear()
+        root.clear()
+    return out
 
 
-def _parsed(data: bytes) -> ET.Element | None:
-    for text in (data, _UNREAD.sub(b"", data)):
-        try:
-            return ET.fromstring(text)
-        except ET.ParseError:
-            pass
-    return None
+_CODED = ("usage", "class", "city")
 
 
-def citygml_buildings(spark: SparkSession, path: str) -> DataFrame:
-    """building_id, name, usage, height, storeys, geometry of zips of CityGML; sentinels (storeys 9999, height -9999) are null.
+def citygml_buildings(spark: SparkSession, path: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """building_id, name, usage, class, city, height, storeys, geometry of zips of CityGML; sentinels (storeys 9999, height -9999) are null.
 
-    Code lists in the zip resolve usages. A file that can't be parsed is tried again without the elements that aren't read here, and
-    skipped if that fails too; a zip without any building is an error that says how many files were.
+    Entries of a zip are read by several tasks, each one as a stream. Usages, classes and cities are looked up in the zip's code lists by a
+    join; a code that a list lacks stays. A document that can't be parsed is tried again without the elements that aren't read here, and
+    skipped if that fails too; a zip without any building is an error that says how many documents were. What is parsed is stored once.
     """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["file", "bad", "building_id", "name", *(f"{c}{x}" for c in _CODED for x in ("", "_list")), "height", "storeys", "geometry"]
         for b in batches:
-            for file, content in zip(b["path"], b["content"]):
-                out, bad = [], 0
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    names = z.namelist()
-                    codes: dict[str, dict[str, str]] = {}
-                    for n in names:
-                        if "codelists/" in n and n.endswith(".xml"):
-                            entries = [d for d in ET.fromstring(z.read(n)).iter() if _local(d.tag) == "Definition"]
-                            codes[n.rpartition("/")[2]] = {next(c.text for c in d if _local(c.tag) == "name"): next(c.text for c in d if _local(c.tag) == "description") for d in entries}
-                    for n in sorted(n for n in names if "udx/bldg/" in n and n.endswith(".gml")):
-                        root = _parsed(z.read(n))
-                        if root is None:
-                            bad += 1
-                            continue
-                        for e in (x for x in root.iter() if _local(x.tag) == "Building"):
-                            own: dict[str, str | None] = {}
-                            for c in e:
-                                key = _local(c.tag)
-                                if key in ("usage", "class", "name", "measuredHeight", "storeysAboveGround") and key not in own:
-                                    table = codes.get((c.get("codeSpace") or "").rpartition("/")[2], {})
-                                    own[key] = table.get(c.text, c.text)
-                            height = float(own.get("measuredHeight") or -9999)
-                            storeys = int(own.get("storeysAboveGround") or 9999)
-                            shell = building_footprint(e)
-                            if shell:
-                                key = next((v for k, v in e.attrib.items() if _local(k) == "id"), None)
-                                out.append([key, own.get("name"), own.get("usage"), None if height == -9999 else height, None if storeys == 9999 else storeys, wkb.dumps("MultiPolygon", [[r] for r in shell])])
-                if not out:
-                    raise ValueError(f"{file}: no building, {bad} files could not be read")
-                d = pd.DataFrame(out, columns=["building_id", "name", "usage", "height", "storeys", "geometry"])
-                yield d.astype({"storeys": "Int64", "height": "Float64"})
-
-    schema = "building_id string, name string, usage string, height double, storeys long, geometry binary"
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, schema)
+            for file, content in zip(b["file"], b["content"]):
+                try:
+                    rows = _buildings(content)
+                except ET.ParseError:
+                    try:
+                        rows = _buildings(without_unread(content))
+                    except ET.ParseError:
+                        rows = None
+                found = [[file, False, *r] for r in rows] if rows else [[file, rows is None, *[None] * (len(names) - 2)]]
+                yield pd.DataFrame(found, columns=names).astype({"storeys": "Int64", "height": "Float64"})
+
+    def lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for file, entry, content in zip(b["file"], b["entry"], b["content"]):
+                entries = [{_local(c.tag): c.text for c in d} for d in ET.fromstring(content).iter() if _local(d.tag) == "Definition"]
+                yield pd.DataFrame([(file, entry.rpartition("/")[2], d["name"], d["description"]) for d in entries], columns=["file", "list", "code", "label"])
+
+    coded = ", ".join(f"`{c}` string, {c}_list string" for c in _CODED)
+    read = zip_entries(spark, path, r".*udx/bldg/.*\.gml$", part_bytes=part_bytes).select("file", "content")
+    rows = stored(read.mapInPandas(parse, f"file string, bad boolean, building_id string, name string, {coded}, height double, storeys long, geometry binary"), "buildings")
+    per = zip_entries(spark, path, contents=False).select("file").distinct().join(rows.groupBy("file").agg(F.count("geometry").alias("n"), F.count_if("bad").alias("bad")), "file", "left")
+    empty = per.where("coalesce(n, 0) = 0").first()
+    if empty:
+        raise ValueError(f"{empty['file']}: no building, {empty['bad'] or 0} files could not be read")
+    codes = zip_entries(spark, path, r".*codelists/.*\.xml$").select("file", "entry", "content").mapInPandas(lists, "file string, list string, code string, label string")
+    codes = stored(codes.groupBy("file", "list", "code").agg(F.first("label").alias("label")), "codes")
+    d = rows.where("geometry is not null")
+    for c in _CODED:
+        own = codes.select("file", F.col("list").alias(f"{c}_list"), F.col("code").alias(c), F.col("label").alias(f"{c}_label"))
+        d = d.join(own, ["file", f"{c}_list", c], "left").withColumn(c, F.coalesce(f"{c}_label", c))
+    return d.select("building_id", "name", *_CODED, "height", "storeys", "geometry")
