@@ -7,16 +7,20 @@ decoding chooses the most likely set of elements in which nothing inside a dropp
 an element is dropped with all below it if that gains more than keeping it and deciding each child for itself.
 
 Pages carry no labels, so the sample is labelled by evidence that is no list of names: a page's own <article> or <main> is the article and what
-stands outside of it is not; navigation, footers, asides and forms are not; on pages without such an element, text that other pages of the
-host repeat is not, and paragraphs with several sentences that no other page has are. Other elements are not learned from.
-What elements call themselves is a feature: words that are known to name articles and other things, and the log-odds of
-each word as counted on one half of the sample (the trees are fitted on the other half). Every row is used a second time without these features, so that
-shape alone can decide, and article rows a third time as counter-examples under the names of other things. `quality` measures the
-model on hosts that it wasn't fitted on, with the names and the telling elements taken away.
+stands outside of it is not; navigation, footers, asides and forms are not, nor are series of short items that carry dates or
+authors, as comments do; on pages without such an element, and on a third of the others, text that other pages of the host repeat is not, and
+paragraphs with several sentences that no other page has are. Other elements are not learned from.
+What elements call themselves counts only as far as the sample shows it: the log-odds of each word of an attribute, counted on one half of
+the sample (the trees are fitted on the other half). Every row is used a second time without what names and telling elements say, so that
+shape alone can decide. And as pages also put foreign things inside of their articles, articles are used again with such things grafted
+in: blocks that stand outside of the article on other pages, and series of comments. Texts of articles are set as lists and tables there,
+too, as the article's own. `quality` measures the model on hosts that it wasn't
+fitted on, with the names and the telling elements taken away.
 """
 
 from __future__ import annotations
 
+import html
 import pickle
 import re
 from collections import Counter, defaultdict
@@ -42,19 +46,43 @@ TREES, DEPTH, RATE, BINS, LEAST_LEAF = 40, 3, 0.2, 24, 20
 ARTICLE_TAGS = {"article", "main"}
 OTHER_TAGS = {"nav", "header", "footer", "aside", "menu", "select", "dialog", "head"}
 NEVER_TAGS = {"form", "button", "select", "option", "head"}
-OTHER_WORDS = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "promotion", "nav", "navbar", "navigation",
-    "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "topbar", "footer", "bottom", "sidebar", "aside", "rail", "widget", "related", "recommended", "more",
-    "share", "sharing", "social", "comment", "comments", "disqus", "reply", "replies", "respond", "discussion", "cookie", "cookies", "consent", "gdpr", "notice", "notices",
-    "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "search", "pagination", "pager", "tags", "copyright", "legal", "disclaimer",
-    "complementary", "contentinfo", "toolbar", "skip",
-}
-ARTICLE_WORDS = {"article", "content", "main", "post", "entry", "story", "text", "body", "articlebody", "prose"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 LISTS = {"ul", "ol", "li", "dl", "dt", "dd", "menu"}
 TABLES = {"table", "tbody", "thead", "tfoot", "tr", "td", "th"}
-N_FEATURES = 24
+N_FEATURES = 25
 NAMED = slice(0, 5)  # the features that come from names; the first sums up over the ancestors, with the last word to the others
+#: Dates and times, and how lines name an author; a line that holds one is as long at most, the items of a series are as long on average.
+STAMP = re.compile(r"\d{4}-\d\d?-\d\d?|\d\d?[./]\d\d?[./]\d{2,4}|\b\d\d?:\d\d\b|\b(?:\d+|an?) \w+ ago\b|\b[^\W\d]{3,10}\.? \d\d?,? \d{4}\b|\b\d\d?\.? [^\W\d]{3,10}\.?,? \d{4}\b|^@\w|^(?:by|von|par|por) \w|\b(?:says|said|wrote|writes):?$", re.I)
+STAMP_CHARS, ITEM_CHARS = 60, 800
+
+
+def series(t: Tree) -> list[bool]:
+    """Which elements are, or stand in, items of a series as comments are: two or more siblings alike (by element and names), short, most of them
+    with a line of its own that is a date, a time or an author, beside other text. Rows of tables are no such items."""
+    n = len(t.tag)
+    held: list[int] = [0] * n
+    chars, runs = [0] * n, [0] * n
+    for node, text in t.runs:
+        held[node] |= len(text) <= STAMP_CHARS and bool(STAMP.search(text))
+        chars[node] += len(text)
+        runs[node] += 1
+    for i in range(n - 1, 0, -1):
+        p = t.parent[i]
+        held[p] |= held[i] and t.tag[i] not in HEADINGS
+        chars[p] += chars[i]
+        runs[p] += runs[i]
+    alike: dict[tuple, list[int]] = defaultdict(list)
+    for i in range(1, n):
+        if t.tag[i] not in TABLES and runs[i]:
+            alike[t.parent[i], t.tag[i], t.tokens[i]].append(i)
+    out = [False] * n
+    for own in alike.values():
+        if len(own) > 1 and sum(held[i] and runs[i] > 1 for i in own) * 2 > len(own) and sum(chars[i] for i in own) <= ITEM_CHARS * len(own):
+            for i in own:
+                out[i] = True
+    for i in range(1, n):
+        out[i] = out[i] or out[t.parent[i]]
+    return out
 
 
 def features(t: Tree, odds: dict[str, float] | None = None) -> np.ndarray:
@@ -90,20 +118,21 @@ def features(t: Tree, odds: dict[str, float] | None = None) -> np.ndarray:
         depth[i] = depth[p] + 1
         words = t.tokens[i]
         is_article = tag in ARTICLE_TAGS
-        good[i] = int(is_article) + sum(w in ARTICLE_WORDS for w in words)
+        good[i] = int(is_article)
         # a heading's own <header> inside the article is part of it
-        bad[i] = int(tag in OTHER_TAGS and not (tag == "header" and inside[p])) + sum(w in OTHER_WORDS for w in words)
+        bad[i] = int(tag in OTHER_TAGS and not (tag == "header" and inside[p]))
         inside[i] = int(inside[p] or is_article)
         other[i] = other[p] + bad[i]
         article[i] = article[p] + good[i]
         learned[i] = min([learned[p], *(odds.get(w, 0.0) for w in words)]) if odds and words else learned[p]
     total = max(1, seen)
+    listed = series(t)
     rows = []
     for i in range(n):
         p = max(parent[i], 0)
         chars = text[i]
         rows.append((
-            -1 if other[i] else int(article[i] > 0), good[i], bad[i], learned[i], int(t.tag[i] in NEVER_TAGS),
+            -1 if other[i] else int(article[i] > 0), good[i], bad[i], learned[i], int(t.tag[i] in NEVER_TAGS), int(listed[i]),
             np.log1p(chars), np.log1p(own[i]), links[i] / (chars + 1), chars / (tags[i] + inline[i]), chars / (runs[i] + 1), np.log1p(tags[i]), stops[i] / (chars / 50 + 1), chars / total, chars / (text[p] + 1),
             depth[i], first[i] / total, children[i], children[p], place[i] / (children[p] or 1), same.get((parent[i], t.tag[i]), 1) / (children[p] or 1),
             int(t.tag[i] in HEADINGS), int(t.tag[i] in LISTS), int(t.tag[i] in TABLES), int(t.tag[i] == "p"),
@@ -115,8 +144,8 @@ def sentences(s: str) -> int:
     return s.count(". ") + s.count(", ") + s.endswith((".", "!", "?"))
 
 
-def labels(t: Tree, repeated: set[str]) -> np.ndarray:
-    """1, 0, or -1 for none, by the evidence of the page and of its host's other pages; see the module's text."""
+def labels(t: Tree, repeated: set[str], telling: bool = True) -> np.ndarray:
+    """1, 0, or -1 for none, by the evidence of the page and of its host's other pages; see the module's text. telling: an <article> or <main> tells."""
     n = len(t.tag)
     inside, other, holds = [False] * n, [False] * n, [False] * n
     for i in range(1, n):
@@ -126,8 +155,9 @@ def labels(t: Tree, repeated: set[str]) -> np.ndarray:
     for i in range(n - 1, 0, -1):
         holds[i] = holds[i] or t.tag[i] in ARTICLE_TAGS
         holds[t.parent[i]] = holds[t.parent[i]] or holds[i]
+    other = [a or b for a, b in zip(other, series(t))]
     out = np.full(n, -1, np.int8)
-    if holds[0]:
+    if holds[0] and telling:
         for i in range(1, n):
             out[i] = 0 if other[i] else 1 if inside[i] else -1 if holds[i] else 0
         return out
@@ -141,11 +171,48 @@ def labels(t: Tree, repeated: set[str]) -> np.ndarray:
     return out
 
 
+def graft(t: Tree, at: int, place: int, s: Tree, top: int) -> Tree:
+    """A copy of t with the subtree of s below `top` as one more child of `at`, its text before t's run number `place`."""
+    out = Tree("")
+    own, new = [i == top for i in range(len(s.tag))], {top: len(t.tag)}
+    for i in range(top + 1, len(s.tag)):
+        if own[s.parent[i]]:
+            own[i] = True
+            new[i] = len(t.tag) + len(new)
+    out.tag, out.tokens, out.links, out.inline = ([*a, *(b[i] for i in new)] for a, b in ((t.tag, s.tag), (t.tokens, s.tokens), (t.links, s.links), (t.inline, s.inline)))
+    out.parent = [*t.parent, at, *(new[s.parent[i]] for i in list(new)[1:])]
+    out.runs = [*t.runs[:place], *((new[i], x) for i, x in s.runs if i in new), *t.runs[place:]]
+    return out
+
+
+def comments(texts: list[str], k: int) -> Tree:
+    """A series of comments made of texts of the sample: k tells how they are dressed."""
+    tag, names = ("div", "li", "section", "article")[k % 4], ("", f' class="w{k % 7}"', f' class="w{k % 5}-item"')[k % 3]
+    stamp = (f"{k % 28 + 1}.{k % 12 + 1}.20{k % 20 + 10}", f"{k % 9 + 2} hours ago", f"20{k % 20 + 10}-0{k % 9 + 1}-1{k % 10}", f"User{k} 1{k % 10}:2{k % 10}")[k // 4 % 4]
+    line = (f"<div>{stamp}</div>", f"<p>{stamp}</p>", f"<header>{stamp}</header>")[k // 3 % 3]
+    items = "".join(f"<{tag}{names}>{line}<p>{html.escape(x)}</p></{tag}>" for x in texts)
+    return Tree(f"<{'ul' if tag == 'li' else 'div'}>{items}</{'ul' if tag == 'li' else 'div'}>")
+
+
+def set_out(texts: list[str], k: int) -> Tree:
+    """Texts of articles set as lists, tables and under headings, as articles may hold them."""
+    dated = [f"{x[:60]} {k % 28 + 1}.{j + 1}.20{k % 20 + 10}" if k % 3 == 0 else x[: (8, 20, 40, 90)[(k + j) % 4]] for j, x in enumerate(texts)]
+    safe = [html.escape(x) for x in dated]
+    rows = "".join(f"<tr><td>{j + 1}.{k % 12 + 1}.2020</td><td>{x[:80]}</td></tr>" for j, x in enumerate(safe))
+    return Tree((
+        "<ul>" + "".join(f"<li>{x}</li>" for x in safe) + "</ul>", f"<table><tbody>{rows}</tbody></table>", "<ol>" + "".join(f"<li><p>{x}</p></li>" for x in safe) + "</ol>",
+        "<dl>" + "".join(f"<dt>{x[:20]}</dt><dd>{x}</dd>" for x in safe) + "</dl>", f"<table>{rows}</table>", "<blockquote>" + "".join(f"<p>{x}</p>" for x in safe) + "</blockquote>",
+        "<div>" + "".join(f"<h{1 + (k + j) % 3}>{x[: 8 + 6 * (k % 5)]}</h{1 + (k + j) % 3}><p>{x}</p>" for j, x in enumerate(safe)) + "</div>", f"<div><h1>{safe[0][: 8 + 6 * (k % 7)]}</h1>" + "".join(f"<p>{x}</p>" for x in safe) + "</div>",
+    )[k % 8])
+
+
 class Boosted:
     """Gradient-boosted regression trees of fixed depth on binned features, with the logistic loss."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
-        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T] if len(x) else []
+        # by the rows and by the values they have, so that rare values are told apart too
+        cuts = np.linspace(0, 1, BINS // 2 + 1)[1:-1]
+        self.edges = [np.unique(np.concatenate([np.quantile(c, cuts), np.quantile(np.unique(c), cuts, method="lower")])) for c in x.T] if len(x) else []
         self.base = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))) if len(y) else 0.0
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if not len(x):
@@ -203,32 +270,54 @@ class Boosted:
 class Extractor:
     """Boosted trees and the log-odds of attribute words; the same pages in the same order give the same."""
 
-    def __init__(self, pages: list[tuple[str | None, str | None]]):
-        """pages: (url, html)."""
+    def __init__(self, pages: list[tuple[str | None, str | None]], telling: bool = True):
+        """pages: (url, html). telling: <article> and <main> count as evidence."""
         trees = [Tree(h or "") for _, h in pages]
         hosts = [_host(u) for u, _ in pages]
         held: dict[str, Counter] = defaultdict(Counter)
         for host, t in zip(hosts, trees):
             held[host].update({s for _, s in t.runs})
         repeated = {h: {s for s, n in c.items() if n >= REPEATED} for h, c in held.items()}
-        ys = [labels(t, repeated[h]) for h, t in zip(hosts, trees)]
+        # a third of the pages is labelled by its host's other pages alone
+        ys = [labels(t, repeated[h], telling and k % 3 < 2) for k, (h, t) in enumerate(zip(hosts, trees))]
         votes: dict[str, list[int]] = {}
         for t, y in zip(trees[::2], ys[::2]):
             for words, label in zip(t.tokens, y.tolist()):
                 for w in set(words) if label >= 0 else ():
                     votes.setdefault(w, [0, 0])[label] += 1
         self.odds = {w: float(np.log((good + 5) / (bad + 5))) for w, (bad, good) in votes.items()}
+        fitted = list(zip(trees, ys))[1::2] or list(zip(trees, ys))
         xs, ls = [np.zeros((0, N_FEATURES), np.float32)], [np.zeros(0)]
-        for t, y in list(zip(trees, ys))[1::2] or list(zip(trees, ys)):
+        for t, y in [*fitted, *self._grafted(fitted)]:
             xs.append(features(t, self.odds)[y >= 0])
             ls.append(y[y >= 0].astype(float))
         x, y = np.concatenate(xs), np.concatenate(ls)
         hidden = x.copy()
         hidden[:, NAMED] = 0
-        # comments and notices have the shape of articles: article elements that call themselves something else are none
-        turned = x[y > 0]
-        turned[:, NAMED] = -1, 0, 1, 0, 0
-        self.boosted = Boosted(np.concatenate([x, hidden, turned]), np.concatenate([y, y, np.zeros(len(turned))]))
+        self.boosted = Boosted(np.concatenate([x, hidden]), np.concatenate([y, y]))
+
+    @staticmethod
+    def _grafted(fitted: list[tuple[Tree, np.ndarray]]) -> Iterator[tuple[Tree, np.ndarray]]:
+        """The pages with more among their articles' paragraphs: a block that is none of another page's article, comments, and lists or tables of its own."""
+        foreign = [(t, [i for i in range(1, len(t.tag)) if y[i] == 0 and (y[t.parent[i]] != 0 or t.tag[t.parent[i]] in ("body", "html", "#"))]) for t, y in fitted]
+        texts = [s[:300] for t, y in fitted for node, s in t.runs if y[node] > 0 and len(s) > 20]
+        for k, (t, y) in enumerate(fitted):
+            runs = [(j, t.parent[node]) for j, (node, _) in enumerate(t.runs) if y[node] > 0 and y[t.parent[node]] != 0]
+            if not runs:
+                continue
+            place, at = runs[k * 7 % len(runs)]
+            s, tops = foreign[(k + 1) % len(foreign)]
+            if tops:
+                more = graft(t, at, place, s, tops[k % len(tops)])
+                yield more, np.concatenate([y, np.zeros(len(more.tag) - len(y), np.int8)])
+            place, at = runs[k * 5 % len(runs)]
+            own = [texts[(k * 13 + j) % len(texts)] for j in range(2 + k % 4)]
+            more = graft(t, at, place, set_out(own, k), 1)
+            yield more, np.concatenate([y, np.ones(len(more.tag) - len(y), np.int8)])
+            place, at = runs[-1]
+            said = [texts[(k * 11 + j) % len(texts)] for j in range(2 + k % 5)]
+            more = graft(t, at, place + 1, comments(said, k), 1)
+            yield more, np.concatenate([y, np.zeros(len(more.tag) - len(y), np.int8)])
 
     def kept(self, trees: list[Tree]) -> Iterator[list[bool]]:
         x = [features(t, self.odds) for t in trees]
@@ -254,11 +343,13 @@ _TELLING = re.compile(r"(</?)(?:" + "|".join(sorted(ARTICLE_TAGS | (OTHER_TAGS -
 _ATTRIBUTES = re.compile(r"<(div|p|h[1-6]|ul|ol|li|section|table|tr|td)\s[^>]*>", re.I)
 
 
-def quality(pages: list[tuple[str | None, str | None]], parts: int = 3) -> tuple[float, float]:
+def quality(pages: list[tuple[str | None, str | None]], parts: int = 3, telling: bool = True) -> tuple[float, float]:
     """Precision and recall, by characters, on the pages of hosts that weren't learned from (one of `parts`, by hash), with
-    telling elements made <div> and all attributes of blocks dropped; pages without <article> or <main> don't count."""
+    telling elements made <div> and all attributes of blocks dropped; pages without <article> or <main> don't count. telling: false takes the
+    telling elements out of what is learned from too, so that all evidence is that of the hosts."""
     out = [(u, h) for u, h in pages if crc32(_host(u).encode()) % parts == 0]
-    model = Extractor([(u, h) for u, h in pages if crc32(_host(u).encode()) % parts])
+    rest = [(u, h) for u, h in pages if crc32(_host(u).encode()) % parts]
+    model = Extractor(rest if telling else [(u, _TELLING.sub(r"\1div>", h or "")) for u, h in rest])
     right = found = asked = 0
     for _, h in out:
         t = Tree(h or "")
