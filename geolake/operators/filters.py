@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -38,11 +38,15 @@ def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
 
 
 def export(df: DataFrame, path: str, most: int, form: str = "parquet") -> int:
-    """Write what was chosen and return its rows; more than `most` of them is an error, and nothing is written."""
-    n = df.limit(most + 1).count()
+    """Write what was chosen, in one pass, and return its rows. More than `most` rows is an error, and what was written is removed; no more than one row beyond is written."""
+    seen = Observation()
+    spark = df.sparkSession
+    df.limit(most + 1).observe(seen, F.count(F.lit(1)).alias("n")).write.format(form).save(path)
+    n = seen.get["n"]
     if n > most:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
         raise ValueError(f"more than {most} rows")
-    df.write.format(form).save(path)
     return n
 
 

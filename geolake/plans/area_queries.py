@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -17,6 +18,7 @@ from geolake.functions import grid, kernels, wkb
 from geolake.operators import aggregates as agg
 from geolake.operators import filters as f
 from geolake.operators import spatial_join as sj
+from geolake.sources.shared import shared_dir
 
 from . import geography as geo
 from .registry import registry
@@ -257,14 +259,15 @@ def distance_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sj.distance_join(a, b, 5000.0, "x", "y", "u", "v").groupBy("s_suppkey").agg(F.count("*").alias("n"), F.round(F.min("distance"), 3).alias("nearest"))
 
 
-_T = ["(CAST({w} AS DOUBLE) - lon) / dx", "(CAST({e} AS DOUBLE) - lon) / dx", "(CAST({s} AS DOUBLE) - lat) / dy", "(CAST({n} AS DOUBLE) - lat) / dy"]
+_T = ["CASE WHEN dx <> 0 THEN (CAST({w} AS DOUBLE) - lon) / dx WHEN lon < {w} THEN 2 ELSE 0 END", "CASE WHEN dx <> 0 THEN (CAST({e} AS DOUBLE) - lon) / dx WHEN lon > {e} THEN -1 ELSE 1 END",
+      "CASE WHEN dy <> 0 THEN (CAST({s} AS DOUBLE) - lat) / dy WHEN lat < {s} THEN 2 ELSE 0 END", "CASE WHEN dy <> 0 THEN (CAST({n} AS DOUBLE) - lat) / dy WHEN lat > {n} THEN -1 ELSE 1 END"]
 _TW, _TE, _TS, _TN = (t.format(w=W, e=E, s=S, n=N) for t in _T)
 
 
-@query(f"""{WITH}, q AS (SELECT *, x2 - lon AS dx, y2 - lat AS dy FROM roads WHERE x2 > lon AND y2 > lat), t AS (SELECT *, greatest(0, {_TW}, {_TS}) AS t0, least(1, {_TE}, {_TN}) AS t1 FROM q)
+@query(f"""{WITH}, q AS (SELECT *, x2 - lon AS dx, y2 - lat AS dy FROM roads), t AS (SELECT *, greatest(0, {_TW}, {_TS}) AS t0, least(1, {_TE}, {_TN}) AS t1 FROM q)
 SELECT id, round(lon + t0 * dx, 6) AS x1, round(lat + t0 * dy, 6) AS y1, round(lon + t1 * dx, 6) AS x2, round(lat + t1 * dy, 6) AS y2 FROM t WHERE t0 <= t1""")
 def segment_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = geo.roads(spark, sf_dir).where("x2 > lon AND y2 > lat")
+    d = geo.roads(spark, sf_dir)
     t0, t1 = g.clip_segment(F.col("lon"), F.col("lat"), F.col("x2"), F.col("y2"), W, S, E, N)
     d = d.withColumn("t0", t0).withColumn("t1", t1).where("t0 <= t1")
     at = lambda a, b, t: F.round(F.col(a) + F.col(t) * (F.col(b) - F.col(a)), 6)
@@ -307,8 +310,12 @@ def coarse_plus_exact_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{WITH} SELECT id, usage, city FROM buildings WHERE {_VIEW} AND height <= 10")
 def export_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a view shows of a level, written with a limit and read back."""
     d = geo.buildings(spark, sf_dir).withColumn("lod", F.when(F.col("height") <= 10, 1).otherwise(0))
-    return d.where(g.intersects_view("bbox", W, S, E, N) & f.level(d, 1)).drop("lod").select("id", "usage", "city")
+    d = d.where(g.intersects_view("bbox", W, S, E, N) & f.level(d, 1)).drop("lod").select("id", "usage", "city")
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    f.export(d, path, 100_000_000)
+    return spark.read.schema(d.schema).parquet(path)
 
 
 @query(f"{WITH}, o AS (SELECT id, xmin + xmax AS cx, ymin + ymax AS cy, row_number() OVER (ORDER BY xmin + xmax, id) - 1 AS i FROM buildings), s AS (SELECT *, i // 500 AS strip FROM o), p AS (SELECT *, row_number() OVER (PARTITION BY strip ORDER BY cy, id) - 1 AS j FROM s) SELECT strip, j // 100 AS cell, count(*) AS n, round(max(cx) - min(cx), 6) AS width, round(max(cy) - min(cy), 6) AS height FROM p GROUP BY 1, 2")

@@ -15,14 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolake.functions import kernels, wkb
+from geolake.functions import datum, kernels, wkb
 from geolake.operators import chains, overlay, pieces
+from geolake.operators import zones as zoning
 from geolake.operators.extract import in_country
 from geolake.sources import geoparquet
 from geolake.sources.shared import shared_dir, stored
 
 from . import geography as geo
-from .build_queries import _STREETS, road_lines
+from .build_queries import _STREETS, TILE_ROWS, _with_geometry, road_lines
 from .registry import registry
 
 QUERIES, ORACLES, query = registry()
@@ -174,3 +175,57 @@ def road_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("class").agg(
         F.count("*").alias("lines"), F.sum("lines").alias("segments"), F.max("lines").alias("longest"), F.count_if("closed").alias("closed"), F.round(F.sum(kernels.geo_length("geometry")), 6).alias("length")
     )
+
+
+@query(f"""WITH offs(q, dx, dy) AS (VALUES (0, 6, 2), (1, 10, 6), (2, 6, 10), (3, 2, 6)), s AS (SELECT s_suppkey AS id, 12 * (s_suppkey % 7 + 1) AS w, 12 * (s_suppkey % 5 + 1) AS h FROM supplier),
+m AS (SELECT id, w, h, 12 * i + dx AS x, 12 * j + dy AS y FROM s, range(-3, 12) a(i), range(-3, 10) b(j), offs)
+SELECT id, round(count(*) / {_SQUARE}, 9) AS area FROM m WHERE least(greatest(0, -x, x - w) + abs(y), abs(x - w) + greatest(0, -y, y - h)) <= 24 GROUP BY 1""")
+def line_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones around bent lines as polygons; discs of four corners keep the edges on the lattice's diagonals."""
+    k = "CAST(s_suppkey AS BIGINT)"
+    d = geo.table(spark, sf_dir, "supplier").selectExpr(f"{k} AS id", f"{_x('s_suppkey')} AS ox", f"{_y('s_suppkey')} AS oy", f"{k} % 7 + 1 AS w", f"{k} % 5 + 1 AS h")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ox, oy, w, h = (b.column(c).to_numpy().astype(float) for c in ("ox", "oy", "w", "h"))
+            path = np.stack([np.stack([ox, oy], 1), np.stack([ox + w, oy], 1), np.stack([ox + w, oy + h], 1)], 1) / 64 + np.array([139.0, 35.0])
+            yield pa.RecordBatch.from_arrays([b.column("id"), wkb.fixed("LineString", path)], ["id", "geometry"])
+
+    found = zoning.zones(d.mapInArrow(draw, "id long, geometry binary"), degrees=2 / 64, corners=4)
+    return found.select("id", F.round(kernels.geo_area("geometry"), 9).alias("area"))
+
+
+_STEP = 0.125
+_DLON, _DLAT = "CAST(({i} * 7 + {j} * 3) % 11 AS DOUBLE) / 100000", "CAST(({i} * 5 + {j} * 2) % 13 AS DOUBLE) / 100000"
+_MIX = "({a} + ({b} - {a}) * u + (({c} + ({d} - {c}) * u) - ({a} + ({b} - {a}) * u)) * v)"
+
+
+def _mixed(e: str) -> str:
+    at = lambda a, b: e.format(i=f"(i + {a})", j=f"(j + {b})")
+    return _MIX.format(a=at(0, 0), b=at(1, 0), c=at(0, 1), d=at(1, 1))
+
+
+@query(f"""WITH {geo.SQL}, p AS (SELECT c_custkey, lon, lat, CAST(floor(lon * 8) AS BIGINT) AS i, CAST(floor(lat * 8) AS BIGINT) AS j, lon * 8 - floor(lon * 8) AS u, lat * 8 - floor(lat * 8) AS v FROM census)
+SELECT c_custkey, round(lon + {_mixed(_DLON)}, 9) AS lon, round(lat + {_mixed(_DLAT)}, 9) AS lat, true AS returns FROM p""")
+def datum_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points moved by a grid of differences, and back again: under a tenth of a millimetre (1e-9 degrees) from where they were."""
+    d = geo.census(spark, sf_dir).select("c_custkey", "lon", "lat")
+    near = d.select(F.floor(F.col("lon") / _STEP).alias("a"), F.floor(F.col("lat") / _STEP).alias("b")).distinct()
+    steps = F.array(*map(F.lit, (-1, 0, 1, 2)))
+    corners = near.select(F.explode(F.transform(steps, lambda s: s + F.col("a"))).alias("i"), "b").select("i", F.explode(F.transform(steps, lambda s: s + F.col("b"))).alias("j")).distinct()
+    corners = corners.select("i", "j", F.expr(_DLON.format(i="i", j="j")).alias("dlon"), F.expr(_DLAT.format(i="i", j="j")).alias("dlat"))
+    cells = stored(datum.grid_cells(corners), "shift_grid")
+    moved = datum.shift(d.withColumn("lon0", F.col("lon")).withColumn("lat0", F.col("lat")), cells, "lon", "lat", _STEP, _STEP)
+    back = datum.shift(moved.withColumn("blon", F.col("lon")).withColumn("blat", F.col("lat")), cells, "blon", "blat", _STEP, _STEP, back=True)
+    returns = (F.abs(F.col("blon") - F.col("lon0")) < 1e-9) & (F.abs(F.col("blat") - F.col("lat0")) < 1e-9)
+    return back.select("c_custkey", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"), returns.alias("returns"))
+
+
+@query(f"WITH {geo.SQL} SELECT id, usage FROM buildings WHERE xmin <= CAST(139.82 AS DOUBLE) AND xmax >= CAST(139.78 AS DOUBLE) AND ymin <= CAST(35.67 AS DOUBLE) AND ymax >= CAST(35.63 AS DOUBLE)")
+def catalog_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands around a place, from packed files: the catalogue's items choose the tiles that are opened."""
+    folder = f"{shared_dir(spark)}/tiles-{uuid.uuid4().hex}"
+    buildings = _with_geometry(geo.buildings(spark, sf_dir))
+    items = geoparquet.write_tiles(buildings, folder, 6, 12, TILE_ROWS, ["Polygon"], size=100, folders=True)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in buildings.schema)
+    return geoparquet.read_tiles(spark, folder, items, schema, (139.78, 35.63, 139.82, 35.67)).select("id", "usage")

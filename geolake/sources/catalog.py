@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import uuid
 from dataclasses import dataclass, field
 from pathlib import PurePath
 from urllib.parse import urljoin
@@ -70,11 +71,12 @@ def write_items(items: DataFrame, path: str) -> list[str]:
     order = sorted(sizes, key=lambda c: (-sizes[c], c))
     stats = [c for c in ("collection", "xmin", "ymin", "xmax", "ymax") if c in t.column_names]
     files, path = file_system(path)
-    with pq.ParquetWriter(f"{path}.tmp", t.schema, compression="zstd", use_dictionary=False, write_statistics=stats, filesystem=files) as w:
+    temporary = f"{path}.{uuid.uuid4().hex}.tmp"
+    with pq.ParquetWriter(temporary, t.schema, compression="zstd", use_dictionary=False, write_statistics=stats, filesystem=files) as w:
         for c in order:
             own = t.filter(pa.compute.equal(t.column("collection"), c))
             w.write_table(own, row_group_size=len(own))
-    files.move(f"{path}.tmp", path)
+    files.move(temporary, path)
     return order
 
 
@@ -144,12 +146,14 @@ def box_geojson(b: Column) -> Column:
 
 def provenance(path: str) -> dict[str, str]:
     """The entries of a file's metadata other than Arrow's own."""
-    return {k.decode(): v.decode() for k, v in (pq.read_schema(path).metadata or {}).items() if not k.startswith(b"ARROW")}
+    files, path = file_system(path)
+    return {k.decode(): v.decode() for k, v in (pq.read_schema(path, filesystem=files).metadata or {}).items() if not k.startswith(b"ARROW")}
 
 
 def describe(path: str) -> dict:
     """Columns, rows, row groups and geometry kinds of one file, from its footer."""
-    meta = pq.read_metadata(path)
+    files, path = file_system(path)
+    meta = pq.read_metadata(path, filesystem=files)
     geo = json.loads((meta.metadata or {}).get(b"geo", b"{}") or b"{}")
     primary = geo.get("columns", {}).get(geo.get("primary_column", ""), {})
     return {"columns": meta.schema.to_arrow_schema().names, "rows": meta.num_rows, "row_groups": meta.num_row_groups, "kinds": primary.get("geometry_types", []), "bbox": primary.get("bbox")}

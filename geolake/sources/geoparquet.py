@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolake.functions import grid
+from geolake.functions.geometry import intersects_view
 from geolake.operators.aggregates import choose_tiles, tile_of_keys
 
 from .shared import file_system, stored
@@ -120,9 +121,11 @@ def write_file(t: pa.Table, path: str, metadata: dict[str, str], size: int | Non
     return len(groups)
 
 
-def write(df: DataFrame, folder: str, by: str, kinds: list[str], extra: dict[str, str] | None = None, **how) -> DataFrame:
+def write(df: DataFrame, folder: str, by: str, kinds: list[str], extra: dict[str, str] | None = None, folders: bool = False, **how) -> DataFrame:
     """One file for each value of `by` (a tile, a city: groups that fit a task), under a folder that all executors share.
 
+    folders: each file in a folder of its own, so that readers have `by` as a partition column (see read_tiles).
+
     Returns `by`, file, rows, groups and the extent of every file, as a stored table: the files are written once, however often
     it is read. df needs `geometry` (WKB) and `bbox`. A folder that can't be written from tasks is an error.
     """
@@ -130,7 +133,7 @@ def write(df: DataFrame, folder: str, by: str, kinds: list[str], extra: dict[str
     metadata = {"geo": geo_metadata(kinds), **(extra or {})}
 
     def put(key: tuple, t: pa.Table) -> pa.Table:
-        path = f"{folder}/{by}={key[0].as_py()}.parquet"
+        path = f"{folder}/{by}={key[0].as_py()}" + ("/part.parquet" if folders else ".parquet")
         groups = write_file(t.drop_columns([by]), path, metadata, **how)
         b = t.column("bbox").combine_chunks()
         edge = [f(b.field(k).to_numpy(zero_copy_only=False)) for k, f in (("xmin", np.min), ("ymin", np.min), ("xmax", np.max), ("ymax", np.max))]
@@ -156,6 +159,16 @@ def write_tiles(df: DataFrame, folder: str, least: int, most: int, rows: int, ki
     return items
 
 
+def read_tiles(spark: SparkSession, folder: str, items: DataFrame, schema: str, view: tuple[float, float, float, float], by: str = "quadkey") -> DataFrame:
+    """What a view shows of files in folders (see write): the catalogue's items choose the tiles at run time (dynamic partition
+    pruning), the boxes' statistics the row groups, and the boxes the rows. items: `by` and the extent of each tile; a tile is one row, so
+    the view's are few, and Spark broadcasts them if they are small."""
+    west, south, east, north = view
+    chosen = items.where((F.col("xmin") <= east) & (F.col("xmax") >= west) & (F.col("ymin") <= north) & (F.col("ymax") >= south)).select(by)
+    d = spark.read.schema(f"{schema}, {by} string").parquet(folder)
+    return d.where(intersects_view("bbox", west, south, east, north)).join(chosen, by)
+
+
 def repack(spark: SparkSession, source: str, folder: str, least: int, most: int, rows: int, kinds: list[str], **how) -> DataFrame:
     """Existing files (with `geometry` and `bbox`) written anew as packed files of adaptive tiles; returns their items.
 

@@ -19,14 +19,30 @@ def windowed(events: DataFrame, late: str = "10 minutes", window: str = "1 day",
     return d.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value")).select(F.col("w.start").alias("start"), "mesh_code", "n", "value")
 
 
+def run_coverage(spark: SparkSession, source: str, folder: str) -> None:
+    """Take in what is new under `source` (a path or pattern of Parquet files) since the last run with this folder, and stop.
+
+    The folder holds the state of all windows, so a second run reads the new files only. After each batch the windows that it
+    changed, open ones too, are written under the batch's number; a batch that is repeated after a failure writes the same again.
+    """
+    schema = spark.read.parquet(source).schema
+
+    def put(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{folder}/windows/batch={batch}")
+
+    events = windowed(spark.readStream.schema(schema).parquet(source))
+    events.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+def coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """start, mesh_code, n, value: the last state of every window, from what the runs wrote."""
+    d = spark.read.schema("start timestamp, mesh_code string, n long, value double, batch long").parquet(f"{folder}/windows")
+    last = d.groupBy("start", "mesh_code").agg(F.max_by(F.struct("n", "value"), "batch").alias("last"))
+    return last.select("start", "mesh_code", "last.n", "last.value")
+
+
 def stream_coverage(spark: SparkSession, path: str) -> DataFrame:
-    """Run the stream over the table at `path` until it is consumed, then close the windows that it left open by a batch over
-    their rows; the result is what both wrote."""
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    events = spark.read.parquet(path)
-    source = spark.readStream.schema(events.schema).parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern that only this file matches
-    done = windowed(source).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
-    done.awaitTermination()
-    batch = windowed(events)
-    closed = spark.read.schema(batch.schema).parquet(f"{base}/out")
-    return closed.unionByName(batch.join(closed.select("start").distinct(), "start", "left_anti"))
+    """Run the stream over the table at `path` until it is consumed; all windows come from the stream's state."""
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    run_coverage(spark, f"{path[:-1]}[{path[-1]}]", folder)  # a pattern that only this file matches
+    return coverage(spark, folder)
