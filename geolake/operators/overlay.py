@@ -64,16 +64,16 @@ def _within(p: Column, a: Column, b: Column) -> Column:
     return (_turn(a, b, p) == 0) & in_box & (p != a) & (p != b)
 
 
-def _cuts(s: Column, t: Column) -> Column:
-    """Where a segment s of ends (u, v) is split by another one: at its ends or where they cross."""
-    first, second = F.least(s, t), F.greatest(s, t)  # in one order, so that both take the same point
-    a, b = _turn(second["u"], second["v"], first["u"]), _turn(second["u"], second["v"], first["v"])
-    c, d = _turn(first["u"], first["v"], second["u"]), _turn(first["u"], first["v"], second["v"])
-    w = a / (a - b)
-    cross = F.struct(*((first["u"][k] + w * (first["v"][k] - first["u"][k])).alias(k) for k in "xy"))
-    crosses = (F.signum(a) * F.signum(b) < 0) & (F.signum(c) * F.signum(d) < 0)
-    found = F.array(F.when(crosses, cross), F.when(_within(t["u"], s["u"], s["v"]), t["u"]), F.when(_within(t["v"], s["u"], s["v"]), t["v"]))
-    return F.filter(found, lambda p: p.isNotNull())
+def _cuts(pairs: DataFrame) -> DataFrame:
+    """(group, s, p): where the segments s of pairs (group, s, t), of ends (u, v), are split by t: at t's ends or where they cross."""
+    # in one order, so that both segments of a crossing take the same point; step by step, so that no expression is repeated
+    d = pairs.withColumn("one", F.least("s", "t")).withColumn("two", F.greatest("s", "t"))
+    one, two, s, t = (F.col(c) for c in ("one", "two", "s", "t"))
+    d = d.withColumns({"a": _turn(two["u"], two["v"], one["u"]), "b": _turn(two["u"], two["v"], one["v"]), "c": _turn(one["u"], one["v"], two["u"]), "d": _turn(one["u"], one["v"], two["v"])})
+    d = d.withColumn("w", F.when((F.signum("a") * F.signum("b") < 0) & (F.signum("c") * F.signum("d") < 0), F.col("a") / (F.col("a") - F.col("b"))))
+    cross = F.struct(*((one["u"][k] + F.col("w") * (one["v"][k] - one["u"][k])).alias(k) for k in "xy"))
+    found = F.array(F.when(F.col("w").isNotNull(), cross), F.when(_within(t["u"], s["u"], s["v"]), t["u"]), F.when(_within(t["v"], s["u"], s["v"]), t["v"]))
+    return d.select("group", "s", F.explode(found).alias("p")).where("p is not null")
 
 
 def _box(u: Column, v: Column) -> Column:
@@ -89,8 +89,8 @@ def noded(edges: DataFrame) -> DataFrame:
     owned = stored(edges.select("group", "poly", "layer", F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v")).alias("s"), F.when(p < q, 1).otherwise(-1).alias("turn")), "edges")
     lines = owned.select("group", "s").distinct().withColumn("box", _box(F.col("s.u"), F.col("s.v")))
     other = lines.select(F.col("group").alias("g2"), F.col("s").alias("t"), F.col("box").alias("box2"))
-    met = overlap_join(lines, other, "box", "box2", on=(("group", "g2"),)).where("s != t").select("group", "s", F.explode(_cuts(F.col("s"), F.col("t"))).alias("p"))
-    met = met.groupBy("group", "s").agg(F.collect_set("p").alias("cuts"))
+    met = overlap_join(lines, other, "box", "box2", on=(("group", "g2"),)).where("s != t").select("group", "s", "t")
+    met = _cuts(met).groupBy("group", "s").agg(F.collect_set("p").alias("cuts"))
     along = lambda p: (p["x"] - F.col("s.u.x")) * (F.col("s.v.x") - F.col("s.u.x")) + (p["y"] - F.col("s.u.y")) * (F.col("s.v.y") - F.col("s.u.y"))
     inner = F.transform(F.array_sort(F.transform(F.coalesce("cuts", F.array()), lambda p: F.struct(along(p).alias("t"), p.alias("p")))), lambda c: c["p"])
     path = owned.join(met, ["group", "s"], "left").withColumn("path", F.concat(F.array("s.u"), F.when(F.col("cuts").isNotNull(), inner).otherwise(F.array_repeat(F.col("s.u"), 0)), F.array("s.v")))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geolake.functions import kernels, wkb
-from geolake.functions.geometry import segments_meet
+from geolake.functions.geometry import box, segments_meet
 from geolake.sources.shared import stored
 
 from .spatial_join import overlap_join, point_join
@@ -146,21 +146,27 @@ def points_in(points: DataFrame, pieces: DataFrame, lon: str, lat: str, boundary
     return point_join(points, pieces, lon, lat, "cell", piece_holds(F.col(lon), F.col(lat), boundary)).select(*points.columns, *keys)
 
 
+def edges_in(pieces: DataFrame) -> DataFrame:
+    """(key, ax, ay, bx, by, ebox): the distinct edges of boundary pieces, a row each."""
+    keys = [c for c in pieces.columns if c not in ("cell", "inside", "corner", "edges")]
+    d = pieces.where(~F.col("inside")).select(*keys, F.explode("edges").alias("e")).select(*keys, *(F.col(f"e.{a}").alias(b) for a, b in (("x1", "ax"), ("y1", "ay"), ("x2", "bx"), ("y2", "by")))).distinct()
+    return d.withColumn("ebox", box(F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by")))
+
+
 def segments_on(rows: DataFrame, pieces: DataFrame) -> DataFrame:
     """Pairs of a segment (x1, y1, x2, y2, box and other columns) and a piece's key where both share a point (closed), perhaps repeated.
 
-    A segment that meets a polygon begins in it, or meets an edge: the first is asked in the cell of its beginning, the second in
-    the boundary pieces that it touches.
+    A segment that meets a polygon begins in it, or meets an edge: the first is asked in the piece of its beginning, the second is a join
+    of the boxes of segments and edges, tested by plain comparisons.
     """
     keys = [c for c in pieces.columns if c not in ("cell", "inside", "corner", "edges")]
-    x1, y1, x2, y2 = map(F.col, ("x1", "y1", "x2", "y2"))
-    begins = x1.between(F.col("cell.xmin"), F.col("cell.xmax")) & y1.between(F.col("cell.ymin"), F.col("cell.ymax"))
-    meets = F.exists("edges", lambda e: segments_meet(e["x1"], e["y1"], e["x2"], e["y2"], x1, y1, x2, y2))
-    found = overlap_join(rows, pieces, "box", "cell").where((begins & piece_holds(x1, y1)) | meets)
-    return found.select(*rows.columns, *keys)
+    begin = points_in(rows, pieces, "x1", "y1")
+    near = overlap_join(rows, stored(edges_in(pieces), "edges"), "box", "ebox")
+    meet = near.where(segments_meet(*map(F.col, ("ax", "ay", "bx", "by", "x1", "y1", "x2", "y2"))))
+    return begin.unionByName(meet.select(*rows.columns, *keys))
 
 
-def meeting(left: DataFrame, right: DataFrame, key: str = "id", box: str = "bbox", geometry: str = "geometry", right_box: str = "bbox", right_geometry: str = "geometry") -> DataFrame:
+def meeting(left: DataFrame, right: DataFrame, key: str = "id", left_box: str = "bbox", geometry: str = "geometry", right_box: str = "bbox", right_geometry: str = "geometry") -> DataFrame:
     """The distinct keys of left's rows whose geometry of any kind shares a point with an area of right (closed).
 
     Boxes meet pieces first. A box within an inside piece is in; only geometries that are near a boundary are read. An area that lies
@@ -169,7 +175,7 @@ def meeting(left: DataFrame, right: DataFrame, key: str = "id", box: str = "bbox
     left = left.where(F.col(geometry).isNotNull())
     # pieces and segments come out of Python and are read several times
     cut = stored(subdivide(right.select(F.lit(0).alias("__area"), F.col(right_geometry).alias("geometry")), "__area"), "pieces")
-    near = overlap_join(left.select(F.col(key).alias("__key"), F.col(box).alias("__box")), cut.select("cell", "inside"), "__box", "cell")
+    near = overlap_join(left.select(F.col(key).alias("__key"), F.col(left_box).alias("__box")), cut.select("cell", "inside"), "__box", "cell")
     b, c = (lambda f: F.col(f"__box.{f}")), (lambda f: F.col(f"cell.{f}"))
     within = F.col("inside") & (b("xmin") >= c("xmin")) & (b("xmax") <= c("xmax")) & (b("ymin") >= c("ymin")) & (b("ymax") <= c("ymax"))
     near = stored(near.groupBy("__key").agg(F.max(within).alias("sure")), "near")
