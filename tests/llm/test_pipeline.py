@@ -164,7 +164,7 @@ def test_oracles(spark):
     from geolake.llm.queries import QUERIES
 
     con = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     for name, sql in oracles.ORACLES.items():
         want, df = con.sql(sql), QUERIES[name](spark, SF)
