@@ -157,3 +157,61 @@ def describe(path: str) -> dict:
     geo = json.loads((meta.metadata or {}).get(b"geo", b"{}") or b"{}")
     primary = geo.get("columns", {}).get(geo.get("primary_column", ""), {})
     return {"columns": meta.schema.to_arrow_schema().names, "rows": meta.num_rows, "row_groups": meta.num_row_groups, "kinds": primary.get("geometry_types", []), "bbox": primary.get("bbox")}
+
+
+def document_tree(items: DataFrame, descriptions: dict[str, str], groups: dict[str, str], derived: dict[str, list[str]] | None = None, translated: dict[str, dict[str, str]] | None = None) -> dict[str, dict]:
+    """The documents of a catalogue by path: the root, a sub-catalogue for each group, a collection document below its group, copies in other
+    languages (`x.ja.json` beside `x.json`), and one bundle of them all.
+
+    groups: the group of each collection. derived: the collections that a collection is made of, as links. translated: by language,
+    descriptions of collections and groups; what a language lacks keeps the first one's text. Extents are aggregated from the items; collections
+    are few, so their documents are built here. A collection without a description or a group, and a link to what isn't there, are errors.
+    """
+    derived, translated = derived or {}, translated or {}
+    found = {r["collection"]: r for r in extents(items).collect()}
+    missing = sorted(c for c in found if c not in descriptions or c not in groups)
+    if missing:
+        raise ValueError(f"no description or group of {missing}")
+    own = {c: f"{groups[c]}/{c}/collection.json" for c in found}
+    out: dict[str, dict] = {}
+
+    def link(rel: str, target: str, here: str, **more: str) -> dict:
+        return {"rel": rel, "href": os.path.relpath(target, os.path.dirname(here) or ".").replace(os.sep, "/"), "type": "application/json", **more}
+
+    def put(path: str, kind: str, name: str, links: list[tuple[str, str]], **more) -> None:
+        for language in (None, *sorted(translated)):
+            at = path if language is None else path.replace(".json", f".{language}.json")
+            text = translated.get(language or "", {}).get(name, descriptions.get(name, name))
+            copies = [link("alternate", path if x is None else path.replace(".json", f".{x}.json"), at, **({"hreflang": x} if x else {})) for x in (None, *sorted(translated)) if x != language]
+            out[at] = {"type": kind, "stac_version": "1.0.0", "id": name, "description": text, **more, "links": [link("self", at, at), *(link(r, t, at) for r, t in links), *copies]}
+
+    top = "catalog.json"
+    put(top, "Catalog", "catalogue", [("root", top), *(("child", f"{g}/catalog.json") for g in sorted({groups[c] for c in found}))])
+    for g in sorted({groups[c] for c in found}):
+        put(f"{g}/catalog.json", "Catalog", g, [("root", top), ("parent", top), *(("child", own[c]) for c in sorted(found) if groups[c] == g)])
+    for c, r in sorted(found.items()):
+        box = None if r["xmin"] is None else [r["xmin"], r["ymin"], r["xmax"], r["ymax"]]
+        made = [("derived_from", own.get(d, f"{groups.get(d, 'unknown')}/{d}/collection.json")) for d in derived.get(c, [])]
+        put(own[c], "Collection", c, [("root", top), ("parent", f"{groups[c]}/catalog.json"), ("items", "items.parquet"), *made],
+            license="various", extent={"spatial": {"bbox": [box]}, "temporal": {"interval": [[None, None]]}}, summaries={"files": r["files"], "rows": r["rows"]})
+    check_links(out, {"items.parquet"})
+    out["bundle.json"] = {"type": "Bundle", "documents": [{"path": p, **d} for p, d in sorted(out.items())]}
+    return out
+
+
+def check_links(documents: dict[str, dict], files: set[str] = frozenset()) -> None:
+    """Every link of the documents leads to one of them, to one of the files, or out of the tree by an absolute URL; others are an error that names them all."""
+    dangling = [(p, x["href"]) for p, d in sorted(documents.items()) for x in d.get("links", []) if not re.match("[a-z][a-z0-9+.-]*:", (to := resolve(x["href"], p)), re.I) and to not in documents and to not in files]
+    if dangling:
+        raise ValueError(f"dangling links {dangling}")
+
+
+def write_documents(documents: dict[str, dict], folder: str) -> None:
+    """The documents as files below a folder, each one under a temporary name that is moved when complete."""
+    for at, d in documents.items():
+        files, path = file_system(f"{folder.rstrip('/')}/{at}")
+        files.create_dir(path.rpartition("/")[0], recursive=True)
+        temporary = f"{path}.{uuid.uuid4().hex}.tmp"
+        with files.open_output_stream(temporary) as f:
+            f.write(json.dumps(d, ensure_ascii=False, indent=1).encode())
+        files.move(temporary, path)

@@ -85,3 +85,32 @@ def test_links():
     assert c.resolve("roads.parquet", "maps/roads.json") == "maps/roads.parquet" and c.resolve("../x.json", "maps/roads.json") == "x.json" and c.resolve("./a/b", "catalog.json") == "a/b"
     assert c.resolve("https://h/x", "maps/roads.json") == "https://h/x" and c.resolve("../y", "https://h/a/b/c.json") == "https://h/a/y"
     assert c.delivery_path("/data/out/maps/a.parquet", "/data/out") == "maps/a.parquet" and c.delivery_path("C:\\d\\x\\a.parquet", "C:\\d") == "x/a.parquet"
+
+
+def test_document_tree(spark, tmp_path):
+    """Every link of the written tree leads somewhere; dangling ones are errors."""
+    import json
+    import os
+
+    from geolake.sources import catalog as c
+
+    items = spark.createDataFrame([("a1", "roads", "f1", 10, 1.0, 2.0, 3.0, 4.0), ("a2", "roads", "f2", 5, 0.0, 2.0, 3.0, 9.0), ("b", "lines", "f3", 7, 5.0, 5.0, 6.0, 6.0), ("c", "towns", "f4", 1, None, None, None, None)],
+                                  "id string, collection string, file string, rows long, xmin double, ymin double, xmax double, ymax double")
+    said, groups = {"roads": "Roads", "lines": "Lines", "towns": "Towns", "traffic": "Traffic"}, {"roads": "traffic", "lines": "traffic", "towns": "places"}
+    tree = c.document_tree(items, said, groups, {"lines": ["roads", "towns"]}, {"ja": {"roads": "道路", "traffic": "交通"}})
+    c.write_documents(tree, str(tmp_path / "t"))
+    (tmp_path / "t" / "items.parquet").write_bytes(b"")
+    paths = [os.path.relpath(os.path.join(d, f), tmp_path / "t") for d, _, fs in os.walk(tmp_path / "t") for f in fs if f.endswith(".json")]
+    assert sorted(paths) == sorted(tree) and len(paths) == 13
+    for p in paths:
+        for x in json.loads((tmp_path / "t" / p).read_text()).get("links", []):
+            assert os.path.exists(tmp_path / "t" / os.path.dirname(p) / x["href"]), (p, x)
+    roads = tree["traffic/roads/collection.json"]
+    assert roads["extent"]["spatial"]["bbox"] == [[0.0, 2.0, 3.0, 9.0]] and roads["summaries"] == {"files": 2, "rows": 15} and tree["traffic/roads/collection.ja.json"]["description"] == "道路"
+    assert tree["places/catalog.ja.json"]["description"] == "places" and tree["places/towns/collection.json"]["extent"]["spatial"]["bbox"] == [None]
+    made = [x["href"] for x in tree["traffic/lines/collection.json"]["links"] if x["rel"] == "derived_from"]
+    assert made == ["../roads/collection.json", "../../places/towns/collection.json"] and len(tree["bundle.json"]["documents"]) == 12
+    with pytest.raises(ValueError, match="dangling"):
+        c.document_tree(items, said, groups, {"lines": ["rivers"]})
+    with pytest.raises(ValueError, match="towns"):
+        c.document_tree(items, said, {"roads": "x", "lines": "x"})
