@@ -771,6 +771,26 @@ def test_lm_scores(spark, texts):
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in none)
 
 
+@pytest.mark.parametrize("most", [0, 40, 400])
+def test_pairs_beyond_the_table(spark, texts, most):
+    """Pairs that the table of fixed size doesn't hold are joined: scores are those of a model that holds all pairs."""
+    docs = make(spark, texts + ["the " * 100, "unseen0 words1 only2"])
+    train = F.coalesce(F.col("doc_id") % 3 > 0, F.lit(True))
+    got = {r.doc_id: r.score for r in lm_score.score(docs, train, most_pairs=most).collect()}
+    pairs = lm_score.counts_of(docs.where(train)).where(F.col("kind") == lm_score.TWO_IDS).select("key", "n")
+    model = lm_score.fit_attention(docs.where(train), pairs, most_pairs=most)
+    whole = sorted((r.key, r.n) for r in pairs.collect())
+    assert not model.whole and len(model.pairs) <= most < len(whole)
+    # the same model with all pairs at hand; its counts of classes are over all pairs already
+    behind = np.zeros_like(model.behind)
+    np.add.at(behind, (model.row[[k // lm_score.SIZE for k, _ in whole]], model.cls[[k % lm_score.SIZE for k, _ in whole]]), [n for _, n in whole])
+    assert (behind == model.behind).all()
+    model.pairs, model.n_pair, model.whole = np.array([k for k, _ in whole]), np.array([n for _, n in whole], np.float32), True
+    for r in docs.collect():
+        (lo, hi, ids, at), *_ = lm_score.encoder(lm_score.VOCABULARY, None).encode(pa.array([r.text or ""]), lm_score.END)
+        assert math.isclose(got[r.doc_id], model.score(ids, at)[0], rel_tol=1e-5, abs_tol=1e-5)
+
+
 def test_attention_is_causal_and_complete():
     from geolake.llm import attention as at
 
