@@ -5,6 +5,7 @@ General polygon overlay is not here: intersections are with boxes or convex wind
 
 from __future__ import annotations
 
+import json
 import math
 from collections import defaultdict
 from collections.abc import Callable
@@ -357,6 +358,12 @@ def geo_simplify(tolerance: float):
     return _scalar(one, T.BinaryType())
 
 
+@F.pandas_udf(T.BinaryType())
+def geo_from_geojson(column: pd.Series) -> pd.Series:
+    """Texts of GeoJSON geometries as WKB; an unknown type is an error."""
+    return pd.Series([None if text is None else wkb.dumps(*wkb.from_geojson(json.loads(text))) for text in column], dtype=object)
+
+
 @F.pandas_udf(T.BinaryType())
 def geo_merge_lines(column: pd.Series) -> pd.Series:
     """A column of lists of WKB lines: each list merged."""
@@ -370,5 +377,5 @@ def geo_merge_lines(column: pd.Series) -> pd.Series:
 
 def register(spark) -> None:
     """The functions by name for SQL."""
-    for name, f in (("geo_area", geo_area), ("geo_is_empty", geo_is_empty), ("geo_length", geo_length), ("geo_bounds", geo_bounds), ("geo_contains", geo_contains), ("geo_distance", geo_distance)):
+    for name, f in (("geo_area", geo_area), ("geo_is_empty", geo_is_empty), ("geo_length", geo_length), ("geo_bounds", geo_bounds), ("geo_contains", geo_contains), ("geo_distance", geo_distance), ("geo_from_geojson", geo_from_geojson)):
         spark.udf.register(name, f)

@@ -205,6 +205,28 @@ def footers(df: DataFrame, column: str = "file") -> DataFrame:
     return df.select(column).mapInArrow(read, "file string, row_group long, rows long, bytes long, xmin double, ymin double, xmax double, ymax double")
 
 
+def column_ranges(df: DataFrame, of: str, column: str = "file") -> DataFrame:
+    """file, row_group, low and high (of a whole-number column) of every row group of the files named in a column, from footers only; without
+    statistics, or if all are null, both are null."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: dict[str, list] = {k: [] for k in ("file", "row_group", "low", "high")}
+            for file in b.column(0).to_pylist():
+                files, path = file_system(file)
+                with files.open_input_file(path) as f:
+                    meta = pq.read_metadata(f)
+                place = next(i for i in range(meta.num_columns) if meta.schema.column(i).path == of)
+                for g in range(meta.num_row_groups):
+                    seen = meta.row_group(g).column(place).statistics
+                    edge = (seen.min, seen.max) if seen is not None and seen.has_min_max else (None, None)
+                    for k, v in zip(out, (file, g, *edge)):
+                        out[k].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.string(), pa.int64(), pa.int64(), pa.int64()))], list(out))
+
+    return df.select(column).mapInArrow(read, "file string, row_group long, low long, high long")
+
+
 def spatially_sorted(df: DataFrame, lon: str, lat: str, files: int, zoom: int = 16) -> DataFrame:
     """Rows in quadkey order over `files` partitions of about equal size: the layout of tables too large to pack as one file."""
     key = grid.quadkey(F.col(lon), F.col(lat), zoom)
