@@ -150,6 +150,59 @@ def test_operators_take_odd_tables(spark):
     assert decontam.leaks(d, bench).count() == 0
 
 
+def test_token_files_take_odd_tables(spark, tmp_path):
+    """Null ids come first, rows of one id stand in the order of their texts, every row is there, and starts add up over files."""
+    from geolake.llm import token_files
+
+    d = odd_rows(spark)
+    token_files.write_tokens(d, f"{tmp_path}/odd")
+    enc, want, at = tokens.encoder(token_files.VOCABULARY), [], 0
+    for i, t in sorted(((r.doc_id, r.text) for r in d.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, (x[1] or "").encode())):
+        ids = [*enc.whole([t or ""])[0], token_files.END]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    key = lambda x: (x[1], str(x))
+    assert sorted((tuple(r) for r in token_files.token_index(spark, f"{tmp_path}/odd").select("doc_id", "start", "n_tokens", "ids_crc32").collect()), key=key) == want
+    assert token_files.read_tokens(spark, f"{tmp_path}/odd", 53, 53).count() == 2
+    token_files.write_tokens(d.limit(0), f"{tmp_path}/none")
+    assert token_files.token_index(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_pages_take_odd_tables(spark):
+    """One row a page, also for null ids, addresses and pages; repeated rows have equal results; a long page is whole; other columns aren't read."""
+    from geolake.llm import html_text
+
+    given = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").collect()]
+    rng = random.Random(5)
+    many = [prose(rng, 40) for _ in range(3000)]
+    long = "<html><body><div id='menu'><a href='/'>Home</a></div><article>" + "".join(f"<p>{x}.</p>" for x in many) + "</article></body></html>"
+    odd = [(None, None, None), (7, None, ""), (8, "http://a.example/x", "<p class="), (None, "not a url", given[0][2]), given[1], given[1], (given[1][0], given[1][1], given[2][2]), (9, "http://a.example/long", long)]
+    d = spark.createDataFrame(given + odd, "page_id long, url string, html string")
+    d = d.withColumns({c: F.lit(1) for c in ("text", "n_chars", "host", "model", "labels")})
+    got = collections.Counter((r.page_id, r.url, r.text) for r in html_text.extract_pages(d).collect())
+    assert sum(got.values()) == len(given) + len(odd)
+    assert {(i, t) for i, u, t in got if u in (None, "http://a.example/x")} == {(None, ""), (7, ""), (8, "")}
+    assert got[9, "http://a.example/long", "\n\n".join(f"{x}." for x in many)] == 1
+    same = {t for (i, u, t) in got if (i, u) == given[1][:2]}
+    assert len(same) == 2 and {t for (i, u, t) in got if u == "not a url"} == {t for (i, u, t) in got if (i, u) == given[0][:2]}
+    assert html_text.extract_pages(d.limit(0)).count() == 0
+
+
+def test_leaks_in_odd_tables(spark):
+    """Items that stand in odd rows are found in each of them, nothing else; repeated items count each for itself."""
+    from geolake.llm import decontam
+
+    d = odd_rows(spark)
+    docs = [(r.doc_id, r.text) for r in d.collect()]
+    items = [(1, docs[3][1]), (2, " ".join(docs[5][1].split()[10:40])), (None, docs[0][1]), (2, " ".join(docs[5][1].split()[10:40])), (4, None), (5, ""), (6, " ".join(next(t for i, t in docs if i == 53).split()[500:540]))]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumns({c: F.lit(1) for c in ("doc_id", "similarity", "n")})
+    want = collections.Counter((docs[a][0], items[b][0]) for a, b in brute_leaks([t for _, t in docs], [t for _, t in items]))
+    assert sum(want.values()) == 9 and collections.Counter((r.doc_id, r.item_id) for r in decontam.leaks(d, bench).collect()) == want
+    kept = collections.Counter((r.doc_id, r.text) for r in decontam.keep(d, bench).collect())
+    bad = {a for a, _ in brute_leaks([t for _, t in docs], [t for _, t in items])}
+    assert kept == collections.Counter(x for k, x in enumerate(docs) if k not in bad)
+
+
 def test_run(spark, stages):
     import corpus_pipeline
 
