@@ -20,7 +20,7 @@ from geolake.functions import grid, kernels, values
 from geolake.operators import aggregates as agg
 from geolake.operators import filters as f
 from geolake.sources import archives, catalog, geoparquet, readers
-from geolake.sources.shared import file_system, shared_dir, stored
+from geolake.sources.shared import file_system, shared_dir, spread, stored
 
 from . import build_queries
 from . import geography as geo
@@ -214,7 +214,7 @@ def feature_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes as GeoJSON features, read again into geometries: kind, bounds and area are those of the boxes."""
     text = catalog.feature(catalog.box_geojson(F.col("bbox")), id=F.col("id"), usage=F.col("usage"))
     schema = "type string, geometry struct<type:string,coordinates:array<array<array<double>>>>, properties struct<id:long,usage:string>"
-    d = geo.buildings(spark, sf_dir).select(F.from_json(text, schema).alias("f")).select("f.properties.*", F.to_json("f.geometry").alias("geojson"))
+    d = spread(geo.buildings(spark, sf_dir)).select(F.from_json(text, schema).alias("f")).select("f.properties.*", F.to_json("f.geometry").alias("geojson"))
     d = d.withColumn("geometry", kernels.geo_from_geojson("geojson")).withColumn("b", kernels.geo_bounds("geometry"))
     corner = [F.round(f"b.{c}", 6).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")]
     return d.select("id", "usage", kernels.geo_type("geometry").alias("kind"), *corner, F.round(kernels.geo_area("geometry") * 1e6, 4).alias("area"))
