@@ -109,9 +109,8 @@ def _zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{WITH}, {_ZONES} SELECT a.id, count(*) AS n FROM zones a JOIN zones b ON a.id < b.id AND a.xmin <= b.xmax AND a.xmax >= b.xmin AND a.ymin <= b.ymax AND a.ymax >= b.ymin GROUP BY 1")
 def bbox_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _zones(spark, sf_dir).select("id", F.col("bbox").alias("abox"))
-    b = _zones(spark, sf_dir).select(F.col("id").alias("other"), F.col("bbox").alias("bbox2"))
-    return sj.overlap_join(a, b, "abox", "bbox2").where("id < other").groupBy("id").agg(F.count("*").alias("n"))
+    zones = _zones(spark, sf_dir)
+    return sj.overlap_counts(zones, "id", "bbox").select(F.col("id").cast(zones.schema["id"].dataType), "n")
 
 
 _HOME, _CUT, _home = geo.HOME_SQL, geo.CUT, geo.home_rings

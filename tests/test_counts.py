@@ -1,10 +1,31 @@
-"""Rows dealt over tasks."""
+"""Counts of pairs without the pairs, against brute force: overlapping boxes, places nearby, rows dealt over tasks."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
+from geolake.operators import spatial_join as sj
 from geolake.plans import file_queries
 from geolake.sources.shared import spread
 
+BOX = "struct<xmin:double,ymin:double,xmax:double,ymax:double>"
+
+
+@pytest.mark.parametrize("block", [8, 4096])
+@pytest.mark.parametrize("sizes", [(0, 0.25, 2.5), (0.001, 0.02, 40)])
+def test_overlap_counts_are_brute_force(spark, monkeypatch, sizes, block):
+    monkeypatch.setattr(sj, "BLOCK", block)
+    rng = random.Random(len(sizes) + block)
+    rows = []
+    for i in rng.sample(range(1000), 150):
+        x, y = (0.5, 0.5) if i % 3 == 0 else (round(rng.uniform(-5, 5) * 4) / 4, rng.uniform(-5, 5))
+        rows.append((i, (x, y, x + rng.choice(sizes), y + rng.choice(sizes))))
+    want = {i: sum(i < j and p[0] <= q[2] and p[2] >= q[0] and p[1] <= q[3] and p[3] >= q[1] for j, q in rows) for i, p in rows}
+    d = spark.createDataFrame([*rows, (2000, None)], f"id long, bbox {BOX}").repartition(3)
+    assert {r.id: r.n for r in sj.overlap_counts(d, "id", "bbox").collect()} == {i: n for i, n in want.items() if n}
+    assert sj.overlap_counts(d.limit(0), "id", "bbox").count() == 0
+
 
 def test_rows_of_one_file_are_dealt_over_tasks(spark, monkeypatch):
     d = spark.range(1000, numPartitions=1)
