@@ -255,7 +255,7 @@ def distance_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = g.metres(F.col("lon"), F.col("lat"), 139.8, 35.65)
     a = geo.stations(spark, sf_dir).select("s_suppkey", x.alias("x"), y.alias("y"))
     b = geo.census(spark, sf_dir).select("c_custkey", x.alias("u"), y.alias("v"))
-    return sj.distance_join(a, b, 5000.0, "x", "y", "u", "v").groupBy("s_suppkey").agg(F.count("*").alias("n"), F.round(F.min("distance"), 3).alias("nearest"))
+    return sj.nearby_counts(a, b, "s_suppkey", 5000.0, "x", "y", "u", "v").select("s_suppkey", "n", F.round("nearest", 3).alias("nearest"))
 
 
 _T = ["CASE WHEN dx <> 0 THEN (CAST({w} AS DOUBLE) - lon) / dx WHEN lon < {w} THEN 2 ELSE 0 END", "CASE WHEN dx <> 0 THEN (CAST({e} AS DOUBLE) - lon) / dx WHEN lon > {e} THEN -1 ELSE 1 END",

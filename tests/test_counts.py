@@ -27,6 +27,19 @@ def test_overlap_counts_are_brute_force(spark, monkeypatch, sizes, block):
     assert sj.overlap_counts(d.limit(0), "id", "bbox").count() == 0
 
 
+def test_nearby_counts_are_brute_force_and_join_places_once(spark):
+    rng = random.Random(3)
+    spots = [(rng.uniform(-5, 5), rng.uniform(-5, 5)) for _ in range(40)]
+    a, b = [(i, *rng.choice(spots)) for i in range(100)], [(i, *rng.choice(spots)) for i in range(900)]
+    left, right = spark.createDataFrame(a, "k long, x double, y double"), spark.createDataFrame(b, "o long, u double, v double")
+    near = {k: [((x - u) ** 2 + (y - v) ** 2) ** 0.5 for _, u, v in b if (x - u) ** 2 + (y - v) ** 2 <= 2.25] for k, x, y in a}
+    found = sj.nearby_counts(left, right, "k", 1.5, "x", "y", "u", "v")
+    assert {r.k: (r.n, round(r.nearest, 9)) for r in found.collect()} == {k: (len(d), round(min(d), 9)) for k, d in near.items() if d}
+    # 900 rows stand on 40 places: these are joined
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 2 and "count" in plan
+
+
 def test_rows_of_one_file_are_dealt_over_tasks(spark, monkeypatch):
     d = spark.range(1000, numPartitions=1)
     assert spread(d, 100).rdd.getNumPartitions() == 10 and spread(d.limit(0)).count() == 0
