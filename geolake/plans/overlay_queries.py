@@ -20,7 +20,7 @@ from geolake.operators import chains, overlay, pieces
 from geolake.operators import zones as zoning
 from geolake.operators.extract import in_country
 from geolake.sources import geoparquet
-from geolake.sources.shared import shared_dir, stored
+from geolake.sources.shared import shared_dir, spread, stored
 
 from . import geography as geo
 from .build_queries import _STREETS, TILE_ROWS, _with_geometry, road_lines
@@ -63,7 +63,7 @@ def _shapes(df: DataFrame, key: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("id"), *(b.column(c) for c in more), pa.array(shapes, pa.binary()), box], ["id", *more, "geometry", "bbox"])
 
     kinds = "".join(f"{c} {d.schema[c].dataType.simpleString()}, " for c in more)
-    return d.mapInArrow(draw, f"id long, {kinds}geometry binary, bbox struct<xmin:double,ymin:double,xmax:double,ymax:double>")
+    return spread(d, 1000).mapInArrow(draw, f"id long, {kinds}geometry binary, bbox struct<xmin:double,ymin:double,xmax:double,ymax:double>")
 
 
 def lots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +90,7 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
             box = pa.StructArray.from_arrays([pa.array(f(xy[:, k::2], axis=1)) for f, k in ((np.min, 0), (np.min, 1), (np.max, 0), (np.max, 1))] if len(xy) else [pa.array([], pa.float64())] * 4, ["xmin", "ymin", "xmax", "ymax"])
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(lines, pa.binary()), box], ["id", "geometry", "bbox"])
 
-    return d.mapInArrow(draw, "id long, geometry binary, bbox struct<xmin:double,ymin:double,xmax:double,ymax:double>")
+    return spread(d).mapInArrow(draw, "id long, geometry binary, bbox struct<xmin:double,ymin:double,xmax:double,ymax:double>")
 
 
 _VALUES = ", ".join(f"({p}, {[list(v) for v in part]})" for p, part in enumerate(CONVEX))
@@ -109,11 +109,9 @@ met AS (SELECT DISTINCT track, lot FROM near WHERE
 
 @query(f"WITH {_LOT_PARTS} SELECT lot AS id, count(*) AS tracks FROM met GROUP BY 1")
 def area_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of several parts joined with the concave, holed areas that they touch, borders included: an equi-join on cells of
-    segments and pieces, tested by native expressions."""
-    cut = stored(pieces.subdivide(lots(spark, sf_dir), "id"), "pieces")
-    segments = stored(pieces.segments(tracks(spark, sf_dir).withColumnRenamed("id", "track"), "track").drop("part"), "segments")
-    return pieces.segments_on(segments, cut).select("track", "id").distinct().groupBy("id").agg(F.count("*").alias("tracks"))
+    """Lines of several parts joined with the concave, holed areas that they touch, borders included: they meet in cells, and are
+    tested and counted there."""
+    return pieces.touch_counts(tracks(spark, sf_dir), lots(spark, sf_dir)).withColumnRenamed("n", "tracks")
 
 
 @query(f"WITH {_LOT_PARTS} SELECT DISTINCT track AS id FROM met")

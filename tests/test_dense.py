@@ -2,13 +2,14 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from geolake.functions import kernels as k
 from geolake.functions import wkb
 from geolake.operators import pieces
 
-from .test_pieces import BOX, areas
+from .test_pieces import BOX, areas, shapes
 
 
 def table(spark, found, key="id"):
@@ -27,3 +28,14 @@ def test_merged_pieces_hold_the_same_places_in_fewer_rows(spark):
     held = lambda d: {r.p for r in pieces.points_in(points, d.drop("nation"), "x", "y").select("p").collect()}
     assert held(less) == {i for i, x, y in spots if any(k.side(*g, x, y) >= 0 for g in found)}
     assert pieces.merged(cut.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [7, 50_000])
+def test_touch_counts_are_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(pieces, "MOST_LINES", most)
+    monkeypatch.setattr(pieces, "MOST_AREAS", most)
+    rng = random.Random(12)
+    home, every = areas(rng, 12), [g for g in shapes(rng, 25) if g[0] not in ("Polygon", "MultiPolygon")]
+    want = {j: sum(k.intersects(g, h) for g in every) for j, h in enumerate(home)}
+    got = pieces.touch_counts(table(spark, every, "line"), table(spark, home), "line", "id").collect()
+    assert {r.id: r.n for r in got} == {j: n for j, n in want.items() if n} and len(got) == len({r.id for r in got})
