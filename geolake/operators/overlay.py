@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geolake.functions import kernels, wkb
-from geolake.sources.shared import stored
+from geolake.sources.shared import spread, stored
 
-from .pieces import points_in, subdivide
+from .pieces import edges_in, merged, points_in, subdivide
 from .spatial_join import overlap_join
 
 #: Rings of a smaller area (in square units of the coordinates) are rounding's.
@@ -99,25 +99,40 @@ def noded(edges: DataFrame) -> DataFrame:
     return path.select("group", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "poly", "layer", (F.col("turn") * F.when(F.col("a") < F.col("b"), 1).otherwise(-1)).alias("turn"))
 
 
-def outline(edges: DataFrame, pieces: DataFrame, members: DataFrame, inside: Callable[[Column, Column], Column]) -> DataFrame:
+def outline(edges: DataFrame, holders: list[tuple[DataFrame, int]], inside: Callable[[Column, Column], Column]) -> DataFrame:
     """(group, x1, y1, x2, y2): the edges that bound what `inside` (of the numbers of polygons of the layers 0 and 1 that hold a place) takes in, on their left.
 
-    edges: as in noded; pieces: (poly, cell, inside, corner, edges) of all polygons, as from subdivide; members: (group, poly, layer).
+    edges: as in noded; holders: for each layer pieces (poly, cell, inside, corner, edges), as from subdivide or merged, either of all groups or with the group
+    that each one counts for as g2: then places meet the pieces of their own group only, however many other groups lie there.
     """
     parts = stored(noded(edges), "parts")
     own = parts.groupBy("group", "u", "v").agg(
         *(F.count_if((F.col("layer") == k) & (F.col("turn") == t)).alias(f"{side}{k}") for k in (0, 1) for t, side in ((1, "left"), (-1, "right"))), F.collect_set("poly").alias("own")
     )
     own = stored(own.withColumn("mx", (F.col("u.x") + F.col("v.x")) / 2).withColumn("my", (F.col("u.y") + F.col("v.y")) / 2), "sides")
-    held = points_in(own.select("group", "u", "v", "own", "mx", "my"), pieces, "mx", "my", boundary=False).where(~F.array_contains("own", F.col("poly")))
-    held = held.join(members, ["group", "poly"]).groupBy("group", "u", "v").agg(*(F.count_if(F.col("layer") == k).alias(f"more{k}") for k in (0, 1)))
-    both = own.join(held, ["group", "u", "v"], "left").fillna(0, ["more0", "more1"])
+    held = None
+    for pieces, layer in holders:
+        on = (("group", "g2"),) if "g2" in pieces.columns else ()
+        found = points_in(own.select("group", "u", "v", "own", "mx", "my"), pieces.hint("merge"), "mx", "my", boundary=False, on=on)
+        found = found.where(~F.coalesce(F.array_contains("own", F.col("poly")), F.lit(False))).select("group", "u", "v", F.lit(layer).alias("layer"))
+        held = found if held is None else held.unionByName(found)
+    held = held.groupBy("group", "u", "v").agg(*(F.count_if(F.col("layer") == k).alias(f"more{k}") for k in (0, 1)))
+    both = own.join(held.hint("merge"), ["group", "u", "v"], "left").fillna(0, ["more0", "more1"])
     left, right = (inside(*(F.col(f"{side}{k}") + F.col(f"more{k}") for k in (0, 1))) for side in ("left", "right"))
     both = both.select("group", "u", "v", left.alias("l"), right.alias("r")).where("l != r")
     start, end = F.when(F.col("l"), F.col("u")).otherwise(F.col("v")), F.when(F.col("l"), F.col("v")).otherwise(F.col("u"))
     return both.select("group", start["x"].alias("x1"), start["y"].alias("y1"), end["x"].alias("x2"), end["y"].alias("y2"))
 
 
+def exposed(edges: DataFrame, covers: DataFrame) -> DataFrame:
+    """The edges of polygons that don't lie wholly in cells that one polygon fills; covers: the merged pieces of the same polygons. What the polygons take in
+    together has no border in such a cell, so the others bound nothing, nor do places where edges meet there."""
+    near = edges_in(covers).select(F.col("poly").alias("p2"), F.least(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y"))).alias("s"),
+                                   F.greatest(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y"))).alias("t"))
+    p, q = (F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in (1, 2))
+    return edges.withColumn("s1", F.least(p, q)).withColumn("t1", F.greatest(p, q)).join(near.hint("merge"), (F.col("poly") == F.col("p2")) & (F.col("s1") == F.col("s")) & (F.col("t1") == F.col("t")), "left_semi").drop("s1", "t1")
+
+
 def trace(edges: np.ndarray, sliver: float = SLIVER) -> tuple[str, list, int]:
     """Directed edges with the area on their left as (kind, coordinates, edges that close no ring).
 
@@ -199,9 +214,10 @@ def union(areas: DataFrame, by: str, key: str = "id", geometry: str = "geometry"
     """(by, geometry, open): the union of each group's areas, which may overlap, touch in parts of edges or lie apart. Rows need distinct keys; null groups are left out."""
     areas = areas.where(F.col(by).isNotNull())
     edges, pieces = _cut(areas, key, geometry, 0)
-    members = areas.select(F.col(by).alias("group"), F.concat(F.lit("0:"), F.col(key).cast("string")).alias("poly"), F.lit(0).alias("layer"))
-    edges = edges.drop("layer").join(members, "poly")
-    return assembled(outline(edges, pieces, members, lambda a, _: a > 0)).withColumnRenamed("group", by)
+    members = areas.select(F.col(by).alias("group"), F.concat(F.lit("0:"), F.col(key).cast("string")).alias("poly"))
+    pieces = stored(pieces.join(members.withColumnRenamed("group", "g2").hint("merge"), "poly"), "pieces")
+    edges = exposed(edges, stored(merged(pieces, "g2").drop("g2"), "merged")).join(members.hint("merge"), "poly")
+    return assembled(outline(edges, [(pieces, 0)], lambda a, _: a > 0)).withColumnRenamed("group", by)
 
 
 def _paired(left: DataFrame, right: DataFrame, key: str, other: str, box: str) -> DataFrame:
@@ -218,22 +234,138 @@ def _near(edges: DataFrame, box: str) -> Column:
 
 def intersection(left: DataFrame, right: DataFrame, key: str = "id", other: str = "other", geometry: str = "geometry", box: str = "bbox") -> DataFrame:
     """(key, other, geometry, open) of every pair of areas that share more than a border. Keys are distinct; boxes are those of the geometries."""
-    pairs = stored(_paired(left, right, key, other, box).withColumn("group", F.struct(F.col("left_key").alias("l"), F.col("right_key").alias("r"))), "pairs")
-    (le, lp), (re_, rp) = _cut(left, key, geometry, 0), _cut(right, other, geometry, 1)
+    corners = lambda d, k, name: d.select(k, (F.length(geometry) / 16).alias(name), F.col(geometry).alias(f"{name}_shape"))
+    pairs = _paired(left, right, key, other, box).select("left_key", "right_key").hint("merge")
+    pairs = pairs.join(corners(left, F.col(key).alias("left_key"), "le"), "left_key").hint("merge").join(corners(right, F.col(other).alias("right_key"), "re"), "right_key")
+    pairs = stored(pairs, "pairs")
+    few = pairs.where(F.col("le") * F.col("re") <= PAIR_EDGES)
+    schema = f"`{key}` {left.schema[key].dataType.simpleString()}, `{other}` {right.schema[other].dataType.simpleString()}, geometry binary, open int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, shapes, lost, read = [], [], [], {}
+            get = lambda g: read.get(g) or read.setdefault(g, _Polygons(g))  # noqa: B023, E731
+            for i, (g, h) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                kind, c, n = trace(shared(get(g), get(h)))
+                if c:
+                    at.append(i)
+                    shapes.append(wkb.dumps(kind, c))
+                    lost.append(n)
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(shapes, pa.binary()), pa.array(lost, pa.int32())], [key, other, "geometry", "open"])
+
+    local = spread(few.select("left_key", "right_key", "le_shape", "re_shape"), 20_000).mapInArrow(run, schema)
+    many = pairs.where(F.col("le") * F.col("re") > PAIR_EDGES).select(F.struct(F.col("left_key").alias("l"), F.col("right_key").alias("r")).alias("group"), "left_key", "right_key")
+    if many.isEmpty():
+        return local
+    return local.unionByName(_intersection(many, left, right, key, other, geometry, box))
+
+
+#: Pairs of areas with at most so many pairs of edges are overlaid in a task, each by itself; edges of the others are rows.
+PAIR_EDGES = 1 << 16
+
+
+class _Polygons:
+    """A WKB geometry's directed edges (the area on the left) and box."""
+
+    def __init__(self, data: bytes):
+        rows = [np.zeros((0, 4))]
+        for polygon in kernels.polygons(*wkb.loads(data)):
+            for k, ring in enumerate(polygon):
+                a = np.asarray(ring, float)
+                a = a[::-1] if (kernels.signed_area(ring) < 0) != (k > 0) else a
+                rows.append(np.hstack([a[:-1], a[1:]]))
+        e = np.concatenate(rows)
+        self.edges = e[(e[:, :2] != e[:, 2:]).any(1)]
+        self.low, self.high = np.minimum(self.edges[:, :2], self.edges[:, 2:]), np.maximum(self.edges[:, :2], self.edges[:, 2:])
+        self.box = (*self.low.min(0), *self.high.max(0)) if len(e) else (0.0, 0.0, -1.0, -1.0)
+
+    def near(self, box: tuple) -> np.ndarray:
+        return self.edges[(self.low[:, 0] <= box[2]) & (self.high[:, 0] >= box[0]) & (self.low[:, 1] <= box[3]) & (self.high[:, 1] >= box[1])]
+
+    def hold(self, p: np.ndarray) -> np.ndarray:
+        """Whether places lie inside, not on an edge."""
+        ax, ay, bx, by = self.edges.T
+        x, y = p[:, :1], p[:, 1:]
+        c = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+        on = (c == 0) & (x >= np.minimum(ax, bx)) & (x <= np.maximum(ax, bx)) & (y >= np.minimum(ay, by)) & (y <= np.maximum(ay, by))
+        return ((((ay > y) != (by > y)) & (c != 0) & ((c > 0) == (by > ay))).sum(1) % 2 == 1) & ~on.any(1)
+
+
+def shared(one: _Polygons, two: _Polygons) -> np.ndarray:
+    """The directed edges that bound what both hold: as noded and outline do it, for one pair."""
+    a, b = one.near(two.box), two.near(one.box)
+    e = np.concatenate([a, b])
+    flip = (e[:, 0] > e[:, 2]) | ((e[:, 0] == e[:, 2]) & (e[:, 1] > e[:, 3]))
+    s = np.where(flip[:, None], e[:, [2, 3, 0, 1]], e)
+    lo, hi = s[:, :2].copy(), s[:, 2:].copy()
+    lo[:, 1], hi[:, 1] = np.minimum(s[:, 1], s[:, 3]), np.maximum(s[:, 1], s[:, 3])
+    i, j = np.nonzero(np.triu((lo[:, None] <= hi[None]).all(2) & (hi[:, None] >= lo[None]).all(2), 1))
+    # in one order, so that a crossing is the same point whichever way a pair comes
+    swap = [tuple(s[m]) > tuple(s[n]) for m, n in zip(i.tolist(), j.tolist())]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    p, q = s[i], s[j]
+    turn = lambda l, x, y: (l[:, 2] - l[:, 0]) * (y - l[:, 1]) - (l[:, 3] - l[:, 1]) * (x - l[:, 0])
+    ta, tb, tc, td = turn(q, p[:, 0], p[:, 1]), turn(q, p[:, 2], p[:, 3]), turn(p, q[:, 0], q[:, 1]), turn(p, q[:, 2], q[:, 3])
+    cuts: dict[int, set] = defaultdict(set)
+    for k in np.flatnonzero((np.sign(ta) * np.sign(tb) < 0) & (np.sign(tc) * np.sign(td) < 0)).tolist():
+        w = ta[k] / (ta[k] - tb[k])
+        at = (float(p[k, 0] + w * (p[k, 2] - p[k, 0])), float(p[k, 1] + w * (p[k, 3] - p[k, 1])))
+        cuts[int(i[k])].add(at)
+        cuts[int(j[k])].add(at)
+    for t, of, on, end in ((ta, j, q, p[:, :2]), (tb, j, q, p[:, 2:]), (tc, i, p, q[:, :2]), (td, i, p, q[:, 2:])):
+        within = (t == 0) & (end[:, 0] >= on[:, 0]) & (end[:, 0] <= on[:, 2]) & (end[:, 1] >= np.minimum(on[:, 1], on[:, 3])) & (end[:, 1] <= np.maximum(on[:, 1], on[:, 3]))
+        within &= (end != on[:, :2]).any(1) & (end != on[:, 2:]).any(1)
+        for k in np.flatnonzero(within).tolist():
+            cuts[int(of[k])].add((float(end[k, 0]), float(end[k, 1])))
+    sides: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0, 0])  # left and right of layer 0, then of layer 1
+    for k, (x1, y1, x2, y2) in enumerate(s.tolist()):
+        inner = sorted(cuts.get(k, ()), key=lambda c: ((c[0] - x1) * (x2 - x1) + (c[1] - y1) * (y2 - y1), c))  # noqa: B023
+        path = [(x1, y1), *inner, (x2, y2)]
+        for u, v in zip(path, path[1:]):
+            if u != v:
+                sides[min(u, v), max(u, v)][2 * (k >= len(a)) + (bool(flip[k]) ^ (u > v))] += 1
+    if not sides:
+        return np.zeros((0, 4))
+    ends, n = np.array([(*u, *v) for u, v in sides]), np.array(list(sides.values()))
+    middle = (ends[:, :2] + ends[:, 2:]) / 2
+    left, right = [], []
+    for layer, of in ((0, one), (1, two)):
+        own = n[:, 2 * layer : 2 * layer + 2]
+        held = ~own.any(1)
+        held[held] = of.hold(middle[held])
+        left.append((own[:, 0] > 0) | held)
+        right.append((own[:, 1] > 0) | held)
+    l, r = left[0] & left[1], right[0] & right[1]
+    return np.concatenate([ends[l & ~r], ends[r & ~l][:, [2, 3, 0, 1]]])
+
+
+def _intersection(pairs: DataFrame, left: DataFrame, right: DataFrame, key: str, other: str, geometry: str, box: str) -> DataFrame:
+    """intersection() of pairs (group, left_key, right_key) of any size, with their edges as rows."""
+    l = left.select(F.col(key).alias("left_key"), F.concat(F.lit("0:"), F.col(key).cast("string")).alias("a"), F.col(box).alias("abox"))
+    r = right.select(F.col(other).alias("right_key"), F.concat(F.lit("1:"), F.col(other).cast("string")).alias("b"), F.col(box).alias("bbox2"))
+    pairs = stored(pairs.join(l, "left_key").join(r, "right_key"), "pairs")
+    (le, lp), (re_, rp) = _cut(left.join(pairs.select(F.col("left_key").alias(key)), key, "left_semi"), key, geometry, 0), _cut(right.join(pairs.select(F.col("right_key").alias(other)), other, "left_semi"), other, geometry, 1)
     # of a pair's edges those near the other area: the others bound nothing that both hold
     edges = le.join(pairs.select("group", F.col("a").alias("poly"), "bbox2"), "poly").where(_near(le, "bbox2")).drop("bbox2")
     edges = edges.unionByName(re_.join(pairs.select("group", F.col("b").alias("poly"), "abox"), "poly").where(_near(re_, "abox")).drop("abox"))
-    members = pairs.select("group", F.inline(F.array(F.struct(F.col("a").alias("poly"), F.lit(0).alias("layer")), F.struct(F.col("b").alias("poly"), F.lit(1).alias("layer")))))
-    found = assembled(outline(edges, lp.unionByName(rp), members, lambda a, b: (a > 0) & (b > 0)))
+    holders = [(p.join(pairs.select(F.col(c).alias("poly"), F.col("group").alias("g2")), "poly"), k) for k, (p, c) in enumerate(((lp, "a"), (rp, "b")))]
+    found = assembled(outline(edges, holders, lambda a, b: (a > 0) & (b > 0)))
     return found.select(F.col("group.l").alias(key), F.col("group.r").alias(other), "geometry", "open")
 
 
 def difference(left: DataFrame, right: DataFrame, key: str = "id", other: str = "other", geometry: str = "geometry", box: str = "bbox") -> DataFrame:
     """(key, geometry, open): each area of left less all areas of right, which may overlap each other; areas of which nothing is left have no row."""
-    pairs = stored(_paired(left, right, key, other, box).select("a", "b", "abox", "left_key"), "pairs")
     (le, lp), (re_, rp) = _cut(left, key, geometry, 0), _cut(right, other, geometry, 1)
-    own = left.select(F.col(key).alias("group"), F.concat(F.lit("0:"), F.col(key).cast("string")).alias("poly"))
-    cutting = pairs.select(F.col("left_key").alias("group"), F.col("b").alias("poly"), "abox")
-    edges = le.join(own, "poly").unionByName(re_.join(cutting, "poly").where(_near(re_, "abox")).drop("abox"))
-    members = own.withColumn("layer", F.lit(0)).unionByName(cutting.select("group", "poly").withColumn("layer", F.lit(1)))
-    return assembled(outline(edges, lp.unionByName(rp), members, lambda a, b: (a > 0) & (b == 0))).withColumnRenamed("group", key)
+    wet = stored(merged(rp), "merged")
+    own = left.select(F.col(key).alias("group"), F.concat(F.lit("0:"), F.col(key).cast("string")).alias("poly"), F.col(box).alias("abox"))
+    # edges of left in a cell that right fills bound nothing
+    boxed = lambda d: d.withColumn("ebox", F.struct(F.least("x1", "x2").alias("xmin"), F.least("y1", "y2").alias("ymin"), F.greatest("x1", "x2").alias("xmax"), F.greatest("y1", "y2").alias("ymax")))
+    e, c = (lambda f: F.col(f"ebox.{f}")), (lambda f: F.col(f"cell.{f}"))
+    drowned = overlap_join(boxed(le).select("poly", *_XY, "ebox"), wet.where("inside").select("cell").distinct(), "ebox", "cell")
+    drowned = drowned.where((e("xmin") >= c("xmin")) & (e("xmax") <= c("xmax")) & (e("ymin") >= c("ymin")) & (e("ymax") <= c("ymax"))).select("poly", *_XY)
+    dry = le.join(drowned.hint("merge"), ["poly", *_XY], "left_anti").join(own.drop("abox").hint("merge"), "poly")
+    cutting = stored(boxed(exposed(re_, wet)), "cutting")
+    cutting = overlap_join(cutting, own.select("group", "abox"), "ebox", "abox").drop("ebox", "abox")
+    pieces = lp.join(own.select("poly", F.col("group").alias("g2")).hint("merge"), "poly")
+    return assembled(outline(dry.unionByName(cutting), [(pieces, 0), (wet, 1)], lambda a, b: (a > 0) & (b == 0))).withColumnRenamed("group", key)

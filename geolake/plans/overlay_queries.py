@@ -189,7 +189,7 @@ def line_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
             path = np.stack([np.stack([ox, oy], 1), np.stack([ox + w, oy], 1), np.stack([ox + w, oy + h], 1)], 1) / 64 + np.array([139.0, 35.0])
             yield pa.RecordBatch.from_arrays([b.column("id"), wkb.fixed("LineString", path)], ["id", "geometry"])
 
-    found = zoning.zones(d.mapInArrow(draw, "id long, geometry binary"), degrees=2 / 64, corners=4)
+    found = zoning.zones(spread(d, 1000).mapInArrow(draw, "id long, geometry binary"), degrees=2 / 64, corners=4)
     return found.select("id", F.round(kernels.geo_area("geometry"), 9).alias("area"))
 
 

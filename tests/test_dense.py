@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from geolake.functions import kernels as k
 from geolake.functions import wkb
-from geolake.operators import pieces
+from geolake.operators import overlay, pieces
 
 from .test_pieces import BOX, areas, shapes
 
@@ -39,3 +39,14 @@ def test_touch_counts_are_brute_force(spark, monkeypatch, most):
     want = {j: sum(k.intersects(g, h) for g in every) for j, h in enumerate(home)}
     got = pieces.touch_counts(table(spark, every, "line"), table(spark, home), "line", "id").collect()
     assert {r.id: r.n for r in got} == {j: n for j, n in want.items() if n} and len(got) == len({r.id for r in got})
+
+
+def test_pairs_overlaid_in_tasks_are_those_overlaid_as_rows(spark, monkeypatch):
+    rng = random.Random(13)
+    left, right = table(spark, areas(rng, 8)), table(spark, areas(rng, 8), "other")
+    d = overlay.intersection(left, right)
+    near = lambda d: {(r.id, r.other): (round(r.a, 9), r.open) for r in d.select("id", "other", "open", k.geo_area("geometry").alias("a")).collect()}
+    assert "collect_list" not in d._jdf.queryExecution().executedPlan().toString()
+    local = near(d)
+    monkeypatch.setattr(overlay, "PAIR_EDGES", 0)
+    assert local == near(overlay.intersection(left, right)) and len(local) > 10
