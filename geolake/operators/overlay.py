@@ -210,13 +210,21 @@ def _cut(areas: DataFrame, key: str, geometry: str, layer: int) -> tuple[DataFra
     return stored(edges_of(d, "poly").withColumn("layer", F.lit(layer)), "edges"), stored(subdivide(d, "poly"), "pieces")
 
 
+#: Groups of more areas than this are looked over for edges that others cover.
+CROWDED = 32
+
+
 def union(areas: DataFrame, by: str, key: str = "id", geometry: str = "geometry") -> DataFrame:
     """(by, geometry, open): the union of each group's areas, which may overlap, touch in parts of edges or lie apart. Rows need distinct keys; null groups are left out."""
     areas = areas.where(F.col(by).isNotNull())
     edges, pieces = _cut(areas, key, geometry, 0)
     members = areas.select(F.col(by).alias("group"), F.concat(F.lit("0:"), F.col(key).cast("string")).alias("poly"))
     pieces = stored(pieces.join(members.withColumnRenamed("group", "g2").hint("merge"), "poly"), "pieces")
-    edges = exposed(edges, stored(merged(pieces, "g2").drop("g2"), "merged")).join(members.hint("merge"), "poly")
+    # only where many areas of a group may cover each other is it worth a look
+    crowded = stored(members.groupBy("group").agg(F.count("*").alias("areas")).where(F.col("areas") > CROWDED).select("group"), "crowded")
+    edges = edges.join(members.hint("merge"), "poly")
+    covers = stored(merged(pieces.join(crowded.hint("merge"), F.col("g2") == F.col("group"), "left_semi"), "g2").drop("g2"), "merged")
+    edges = edges.join(crowded.hint("merge"), "group", "left_anti").unionByName(exposed(edges.join(crowded.hint("merge"), "group", "left_semi"), covers))
     return assembled(outline(edges, [(pieces, 0)], lambda a, _: a > 0)).withColumnRenamed("group", by)
 
 
