@@ -847,3 +847,21 @@ def test_scored_ids_have_context():
         start, length, skip = at.windows(np.array([0, n]))
         scored = [i for s, m, k in zip(start, length, skip) for i in range(s + k, s + m)]
         assert scored == list(range(n)) and all(k >= at.WINDOW // 4 for k in skip[1:])
+
+
+def test_attention_learns_from_every_text(spark, texts):
+    """Beyond the first round too: every id that stands before another moves its row; and the classes are those of all pairs, however many the table holds."""
+    from geolake.llm import attention as at
+
+    docs = make(spark, texts + [f"lone{i} qz{i}x {'word ' * 40}" for i in range(300)])
+    pairs = lm_score.counts_of(docs).where(F.col("kind") == lm_score.TWO_IDS).select("key", "n")
+    few = lm_score.fit_attention(docs, pairs, 300, most_pairs=40)
+    whole = sorted((r.key, r.n) for r in pairs.collect())
+    key, n = (np.array(x) for x in zip(*whole))
+    start = at.Attention([], np.bincount(key % lm_score.SIZE, n, lm_score.SIZE), key, n, lm_score.END)
+    assert (few.cls == start.cls).all() and (few.behind == start.behind).all()
+    moved = (few.w["e"] != start.w["e"]).any(1)
+    assert moved[start.row[np.unique(key // lm_score.SIZE)]].all()
+    # several parts a round: their average, and the same once more
+    parts = [lm_score.fit_attention(docs, pairs, 300, part=1000) for _ in range(2)]
+    assert (parts[0].flat() == parts[1].flat()).all() and (parts[0].flat() != lm_score.fit_attention(docs, pairs, 300).flat()).any()
