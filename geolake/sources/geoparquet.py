@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,8 @@ from .shared import file_system, stored
 
 # Bytes aimed at in a row group (by file, and by cell of a leveled layout), most rows in one, most groups in a file.
 GROUP_BYTES, CELL_BYTES, MOST_ROWS, MOST_GROUPS = 2 << 20, 1 << 20, 100_000, 2_000
+# Row groups that a task reading footers gives out at once.
+HELD_GROUPS = 10_000
 
 
 def geo_metadata(kinds: list[str], bbox: list[float] | None = None) -> str:
@@ -184,47 +186,58 @@ def repack(spark: SparkSession, source: str, folder: str, least: int, most: int,
     return items
 
 
-def footers(df: DataFrame, column: str = "file") -> DataFrame:
-    """file, row_group, rows, bytes and extent of every row group of the files named in a column, read in tasks from footers only."""
+def _of_row_groups(df: DataFrame, column: str, values: Callable[[pq.RowGroupMetaData, dict[str, int]], tuple], schema: pa.Schema) -> DataFrame:
+    """file, row_group and values() of every row group of the files named in a column, read in tasks from footers only; values() gets the
+    group and the places of its columns by their paths.
+
+    One footer is held at a time. `schema` of a footer is not asked for: it refers to the footer and the footer to it, so both would
+    stay until Python looks for cycles, and footers of many row groups would pile up.
+    """
+    schema = pa.schema([("file", pa.string()), ("row_group", pa.int64()), *schema])
+    types = ", ".join(f"{f.name} {'long' if f.type == pa.int64() else f.type}" for f in schema)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("file", "row_group", "rows", "bytes", "xmin", "ymin", "xmax", "ymax")}
             for file in b.column(0).to_pylist():
                 files, path = file_system(file)
                 with files.open_input_file(path) as f:
                     meta = pq.read_metadata(f)
-                places = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
+                places = {}
                 for g in range(meta.num_row_groups):
                     group = meta.row_group(g)
-                    edge = lambda k, end: getattr(group.column(places[f"bbox.{k}"]).statistics, end)  # noqa: B023, E731
-                    for k, v in zip(out, (file, g, group.num_rows, group.total_byte_size, edge("xmin", "min"), edge("ymin", "min"), edge("xmax", "max"), edge("ymax", "max"))):
-                        out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out)
+                    places = places or {group.column(i).path_in_schema: i for i in range(group.num_columns)}
+                    rows.append((file, g, *values(group, places)))
+                    if len(rows) >= HELD_GROUPS:
+                        yield out()
+                        rows.clear()
+        if rows:
+            yield out()
+
+    return df.select(column).mapInArrow(read, types)
+
+
+def footers(df: DataFrame, column: str = "file") -> DataFrame:
+    """file, row_group, rows, bytes and extent of every row group of the files named in a column, read in tasks from footers only."""
 
-    return df.select(column).mapInArrow(read, "file string, row_group long, rows long, bytes long, xmin double, ymin double, xmax double, ymax double")
+    def values(group: pq.RowGroupMetaData, places: dict[str, int]) -> tuple:
+        edge = lambda k, end: getattr(group.column(places[f"bbox.{k}"]).statistics, end)
+        return group.num_rows, group.total_byte_size, edge("xmin", "min"), edge("ymin", "min"), edge("xmax", "max"), edge("ymax", "max")
+
+    extent = [(k, pa.float64()) for k in ("xmin", "ymin", "xmax", "ymax")]
+    return _of_row_groups(df, column, values, pa.schema([("rows", pa.int64()), ("bytes", pa.int64()), *extent]))
 
 
 def column_ranges(df: DataFrame, of: str, column: str = "file") -> DataFrame:
     """file, row_group, low and high (of a whole-number column) of every row group of the files named in a column, from footers only; without
     statistics, or if all are null, both are null."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: dict[str, list] = {k: [] for k in ("file", "row_group", "low", "high")}
-            for file in b.column(0).to_pylist():
-                files, path = file_system(file)
-                with files.open_input_file(path) as f:
-                    meta = pq.read_metadata(f)
-                place = next(i for i in range(meta.num_columns) if meta.schema.column(i).path == of)
-                for g in range(meta.num_row_groups):
-                    seen = meta.row_group(g).column(place).statistics
-                    edge = (seen.min, seen.max) if seen is not None and seen.has_min_max else (None, None)
-                    for k, v in zip(out, (file, g, *edge)):
-                        out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.string(), pa.int64(), pa.int64(), pa.int64()))], list(out))
+    def values(group: pq.RowGroupMetaData, places: dict[str, int]) -> tuple:
+        seen = group.column(places[of]).statistics
+        return (seen.min, seen.max) if seen is not None and seen.has_min_max else (None, None)
 
-    return df.select(column).mapInArrow(read, "file string, row_group long, low long, high long")
+    return _of_row_groups(df, column, values, pa.schema([("low", pa.int64()), ("high", pa.int64())]))
 
 
 def spatially_sorted(df: DataFrame, lon: str, lat: str, files: int, zoom: int = 16) -> DataFrame:
