@@ -865,3 +865,19 @@ def test_attention_learns_from_every_text(spark, texts):
     # several parts a round: their average, and the same once more
     parts = [lm_score.fit_attention(docs, pairs, 300, part=1000) for _ in range(2)]
     assert (parts[0].flat() == parts[1].flat()).all() and (parts[0].flat() != lm_score.fit_attention(docs, pairs, 300).flat()).any()
+
+
+def test_attention_is_fitted_on_stored_ids(spark, texts):
+    """Texts that were encoded once aren't encoded again: the fit is the same, and needs no vocabulary."""
+    docs = make(spark, [*texts, None, ""])
+    ids = lm_score.stored(lm_score.coded(docs), "ids")
+    found = lm_score.counts_of(docs, texts=ids)
+    assert sorted(found.collect()) == sorted(lm_score.counts_of(docs).collect())
+    pairs = found.where(F.col("kind") == lm_score.TWO_IDS).select("key", "n")
+    assert (lm_score.fit_attention(docs, pairs, 300, vocabulary_path="/nowhere", texts=ids).flat() == lm_score.fit_attention(docs, pairs, 300).flat()).all()
+
+
+def test_copies_have_one_score(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "a b c"), (None, "a b c"), (None, None), (3, "")], "doc_id long, text string")
+    got = lm_score.score(docs, F.coalesce(F.col("doc_id") != 2, F.lit(True))).collect()
+    assert len(got) == 6 and len({r.score for r in got if r.n_tokens == 4}) == len({r.score for r in got if r.n_tokens == 1}) == 1 and sum(r.n_tokens == 4 for r in got) == 4
