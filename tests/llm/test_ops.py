@@ -881,3 +881,18 @@ def test_copies_have_one_score(spark):
     docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "a b c"), (None, "a b c"), (None, None), (3, "")], "doc_id long, text string")
     got = lm_score.score(docs, F.coalesce(F.col("doc_id") != 2, F.lit(True))).collect()
     assert len(got) == 6 and len({r.score for r in got if r.n_tokens == 4}) == len({r.score for r in got if r.n_tokens == 1}) == 1 and sum(r.n_tokens == 4 for r in got) == 4
+
+
+def test_new_pieces_are_encoded_together(monkeypatch):
+    """Pieces behind a blank share texts that go to the tokenizers library, and have the ids of its own encoding."""
+    import public_tokenizers
+
+    plain = " ".join(f"wörd{i} it's (no.{i}) é{i}, a-{i}" if i % 3 else f"plain{i}\nnext É" for i in range(700))
+    for name, keeps_space in tokens.KEEPS_SPACE.items():
+        enc, sent = tokens.Encoder(public_tokenizers.path(name), keeps_space), []
+        whole = enc.whole
+        monkeypatch.setattr(enc, "whole", lambda x, whole=whole, sent=sent: sent.append(len(x)) or whole(x))
+        for t in (plain, plain.replace("é", "Ġ").replace("wö", "<|endoftext|>"), plain.title()):
+            (_, _, ids, _), *_ = enc.encode(pa.array([t]), 7)
+            assert ids.tolist() == [*enc.tokenizer.encode(t, add_special_tokens=False).ids, 7]
+        assert not keeps_space or sum(sent) < len(enc.keys) / 2
