@@ -11,6 +11,7 @@ rounding may leave slivers, which are dropped below an area.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -20,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geolake.functions import kernels, wkb
+from geolake.functions import arrange, kernels, wkb
 from geolake.sources.shared import spread, stored
 
-from .pieces import edges_in, merged, points_in, subdivide
+from .pieces import ORIGIN, edges_in, merged, points_in, subdivide
 from .spatial_join import overlap_join
 
 #: Rings of a smaller area (in square units of the coordinates) are rounding's.
@@ -166,28 +167,65 @@ def trace(edges: np.ndarray, sliver: float = SLIVER) -> tuple[str, list, int]:
                 if not choices:
                     lost += len(path) - 1
                     break
+                if len(choices) == 1:
+                    step = choices.pop()
+                    continue
                 back = math.atan2(path[-2][1] - here[1], path[-2][0] - here[0]) if len(path) > 1 else 0.0
                 # the first one clockwise from where the path came from
                 step = min(choices, key=lambda q: ((back - math.atan2(q[1] - here[1], q[0] - here[0])) % (2 * math.pi) or 2 * math.pi, q))
                 choices.remove(step)
     sized = [(kernels.signed_area(r), r) for r in rings]
     shells = [[r] for a, r in sorted(sized, key=lambda x: (-x[0], x[1])) if a > sliver]
-    for a, r in sized:
-        if a < -sliver:
-            spots = [*r, *(((p[0] + q[0]) / 2, (p[1] + q[1]) / 2) for p, q in zip(r, r[1:]))]
-            for shell in reversed(shells):  # the smallest one first
-                side = next((s for s in (kernels.side("Polygon", shell[:1], *p) for p in spots) if s), 1)
-                if side > 0:
-                    shell.append(r)
-                    break
+    holes = [r for a, r in sized if a < -sliver]
+    for r, k in zip(holes, _shells_around(holes, [shell[0] for shell in shells])):
+        if k >= 0:
+            shells[k].append(r)
     return ("Polygon", shells[0], lost) if len(shells) == 1 else ("MultiPolygon", shells, lost)
 
 
+def _shells_around(holes: list, shells: list) -> np.ndarray:
+    """For each hole the last of the shells (which come by falling area) that hold the middle of its longest edge, or -1.
+
+    Shells' edges are dealt into strips along y, so a hole is held against those of its own strip only.
+    """
+    found = np.full(len(holes), -1)
+    if not holes or not shells:
+        return found
+    e = np.concatenate([np.hstack([np.asarray(r)[:-1], np.asarray(r)[1:]]) for r in shells])
+    of = np.repeat(np.arange(len(shells)), [len(r) - 1 for r in shells])
+    spots = []
+    for r in holes:
+        p = np.asarray(r)
+        k = int(np.hypot(*np.diff(p, axis=0).T).argmax())
+        spots.append((p[k] + p[k + 1]) / 2)
+    x, y = np.array(spots).T
+    low, high = np.minimum(e[:, 1], e[:, 3]), np.maximum(e[:, 1], e[:, 3])
+    n = len(e) // 8 + 1
+    strip = lambda v: np.clip(np.floor((v - low.min()) / ((high.max() - low.min()) or 1.0) * n), 0, n - 1).astype(int)
+    first, size = strip(low), strip(high) - strip(low) + 1
+    row = np.repeat(np.arange(len(e)), size)
+    at = arrange.ranges(first, size)
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    begin, end = np.searchsorted(at, strip(y)), np.searchsorted(at, strip(y), "right")
+    for part in arrange.blocks(end - begin):
+        h, k = np.repeat(np.arange(part.start, part.stop), (end - begin)[part]), row[arrange.ranges(begin[part], (end - begin)[part])]
+        ax, ay, bx, by = e[k].T
+        turn = (bx - ax) * (y[h] - ay) - (by - ay) * (x[h] - ax)
+        crossed = ((ay > y[h]) != (by > y[h])) & (turn != 0) & ((turn > 0) == (by > ay))
+        key, times = np.unique(h[crossed] * len(shells) + of[k[crossed]], return_counts=True)
+        key = key[times % 2 == 1]
+        np.maximum.at(found, key // len(shells), key % len(shells))
+    return found
+
+
 def assembled(edges: DataFrame) -> DataFrame:
     """(group, geometry, open): a group's edges as one WKB geometry, traced in one task: no more than the result itself. Groups with nothing but
     slivers have no row; open: edges that rounding left without a ring."""
     schema = edges.schema["group"].dataType.simpleString()
-    lists = edges.groupBy("group").agg(F.collect_list(F.array(*_XY)).alias("edges"))
+    # the work is not in bytes: partitions that aren't put together
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = edges.repartition(n, "group").groupBy("group").agg(F.collect_list(F.array(*_XY)).alias("edges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -212,11 +250,108 @@ def _cut(areas: DataFrame, key: str, geometry: str, layer: int) -> tuple[DataFra
 
 #: Groups of more areas than this are looked over for edges that others cover.
 CROWDED = 32
+#: Edges of a group that is united in a task beside others. Larger ones are united tile by tile, unless an area is wider than so many tiles or has more edges.
+GROUP_EDGES, WIDEST, MOST_EDGES = 1 << 8, 4.0, 1 << 12
 
 
 def union(areas: DataFrame, by: str, key: str = "id", geometry: str = "geometry") -> DataFrame:
-    """(by, geometry, open): the union of each group's areas, which may overlap, touch in parts of edges or lie apart. Rows need distinct keys; null groups are left out."""
-    areas = areas.where(F.col(by).isNotNull())
+    """(by, geometry, open): the union of each group's areas, which may overlap, touch in parts of edges or lie apart. Rows need distinct keys; null groups are left out.
+
+    Small groups are united in tasks, many at once. Of larger groups each tile's task gets all areas that meet an edge of the tile and yields the edges
+    whose middles lie there, so no task holds a group before its rings are traced. Groups of areas of very unlike sizes have their edges as rows.
+    """
+    areas = areas.where(F.col(by).isNotNull() & F.col(key).isNotNull() & F.col(geometry).isNotNull())
+    n = int(areas.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    outlines = stored(_outlines(areas, by, geometry), "outlines")
+    wide = F.greatest(F.col("box.xmax") - F.col("box.xmin"), F.col("box.ymax") - F.col("box.ymin"))
+    sizes = outlines.groupBy("group").agg((F.sum(F.size("edges")) / 4).alias("n"), F.max(F.size("edges") / 4).alias("most"), F.max(wide).alias("wide"), F.max("longest").alias("longest"))
+    middle = outlines.agg(F.percentile_approx(wide, 0.5)).first()[0]
+    tile = 2.0 ** (math.ceil(math.log2(middle)) + 1) if middle else 1.0
+    small, even = F.col("n") <= GROUP_EDGES, (F.col("wide") <= WIDEST * tile) & (F.col("longest") <= tile) & (F.col("most") <= MOST_EDGES)
+    sizes = stored(sizes.select("group", F.when(small, 0).when(even, 1).otherwise(2).alias("way"), "longest"), "sizes")
+    ways = {r.way: r.longest for r in sizes.groupBy("way").agg(F.max("longest").alias("longest")).collect()}
+    of = lambda d, way: d if set(ways) == {way} else d.join(sizes.where(F.col("way") == way).select("group").hint("merge"), "group", "left_semi")
+    found = []
+    if 0 in ways or not ways:
+        found.append(_united(of(outlines, 0).repartition(n, "group")))
+    if 1 in ways:
+        found.append(assembled(_tiled(of(outlines, 1), tile, ways[1])))
+    if 2 in ways:
+        some = of(areas.select(F.col(by).alias("group"), F.col(key).alias("key"), F.col(geometry).alias("geometry")), 2)
+        found.append(_union(some, "group", "key", "geometry"))
+    return functools.reduce(DataFrame.unionByName, found).withColumnRenamed("group", by)
+
+
+def _outlines(areas: DataFrame, by: str, geometry: str) -> DataFrame:
+    """(group, box, longest, edges): the edges of each row's polygons as a flat list, their box, and the widest extent of an edge; rows without edges are left out."""
+    schema = areas.schema[by].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = arrange.Shapes.read(b.column(1))
+            some = np.flatnonzero(found.n)
+            longest = np.maximum.reduceat((found.high - found.low).max(1), found.at[some]) if len(some) else np.zeros(0)
+            box = pa.StructArray.from_arrays([pa.array(found.box[some, k]) for k in range(4)], ["xmin", "ymin", "xmax", "ymax"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(4 * found.n[some])]), pa.int32()), pa.array(found.e.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), box, pa.array(longest), lists], ["group", "box", "longest", "edges"])
+
+    return areas.select(by, geometry).mapInArrow(run, f"group {schema}, box struct<xmin:double,ymin:double,xmax:double,ymax:double>, longest double, edges array<double>")
+
+
+def _shapes_of(lists: pa.ListArray) -> arrange.Shapes:
+    return arrange.Shapes(lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, 4), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False) // 4)]))
+
+
+def _united(outlines: DataFrame) -> DataFrame:
+    """union() of groups that a task can hold, from the rows of _outlines."""
+    schema = outlines.schema["group"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            every, shapes = lists.value_lengths().to_numpy(zero_copy_only=False), _shapes_of(lists.flatten())
+            ends = np.concatenate([[0], np.cumsum(every)])
+            for part in arrange.blocks(np.array([(shapes.at[hi] - shapes.at[lo]) ** 2 for lo, hi in zip(ends, ends[1:])])):
+                lo, hi = ends[part.start], ends[part.stop]
+                of = np.arange(lo, hi)
+                group = np.repeat(np.arange(part.start, part.stop), every[part])
+                edges = np.arange(shapes.at[lo], shapes.at[hi])
+                e, g = arrange.bounding(shapes, of, group, np.zeros(len(of), np.int64), edges, np.repeat(of - lo, shapes.n[of]), lambda one, _: one > 0)
+                at, geometry, lost = arrange.polygons(e, g, trace, SLIVER)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), geometry, pa.array(lost, pa.int32())], ["group", "geometry", "open"])
+
+    return outlines.groupBy("group").agg(F.collect_list("edges").alias("edges")).mapInArrow(run, f"group {schema}, geometry binary, open int")
+
+
+def _tiled(outlines: DataFrame, tile: float, longest: float) -> DataFrame:
+    """(group, x1, y1, x2, y2): the directed edges of the union of each group's areas, tile by tile. No edge extends over more than `longest`."""
+    schema = outlines.schema["group"].dataType.simpleString()
+    d = outlines
+    # an area that meets an edge which touches a tile is no further from the tile than the edge extends
+    for axis, o in zip("xy", ORIGIN.tolist()):
+        cell = lambda v: F.floor((v - F.lit(o)) / F.lit(tile)).cast("long")  # noqa: B023, E731
+        d = d.withColumn(f"t{axis}", F.explode(F.sequence(cell(F.col(f"box.{axis}min") - F.lit(longest) * 1.000001), cell(F.col(f"box.{axis}max") + F.lit(longest) * 1.000001))))
+
+    def run(group: tuple, t: pa.Table) -> pa.Table:
+        lists = t.column("edges").combine_chunks()
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        shapes = _shapes_of(lists)
+        same = {shapes.e[lo:hi].tobytes(): k for k, (lo, hi) in enumerate(zip(shapes.at, shapes.at[1:]))}  # copies of an area add nothing
+        if len(same) < len(t):
+            few = np.array(sorted(same.values()))
+            shapes = arrange.Shapes(shapes.e[arrange.ranges(shapes.at[few], shapes.n[few])], np.concatenate([[0], np.cumsum(shapes.n[few])]))
+        lo = ORIGIN + np.array([group[1].as_py(), group[2].as_py()]) * tile
+        hi = ORIGIN + np.array([group[1].as_py() + 1, group[2].as_py() + 1]) * tile
+        e = arrange.union_part(shapes, (*lo.tolist(), *hi.tolist()))
+        return pa.table({"group": pa.array([group[0].as_py()] * len(e), t.schema.field("group").type), **{c: pa.array(e[:, k]) for k, c in enumerate(_XY)}})
+
+    n = int(outlines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ["group", "tx", "ty"]
+    return d.select(*names, "edges").repartition(n, *names).groupBy(*names).applyInArrow(run, f"group {schema}, x1 double, y1 double, x2 double, y2 double")
+
+
+def _union(areas: DataFrame, by: str, key: str, geometry: str) -> DataFrame:
+    """(group, geometry, open): union() of groups of any areas, with their edges as rows."""
     edges, pieces = _cut(areas, key, geometry, 0)
     members = areas.select(F.col(by).alias("group"), F.concat(F.lit("0:"), F.col(key).cast("string")).alias("poly"))
     pieces = stored(pieces.join(members.withColumnRenamed("group", "g2").hint("merge"), "poly"), "pieces")
@@ -225,7 +360,7 @@ def union(areas: DataFrame, by: str, key: str = "id", geometry: str = "geometry"
     edges = edges.join(members.hint("merge"), "poly")
     covers = stored(merged(pieces.join(crowded.hint("merge"), F.col("g2") == F.col("group"), "left_semi"), "g2").drop("g2"), "merged")
     edges = edges.join(crowded.hint("merge"), "group", "left_anti").unionByName(exposed(edges.join(crowded.hint("merge"), "group", "left_semi"), covers))
-    return assembled(outline(edges, [(pieces, 0)], lambda a, _: a > 0)).withColumnRenamed("group", by)
+    return assembled(outline(edges, [(pieces, 0)], lambda a, _: a > 0))
 
 
 def _paired(left: DataFrame, right: DataFrame, key: str, other: str, box: str) -> DataFrame:

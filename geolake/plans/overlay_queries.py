@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolake.functions import datum, kernels, wkb
+from geolake.functions import arrange, datum, kernels, wkb
 from geolake.operators import chains, overlay, pieces
 from geolake.operators import zones as zoning
 from geolake.operators.extract import in_country
@@ -50,20 +50,20 @@ def _shapes(df: DataFrame, key: str) -> DataFrame:
     d = df.select(F.col(key).cast("long").alias("id"), F.expr(_x(key)).alias("ox"), F.expr(_y(key)).alias("oy"), *([F.col("c_nationkey").alias("nation")] if "c_nationkey" in df.columns else []))
     more = [c for c in d.columns if c not in ("id", "ox", "oy")]
 
+    sample = ("MultiPolygon", [[[*SHELL, SHELL[0]], [*HOLE, HOLE[0]]], [[*ISLAND, ISLAND[0]]]])
+    corners = np.array(wkb.flat(*sample), float)
+
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            shapes, boxes = [], []
-            for i, ox, oy in zip(*(b.column(c).to_pylist() for c in ("id", "ox", "oy"))):
-                place = lambda ring: [(139 + (ox + (WIDTH - x if i % 2 else x)) / 64, 35 + (oy + y) / 64) for x, y in [*ring, ring[0]]]  # noqa: B023, E731
-                g = ("MultiPolygon", [[place(SHELL), place(HOLE)], [place(ISLAND)]])
-                shapes.append(wkb.dumps(*g))
-                boxes.append(kernels.bounds(*g))
-            e = np.array(boxes).reshape(-1, 4)
+            i, ox, oy = (b.column(c).to_numpy() for c in ("id", "ox", "oy"))
+            x = np.where((i % 2 == 1)[:, None], WIDTH - corners[:, 0], corners[:, 0])
+            points = np.stack([139 + (ox[:, None] + x) / 64, 35 + (oy[:, None] + corners[:, 1]) / 64], 2)
+            e = np.hstack([points.min(1), points.max(1)])
             box = pa.StructArray.from_arrays([pa.array(e[:, k]) for k in range(4)], ["xmin", "ymin", "xmax", "ymax"])
-            yield pa.RecordBatch.from_arrays([b.column("id"), *(b.column(c) for c in more), pa.array(shapes, pa.binary()), box], ["id", *more, "geometry", "bbox"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(b.column(c) for c in more), arrange.like(sample, points), box], ["id", *more, "geometry", "bbox"])
 
     kinds = "".join(f"{c} {d.schema[c].dataType.simpleString()}, " for c in more)
-    return spread(d, 1000).mapInArrow(draw, f"id long, {kinds}geometry binary, bbox struct<xmin:double,ymin:double,xmax:double,ymax:double>")
+    return spread(d, 2500).mapInArrow(draw, f"id long, {kinds}geometry binary, bbox struct<xmin:double,ymin:double,xmax:double,ymax:double>")
 
 
 def lots(spark: SparkSession, sf_dir: str) -> DataFrame:
