@@ -23,6 +23,13 @@ def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
+def _spans(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ascending numbers where its equals begin and end."""
+    new = np.flatnonzero(np.concatenate([np.ones(min(len(a), 1), bool), a[1:] != a[:-1]]))
+    size = np.diff(np.append(new, len(a)))
+    return np.repeat(new, size), np.repeat(new + size, size)
+
+
 def blocks(cost: np.ndarray, most: int | None = None) -> Iterator[slice]:
     """Rows in slices of about so much cost."""
     total, lo = np.cumsum(cost), 0
@@ -248,28 +255,29 @@ def sides(shapes: Shapes, of: np.ndarray, group: np.ndarray, layer: np.ndarray,
     at, flip, first = at[order], flip[order], order[new]
     u, v, g, n = u[first], v[first], group[at[new]], int(new.sum())
     own = np.bincount(part * 4 + layer[at] * 2 + flip, minlength=4 * n).reshape(n, 2, 2)
-    mine = np.unique(part * len(of) + at)
     x, y = ((u + v) / 2).T
-    begin, end = np.searchsorted(group, g), np.searchsorted(group, g, "right")
+    begin, end = (c[at[new]] for c in _spans(group))
     more = np.zeros((n, 2), np.int64)
     for some in blocks(end - begin):
-        q, m = np.repeat(np.arange(some.start, some.stop), (end - begin)[some]), ranges(begin[some], (end - begin)[some])
+        count = (end - begin)[some]
+        q, m = np.repeat(np.arange(some.start, some.stop), count), ranges(begin[some], count)
+        mine, lines = np.zeros(len(q), bool), slice(*np.searchsorted(part, (some.start, some.stop)))
+        mine[(np.cumsum(count) - count)[part[lines] - some.start] + at[lines] - begin[part[lines]]] = True
         box = shapes.box[of[m]]
-        near = (box[:, 0] <= x[q]) & (box[:, 1] <= y[q]) & (box[:, 2] >= x[q]) & (box[:, 3] >= y[q])
+        near = (box[:, 0] <= x[q]) & (box[:, 1] <= y[q]) & (box[:, 2] >= x[q]) & (box[:, 3] >= y[q]) & ~mine
         q, m = q[near], m[near]
-        key = q * len(of) + m
-        other = mine[np.minimum(np.searchsorted(mine, key), len(mine) - 1)] != key
-        q, m = q[other], m[other]
         count = shapes.n[of[m]]
         for few in blocks(count):
             a, b, c = q[few], m[few], count[few]
-            e, px, py = shapes.e[ranges(shapes.at[of[b]], c)], np.repeat(x[a], c), np.repeat(y[a], c)
-            ax, ay, bx, by = e.T
+            k, pair = ranges(shapes.at[of[b]], c), np.repeat(np.arange(len(a)), c)
+            py = y[a][pair]
+            level = (shapes.low[k, 1] <= py) & (shapes.high[k, 1] >= py) & (shapes.high[k, 0] >= x[a][pair])
+            k, pair, py = k[level], pair[level], py[level]
+            (ax, ay, bx, by), px = shapes.e[k].T, x[a][pair]
             t = (bx - ax) * (py - ay) - (by - ay) * (px - ax)
             odd = ((ay > py) != (by > py)) & (t != 0) & ((t > 0) == (by > ay))
-            on = (t == 0) & (px >= np.minimum(ax, bx)) & (px <= np.maximum(ax, bx)) & (py >= np.minimum(ay, by)) & (py <= np.maximum(ay, by))
-            starts = np.cumsum(c) - c
-            held = (np.add.reduceat(odd, starts, dtype=np.int64) % 2 == 1) & ~np.logical_or.reduceat(on, starts)
+            held = np.bincount(pair[odd], minlength=len(a)) % 2 == 1
+            held[pair[(t == 0) & (shapes.low[k, 0] <= px)]] = False
             np.add.at(more, (a[held], layer[b[held]]), 1)
     l, r = (inside(*(own[:, k, side] + more[:, k] for k in (0, 1))) for side in (0, 1))
     left, right = np.flatnonzero(l & ~r), np.flatnonzero(r & ~l)
@@ -279,8 +287,7 @@ def sides(shapes: Shapes, of: np.ndarray, group: np.ndarray, layer: np.ndarray,
 def bounding(shapes: Shapes, of: np.ndarray, group: np.ndarray, layer: np.ndarray, edges: np.ndarray, at: np.ndarray, inside: Callable, apart: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """sides() of the edges of members `at`, in ascending order, split where they meet in their group. apart: edges of one area are split already."""
     s, g = shapes.s[edges], group[at]
-    first = np.searchsorted(at, at, "right") if apart else np.arange(len(at)) + 1
-    k, p = cuts(s, first, np.searchsorted(g, g, "right"))
+    k, p = cuts(s, _spans(at)[1] if apart else np.arange(len(at)) + 1, _spans(g)[1])
     u, v, seg, flip = _parts(s, shapes.flip[edges], k, p)
     return sides(shapes, of, group, layer, u, v, at[seg], flip, inside)
 
@@ -345,10 +352,53 @@ def union_part(shapes: Shapes, box: tuple[float, float, float, float], n: int =
     return sides(shapes, members, zero, zero, u[here], v[here], of[rows[mine]][seg[here]], flip[here], lambda one, _: one > 0)[0]
 
 
+def _following(edges: np.ndarray, start: np.ndarray, end: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(edge that follows each edge, groups where that is unclear): the first one clockwise from where the edge came from; start, end: numbers of its places."""
+    n = len(edges)
+    order = np.argsort(start, kind="stable")
+    lo, hi = np.searchsorted(start[order], end), np.searchsorted(start[order], end, "right")
+    single = hi - lo == 1
+    follow = np.arange(n)
+    follow[single] = order[lo[single]]
+    many = np.flatnonzero(hi - lo > 1)
+    if len(many):
+        count = (hi - lo)[many]
+        i, j = np.repeat(many, count), order[ranges(lo[many], count)]
+        d, back = edges[j, 2:] - edges[j, :2], edges[i, :2] - edges[i, 2:]
+        turn = (np.arctan2(back[:, 1], back[:, 0]) - np.arctan2(d[:, 1], d[:, 0])) % (2 * np.pi)
+        turn[turn == 0] = 2 * np.pi
+        best = np.lexsort((edges[j, 3], edges[j, 2], turn, i))
+        follow[many] = j[best[np.cumsum(count) - count]]
+    unclear = np.zeros(int(g.max(initial=-1)) + 1, bool)
+    unclear[g[hi == lo]] = True
+    unclear[g[follow[np.bincount(follow, minlength=n)[follow] != 1]]] = True
+    return follow, unclear
+
+
+def _shells_of(edges: np.ndarray, ring: np.ndarray, area: np.ndarray, g: np.ndarray, holes: np.ndarray, sliver: float) -> np.ndarray:
+    """The smallest shell of its group around the middle of each hole's first edge; -1: none. Rings are known by their first edge."""
+    found = np.full(len(holes), -1)
+    x, y = ((edges[holes, :2] + edges[holes, 2:]) / 2).T
+    begin, end = np.searchsorted(g, g[holes]), np.searchsorted(g, g[holes], "right")
+    for part in blocks(end - begin):
+        h, k = np.repeat(np.arange(part.start, part.stop), (end - begin)[part]), ranges(begin[part], (end - begin)[part])
+        some = area[ring[k]] > sliver
+        h, k = h[some], k[some]
+        ax, ay, bx, by = edges[k].T
+        turn = (bx - ax) * (y[h] - ay) - (by - ay) * (x[h] - ax)
+        crossed = ((ay > y[h]) != (by > y[h])) & (turn != 0) & ((turn > 0) == (by > ay))
+        key, times = np.unique(h[crossed] * len(edges) + ring[k[crossed]], return_counts=True)
+        h, k = np.divmod(key[times % 2 == 1], len(edges))
+        order = np.lexsort((area[k], h))
+        h, first = np.unique(h[order], return_index=True)
+        found[h] = k[order][first]
+    return found
+
+
 def polygons(edges: np.ndarray, group: np.ndarray, trace: Callable, sliver: float) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """(groups, WKB, edges that close no ring) of directed edges with the area on their left. Groups with nothing but slivers have no row.
 
-    Where a single edge begins at each edge's end, and no ring is a hole, rings are joined for all groups at once; other groups go through `trace`.
+    Rings are joined for all groups at once. Groups with edges that lead nowhere, rings that come back to a place, or many holes go through `trace`.
     """
     order = np.lexsort((edges[:, 1], edges[:, 0], group))
     edges, group = edges[order] + 0.0, group[order]
@@ -358,12 +408,8 @@ def polygons(edges: np.ndarray, group: np.ndarray, trace: Callable, sliver: floa
     ids = np.empty(2 * n, np.int64)
     o, new = _same(np.concatenate([f, f]), *np.concatenate([edges[:, :2], edges[:, 2:]]).T)
     ids[o] = np.cumsum(new) - 1
-    out, into = np.bincount(ids[:n], minlength=2 * n), np.bincount(ids[n:], minlength=2 * n)
-    slow = np.zeros(len(names), bool)
-    slow[g[(out[ids[n:]] != 1) | (into[ids[n:]] != 1) | (out[ids[:n]] != 1) | (into[ids[:n]] != 1)]] = True
-    start = np.zeros(2 * n, np.int64)
-    start[ids[:n]] = np.arange(n)
-    follow = np.where(slow[g], np.arange(n), start[ids[n:]])
+    follow, slow = _following(edges, ids[:n], ids[n:], g)
+    follow = np.where(slow[g], np.arange(n), follow)
     # the smallest edge of each ring, and how far an edge is from the ring's last one: pointers double
     ring, step = np.arange(n), follow.copy()
     for _ in range(int(np.bincount(g).max(initial=1)).bit_length()):
@@ -374,29 +420,48 @@ def polygons(edges: np.ndarray, group: np.ndarray, trace: Callable, sliver: floa
         far, step = far + far[step], step[step]
     size = np.bincount(ring, minlength=n)
     area = np.bincount(ring, edges[:, 0] * edges[:, 3] - edges[:, 2] * edges[:, 1], minlength=n) / 2
-    slow[g[area < -sliver]] = True
-    first = np.flatnonzero((ring == np.arange(n)) & (area > sliver) & ~slow[g])
+    # a place that a ring comes back to is one where several edges begin
+    twice = np.flatnonzero(np.bincount(ids[:n], minlength=2 * n)[ids[:n]] > 1)
+    key = ids[twice] * n + ring[twice]
+    key, back, times = np.unique(key, return_inverse=True, return_counts=True)
+    slow[g[twice[times[back] > 1]]] = True
+    heads = np.flatnonzero((ring == np.arange(n)) & ~slow[g])
+    holes = heads[area[heads] < -sliver]
+    slow[np.bincount(g[holes], minlength=len(names)) * np.bincount(g, minlength=len(names)) > BLOCK] = True
+    holes = holes[~slow[g[holes]]]
+    first = heads[(area[heads] > sliver) & ~slow[g[heads]]]
     first = first[np.lexsort((first, -area[first], g[first]))]
     count = np.bincount(g[first], minlength=len(names))
     fast = np.flatnonzero(count)
-    # a head of nine bytes where a group has several rings, one of thirteen and the closed ring's points for each of them
-    bytes_of = 13 + 16 * (size[first] + 1)
-    several = count[g[first]] > 1
-    lead = np.concatenate([np.ones(min(len(first), 1), bool), g[first[1:]] != g[first[:-1]]]) & several
-    begin = np.cumsum(bytes_of + 9 * lead) - bytes_of
-    raw = np.zeros(int((bytes_of + 9 * lead).sum()), np.uint8)
+    # rings in order: a shell, its holes
+    shell = _shells_of(edges, ring, area, g, holes, sliver)
+    holes, shell = holes[shell >= 0], shell[shell >= 0]
+    rank = np.zeros(n + 1, np.int64)
+    rank[first] = np.arange(len(first))
+    rings, of = np.concatenate([first, holes]), np.concatenate([rank[first], rank[shell]])
+    many = 1 + np.bincount(rank[shell], minlength=len(first))
+    order = np.lexsort((rings, np.arange(len(rings)) >= len(first), of))
+    rings, of = rings[order], of[order]
+    outer = np.concatenate([np.ones(min(len(of), 1), bool), of[1:] != of[:-1]])
+    lead = outer & (count[g[rings]] > 1) & np.concatenate([np.ones(min(len(of), 1), bool), g[rings[1:]] != g[rings[:-1]]])
+    # nine bytes before a group of several shells, and before each shell; four before each ring
+    length = 9 * lead + 9 * outer + 4 + 16 * (size[rings] + 1)
+    begin = np.cumsum(length) - length
+    body = begin + 9 * lead + 9 * outer + 4
+    raw = np.zeros(int(length.sum()), np.uint8)
     put = lambda at, words: raw.__setitem__(at[:, None] + np.arange(words.shape[1]), words)
     four = lambda a: np.ascontiguousarray(a, "<u4").view(np.uint8).reshape(-1, 4)
-    byte = np.ones((len(first), 1), np.uint8)
-    put(begin, np.hstack([byte, four(np.full(len(first), 3)), four(np.ones(len(first))), four(size[first] + 1)]))
-    put(begin[lead] - 9, np.hstack([byte[lead], four(np.full(lead.sum(), 6)), four(count[g[first[lead]]])]))
+    head = lambda kind, m: np.hstack([np.ones((len(m), 1), np.uint8), four(np.full(len(m), kind)), four(m)])
+    put(begin[lead], head(6, count[g[rings[lead]]]))
+    put((begin + 9 * lead)[outer], head(3, many))
+    put(body - 4, four(size[rings] + 1))
     where = np.full(n, -1, np.int64)
-    where[first] = begin + 13
+    where[rings] = body
     e = np.flatnonzero(where[ring] >= 0)
     points = np.ascontiguousarray(edges[:, :2], "<f8").view(np.uint8).reshape(-1, 16)
     put(where[ring[e]] + 16 * (size[ring[e]] - 1 - far[e]), points[e])
-    put(begin + 13 + 16 * size[first], points[first])
-    ends = np.concatenate([[0], np.cumsum(np.bincount(g[first], bytes_of + 9 * lead, len(names))[fast])]).astype(np.int64)
+    put(body + 16 * size[rings], points[rings])
+    ends = np.concatenate([[0], np.cumsum(np.bincount(g[rings], length, len(names))[fast])]).astype(np.int64)
     shapes = pa.Array.from_buffers(pa.large_binary(), len(fast), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
     found, texts, lost = [], [], []
     low = np.searchsorted(g, np.arange(len(names) + 1))

@@ -18,13 +18,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geolake.functions import arrange, kernels, wkb
-from geolake.sources.shared import spread, stored
+from geolake.sources.shared import stored
 
-from .pieces import ORIGIN, edges_in, merged, points_in, subdivide
+from .pieces import ORIGIN, edges_in, merged, met_blocks, points_in, subdivide
 from .spatial_join import overlap_join
 
 #: Rings of a smaller area (in square units of the coordinates) are rounding's.
@@ -363,124 +364,88 @@ def _union(areas: DataFrame, by: str, key: str, geometry: str) -> DataFrame:
     return assembled(outline(edges, [(pieces, 0)], lambda a, _: a > 0))
 
 
-def _paired(left: DataFrame, right: DataFrame, key: str, other: str, box: str) -> DataFrame:
-    """(a, b, abox, bbox2) of areas whose boxes overlap."""
-    l = left.select(F.concat(F.lit("0:"), F.col(key).cast("string")).alias("a"), F.col(box).alias("abox"), F.col(key).alias("left_key"))
-    r = right.select(F.concat(F.lit("1:"), F.col(other).cast("string")).alias("b"), F.col(box).alias("bbox2"), F.col(other).alias("right_key"))
-    return overlap_join(l, r, "abox", "bbox2")
-
-
 def _near(edges: DataFrame, box: str) -> Column:
     c = lambda f: F.col(f"{box}.{f}")
     return (F.least("x1", "x2") <= c("xmax")) & (F.greatest("x1", "x2") >= c("xmin")) & (F.least("y1", "y2") <= c("ymax")) & (F.greatest("y1", "y2") >= c("ymin"))
 
 
 def intersection(left: DataFrame, right: DataFrame, key: str = "id", other: str = "other", geometry: str = "geometry", box: str = "bbox") -> DataFrame:
-    """(key, other, geometry, open) of every pair of areas that share more than a border. Keys are distinct; boxes are those of the geometries."""
-    corners = lambda d, k, name: d.select(k, (F.length(geometry) / 16).alias(name), F.col(geometry).alias(f"{name}_shape"))
-    pairs = _paired(left, right, key, other, box).select("left_key", "right_key").hint("merge")
-    pairs = pairs.join(corners(left, F.col(key).alias("left_key"), "le"), "left_key").hint("merge").join(corners(right, F.col(other).alias("right_key"), "re"), "right_key")
-    pairs = stored(pairs, "pairs")
-    few = pairs.where(F.col("le") * F.col("re") <= PAIR_EDGES)
-    schema = f"`{key}` {left.schema[key].dataType.simpleString()}, `{other}` {right.schema[other].dataType.simpleString()}, geometry binary, open int"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, shapes, lost, read = [], [], [], {}
-            get = lambda g: read.get(g) or read.setdefault(g, _Polygons(g))  # noqa: B023, E731
-            for i, (g, h) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-                kind, c, n = trace(shared(get(g), get(h)))
-                if c:
-                    at.append(i)
-                    shapes.append(wkb.dumps(kind, c))
-                    lost.append(n)
-            rows = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(shapes, pa.binary()), pa.array(lost, pa.int32())], [key, other, "geometry", "open"])
+    """(key, other, geometry, open) of every pair of areas that share more than a border. Keys are distinct; boxes are those of the geometries.
 
-    local = spread(few.select("left_key", "right_key", "le_shape", "re_shape"), 20_000).mapInArrow(run, schema)
-    many = pairs.where(F.col("le") * F.col("re") > PAIR_EDGES).select(F.struct(F.col("left_key").alias("l"), F.col("right_key").alias("r")).alias("group"), "left_key", "right_key")
-    if many.isEmpty():
-        return local
-    return local.unionByName(_intersection(many, left, right, key, other, geometry, box))
+    Areas meet in the cells of their boxes. A pair is overlaid in the one cell of its overlap's corner, many pairs at once, and areas of a full cell are
+    dealt into blocks: no pair is a row before its result, and a task's memory is bounded. Copies of an area in a block are overlaid once.
+    """
+    side = lambda d, k, p: stored(d.where(f"{box} is not null and {geometry} is not null").select(F.col(k).alias(f"{p}key"), F.col(box).alias(f"{p}box"), F.col(geometry).alias(f"{p}shape")), "areas")
+    l, r = side(left, key, "l"), side(right, other, "r")
+    corners = lambda p: F.length(f"{p}shape") / 16
+    (le, lone), (re_, rone) = (d.agg(F.max(corners(p)), F.min(corners(p))).first() for d, p in ((l, "l"), (r, "r")))
+    schema = f"`{key}` {left.schema[key].dataType.simpleString()}, `{other}` {right.schema[other].dataType.simpleString()}, geometry binary, open int"
+    most = PAIR_EDGES
+
+    def meet(group: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        empty = pa.table({key: pa.array([], a.schema.field("lkey").type), other: pa.array([], b.schema.field("rkey").type), "geometry": pa.array([], pa.binary()), "open": pa.array([], pa.int32())})
+        if not len(a) or not len(b):
+            return empty
+
+        def read(t: pa.Table, p: str) -> tuple:
+            flat = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+            shapes, bounds = flat(t.column(f"{p}shape").combine_chunks()).dictionary_encode(), flat(t.column(f"{p}box").combine_chunks())
+            at = np.stack([bounds.field(k).to_numpy(zero_copy_only=False) for k in ("xmin", "ymin", "xmax", "ymax")], 1)
+            size = pc.binary_length(shapes.dictionary).to_numpy(zero_copy_only=False) / 16
+            return arrange.Shapes.read(shapes.dictionary).split(), shapes.indices.to_numpy(zero_copy_only=False).astype(np.int64), size, at, t.column("fx").to_numpy(), t.column("fy").to_numpy()
+
+        (one, ones, size, box1, fx, fy), (two, twos, size2, box2, gx, gy) = read(a, "l"), read(b, "r")
+        x, y = group[1].as_py(), group[2].as_py()
+        rows, cols = [], []
+        for part in arrange.blocks(np.full(len(a), len(b))):
+            p, q = box1[part, None], box2[None]
+            near = (p[..., 0] <= q[..., 2]) & (p[..., 2] >= q[..., 0]) & (p[..., 1] <= q[..., 3]) & (p[..., 3] >= q[..., 1])
+            near &= (np.maximum(fx[part, None], gx) == x) & (np.maximum(fy[part, None], gy) == y)
+            i, j = np.nonzero(near)
+            rows.append(i + part.start)
+            cols.append(j)
+        i, j = np.concatenate(rows), np.concatenate(cols)
+        few = size[ones[i]] * size2[twos[j]] <= most
+        i, j = i[few], j[few]
+        pairs, of = np.unique(ones[i] * len(size2) + twos[j], return_inverse=True)
+        at, found, lost = _shared(one, two, pairs // len(size2), pairs % len(size2))
+        place = np.full(len(pairs), -1, np.int64)
+        place[at] = np.arange(len(at))
+        some = place[of] >= 0
+        i, j, of = i[some], j[some], place[of[some]]
+        return pa.table({key: a.column("lkey").take(pa.array(i)), other: b.column("rkey").take(pa.array(j)), "geometry": found.take(pa.array(of)), "open": pa.array(lost[of])}) if len(i) else empty
+
+    # of the larger areas those that no area is small enough for stay away
+    small_l, small_r = l.where(corners("l") * F.lit(rone) <= most), r.where(corners("r") * F.lit(lone) <= most)
+    blocks = lambda p, rows, size: F.ceil(F.greatest(F.count("*") / rows, F.sum(F.length(f"{p}shape")) / size))
+    parts = [a.cogroup(b).applyInArrow(meet, schema) for a, b in met_blocks(small_l, small_r, blocks("l", 256, 1 << 18), blocks("r", 1024, 1 << 20))]
+    if le is not None and re_ is not None and le * re_ > most:
+        big_l, big_r = l.where(corners("l") * F.lit(re_) > most), r.where(corners("r") * F.lit(le) > most)
+        many = overlap_join(big_l.select("lkey", "lbox", corners("l").alias("le")), big_r.select("rkey", "rbox", corners("r").alias("re")), "lbox", "rbox").where(F.col("le") * F.col("re") > most)
+        many = stored(many.select(F.struct(F.col("lkey").alias("l"), F.col("rkey").alias("r")).alias("group"), F.col("lkey").alias("left_key"), F.col("rkey").alias("right_key")), "pairs")
+        parts.append(_intersection(many, left, right, key, other, geometry, box))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 #: Pairs of areas with at most so many pairs of edges are overlaid in a task, each by itself; edges of the others are rows.
 PAIR_EDGES = 1 << 16
 
 
-class _Polygons:
-    """A WKB geometry's directed edges (the area on the left) and box."""
-
-    def __init__(self, data: bytes):
-        rows = [np.zeros((0, 4))]
-        for polygon in kernels.polygons(*wkb.loads(data)):
-            for k, ring in enumerate(polygon):
-                a = np.asarray(ring, float)
-                a = a[::-1] if (kernels.signed_area(ring) < 0) != (k > 0) else a
-                rows.append(np.hstack([a[:-1], a[1:]]))
-        e = np.concatenate(rows)
-        self.edges = e[(e[:, :2] != e[:, 2:]).any(1)]
-        self.low, self.high = np.minimum(self.edges[:, :2], self.edges[:, 2:]), np.maximum(self.edges[:, :2], self.edges[:, 2:])
-        self.box = (*self.low.min(0), *self.high.max(0)) if len(e) else (0.0, 0.0, -1.0, -1.0)
-
-    def near(self, box: tuple) -> np.ndarray:
-        return self.edges[(self.low[:, 0] <= box[2]) & (self.high[:, 0] >= box[0]) & (self.low[:, 1] <= box[3]) & (self.high[:, 1] >= box[1])]
-
-    def hold(self, p: np.ndarray) -> np.ndarray:
-        """Whether places lie inside, not on an edge."""
-        ax, ay, bx, by = self.edges.T
-        x, y = p[:, :1], p[:, 1:]
-        c = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
-        on = (c == 0) & (x >= np.minimum(ax, bx)) & (x <= np.maximum(ax, bx)) & (y >= np.minimum(ay, by)) & (y <= np.maximum(ay, by))
-        return ((((ay > y) != (by > y)) & (c != 0) & ((c > 0) == (by > ay))).sum(1) % 2 == 1) & ~on.any(1)
-
-
-def shared(one: _Polygons, two: _Polygons) -> np.ndarray:
-    """The directed edges that bound what both hold: as noded and outline do it, for one pair."""
-    a, b = one.near(two.box), two.near(one.box)
-    e = np.concatenate([a, b])
-    flip = (e[:, 0] > e[:, 2]) | ((e[:, 0] == e[:, 2]) & (e[:, 1] > e[:, 3]))
-    s = np.where(flip[:, None], e[:, [2, 3, 0, 1]], e)
-    lo, hi = s[:, :2].copy(), s[:, 2:].copy()
-    lo[:, 1], hi[:, 1] = np.minimum(s[:, 1], s[:, 3]), np.maximum(s[:, 1], s[:, 3])
-    i, j = np.nonzero(np.triu((lo[:, None] <= hi[None]).all(2) & (hi[:, None] >= lo[None]).all(2), 1))
-    # in one order, so that a crossing is the same point whichever way a pair comes
-    swap = [tuple(s[m]) > tuple(s[n]) for m, n in zip(i.tolist(), j.tolist())]
-    i, j = np.where(swap, j, i), np.where(swap, i, j)
-    p, q = s[i], s[j]
-    turn = lambda l, x, y: (l[:, 2] - l[:, 0]) * (y - l[:, 1]) - (l[:, 3] - l[:, 1]) * (x - l[:, 0])
-    ta, tb, tc, td = turn(q, p[:, 0], p[:, 1]), turn(q, p[:, 2], p[:, 3]), turn(p, q[:, 0], q[:, 1]), turn(p, q[:, 2], q[:, 3])
-    cuts: dict[int, set] = defaultdict(set)
-    for k in np.flatnonzero((np.sign(ta) * np.sign(tb) < 0) & (np.sign(tc) * np.sign(td) < 0)).tolist():
-        w = ta[k] / (ta[k] - tb[k])
-        at = (float(p[k, 0] + w * (p[k, 2] - p[k, 0])), float(p[k, 1] + w * (p[k, 3] - p[k, 1])))
-        cuts[int(i[k])].add(at)
-        cuts[int(j[k])].add(at)
-    for t, of, on, end in ((ta, j, q, p[:, :2]), (tb, j, q, p[:, 2:]), (tc, i, p, q[:, :2]), (td, i, p, q[:, 2:])):
-        within = (t == 0) & (end[:, 0] >= on[:, 0]) & (end[:, 0] <= on[:, 2]) & (end[:, 1] >= np.minimum(on[:, 1], on[:, 3])) & (end[:, 1] <= np.maximum(on[:, 1], on[:, 3]))
-        within &= (end != on[:, :2]).any(1) & (end != on[:, 2:]).any(1)
-        for k in np.flatnonzero(within).tolist():
-            cuts[int(of[k])].add((float(end[k, 0]), float(end[k, 1])))
-    sides: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0, 0])  # left and right of layer 0, then of layer 1
-    for k, (x1, y1, x2, y2) in enumerate(s.tolist()):
-        inner = sorted(cuts.get(k, ()), key=lambda c: ((c[0] - x1) * (x2 - x1) + (c[1] - y1) * (y2 - y1), c))  # noqa: B023
-        path = [(x1, y1), *inner, (x2, y2)]
-        for u, v in zip(path, path[1:]):
-            if u != v:
-                sides[min(u, v), max(u, v)][2 * (k >= len(a)) + (bool(flip[k]) ^ (u > v))] += 1
-    if not sides:
-        return np.zeros((0, 4))
-    ends, n = np.array([(*u, *v) for u, v in sides]), np.array(list(sides.values()))
-    middle = (ends[:, :2] + ends[:, 2:]) / 2
-    left, right = [], []
-    for layer, of in ((0, one), (1, two)):
-        own = n[:, 2 * layer : 2 * layer + 2]
-        held = ~own.any(1)
-        held[held] = of.hold(middle[held])
-        left.append((own[:, 0] > 0) | held)
-        right.append((own[:, 1] > 0) | held)
-    l, r = left[0] & left[1], right[0] & right[1]
-    return np.concatenate([ends[l & ~r], ends[r & ~l][:, [2, 3, 0, 1]]])
+def _shared(one: arrange.Shapes, two: arrange.Shapes, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(pairs, WKB, open): what areas i of one and j of two share, as noded and outline find it; pairs that share nothing have no row."""
+    shapes, at, texts, lost = arrange.Shapes.joined(one, two), [np.zeros(0, np.int64)], [pa.array([], pa.binary())], [np.zeros(0, np.int32)]
+    for part in arrange.blocks(one.n[i] + two.n[j], 1 << 15):
+        of = np.stack([i[part], len(one.n) + j[part]], 1)
+        group, layer, against = np.repeat(np.arange(part.start, part.start + len(of)), 2), np.tile([0, 1], len(of)), of[:, ::-1].ravel()
+        of = of.ravel()
+        member = np.repeat(np.arange(len(of)), shapes.n[of])
+        edges, box = arrange.ranges(shapes.at[of], shapes.n[of]), shapes.box[against[member]]
+        # edges off the other area's box bound nothing that both hold
+        near = (shapes.low[edges, 0] <= box[:, 2]) & (shapes.high[edges, 0] >= box[:, 0]) & (shapes.low[edges, 1] <= box[:, 3]) & (shapes.high[edges, 1] >= box[:, 1])
+        e, g = arrange.bounding(shapes, of, group, layer, edges[near], member[near], lambda a, b: (a > 0) & (b > 0), apart=True)
+        for a, b in zip((at, texts, lost), arrange.polygons(e, g, trace, SLIVER)):
+            a.append(b)
+    return np.concatenate(at), pa.concat_arrays(texts), np.concatenate(lost)
 
 
 def _intersection(pairs: DataFrame, left: DataFrame, right: DataFrame, key: str, other: str, geometry: str, box: str) -> DataFrame:

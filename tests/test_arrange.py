@@ -67,3 +67,36 @@ def test_areas_and_edges_of_any_layout():
         turn = np.bincount(np.repeat(np.arange(len(s.n)), s.n), s.e[:, 0] * s.e[:, 3] - s.e[:, 2] * s.e[:, 1], len(s.n)) / 2
         assert np.allclose(turn[:-1], got[:-1])
     assert arrange.areas(pa.array([], pa.binary())).tolist() == []
+
+
+def test_pairs_are_no_rows_before_their_result(spark, monkeypatch):
+    """Pairs were stored with both geometries, and overlaid one after the other."""
+    rng = random.Random(24)
+    shapes = lambda n: [placed(rng.randrange(0, 40), rng.randrange(0, 30), rng.random() < 0.5) for _ in range(n)]
+    a, b = shapes(6), shapes(8)
+    b += b[:2]  # copies
+    names, stored = [], overlay.stored
+    monkeypatch.setattr(overlay, "stored", lambda d, name="t", **o: names.append(name) or stored(d, name, **o))
+    rows = lambda found, key: spark.createDataFrame([(i, wkb.dumps(*g), tuple(map(float, k.bounds(*g)))) for i, g in enumerate(found)] + [(99, None, None)], f"{key} int, geometry binary, bbox struct<xmin:double,ymin:double,xmax:double,ymax:double>")
+    found = overlay.intersection(rows(a, "id"), rows(b, "other"))
+    assert names == ["areas", "areas"] and "CoGroup" in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.undo()
+    got = {(r.id, r.other): checked(r) for r in found.collect()}
+    qa, qb = list(map(quarters, a)), list(map(quarters, b))
+    assert got == {(i, j): q & r for i, q in enumerate(qa) for j, r in enumerate(qb) if q & r} and len(got) > 20
+
+
+def test_rings_of_many_groups_at_once():
+    square = lambda x, y, r: [(x, y, x + r, y), (x + r, y, x + r, y + r), (x + r, y + r, x, y + r), (x, y + r, x, y)]
+    back = lambda e: [(c, d, a, b) for a, b, c, d in e]
+    groups = [
+        square(0, 0, 9), square(0, 0, 1) + square(1, 1, 1), square(0, 0, 9) + back(square(1, 1, 3)) + back(square(5, 5, 1)) + square(2, 2, 1), square(0, 0, 9) + back(square(1, 1, 3)) + back(square(4, 4, 2)),
+        [(0, 0, 4, 0), (4, 0, 4, 4), (4, 4, 0, 4), (0, 4, 0, 0), (0, 0, 1, 2), (1, 2, 2, 1), (2, 1, 0, 0)], square(0, 0, 9)[:3], square(0, 0, 1e-8), square(20, 0, 2) + square(0, 0, 9) + back(square(1, 1, 7)) + square(2, 2, 5) + back(square(3, 3, 1)),
+    ]
+    e, g = np.array(sum(groups, []), float), np.repeat(np.arange(len(groups)), [len(x) for x in groups]) * 3
+    mixed = np.random.default_rng(25).permutation(len(e))
+    at, texts, lost = arrange.polygons(e[mixed], g[mixed], overlay.trace, overlay.SLIVER)
+    same = lambda kind, c: (kind, {(frozenset(p[0]), frozenset(map(frozenset, p[1:]))) for p in k.polygons(kind, c)})
+    want = {3 * n: overlay.trace(np.array(x, float)) for n, x in enumerate(groups)}
+    assert {int(n): (*same(*wkb.loads(t.as_py())), int(m)) for n, t, m in zip(at, texts, lost)} == {n: (*same(kind, c), m) for n, (kind, c, m) in want.items() if c}
+    assert sorted(at.tolist()) == [0, 3, 6, 9, 12, 21] and arrange.polygons(np.zeros((0, 4)), np.zeros(0, np.int64), overlay.trace, 0.0)[1].to_pylist() == []
