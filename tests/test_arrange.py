@@ -8,7 +8,7 @@ import pytest
 
 from geolake.functions import arrange, wkb
 from geolake.functions import kernels as k
-from geolake.operators import overlay
+from geolake.operators import overlay, zones
 from tests.test_overlay import checked, placed, quarters
 from tests.test_pieces import block
 
@@ -100,3 +100,16 @@ def test_rings_of_many_groups_at_once():
     want = {3 * n: overlay.trace(np.array(x, float)) for n, x in enumerate(groups)}
     assert {int(n): (*same(*wkb.loads(t.as_py())), int(m)) for n, t, m in zip(at, texts, lost)} == {n: (*same(kind, c), m) for n, (kind, c, m) in want.items() if c}
     assert sorted(at.tolist()) == [0, 3, 6, 9, 12, 21] and arrange.polygons(np.zeros((0, 4)), np.zeros(0, np.int64), overlay.trace, 0.0)[1].to_pylist() == []
+
+
+def test_zones_of_many_small_lines_are_one_shuffle(spark):
+    """Every zone was united by joins over the edges of all zones, whose jobs and small tables came through the driver."""
+    lines = [(i, wkb.dumps("LineString", [(x, 0.0), (x + 2.0, 0.0), (x + 2.0, 1.0 + i % 3)])) for i, x in enumerate(np.arange(300) * 0.5)]
+    found = zones.zones(spark.createDataFrame(lines, "id int, geometry binary"), degrees=0.25, corners=4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") <= 2
+    got = {r.id: k.area(*wkb.loads(r.geometry)) for r in found.collect()}
+    capsule = lambda n: 2 * 0.25**2 + 2 * 0.25 * n
+    assert set(got) == set(range(300))
+    for i, area in got.items():
+        assert abs(area - (capsule(2) + capsule(1 + i % 3) - 2.5 * 0.25**2)) < 1e-9  # both share three quarters of the disc and a square
