railway_sections: features become Arrow columns, boxes and lengths are taken of many lines at once

Symptom: railway_sections took 1097 CPU seconds a GB in the full form of the profiler (tables at sf0.1), nearly all in Python.
Evidence: reading took 29 microseconds a feature, of which the JSON text needs 4; the rest went into a numpy call chain for each box, a dict for each box that pandas turned into a struct, and another chain for each length.
Fix: the reader hands Arrow batches on instead of pandas frames; boxes and lengths of lines of one layout are taken together (as areas are already), any other geometry by itself as before. Odd properties and geometries give the same rows, or still an error.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 1716 -> 890 s, shuffle 0.27 -> 0.27 GB, spill 0.00 -> 0.00 GB, read 0.04 -> 0.04 GB, longest task 20 -> 22 s, most memory of a task 101 -> 101 MB; at 6 GB of input CPU 9325 -> 4308 s, shuffle 1.59 -> 1.59 GB, spill 0.00 -> 0.00 GB, read 0.23 -> 0.23 GB, longest task 57 -> 52 s, most memory of a task 302 -> 302 MB; with hot keys, at 1 GB of input CPU 2000 -> 968 s, shuffle 0.27 -> 0.27 GB, spill 0.00 -> 0.00 GB, read 0.04 -> 0.04 GB, longest task 21 -> 20 s, most memory of a task 101 -> 101 MB.

@@ -39,8 +39,8 @@ def blocks(cost: np.ndarray, most: int | None = None) -> Iterator[slice]:
         lo = hi
 
 
-def _layout(data: bytes) -> tuple[list[int], list[tuple[int, int, bool]]] | None:
-    """(bytes of counts and kinds, (offset, points, hole) of the rings) of plain little-endian polygons; None: other kinds."""
+def _layout(data: bytes, kinds: tuple[int, ...]) -> tuple[list[int], list[tuple[int, int, bool]]] | None:
+    """(bytes of counts and kinds, (offset, points, hole) of the rings or lines) of plain little-endian polygons (3, many: 6) or lines (2, many: 5); None: other kinds."""
     head, rings, at = [], [], 0
 
     def word() -> int:
@@ -55,23 +55,23 @@ def _layout(data: bytes) -> tuple[list[int], list[tuple[int, int, bool]]] | None
         at += 1
         return word() if data[at - 1] == 1 else 0
 
-    def polygon() -> None:
+    def part(kind: int) -> None:
         nonlocal at
-        for k in range(word()):
+        for k in range(word() if kind == 3 else 1):
             n = word()
             rings.append((at, n, k > 0))
             at += 16 * n
 
     kind = begin()
-    if kind == 3:
-        polygon()
-    elif kind == 6:
+    if kind not in kinds:
+        return None
+    if kind < 4:
+        part(kind)
+    else:
         for _ in range(word()):
-            if begin() != 3:
+            if begin() != kind - 3:
                 return None
-            polygon()
-    else:
-        return None
+            part(kind - 3)
     return head, rings
 
 
@@ -79,14 +79,15 @@ def like(shape: tuple[str, list], points: np.ndarray) -> pa.Array:
     """Polygons as WKB with the rings of a sample, from all their points (rows, points, 2)."""
     data, k = np.frombuffer(wkb.dumps(*shape), np.uint8), 0
     out = np.tile(data, (len(points), 1))
-    for at, n, _ in _layout(data.tobytes())[1]:
+    for at, n, _ in _layout(data.tobytes(), (3, 6))[1]:
         out[:, at : at + 16 * n] = np.ascontiguousarray(points[:, k : k + n], "<f8").view(np.uint8).reshape(-1, 16 * n)
         k += n
     return pa.Array.from_buffers(pa.binary(), len(points), [None, pa.py_buffer((np.arange(len(points) + 1) * len(data)).astype(np.int32)), pa.py_buffer(out)])
 
 
-def _alike(column: pa.Array) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray, bool]] | None]]:
-    """Rows of a binary column with polygons of one layout together, with their rings as (points (rows, n, 2), hole); other kinds by themselves, with None. Nulls are left out."""
+def _alike(column: pa.Array, kinds: tuple[int, ...] = (3, 6)) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray, bool]] | None]]:
+    """Rows of a binary column with geometries of one layout together, with their rings or lines as (points (rows, n, 2), hole); others than these kinds by themselves, with None.
+    Nulls are left out."""
     rows = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
     column = pa.concat_arrays([column.drop_null().cast(pa.large_binary())])
     if not len(column):
@@ -99,13 +100,13 @@ def _alike(column: pa.Array) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray
             some = left[part]
             raw = data[starts[some][:, None] + np.arange(n)]
             while len(some):
-                found = _layout(raw[0].tobytes())
+                found = _layout(raw[0].tobytes(), kinds)
                 if found is None:
                     yield rows[some[:1]], None
                     some, raw = some[1:], raw[1:]
                     continue
                 same = (raw[:, found[0]] == raw[0, found[0]]).all(1)
-                yield rows[some[same]], [(np.ascontiguousarray(raw[same, at : at + 16 * k]).view("<f8").reshape(-1, k, 2), hole) for at, k, hole in found[1]]
+                yield rows[some[same]], [(np.ascontiguousarray(raw[same, at : at + 16 * k]).view("<f8").reshape(int(same.sum()), k, 2), hole) for at, k, hole in found[1]]
                 some, raw = some[~same], raw[~same]
 
 
@@ -121,6 +122,30 @@ def areas(column: pa.Array) -> np.ndarray:
     return found
 
 
+def lengths(column: pa.Array) -> np.ndarray:
+    """kernels.length of a WKB column; null: NaN."""
+    found = np.full(len(column), np.nan)
+    for rows, paths in _alike(column, (2, 5)):
+        if paths is None or any(p.shape[1] == 0 for p, _ in paths):
+            found[rows] = [kernels.length(*wkb.loads(column[r].as_py())) for r in rows]
+        else:
+            found[rows] = sum((np.hypot(*np.moveaxis(np.diff(p, axis=1), 2, 0)).sum(1) for p, _ in paths), np.zeros(len(rows)))
+    return found
+
+
+def boxes(column: pa.Array) -> np.ndarray:
+    """(rows, 4): kernels.bounds of a WKB column; null, or nothing but empty points: NaN."""
+    found = np.full((len(column), 4), np.nan)
+    for rows, paths in _alike(column, (2, 3, 5, 6)):
+        p = np.concatenate([p for p, _ in paths], 1) if paths else np.zeros((len(rows), 0, 2))
+        plain = ~np.isnan(p).any((1, 2)) if p.shape[1] else np.zeros(len(rows), bool)
+        if plain.any():
+            found[rows[plain]] = np.hstack([p[plain].min(1), p[plain].max(1)])
+        for r in rows[~plain]:
+            found[r] = kernels.bounds(*wkb.loads(column[r].as_py())) or np.nan
+    return found
+
+
 class Shapes:
     """Areas as edges e (x1, y1, x2, y2), the area on their left, those of area k from at[k] to at[k + 1]; box: of each area."""
 

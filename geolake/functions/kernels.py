@@ -46,6 +46,11 @@ def area(kind: str, c) -> float:
     return sum(abs(signed_area(p[0])) - sum(abs(signed_area(h)) for h in p[1:]) for p in polygons(kind, c) if p)
 
 
+def length(kind: str, c) -> float:
+    """Of all lines."""
+    return sum(float(np.hypot(*np.diff(np.asarray(p, float), axis=0).T).sum()) for p in lines(kind, c))
+
+
 def side(kind: str, c, x: float, y: float) -> int:
     """1 inside a polygon (even-odd rule), 0 on a boundary, -1 outside."""
     inside = False
@@ -303,7 +308,14 @@ def geo_area(column: pd.Series) -> pd.Series:
 
 
 geo_is_empty = _scalar(lambda kind, c: is_empty(kind, c), T.BooleanType())
-geo_length = _scalar(lambda kind, c: sum(float(np.hypot(*np.diff(np.asarray(p, float), axis=0).T).sum()) for p in lines(kind, c)), T.DoubleType())
+
+
+@F.pandas_udf(T.DoubleType())
+def geo_length(column: pd.Series) -> pd.Series:
+    """length() of a WKB column; null stays null."""
+    from .arrange import lengths  # which needs this module
+
+    return pd.Series(lengths(pa.array(column, pa.binary())), dtype=float)
 
 
 def geo_type(geometry: str) -> Column:

@@ -112,8 +112,12 @@ def from_geojson(g: dict) -> tuple[str, list]:
         return g["type"], [from_geojson(x) for x in g["geometries"]]
     if g["type"] not in KINDS:
         raise ValueError(f"unknown geometry type {g['type']}")
-    cut = lambda c: tuple(map(float, c[:2])) if c and not isinstance(c[0], list) else [cut(x) for x in c]
-    return g["type"], cut(g["coordinates"])
+    return g["type"], _cut(g["coordinates"])
+
+
+def _cut(c: list) -> list | tuple[float, ...]:
+    """Positions of a GeoJSON geometry without what lies beyond x and y."""
+    return tuple(map(float, c[:2])) if c and not isinstance(c[0], list) else [_cut(x) for x in c]
 
 
 def to_geojson(kind: str, coordinates) -> dict:

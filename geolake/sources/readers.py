@@ -10,10 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolake.functions import wkb
+from geolake.functions import arrange, wkb
 from geolake.functions.kernels import signed_area
 from geolake.operators.overlay import trace
 
@@ -120,15 +121,16 @@ def geojson(spark: SparkSession, path: str, columns: dict[str, str], required: s
     A missing required property, another geometry kind, no `crs` or something else than a FeatureCollection is an error.
     """
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from geolake.functions.kernels import bounds
+    names = [*columns.values(), "geometry", "bbox"]
 
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for crs, text in zip(b["crs"], b["feature"]):
+            for crs in b.column("crs").unique().to_pylist():
                 if crs is None:
                     raise ValueError("no crs")
                 epsg(crs)
+            values, shapes = [[] for _ in columns], []
+            for text in b.column("feature").to_pylist():
                 feature = json.loads(text)
                 props = feature["properties"]
                 if any(props.get(k) in (None, "") for k in required):
@@ -136,11 +138,18 @@ def geojson(spark: SparkSession, path: str, columns: dict[str, str], required: s
                 kind, c = wkb.from_geojson(feature["geometry"])
                 if kind not in kinds:
                     raise ValueError(f"unexpected {kind}")
-                out.append([*[props.get(k) for k in columns], wkb.dumps(kind, c), dict(zip(("xmin", "ymin", "xmax", "ymax"), bounds(kind, c)))])
-            yield pd.DataFrame(out, columns=[*columns.values(), "geometry", "bbox"])
+                for v, k in zip(values, columns):
+                    v.append(props.get(k))
+                shapes.append(wkb.dumps(kind, c))
+            geometry = pa.array(shapes, pa.binary())
+            box = arrange.boxes(geometry)
+            if np.isnan(box).any():
+                raise ValueError("a geometry without places")
+            bbox = pa.StructArray.from_arrays([pa.array(box[:, k]) for k in range(4)], ["xmin", "ymin", "xmax", "ymax"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.string()) for v in values), geometry, bbox], names)
 
     schema = ", ".join(f"{c} string" for c in columns.values()) + ", geometry binary, bbox struct<xmin:double,ymin:double,xmax:double,ymax:double>"
-    return geojson_features(spark, path).select("crs", "feature").mapInPandas(parse, schema)
+    return geojson_features(spark, path).select("crs", "feature").mapInArrow(parse, schema)
 
 
 def railways(spark: SparkSession, path: str, stations: bool = False) -> DataFrame:

@@ -113,3 +113,24 @@ def test_zones_of_many_small_lines_are_one_shuffle(spark):
     assert set(got) == set(range(300))
     for i, area in got.items():
         assert abs(area - (capsule(2) + capsule(1 + i % 3) - 2.5 * 0.25**2)) < 1e-9  # both share three quarters of the disc and a square
+
+
+def test_lengths_and_boxes_are_those_of_each_geometry(monkeypatch):
+    rng = random.Random(31)
+    line = lambda n: [(rng.uniform(-9, 9), rng.uniform(-9, 9)) for _ in range(n)]
+    found = [("LineString", line(rng.choice([1, 2, 3, 40]))) for _ in range(60)] + [("MultiLineString", [line(2), line(rng.choice([2, 5]))]) for _ in range(20)]
+    found += [("Polygon", [block(0.0, 0.0, 4.0, 4.0), block(1.0, 1.0, 2.0, 2.0)]), ("Point", (1.0, 2.0)), ("MultiPoint", line(3)), ("GeometryCollection", [("LineString", line(4)), ("Point", (20.0, 20.0))])]
+    found += [("LineString", [(float("nan"), 1.0), (2.0, 3.0)]), ("MultiLineString", []), ("MultiPolygon", []), ("Polygon", [[]])]
+    column = pa.array([None, *(wkb.dumps(*g) for g in found), None], pa.binary())
+    want = [(k.length(*g), k.bounds(*g) or (np.nan,) * 4) for g in found]
+    length, box = arrange.lengths(column), arrange.boxes(column)
+    assert np.array_equal(length[1:-1], [n for n, _ in want], equal_nan=True) and np.isnan(length[[0, -1]]).all()
+    assert np.array_equal(box[1:-1], [b for _, b in want], equal_nan=True) and np.isnan(box[[0, -1]]).all()
+    empty = pa.array([wkb.dumps("LineString", [])], pa.binary())
+    assert np.isnan(arrange.boxes(empty)).all()
+    with pytest.raises(TypeError):  # as by itself
+        arrange.lengths(empty)
+    # lines of one layout are measured together
+    monkeypatch.setattr(wkb, "loads", None)
+    alike = pa.array([wkb.dumps(*g) for g in found[:80]], pa.binary())
+    assert np.array_equal(arrange.lengths(alike), length[1:81]) and np.array_equal(arrange.boxes(alike), box[1:81])
