area_difference: edges of areas of one layout are read at once

Symptom: after the pieces, reading the edges of areas still took a large part of area_difference's Python time.
Evidence: two passes over 15000 zones parsed each area into lists of points and made an array for each ring.
Fix: edges are read as the other kernels read areas, those of one layout together, any other by itself; edges come out bit by bit as before (held against the old code on mixed shapes). A ring without points, an error before, is now left out.
Effect, together with 3 more commits on this code: at 1 GB of input CPU 3142 -> 1583 s, shuffle 1.25 -> 1.26 GB, spill 0.00 -> 0.00 GB, read 0.49 -> 0.48 GB, longest task 8 -> 7 s, most memory of a task 365 -> 365 MB; at 6 GB of input CPU 15869 -> 5840 s, shuffle 9.51 -> 9.55 GB, spill 0.00 -> 0.00 GB, read 3.19 -> 3.15 GB, longest task 20 -> 21 s, most memory of a task 292 -> 298 MB; with hot keys, at 1 GB of input CPU 3101 -> 1546 s, shuffle 1.25 -> 1.26 GB, spill 0.00 -> 0.00 GB, read 0.49 -> 0.48 GB, longest task 6 -> 7 s, most memory of a task 365 -> 365 MB.

@@ -85,7 +85,7 @@ def like(shape: tuple[str, list], points: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(points), [None, pa.py_buffer((np.arange(len(points) + 1) * len(data)).astype(np.int32)), pa.py_buffer(out)])
 
 
-def _alike(column: pa.Array, kinds: tuple[int, ...] = (3, 6)) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray, bool]] | None]]:
+def alike(column: pa.Array, kinds: tuple[int, ...] = (3, 6)) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray, bool]] | None]]:
     """Rows of a binary column with geometries of one layout together, with their rings or lines as (points (rows, n, 2), hole); others than these kinds by themselves, with None.
     Nulls are left out."""
     rows = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
@@ -117,7 +117,7 @@ def _signed(p: np.ndarray) -> np.ndarray:
 def areas(column: pa.Array) -> np.ndarray:
     """kernels.area of a WKB column; null: NaN."""
     found = np.full(len(column), np.nan)
-    for rows, rings in _alike(column):
+    for rows, rings in alike(column):
         found[rows] = kernels.area(*wkb.loads(column[rows[0]].as_py())) if rings is None else sum(((-1 if hole else 1) * np.abs(_signed(p)) for p, hole in rings), np.zeros(len(rows)))
     return found
 
@@ -125,7 +125,7 @@ def areas(column: pa.Array) -> np.ndarray:
 def lengths(column: pa.Array) -> np.ndarray:
     """kernels.length of a WKB column; null: NaN."""
     found = np.full(len(column), np.nan)
-    for rows, paths in _alike(column, (2, 5)):
+    for rows, paths in alike(column, (2, 5)):
         if paths is None or any(p.shape[1] == 0 for p, _ in paths):
             found[rows] = [kernels.length(*wkb.loads(column[r].as_py())) for r in rows]
         else:
@@ -136,7 +136,7 @@ def lengths(column: pa.Array) -> np.ndarray:
 def boxes(column: pa.Array) -> np.ndarray:
     """(rows, 4): kernels.bounds of a WKB column; null, or nothing but empty points: NaN."""
     found = np.full((len(column), 4), np.nan)
-    for rows, paths in _alike(column, (2, 3, 5, 6)):
+    for rows, paths in alike(column, (2, 3, 5, 6)):
         p = np.concatenate([p for p, _ in paths], 1) if paths else np.zeros((len(rows), 0, 2))
         plain = ~np.isnan(p).any((1, 2)) if p.shape[1] else np.zeros(len(rows), bool)
         if plain.any():
@@ -146,6 +146,11 @@ def boxes(column: pa.Array) -> np.ndarray:
     return found
 
 
+def oriented(rings: list[tuple[np.ndarray, bool]]) -> Iterator[np.ndarray]:
+    """Rings (points (rows, n, 2), hole) with the area on their left, whichever way they turn."""
+    return (np.where(((_signed(p) < 0) != hole)[:, None, None], p[:, ::-1], p) for p, hole in rings if p.shape[1] > 1)
+
+
 class Shapes:
     """Areas as edges e (x1, y1, x2, y2), the area on their left, those of area k from at[k] to at[k + 1]; box: of each area."""
 
@@ -163,10 +168,10 @@ class Shapes:
     def read(column: pa.Array) -> Shapes:
         """The polygons of a WKB column, whichever way their rings turn; rows without any have no edges."""
         parts, size = [], np.zeros(len(column), np.int64)
-        for rows, rings in _alike(column):
+        for rows, rings in alike(column):
             if rings is None:
                 rings = [(np.asarray(r, float).reshape(1, -1, 2), k > 0) for p in kernels.polygons(*wkb.loads(column[rows[0]].as_py())) for k, r in enumerate(p)]
-            turned = [np.where(((_signed(p) < 0) != hole)[:, None, None], p[:, ::-1], p) for p, hole in rings if p.shape[1] > 1]
+            turned = [*oriented(rings)]
             if turned:
                 parts.append((rows, np.concatenate([np.concatenate([p[:, :-1], p[:, 1:]], 2) for p in turned], 1)))
                 size[rows] = parts[-1][1].shape[1]

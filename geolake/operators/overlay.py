@@ -39,19 +39,17 @@ def edges_of(areas: DataFrame, key: str, geometry: str = "geometry") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, rows = [], [np.zeros((0, 4))]
-            for i, g in enumerate(b.column(1).to_pylist()):
-                for polygon in kernels.polygons(*wkb.loads(g)) if g is not None else []:
-                    for k, ring in enumerate(polygon):
-                        a = np.asarray(ring, float)
-                        if (kernels.signed_area(ring) < 0) != (k > 0):
-                            a = a[::-1]
-                        e = np.hstack([a[:-1], a[1:]])
-                        e = e[(e[:, :2] != e[:, 2:]).any(1)]
-                        rows.append(e)
-                        at += [i] * len(e)
-            e = np.concatenate(rows)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(e[:, k]) for k in range(4))], [key, *_XY])
+            at, rows = [np.zeros(0, np.int64)], [np.zeros((0, 4))]
+            for some, rings in arrange.alike(b.column(1)):
+                if rings is None:
+                    rings = [(np.asarray(r, float).reshape(1, -1, 2), k > 0) for p in kernels.polygons(*wkb.loads(b.column(1)[some[0]].as_py())) for k, r in enumerate(p)]
+                for p in arrange.oriented(rings):
+                    rows.append(np.concatenate([p[:, :-1], p[:, 1:]], 2).reshape(-1, 4))
+                    at.append(np.repeat(some, p.shape[1] - 1))
+            e, at = np.concatenate(rows), np.concatenate(at)
+            keep = (e[:, :2] != e[:, 2:]).any(1)
+            e, at = e[keep], at[keep]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *(pa.array(e[:, k]) for k in range(4))], [key, *_XY])
 
     return areas.select(key, geometry).mapInArrow(run, f"`{key}` {schema}, x1 double, y1 double, x2 double, y2 double")
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from geolake.functions import kernels as k
@@ -114,3 +115,26 @@ def test_trace_of_touching_rings():
     kind, c, lost = overlay.trace(np.array(shell + hole, float))
     assert kind == "Polygon" and len(c) == 2 and lost == 0 and abs(k.area(kind, c) - 14.5) < 1e-12
     assert overlay.trace(np.array(shell[:3], float))[1:] == ([], 3)
+
+
+def test_edges_of_alike_areas_are_read_at_once(spark, monkeypatch):
+    shell, hole = block(0.0, 0.0, 4.0, 4.0), block(1.0, 1.0, 2.0, 2.0)
+    found = [("Polygon", [shell, hole]), ("Polygon", [shell[::-1], hole[::-1]]), placed(3, 5), placed(3, 5, True), ("Polygon", [[(0.0, 0.0), (0.0, 0.0), (2.0, 0.0), (0.0, 2.0), (0.0, 0.0)]])]
+    odd = [("Point", (1.0, 2.0)), ("Polygon", []), ("MultiPolygon", []), ("GeometryCollection", [("Polygon", [shell]), ("Point", (1.0, 2.0))])]
+    d = spark.createDataFrame([(i, wkb.dumps(*g)) for i, g in enumerate([*found, *odd])] + [(0, None), (None, wkb.dumps(*found[0]))], "id int, geometry binary")
+    want = []
+    for i, g in [*enumerate([*found, *odd]), (None, found[0])]:
+        for polygon in k.polygons(*g):
+            for n, r in enumerate(polygon):
+                r = r[::-1] if (k.signed_area(r) < 0) != (n > 0) else r
+                want += [(i, *a, *b) for a, b in zip(r, r[1:]) if a != b]
+    assert sorted(map(tuple, overlay.edges_of(d, "id").collect()), key=str) == sorted(want, key=str)
+
+    class Areas:
+        schema = d.schema
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    monkeypatch.setattr(wkb, "loads", None)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5), pa.int32()), pa.array([wkb.dumps(*g) for g in found], pa.binary())], ["id", "geometry"])
+    assert sum(b.num_rows for b in overlay.edges_of(Areas(), "id")(iter([batch]))) == sum(w[0] is not None and w[0] < 5 for w in want)
