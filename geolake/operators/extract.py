extract_roads: roads that classes and frame leave are stored once, shapes near a border too, segments are made at once

Symptom: extract_roads took 756 CPU seconds a GB in the full form of the profiler (tables at sf0.1).
Evidence: the source was evaluated six times a run, each time with its pass through Python (levels of boxes, boxes against pieces, segments, polygons, both parts of the result); segments took 8.3 microseconds a line.
Fix: what classes and frame leave is stored with the columns that are needed, shapes near a border are stored once for both of their readers, and segments of shapes of one layout are made together (bit by bit as before).
Effect, together with 3 more commits on this code: at 1 GB of input CPU 1132 -> 877 s, shuffle 0.34 -> 0.31 GB, spill 0.00 -> 0.00 GB, read 0.44 -> 1.17 GB, longest task 16 -> 20 s, most memory of a task 159 -> 159 MB; at 6 GB of input CPU 5036 -> 2896 s, shuffle 2.06 -> 1.86 GB, spill 0.00 -> 0.00 GB, read 2.63 -> 6.99 GB, longest task 61 -> 67 s, most memory of a task 537 -> 537 MB; with hot keys, at 1 GB of input CPU 1336 -> 918 s, shuffle 0.34 -> 0.31 GB, spill 0.00 -> 0.00 GB, read 0.45 -> 1.18 GB, longest task 18 -> 20 s, most memory of a task 159 -> 159 MB.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from geolake.functions import values
 from geolake.functions.geometry import anchored_in
 from geolake.functions.kernels import geo_type
+from geolake.sources.shared import stored
 
 from .filters import is_municipality
 from .pieces import meeting
@@ -45,9 +46,11 @@ def roads(source: DataFrame, home: DataFrame, frame: tuple = FRAME) -> DataFrame
     """Roads of the classes that lie in the country or belong to one of its networks.
 
     home: the country's areas, see in_country. The two conditions are taken apart, so that the spatial one is an equi-join on cells of
-    what the first leaves over.
+    what the first leaves over. What classes and frame leave of the source is stored, as areas' borders are asked in several passes.
     """
     d = source.where(anchored_in("bbox", *frame) & F.col("class").isin(*ROAD_CLASSES)).withColumn("routes", F.coalesce("routes", F.array()))
+    if "geometry" in home.columns:
+        d = stored(d.select("id", "names", "class", "routes", "geometry", "bbox"), "roads")
     domestic = F.exists("routes", lambda r: F.coalesce(r["network"].startswith("JP"), F.lit(False)))
     found = d.where(domestic).unionByName(in_country(d.where(~domestic), home))
     names, _ = values.aligned("routes", lambda r: r["name"].isNotNull() & F.coalesce(r["network"].startswith("JP"), F.lit(False)), "name", "network")

@@ -1,12 +1,13 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from geolake.functions import kernels as k
 from geolake.functions import wkb
-from geolake.operators import extract
+from geolake.operators import extract, pieces
 from geolake.sources import readers as r
 from tests.test_sources import zipped
 
@@ -69,3 +70,45 @@ def test_register(spark):
     got = spark.sql(f"select geo_area(unhex('{g}')) a, geo_contains(unhex('{g}'), 1D, 0.5D) c, geo_distance(unhex('{g}'), 3D, 0.5D) d, geo_bounds(unhex('{g}')) b").first()
     assert (got.a, got.c, got.d, got.b.xmax) == (2, True, 1, 2)
     assert spark.range(1).select(k.geo_type(F.lit(bytes.fromhex(g)))).first()[0] == "Polygon"
+
+
+def test_roads_are_read_once_whatever_is_asked_of_them(spark):
+    """Rows with null ids, shapes, boxes or routes, and rows that come twice, stay as they were; the source is drawn once."""
+    rows = [row("a", 139, 35, "motorway", "M", routes=[("R1", "JP:x")]), *[row("b", 139.2, 35, "trunk")] * 2, row("c", 139.9, 35, "trunk", routes=[(None, None)]), row(None, 139.2, 35, "primary"), row(None, 150, 45, "primary", routes=[("R2", "JP:x")])]
+    rows += [(*row("n", 139.2, 35, "trunk")[:-2], None, rows[1][-1]), (*row("o", 139.2, 35, "trunk")[:-1], None), row("p", 139.2, 35, None)]
+    drawn = spark.sparkContext.accumulator(0)
+
+    def draw(batches):
+        for b in batches:
+            drawn.add(b.num_rows)
+            yield b
+
+    d = spark.createDataFrame(rows, SCHEMA).mapInArrow(draw, spark.createDataFrame(rows, SCHEMA).schema)
+    square = wkb.dumps("Polygon", [[(138.9, 34.9), (139.5, 34.9), (139.5, 35.5), (138.9, 35.5), (138.9, 34.9)]])
+    home = spark.createDataFrame([((138.9, 34.9, 139.5, 35.5), square)], "bbox struct<xmin:double,ymin:double,xmax:double,ymax:double>, geometry binary")
+    got = extract.roads(d, home)
+    assert got.columns == ["id", "road_name", "class", "route_names", "geometry", "bbox"]
+    assert sorted((str(x.id), x["class"], x.route_names) for x in got.collect()) == [("None", "primary", ["R2"]), ("a", "motorway", ["R1"]), ("b", "trunk", []), ("b", "trunk", [])]
+    assert drawn.value == len(rows)
+
+
+def test_segments_of_alike_shapes_are_made_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    line = lambda n: [tuple(p) for p in rng.uniform(0, 9, (n, 2)).tolist()]
+    ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 0.0)]
+    found = [("LineString", line(2)), ("LineString", line(3)), ("LineString", line(1)), ("MultiLineString", [line(2), line(1), line(3)]), ("Polygon", [ring, ring[::-1]]), ("Point", (1.0, 2.0)), ("GeometryCollection", [("Point", (1.0, 2.0)), ("LineString", line(2))]), ("Polygon", [])]
+    want = []
+    for i, g in enumerate(found):
+        paths = [*k.lines(*g), *(r for p in k.polygons(*g) for r in p), *([p, p] for p in k.points(*g))]
+        want += [(i, n, *a, *b) for n, p in enumerate(p for p in paths if len(p) > 1) for a, b in zip(p, p[1:])]
+    d = spark.createDataFrame([(i, wkb.dumps(*g)) for i, g in enumerate(found)] + [(99, None)], "id int, geometry binary")
+    assert sorted(tuple(r)[:6] for r in pieces.segments(d).collect()) == sorted(want)
+    monkeypatch.setattr(wkb, "loads", None)
+
+    class Areas:
+        schema = d.schema
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5), pa.int32()), pa.array([wkb.dumps(*g) for g in found[:5]], pa.binary())], ["id", "geometry"])
+    assert sum(b.num_rows for b in pieces.segments(Areas())(iter([batch]))) == sum(w[0] < 5 for w in want)
